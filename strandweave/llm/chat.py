@@ -122,7 +122,7 @@ def format_conversations(turns: DataFrame, learn: str = "assistant") -> DataFram
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     keys = ["conv_id", "turn", "role", "text"]
-    dealt = rows.repartitionByRange(shuffle_partitions(turns.sparkSession), *keys).sortWithinPartitions(*keys)
+    dealt = rows.repartitionByRange(shuffle_partitions(turns.sparkSession), "conv_id", "turn").sortWithinPartitions(*keys)
     return dealt.select("conv_id", "role", "text").mapInArrow(_format(learn), FORMATTED)
 
 

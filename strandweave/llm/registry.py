@@ -129,11 +129,38 @@ LEFT JOIN carried c ON c.node = p.address
 """
 
 
+def op10_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), k=5, num=75, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM worded),
+sized AS (SELECT doc_id, len(s) AS n FROM shingled),
+flat AS (SELECT doc_id, unnest(s) AS g FROM shingled),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
+low AS (SELECT node, min(other) AS c FROM reach GROUP BY node)
+SELECT doc_id, n AS n_shingles, coalesce(c, doc_id) AS component_id FROM sized LEFT JOIN low ON node = doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_redirect_blocks": op3_redirect_blocks,
     "op5_token_file": op5_token_file,
     "op6_chat_bytes": op6_chat_bytes,
     "op7_best_two_fit": op7_best_two_fit,
+    "op10_size_aware_jaccard": op10_size_aware_jaccard,
 }
 
-SQL: dict[str, str] = {"op3_redirect_blocks": OP3_SQL, "op6_chat_bytes": OP6_SQL}
+SQL: dict[str, str] = {"op3_redirect_blocks": OP3_SQL, "op6_chat_bytes": OP6_SQL, "op10_size_aware_jaccard": OP10_SQL}

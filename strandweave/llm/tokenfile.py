@@ -141,7 +141,7 @@ def write_token_file(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0,
     work = Workspace(spark, "tokenfile")
     # sorted through a range exchange, whose samples only need the ids; one task codes one range
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first(), F.col("text"))
+    ordered = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text"))
     coded = work.put(ordered.mapInArrow(_encode(tokenizer, end_id), _CODED), "coded")
     counted = coded.select("ids", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))

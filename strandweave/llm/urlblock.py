@@ -84,19 +84,25 @@ def resolve(base: Column, target: Column) -> Column:
     )
 
 
-def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): addresses that a page declares to be the same as its own."""
+def alias_links(pages: DataFrame, work: Workspace, url: str = "url", html: str = "html") -> DataFrame:
+    """(a, b): addresses that a page declares to be the same as its own.
+
+    Tags and targets are few; written between the steps, they keep each step's generated
+    code within what the JVM compiles.
+    """
     text = F.col(html).cast("string")
     tags = F.regexp_extract_all(text, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     # most pages have neither word, and are done with after one search each
     some = pages.where(text.rlike("(?i)canonical") | text.rlike(r"(?i)http-equiv"))
-    tag = some.select(F.col(url).alias("base"), F.explode(tags).alias("tag"))
+    tag = work.put(some.select(F.col(url).alias("base"), F.explode(tags).alias("tag")), "tags")
     t = F.col("tag")
     canonical = t.rlike(r"(?is)^<link\b") & F.lower(_attribute(t, "rel")).rlike(r"(^|\s)canonical(\s|$)")
     refresh = t.rlike(r"(?is)^<meta\b") & (F.lower(_attribute(t, "http-equiv")) == "refresh")
     later = F.trim(F.regexp_replace(F.regexp_extract(_attribute(t, "content"), r"(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*(.*)$", 1), r"""^["']|["']$""", ""))
     target = F.when(canonical, _attribute(t, "href")).when(refresh, later)
-    links = tag.select(address(F.col("base")).alias("a"), address(resolve(F.col("base"), target)).alias("b"))
+    aimed = work.put(tag.select("base", target.alias("target")).where("target != ''"), "targets")
+    full = work.put(aimed.select("base", resolve(F.col("base"), F.col("target")).alias("target")), "resolved")
+    links = full.select(address(F.col("base")).alias("a"), address(F.col("target")).alias("b"))
     return links.where("a is not null and b is not null and a != b").distinct()
 
 
@@ -108,7 +114,7 @@ def judge(pages: DataFrame, rules: list[Rule], links: DataFrame | None = None, d
     rows are judged each; other columns are ignored; an empty table gives no rows.
     """
     work = Workspace(pages.sparkSession, "urls")
-    found = alias_links(pages)
+    found = alias_links(pages, work)
     if links is not None:
         found = found.union(links.select("a", "b").where("a is not null and b is not null and a != b")).distinct()
     group = components(work.put(found, "links"), "a", "b")
