@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -155,12 +156,68 @@ SELECT doc_id, n AS n_shingles, coalesce(c, doc_id) AS component_id FROM sized L
 """
 
 
+def op2_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    model = langid.fit(docs.where(~held_out))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import leaks
+
+    found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shared_shingles", "item_shingles")
+
+
+OP8_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+worded AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^A-Za-z0-9\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS w
+  FROM texts),
+flat AS (
+  SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM worded WHERE len(w) >= 5),
+sized AS (SELECT id, count(*) AS n FROM flat WHERE kind = 'b' GROUP BY id),
+shared AS (
+  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM flat d JOIN flat b ON d.g = b.g WHERE d.kind = 'd' AND b.kind = 'b' GROUP BY ALL)
+SELECT doc_id, item_id, shared AS shared_shingles, n AS item_shingles FROM shared JOIN sized ON id = item_id WHERE 100 * shared >= 75 * n
+"""
+
+
+def op9_adaptive_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_families": op2_language_families,
     "op3_redirect_blocks": op3_redirect_blocks,
+    "op4_cotrained_quality": op4_cotrained_quality,
     "op5_token_file": op5_token_file,
     "op6_chat_bytes": op6_chat_bytes,
     "op7_best_two_fit": op7_best_two_fit,
+    "op8_bm25_leaks": op8_bm25_leaks,
+    "op9_adaptive_dimensions": op9_adaptive_dimensions,
     "op10_size_aware_jaccard": op10_size_aware_jaccard,
 }
 
-SQL: dict[str, str] = {"op3_redirect_blocks": OP3_SQL, "op6_chat_bytes": OP6_SQL, "op10_size_aware_jaccard": OP10_SQL}
+SQL: dict[str, str] = {
+    "op3_redirect_blocks": OP3_SQL,
+    "op6_chat_bytes": OP6_SQL,
+    "op8_bm25_leaks": OP8_SQL,
+    "op10_size_aware_jaccard": OP10_SQL,
+}
