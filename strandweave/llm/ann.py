@@ -75,6 +75,23 @@ def _lifted(x: np.ndarray, radius2: float) -> np.ndarray:
     return np.concatenate([x, rest[:, None].astype(np.float32)], axis=1)
 
 
+def choose_probes(x: np.ndarray, centres: np.ndarray, q: np.ndarray, k: int, recall: float) -> int:
+    """Fewest lists to probe that find ``recall`` of the sample's own k nearest, by brute force over the sample."""
+    home = nearest(x, centres, 1)[:, 0]
+    order = nearest(q, centres, len(centres))
+    half = (x * x).sum(axis=1) / 2
+    ranks = []
+    for row, o in zip(q, order, strict=True):
+        d = half - x @ row
+        near = np.argpartition(d, min(k, len(x) - 1))[: k + 1]
+        near = near[np.argsort(d[near])][1:]  # the first is the query itself
+        place = np.empty(len(centres), np.int64)
+        place[o] = np.arange(len(centres))
+        ranks.append(place[home[near]])
+    ranks = np.sort(np.concatenate(ranks))
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else 1
+
+
 def _deal(dims: int, radius2: float, turn: np.ndarray, centres: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,22 +168,21 @@ def scan(q: np.ndarray, columns: np.ndarray, k: int, epsilon: float = EPSILON) -
     dims, n = columns.shape
     if n <= 2 * k:
         return np.arange(n)
-    part = ((columns[:COLUMNS] - q[:COLUMNS, None]) ** 2).sum(axis=0)
-    # the k nearest by the first block give the first threshold
-    first = np.argpartition(part, k - 1)[:k]
-    full = part[first] + ((columns[COLUMNS:, first] - q[COLUMNS:, None]) ** 2).sum(axis=0)
-    threshold = float(full.max()) * (1 + 1e-6) + 1e-9
-    alive, done = np.arange(n), min(COLUMNS, dims)
-    while True:
-        if done >= dims:
-            return alive[part <= threshold]
-        ratio = (1 + epsilon / np.sqrt(done)) ** 2 * done / dims
-        keep = part <= threshold * ratio
-        keep |= np.isin(alive, first)
+    done = min(COLUMNS, dims)
+    part = ((columns[:done] - q[:done, None]) ** 2).sum(axis=0)
+    alive, threshold = np.arange(n), np.inf
+    while done < dims:
+        # the k nearest so far give a threshold by their full distances
+        first = np.argpartition(part, k - 1)[:k]
+        full = part[first] + ((columns[done:, alive[first]] - q[done:, None]) ** 2).sum(axis=0)
+        threshold = min(threshold, float(full.max()) * (1 + 1e-6) + 1e-9)
+        keep = part <= threshold * (1 + epsilon / np.sqrt(done)) ** 2 * done / dims
+        keep[first] = True
         alive, part = alive[keep], part[keep]
         to = min(done + COLUMNS, dims)
         part = part + ((columns[done:to, alive] - q[done:to, None]) ** 2).sum(axis=0)
         done = to
+    return alive[part <= threshold]
 
 
 def _scan_lists(dims: int, turn: np.ndarray, k: int):
@@ -191,13 +207,15 @@ def _scan_lists(dims: int, turn: np.ndarray, k: int):
     return run
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probe_share: float = 0.12, least_probes: int = 12) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows of vectors(vec_id, embedding), itself (the same vec_id) left out.
 
     The measure is the inner product in double precision on the original vectors; ties go
     to the smaller vec_id.  Null, zero or non-finite vectors take no part, nor do those
-    whose length is not the most frequent one.  Lists are probed until they hold enough
-    vectors, so that a query only has fewer than k neighbours if there are no more.
+    whose length is not the most frequent one.  The number of lists to probe is the least
+    that reaches ``recall`` on the sample the lists are fitted on, against brute force;
+    more are probed until they hold enough vectors, so that a query only has fewer than
+    k neighbours if there are no more.
     Other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -222,7 +240,10 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probe_share:
     if len(x) == 0:
         x = np.array([rows.first()["v"]], np.float32)
     lists = int(max(1, min(MOST_LISTS, n**0.5, len(x) / 8)))
-    centres = k_means(_lifted(x, radius2) @ turn, lists)
+    lifted = _lifted(x, radius2) @ turn
+    centres = k_means(lifted, lists)
+    tried = x[np.linspace(0, len(x) - 1, min(256, len(x))).astype(int)]
+    probes = choose_probes(lifted, centres, np.concatenate([tried, np.zeros((len(tried), 1), np.float32)], axis=1) @ turn, k, recall)
 
     dealt = work.put(rows.mapInArrow(_deal(dims, radius2, turn, centres), "list int, id long, body binary"), "dealt")
     size = np.zeros(len(centres), np.int64)
@@ -238,7 +259,6 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probe_share:
 
     chunks = work.put(salted(dealt, size, CHUNK).mapInArrow(_chunks(dims, radius2, turn), "list int, ids binary, original binary, columns binary"), "chunks")
     work.drop("dealt")
-    probes = max(least_probes, int(np.ceil(probe_share * len(centres))))
     aimed = work.put(asked.mapInArrow(_probe(dims, turn, centres, size, probes, k + 1), "list int, id long, body binary"), "aimed")
     number = np.zeros(len(centres), np.int64)
     for r in aimed.groupBy("list").count().collect():  # one row a list

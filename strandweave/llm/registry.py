@@ -156,6 +156,13 @@ SELECT doc_id, n AS n_shingles, coalesce(c, doc_id) AS component_id FROM sized L
 """
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0
+    return lm.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op2_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -204,6 +211,7 @@ def op9_adaptive_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_language_families": op2_language_families,
     "op3_redirect_blocks": op3_redirect_blocks,
     "op4_cotrained_quality": op4_cotrained_quality,
