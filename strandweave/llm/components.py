@@ -26,6 +26,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     work = Workspace(spark, "components")
     plain = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = work.put(plain.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "e0")  # u > v
+    if now.limit(1).count() == 0:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for k in range(1, max_rounds + 1):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -37,12 +39,14 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         small = _star(large, low)
         hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select("u", F.col("m").alias("v"))).distinct()
         after = work.put(hung, f"e{k}")
-        # stars, if no node both has a parent and is one, and none has two
-        parents = after.select(F.col("v").alias("u")).distinct()
-        inner = after.join(parents, "u", "left_semi").limit(1).count()
+        # stars, if no node with a parent has another or is one itself
+        ends = after.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.union(after.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        wrong = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0")
+        settled = wrong.limit(1).count() == 0
         work.drop(f"l{k}", f"e{k - 1}")
         now = after
-        if inner == 0 and after.groupBy("u").count().where("count > 1").limit(1).count() == 0:
+        if settled:
             roots = now.select(F.col("v").alias("node")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -44,6 +44,8 @@ BITS = 1024
 SMALL = 16
 #: Lists up to this length give all their pairs at once; longer ones go through central members.
 LIST = 24
+#: Pairs that may be broadcast: 16 bytes each.
+FEW_PAIRS = 200_000
 #: Rounds with central members before the exhaustive one.
 CENTRAL_ROUNDS = 3
 
@@ -77,7 +79,7 @@ def _distinct(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sets(column, k: int):
     """(first row, shingles, where each text's begin) of slices of a text column."""
-    for first, raw, off in pieces(column, 2 << 20):
+    for first, raw, off in pieces(column, 1 << 20):
         h, at = words(raw, off)
         yield (first, *_distinct(*shingles(h, at, k)))
 
@@ -335,8 +337,8 @@ def _merge_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _open_pairs(central: bool, num: int, den: int):
     """Of each long list: pairs of members in different components that the parity maps don't rule out.
 
-    With ``central``, only those of the member that is nearest to a spread of the others
-    (the lists's sizes ascend; the spread takes every so-manieth).  Otherwise all, in blocks.
+    With ``central``, only those of the member nearest to a spread of the others, and of
+    the most central one outside its component.  Otherwise those of every member.
     """
 
     def one(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -347,10 +349,8 @@ def _open_pairs(central: bool, num: int, den: int):
             near = np.zeros(len(n), np.int64)
             for s in spread.tolist():
                 near += _hamming(maps, maps[s])
-            # the component with fewest rows is not yet reached: its most central member asks the others
-            names, which, size = np.unique(group, return_inverse=True, return_counts=True)
             tries = [int(near.argmin())]
-            rest = np.flatnonzero(which != which[tries[0]])
+            rest = np.flatnonzero(group != group[tries[0]])
             if len(rest):
                 tries.append(int(rest[near[rest].argmin()]))
         else:
@@ -430,49 +430,65 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
 
     # full sets of the classes that any pair or long list may ask for
     asked = pairs.select("a").union(pairs.select("b")).union(open_.select("a")).distinct().withColumnRenamed("a", "key")
-    wanted = asked.join(classes.select("key", "rep"), "key").where("rep is not null")
+    wanted = work.put(asked.join(classes.select("key", "rep"), "key"), "wanted")
     marks = np.zeros(WANTED // 8, np.uint8)
     width = len(marks) // SLICES
-    marked = wanted.select("rep").mapInArrow(_mark, "slice int, marks binary").repartition(min(SLICES, parts), "slice")
+    marked = wanted.select(F.coalesce("rep", F.lit(0).cast("long")).alias("rep")).mapInArrow(_mark, "slice int, marks binary").repartition(min(SLICES, parts), "slice")
     for r in marked.mapInArrow(_merge_marks, "slice int, marks binary").collect():  # the bitmap's fixed size
         marks[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["marks"], np.uint8)
     bodies = rows.mapInArrow(_sets_of(k, marks), "key long, body binary") if marks.any() else spark.createDataFrame([], "key long, body binary")
     bodies = work.put(bodies.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "bodies", codec="lz4")
 
-    def verified(p: DataFrame) -> DataFrame:
-        p = p.join(bodies.select(F.col("key").alias("a"), F.col("body").alias("aset")), "a")
-        p = p.join(bodies.select(F.col("key").alias("b"), F.col("body").alias("bset")), "b")
-        return p.select("a", "b", "aset", "bset").mapInArrow(_verify(num, den), "a long, b long")
-
-    def grouped(links: DataFrame, name: str) -> DataFrame:
-        return work.put(components(links, "a", "b"), name)
+    def verified(p: DataFrame, name: str) -> DataFrame | None:
+        """Pairs whose full sets reach the similarity; none if there are no pairs.
+
+        Few pairs, by a count, are broadcast, so that only the sets they name are moved.
+        """
+        p = work.put(p, name)
+        n = p.count()
+        if n == 0:
+            return None
+        at_a = bodies.select(F.col("key").alias("a"), F.col("body").alias("aset"))
+        at_b = bodies.select(F.col("key").alias("b"), F.col("body").alias("bset"))
+        if n <= FEW_PAIRS:
+            ends = p.select("b").distinct()
+            both = at_a.join(F.broadcast(p), "a").join(at_b.join(F.broadcast(ends), "b", "left_semi"), "b")
+        else:
+            both = p.join(at_a, "a").join(at_b, "b")
+        return both.select("a", "b", "aset", "bset").mapInArrow(_verify(num, den), "a long, b long")
+
+    group = work.put(wanted.select(F.col("key").alias("node"), F.col("key").alias("component")), "group0")
+    step = 0
+
+    def merged(group: DataFrame, links: DataFrame | None) -> DataFrame:
+        """The grouping after more links: components of the components they join."""
+        nonlocal step
+        if links is None:
+            return group
+        moved = components(work.put(named_ends(links, group), f"ends{step}"), "ga", "gb")
+        step += 1
+        to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        after = work.put(group.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), f"group{step}")
+        work.drop(f"group{step - 1}", f"ends{step - 1}")
+        return after
 
-    def apart(p: DataFrame, group: DataFrame) -> DataFrame:
-        """Pairs whose ends are not in one component yet."""
-        p = p.join(group.select(F.col("node").alias("a"), F.col("component").alias("ga")), "a", "left")
-        p = p.join(group.select(F.col("node").alias("b"), F.col("component").alias("gb")), "b", "left")
-        return p.where("not coalesce(ga, a) <=> coalesce(gb, b)").select("a", "b")
+    def named_ends(p: DataFrame, group: DataFrame) -> DataFrame:
+        """Pairs whose ends are not in one component yet, with the components."""
+        p = p.join(group.select(F.col("node").alias("a"), F.col("component").alias("ga")), "a")
+        p = p.join(group.select(F.col("node").alias("b"), F.col("component").alias("gb")), "b")
+        return p.where("ga != gb").select("a", "b", "ga", "gb")
 
     # first each class with one partner, then only pairs that still join components
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = work.put(verified(first), "links0")
-    group = grouped(links, "group0")
-    links = work.put(links.union(verified(apart(pairs, group))), "links1")
-    step = 1
-    any_open = open_.limit(1).count() > 0
-    group = grouped(links, "group1")
-    for r in range(CENTRAL_ROUNDS + 1) if any_open else ():
-        labelled = open_.join(group.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    group = merged(group, verified(first, "asked0"))
+    group = merged(group, verified(named_ends(pairs, group).select("a", "b"), "asked1"))
+    for r in range(CENTRAL_ROUNDS + 1) if open_.limit(1).count() else ():
+        labelled = open_.join(group.withColumnRenamed("node", "a"), "a")
         mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
         left = labelled.join(mixed, "token", "left_semi").select("token", "a", "an", "component", "bits")
         left = left.repartition(parts, "token").sortWithinPartitions("token", "an", "a")
         more = left.mapInArrow(_open_pairs(r < CENTRAL_ROUNDS, num, den), "a long, b long").distinct()
-        step += 1
-        fresh = work.put(verified(more), f"fresh{step}")
-        if fresh.limit(1).count() == 0 and r < CENTRAL_ROUNDS:
-            continue
-        links = work.put(links.union(fresh), f"links{step}")
-        group = grouped(links, f"group{step}")
+        group = merged(group, verified(more, f"asked{r + 2}"))
     work.drop("bodies", "pairs", "open")
 
     # names: a component of classes is called by its least document
