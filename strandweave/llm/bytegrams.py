@@ -12,7 +12,7 @@ LETTERS = LOWER.copy()
 LETTERS[[i for i in range(128) if not chr(i).isalpha()]] = 32
 
 
-def features(column, bits: int, table: np.ndarray = _SAME, limit: int = 2 << 20, most: int = 512):
+def features(column, bits: int, table: np.ndarray = _SAME, limit: int = 1 << 20, most: int = 256):
     """(first row, float32 matrix) by slices of a string column; a text without trigrams is a row of zeros."""
     raw, off = text_bytes(column)
     width, first, n = 1 << bits, 0, len(off) - 1
