@@ -1,0 +1 @@
+"""Intentionally empty: all inputs of the engine are bounded, and no operator keeps state between batches."""
