@@ -74,6 +74,10 @@ class Workspace:
             p = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def tidy(self) -> None:
+        """Has the driver forget finished plans now, so that their shuffle files leave the executors' disks."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def _forget(self) -> None:
         try:
             if self.root.startswith("file:/"):
