@@ -1,10 +1,562 @@
-"""Registered queries of the sequence-graph engine, and the SQL each must agree with."""
+"""Registered queries of the sequence-graph engine, and the SQL each must agree with.
+
+Reads are derived from ``documents.text``: its letters A, C, G and T in upper case.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import build, compact, correct, inspect, mates, stats, threads
+from .operators.graph import Graph, compressible_links
+from .params import Params
+from .plans import assembly
+from .sources import reads as sources
+from .sources import sinks
+from .storage import Workspace
+
+K = 15
+MATE, INSERT = 100, 400
+P = Params(k=K, low_cov=2.0, bubble_rate=0.2, min_thread_weight=2, insert_len=INSERT, wiggle=30, min_unique_cov=1.0, max_unique_cov=3.0, genome_size=1_000_000)
+
+
+def derived(spark: SparkSession, sf: str) -> DataFrame:
+    return sources.from_text(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+
+
+def good(spark: SparkSession, sf: str) -> DataFrame:
+    return build.clean_reads(derived(spark, sf), P)
+
+
+def raw(spark: SparkSession, sf: str, reads: DataFrame | None = None, traced: bool = False) -> Graph:
+    """The uncompacted graph, stored once for the several joins of a query."""
+    work = Workspace(spark, "raw")
+    ok = good(spark, sf) if reads is None else build.clean_reads(reads, P)
+    edges = work.put(build.edges(ok, K), "edges")
+    nodes = work.put(build.nodes(ok, K), "nodes")
+    some = build.edge_threads(ok, K, P.max_threads, False, edges)
+    return Graph(nodes, edges, work.put(some, "threads") if traced else some, build.read_starts(ok, K, P.max_read_starts))
+
+
+def paired(spark: SparkSession, sf: str) -> DataFrame:
+    return sources.mates_of(derived(spark, sf), MATE)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+# ---- SQL: common table expressions, each naming those it needs
+
+_CTE: dict[str, tuple[str, list[str]]] = {
+    "reads": ("SELECT CAST(doc_id AS VARCHAR) AS read, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS seq FROM documents", []),
+    "good": (f"SELECT * FROM reads WHERE length(seq) > {K}", ["reads"]),
+    "win": (f"SELECT read, pos, substr(seq, pos + 1, {K}) AS kmer FROM (SELECT read, seq, CAST(unnest(range(0, length(seq) - {K - 1})) AS INTEGER) AS pos FROM good)", ["good"]),
+    "nodes": ("SELECT least(kmer, translate(reverse(kmer), 'ACGT', 'TGCA')) AS node_id, CAST(count(*) AS DOUBLE) AS cov FROM win GROUP BY 1", ["win"]),
+    "wide": (
+        f"""SELECT read, pos, substr(seq, pos + 1, {K}) AS u, substr(seq, pos + 2, {K}) AS v
+  FROM (SELECT read, seq, CAST(unnest(range(0, length(seq) - {K})) AS INTEGER) AS pos FROM good)""",
+        ["good"],
+    ),
+    "steps": (
+        """SELECT read, pos, least(u, ru) AS src, CASE WHEN u < ru THEN 'f' ELSE 'r' END AS sdir, CASE WHEN v < rv THEN 'f' ELSE 'r' END AS ddir, least(v, rv) AS dst
+  FROM (SELECT *, translate(reverse(u), 'ACGT', 'TGCA') AS ru, translate(reverse(v), 'ACGT', 'TGCA') AS rv FROM wide)""",
+        ["wide"],
+    ),
+    "edges": (
+        """SELECT src, sdir, ddir, dst FROM steps UNION SELECT dst, translate(ddir, 'fr', 'rf'), translate(sdir, 'fr', 'rf'), src FROM steps""",
+        ["steps"],
+    ),
+    "tags": (
+        """SELECT read, pos, CASE WHEN 2 * upto - again > 0 THEN read || 'c' || CAST(2 * upto - again AS VARCHAR) ELSE read END AS utag,
+    CASE WHEN upto > 0 THEN read || 'c' || CAST(2 * upto AS VARCHAR) ELSE read END AS vtag
+  FROM (SELECT read, pos, again, CAST(sum(again) OVER (PARTITION BY read ORDER BY pos) AS BIGINT) AS upto
+    FROM (SELECT read, pos, greatest(seen, lead(seen) OVER (PARTITION BY read ORDER BY pos)) AS again, lead(seen) OVER (PARTITION BY read ORDER BY pos) AS more
+      FROM (SELECT read, pos, CASE WHEN row_number() OVER (PARTITION BY read, kmer ORDER BY pos) > 1 THEN 1 ELSE 0 END AS seen FROM win))
+    WHERE more IS NOT NULL)""",
+        ["win"],
+    ),
+    "degree": (
+        "SELECT src AS node_id, count(*) FILTER (WHERE sdir = 'f') AS deg_f, count(*) FILTER (WHERE sdir = 'r') AS deg_r, bool_or(src = dst) AS tandem FROM edges GROUP BY src",
+        ["edges"],
+    ),
+    "deg": (
+        """SELECT n.node_id, n.cov, coalesce(deg_f, 0) AS deg_f, coalesce(deg_r, 0) AS deg_r, coalesce(tandem, false) AS tandem FROM nodes n LEFT JOIN degree d ON n.node_id = d.node_id""",
+        ["nodes", "degree"],
+    ),
+    "threads": (
+        f"""SELECT node_id, sdir, ddir, dst, read FROM (
+    SELECT *, row_number() OVER (PARTITION BY node_id, sdir, ddir, dst ORDER BY read) AS n FROM (
+      SELECT DISTINCT * FROM (
+        SELECT src AS node_id, sdir, ddir, dst, utag AS read FROM steps JOIN tags USING (read, pos)
+        UNION ALL SELECT dst, translate(ddir, 'fr', 'rf'), translate(sdir, 'fr', 'rf'), src, vtag FROM steps JOIN tags USING (read, pos)) x)
+    WHERE (node_id, sdir) IN (SELECT src, sdir FROM edges GROUP BY src, sdir HAVING count(*) > 1))
+  WHERE n <= {P.max_threads}""",
+        ["steps", "tags", "edges"],
+    ),
+    "starts": (
+        f"""SELECT node_id, read, rc, CASE WHEN rc THEN {K - 1} ELSE 0 END AS off FROM (
+    SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY read, rc) AS n FROM (
+      SELECT read, least(f, rf) AS node_id, NOT f < rf AS rc FROM (SELECT read, substr(seq, 1, {K}) AS f, translate(reverse(substr(seq, 1, {K})), 'ACGT', 'TGCA') AS rf FROM good)))
+  WHERE n <= {P.max_read_starts}""",
+        ["good"],
+    ),
+    "sole": ("SELECT src, sdir, min(ddir) AS ddir, min(dst) AS dst FROM edges GROUP BY src, sdir HAVING count(*) = 1", ["edges"]),
+    "tips": (f"SELECT node_id, {K} AS len, deg_f + deg_r AS deg FROM deg WHERE deg_f + deg_r <= 1", ["deg"]),
+    "sym": (
+        """SELECT DISTINCT t.* FROM (
+    SELECT * FROM threads UNION ALL SELECT dst, translate(ddir, 'fr', 'rf'), translate(sdir, 'fr', 'rf'), node_id, read FROM threads) t
+  SEMI JOIN edges e ON e.src = t.node_id AND e.sdir = t.sdir AND e.ddir = t.ddir AND e.dst = t.dst""",
+        ["threads", "edges"],
+    ),
+    "weights": (
+        """SELECT node_id, fd, fn, rd, rn, count(*) AS weight FROM (
+    SELECT node_id, read, max(ddir) FILTER (WHERE sdir = 'f') AS fd, max(dst) FILTER (WHERE sdir = 'f') AS fn, max(ddir) FILTER (WHERE sdir = 'r') AS rd, max(dst) FILTER (WHERE sdir = 'r') AS rn
+    FROM sym GROUP BY node_id, read HAVING count(*) = 2 AND count(*) FILTER (WHERE sdir = 'f') = 1)
+  GROUP BY ALL""",
+        ["sym"],
+    ),
+    "xcut": (
+        f"""SELECT node_id FROM deg WHERE deg_f > 0 AND deg_r > 0 AND deg_f + deg_r > 2 AND NOT tandem AND node_id NOT IN (
+    SELECT src FROM edges e WHERE NOT EXISTS (SELECT 1 FROM weights w WHERE w.weight >= {P.min_thread_weight} AND w.node_id = e.src
+      AND (e.sdir = 'f' AND w.fd = e.ddir AND w.fn = e.dst OR e.sdir = 'r' AND w.rd = e.ddir AND w.rn = e.dst)))""",
+        ["deg", "edges", "weights"],
+    ),
+    "cand": (
+        """SELECT node_id, least(fn, rn) AS minor, translate(CASE WHEN fn >= rn THEN rd ELSE fd END, 'fr', 'rf') AS minor_dir, greatest(fn, rn) AS major,
+    CASE WHEN fn >= rn THEN fd ELSE rd END AS major_dir, CASE WHEN fn >= rn THEN 'f' ELSE 'r' END AS dir,
+    CASE WHEN fn >= rn THEN node_id ELSE translate(reverse(node_id), 'ACGT', 'TGCA') END AS seq, cov
+  FROM (SELECT d.node_id, d.cov, f.ddir AS fd, f.dst AS fn, r.ddir AS rd, r.dst AS rn FROM deg d JOIN edges f ON f.src = d.node_id AND f.sdir = 'f' JOIN edges r ON r.src = d.node_id AND r.sdir = 'r'
+    WHERE deg_f = 1 AND deg_r = 1 AND NOT tandem)""",
+        ["deg", "edges"],
+    ),
+    "unique_ctg": (f"SELECT node_id, CAST({K} AS INTEGER) AS len, cov FROM nodes WHERE cov BETWEEN {P.min_unique_cov} AND {P.max_unique_cov}", ["nodes"]),
+    "ends": (
+        "SELECT regexp_extract(read, '^(.*)_[12]$', 1) AS base, read, s.node_id AS ctg, rc, off, len FROM starts s JOIN unique_ctg u ON s.node_id = u.node_id WHERE regexp_extract(read, '^(.*)_[12]$', 1) <> ''",
+        ["starts", "unique_ctg"],
+    ),
+    "pairs": (
+        "SELECT a.ctg AS actg, a.rc AS arc, a.off AS aoff, a.len AS alen, b.ctg AS bctg, b.rc AS brc, b.off AS boff, b.len AS blen FROM ends a JOIN ends b ON a.base = b.base AND a.read < b.read",
+        ["ends"],
+    ),
+    "links": (
+        f"""SELECT src, sdir, ddir, dst, dist FROM (
+    SELECT actg AS src, CASE WHEN arc THEN 'r' ELSE 'f' END AS sdir, CASE WHEN brc THEN 'f' ELSE 'r' END AS ddir, bctg AS dst,
+      CAST({INSERT} - CASE WHEN arc THEN aoff ELSE alen - aoff END - CASE WHEN brc THEN boff ELSE blen - boff END AS BIGINT) AS dist FROM pairs WHERE actg <> bctg
+    UNION ALL SELECT bctg, CASE WHEN brc THEN 'r' ELSE 'f' END, CASE WHEN arc THEN 'f' ELSE 'r' END, actg,
+      CAST({INSERT} - CASE WHEN arc THEN aoff ELSE alen - aoff END - CASE WHEN brc THEN boff ELSE blen - boff END AS BIGINT) FROM pairs WHERE actg <> bctg)""",
+        ["pairs"],
+    ),
+    "bundles": ("SELECT src, sdir, ddir, dst, count(*) AS weight, CAST(trunc(sum(dist) / count(*)) AS BIGINT) AS dist FROM links GROUP BY ALL", ["links"]),
+}
+_MATES = (
+    f"""SELECT read || '_1' AS read, substr(seq, 1, {MATE}) AS seq FROM whole WHERE length(seq) >= {2 * MATE}
+  UNION ALL SELECT read || '_2', translate(reverse(right(seq, {MATE})), 'ACGT', 'TGCA') FROM whole WHERE length(seq) >= {2 * MATE}"""
+)
+
+
+def with_ctes(body: str, *needs: str, mates: bool = False) -> str:
+    order: list[str] = []
+
+    def visit(name: str) -> None:
+        for n in _CTE[name][1]:
+            visit(n)
+        if name not in order:
+            order.append(name)
+
+    for n in needs:
+        visit(n)
+    parts = []
+    for n in order:
+        if n == "reads" and mates:
+            parts += [f"whole AS ({_CTE[n][0]})", f"reads AS ({_MATES})"]
+        else:
+            parts.append(f"{n} AS MATERIALIZED ({_CTE[n][0]})")
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
+
+
+# ---- reads and K-mers
+
+
+@query("read_cleaning_counters", with_ctes(f"SELECT count(*) FILTER (WHERE length(seq) > {K}) AS reads_good, count(*) FILTER (WHERE length(seq) <= {K}) AS reads_short, CAST(0 AS BIGINT) AS reads_skipped, CAST(coalesce(sum(length(seq)) FILTER (WHERE length(seq) > {K}), 0) AS BIGINT) AS reads_goodbp FROM reads", "reads"))
+def read_cleaning_counters(spark, sf):
+    return build.cleaning_counters(derived(spark, sf), P)
+
+
+@query("kmer_windows", with_ctes("SELECT * FROM win", "win"))
+def kmer_windows(spark, sf):
+    return build.kmer_windows(good(spark, sf), K)
+
+
+@query("kmer_spectrum", with_ctes("SELECT node_id AS kmer, CAST(cov AS BIGINT) AS cnt FROM nodes", "nodes"))
+def kmer_spectrum(spark, sf):
+    return build.kmer_spectrum(good(spark, sf), K)
+
+
+@query("kmer_freq_histogram", with_ctes("SELECT CAST(cov AS BIGINT) AS frequency, count(*) AS kmers FROM nodes GROUP BY 1", "nodes"))
+def kmer_freq_histogram(spark, sf):
+    return stats.frequency_histogram(build.kmer_spectrum(good(spark, sf), K))
+
+
+@query("debruijn_nodes", with_ctes("SELECT node_id, node_id AS seq, cov FROM nodes", "nodes"))
+def debruijn_nodes(spark, sf):
+    return build.nodes(good(spark, sf), K)
+
+
+@query("debruijn_edges", with_ctes("SELECT * FROM edges", "edges"))
+def debruijn_edges(spark, sf):
+    return build.edges(good(spark, sf), K)
+
+
+@query("read_starts", with_ctes("SELECT * FROM starts", "starts"))
+def read_starts(spark, sf):
+    return build.read_starts(good(spark, sf), K, P.max_read_starts)
+
+
+@query("edge_threads", with_ctes("SELECT * FROM threads", "threads"))
+def edge_threads(spark, sf):
+    return build.edge_threads(good(spark, sf), K, P.max_threads)
+
+
+@query("chunk_tags", with_ctes("SELECT * FROM tags", "tags"))
+def chunk_tags(spark, sf):
+    return build.chunk_tags(good(spark, sf), K)
+
+
+@query(
+    "simulate_reads",
+    with_ctes(
+        """SELECT read || '.' || CAST(start AS VARCHAR) || '_1' AS read, substr(seq, start, 36) AS seq FROM at
+UNION ALL SELECT read || '.' || CAST(start AS VARCHAR) || '_2', translate(reverse(substr(seq, start + 64, 36)), 'ACGT', 'TGCA') FROM at""",
+        "reads",
+    ).replace(")\nSELECT", "),\nat AS (SELECT read, seq, unnest(range(1, length(seq) - 98)) AS start FROM reads WHERE length(seq) >= 100)\nSELECT", 1),
+)
+def simulate_reads(spark, sf):
+    genome = derived(spark, sf).withColumnRenamed("read", "name")
+    return sources.simulated(genome, 36, 100)
+
+
+# ---- the graph
+
+
+@query("node_degrees", with_ctes("SELECT node_id, deg_f, deg_r, tandem FROM degree", "degree"))
+def node_degrees(spark, sf):
+    return build.degree_table(Graph(None, build.edges(good(spark, sf), K), None, None))
+
+
+@query(
+    "branch_types",
+    with_ctes(
+        f"""SELECT type, CAST(sum({K}) AS BIGINT) AS len, count(*) AS cnt, round(100.0 * sum({K}) / sum(sum({K})) OVER (), 6) AS len_share, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS cnt_share
+FROM (SELECT CASE WHEN deg_f + deg_r = 0 THEN 'single' WHEN deg_f + deg_r = 1 THEN 'tip' WHEN deg_f = 0 OR deg_r = 0 THEN 'dead'
+  WHEN deg_f = 1 AND deg_r = 1 THEN 'non' WHEN deg_f = 1 OR deg_r = 1 THEN 'half' ELSE 'full' END || CASE WHEN tandem THEN '_tandem' ELSE '' END AS type FROM deg) GROUP BY type""",
+        "deg",
+    ),
+)
+def branch_types(spark, sf):
+    return rounded(stats.branch_types(raw(spark, sf)), "len_share", "cnt_share")
+
+
+@query(
+    "compressible_flags",
+    with_ctes("SELECT a.* FROM sole a SEMI JOIN sole b ON b.src = a.dst AND b.sdir = translate(a.ddir, 'fr', 'rf') AND b.ddir = translate(a.sdir, 'fr', 'rf') AND b.dst = a.src WHERE a.src <> a.dst", "sole"),
+)
+def compressible_flags(spark, sf):
+    return compressible_links(build.edges(good(spark, sf), K))
+
+
+@query("tip_candidates", with_ctes("SELECT * FROM tips", "tips"))
+def tip_candidates(spark, sf):
+    return correct.tip_candidates(raw(spark, sf), P)
+
+
+@query(
+    "tip_keep_best",
+    with_ctes(
+        """, hung AS (SELECT t.node_id, t.len, e.dst AS nbr, translate(e.ddir, 'fr', 'rf') AS side, translate(e.sdir, 'fr', 'rf') AS enters
+  FROM tips t JOIN edges e ON e.src = t.node_id WHERE t.deg = 1 AND t.node_id <> e.dst),
+best AS (SELECT *, row_number() OVER (PARTITION BY nbr, side ORDER BY len DESC, enters, node_id) AS n, count(*) OVER (PARTITION BY nbr, side) AS tips FROM hung)
+SELECT node_id FROM tips WHERE node_id NOT IN (
+  SELECT b.node_id FROM best b JOIN degree d ON d.node_id = b.nbr WHERE n = 1 AND tips = CASE side WHEN 'f' THEN deg_f ELSE deg_r END)""",
+        "tips", "edges", "degree",
+    ),
+)
+def tip_keep_best(spark, sf):
+    return correct.tip_victims(raw(spark, sf), P)
+
+
+@query("bubble_candidates", with_ctes("SELECT * FROM cand", "cand"))
+def bubble_candidates(spark, sf):
+    return correct.bubble_candidates(raw(spark, sf), P)
+
+
+@query(
+    "bubble_pairs",
+    with_ctes(
+        f"""SELECT u.node_id AS keep, v.node_id AS pop, u.cov AS ucov, v.cov AS vcov FROM cand u JOIN cand v USING (minor, minor_dir, major, major_dir)
+WHERE (u.cov > v.cov OR u.cov = v.cov AND u.node_id < v.node_id) AND levenshtein(u.seq, v.seq) <= {int(K * P.bubble_rate)}""",
+        "cand",
+    ),
+)
+def bubble_pairs(spark, sf):
+    return correct.bubble_pairs(raw(spark, sf), P)
+
+
+@query("low_coverage_cut", with_ctes(f", kept AS (SELECT node_id FROM nodes WHERE cov >= {P.low_cov})\nSELECT e.* FROM edges e SEMI JOIN kept a ON a.node_id = e.src SEMI JOIN kept b ON b.node_id = e.dst", "nodes", "edges"))
+def low_coverage_cut(spark, sf):
+    return correct.remove_low_coverage(raw(spark, sf), P)[0].edges
+
+
+@query("thread_symmetrise", with_ctes("SELECT * FROM sym", "sym"))
+def thread_symmetrise(spark, sf):
+    return threads.symmetrised(raw(spark, sf))
+
+
+@query("port_pair_weights", with_ctes("SELECT * FROM weights", "weights"))
+def port_pair_weights(spark, sf):
+    return threads.port_pair_weights(threads.symmetrised(raw(spark, sf)))
+
+
+def _marked(spark, sf) -> tuple[Graph, DataFrame]:
+    graph = raw(spark, sf, traced=True)
+    return graph, Workspace(spark, "marks").put(threads.symmetrised(graph), "threads")
+
+
+@query("xcut_nodes", with_ctes("SELECT * FROM xcut", "xcut"))
+def xcut_nodes(spark, sf):
+    graph, marks = _marked(spark, sf)
+    return threads.threadible(graph, marks, P.min_thread_weight)
+
+
+@query("independent_set", with_ctes("SELECT node_id FROM xcut x WHERE NOT EXISTS (SELECT 1 FROM edges e JOIN xcut y ON y.node_id = e.dst WHERE e.src = x.node_id AND e.dst < e.src)", "xcut", "edges"))
+def independent_set(spark, sf):
+    graph, marks = _marked(spark, sf)
+    splitters = Workspace(spark, "splitters").put(threads.threadible(graph, marks, P.min_thread_weight), "splitters")
+    return threads.independent(graph, splitters)
+
+
+# ---- mates
+
+
+@query("unique_contigs", with_ctes("SELECT * FROM unique_ctg", "unique_ctg"))
+def unique_contigs(spark, sf):
+    return mates.unique_contigs(raw(spark, sf), P)
+
+
+@query(
+    "mate_internal_dist",
+    with_ctes(
+        """SELECT count(d) AS n, CAST(coalesce(sum(d), 0) AS BIGINT) AS sum_d, CAST(coalesce(sum(d * d), 0) AS BIGINT) AS sum_d2, count(*) FILTER (WHERE d IS NULL) AS invalid FROM (
+  SELECT CASE WHEN arc AND NOT brc THEN aoff - boff + 1 WHEN NOT arc AND brc THEN boff - aoff END AS d FROM (SELECT *, CASE WHEN arc THEN aoff ELSE alen - aoff END AS d1 FROM pairs) WHERE actg = bctg)""",
+        "pairs", mates=True,
+    ),
+)
+def mate_internal_dist(spark, sf):
+    return mates.internal_distances(mates.mate_ends(raw(spark, sf, paired(spark, sf)), P))
+
+
+@query("mate_linking_edges", with_ctes("SELECT * FROM links", "links", mates=True))
+def mate_linking_edges(spark, sf):
+    return mates.linking_edges(mates.mate_ends(raw(spark, sf, paired(spark, sf)), P), P)
+
+
+@query("mate_bundles", with_ctes("SELECT * FROM bundles", "bundles", mates=True))
+def mate_bundles(spark, sf):
+    return mates.bundles(mates.linking_edges(mates.mate_ends(raw(spark, sf, paired(spark, sf)), P), P))
+
+
+def _hop_sql(hops: int) -> str:
+    ctes = [f"h0 AS (SELECT src AS start, dst AS dest, ddir AS exp_dir, dist AS exp_dist, src AS cur, sdir AS cur_dir, CAST({1 - K} AS BIGINT) AS cur_dist, 'active' AS state FROM bundles)"]
+    for h in range(1, hops + 1):
+        again = "" if h == 1 else "AND e.dst <> f.start"
+        ctes.append(f"""h{h} AS (SELECT start, dest, exp_dir, exp_dist, next AS cur, in_dir AS cur_dir, CASE WHEN state = 'active' THEN cur_dist + 1 ELSE cur_dist END AS cur_dist, state FROM (
+  SELECT f.start, f.dest, f.exp_dir, f.exp_dist, f.cur_dist, e.dst AS next, e.ddir AS in_dir, CASE
+    WHEN e.dst = f.dest AND f.cur_dist < f.exp_dist - {P.wiggle} THEN 'short' WHEN e.dst = f.dest AND f.cur_dist > f.exp_dist + {2 * P.wiggle} THEN 'long'
+    WHEN e.dst = f.dest AND e.ddir <> f.exp_dir THEN 'invalid' WHEN e.dst = f.dest THEN 'found' WHEN f.cur_dist > f.exp_dist + {2 * P.wiggle} THEN 'toolong' ELSE 'active' END AS state
+  FROM h{h - 1} f JOIN edges e ON e.src = f.cur AND e.sdir = f.cur_dir {again} WHERE f.state = 'active'))""")
+    return with_ctes(", " + ",\n".join(ctes) + f"\nSELECT * FROM h{hops}", "bundles", "edges", mates=True)
+
+
+def _hops(spark, sf, hops: int) -> DataFrame:
+    graph = raw(spark, sf, paired(spark, sf))
+    frontier = mates.seeds(mates.bundles(mates.linking_edges(mates.mate_ends(graph, P), P)), K)
+    for h in range(1, hops + 1):
+        frontier = mates.hop(frontier, graph, P, h == 1)
+        if h < hops:
+            frontier = frontier.where("state = 'active'").drop("state")
+    return frontier.select("start", "dest", "exp_dir", "exp_dist", "cur", "cur_dir", "cur_dist", "state")
+
+
+for _n in (1, 2, 3):
+    query(f"frontier_hop_{_n}", _hop_sql(_n))(lambda spark, sf, n=_n: _hops(spark, sf, n))
+
+
+# ---- statistics, sinks, inspection
+
+_LENGTHS = """, lens AS (SELECT CAST(length(seq) AS BIGINT) AS len, CAST(length(seq) % 7 AS BIGINT) AS deg, CAST(length(seq) % 11 AS DOUBLE) AS cov FROM reads WHERE length(seq) > 0),
+cuts(cutoff) AS (VALUES (1), (50), (100), (250), (500), (1000), (5000), (10000), (15000), (20000), (25000), (30000), (35000), (40000), (50000), (75000), (100000), (125000), (150000), (200000), (250000), (500000), (750000), (1000000)),
+run AS (SELECT len, row_number() OVER (ORDER BY len DESC) AS i, sum(len) OVER (ORDER BY len DESC ROWS UNBOUNDED PRECEDING) AS s FROM lens WHERE len >= 100)
+"""
+
+
+def _read_lengths(spark, sf) -> DataFrame:
+    """Reads taken as contigs: statistics over lengths that spread over the cut-offs, with stand-ins for degree and coverage."""
+    n = F.length("seq").cast("long")
+    return derived(spark, sf).where(n > 0).select(F.col("read").alias("node_id"), n.alias("len"), (n % 7).alias("deg"), (n % 11).cast("double").alias("cov"))
+
+
+@query(
+    "contig_stats",
+    with_ctes(
+        _LENGTHS
+        + """SELECT CAST(c.cutoff AS BIGINT) AS cutoff, c.cnt, c.total, round(c.total / c.cnt, 6) AS mean_len, round(c.deg / c.total, 6) AS mean_deg, round(c.cov / c.total, 6) AS mean_cov,
+  coalesce(min_by(r.len, r.i), 0) AS n50, coalesce(min(r.i), 0) AS n50_count
+FROM (SELECT cutoff, count(*) AS cnt, CAST(sum(len) AS BIGINT) AS total, sum(deg * len) AS deg, sum(cov * len) AS cov FROM cuts JOIN lens ON len >= cutoff GROUP BY cutoff) c
+LEFT JOIN run r ON r.s >= c.total // 2 GROUP BY ALL""",
+        "reads",
+    ),
+)
+def contig_stats(spark, sf):
+    return rounded(stats.cutoff_stats(_read_lengths(spark, sf)), "mean_len", "mean_deg", "mean_cov")
+
+
+@query("top_contigs", with_ctes(_LENGTHS + "SELECT CAST(i AS INTEGER) AS rank, len, CAST(s AS BIGINT) AS running FROM run WHERE i <= 10", "reads"))
+def top_contigs(spark, sf):
+    return stats.top_contigs(_read_lengths(spark, sf))
+
+
+@query(
+    "global_n50",
+    with_ctes(_LENGTHS + f"SELECT (SELECT min_by(len, i) FROM run WHERE s >= {P.genome_size // 2}) AS n50, coalesce((SELECT min(i) FROM run WHERE s >= {P.genome_size // 2}), (SELECT count(*) FROM run)) AS n50_count", "reads"),
+)
+def global_n50(spark, sf):
+    return stats.global_n50(_read_lengths(spark, sf), P.genome_size)
+
+
+@query(
+    "fasta_lines",
+    with_ctes(
+        """SELECT read AS node_id, CAST(0 AS INTEGER) AS line_no, '>' || read || '  len=' || CAST(length(seq) AS VARCHAR) || chr(9) || 'cov=1.00' AS line FROM reads
+UNION ALL SELECT read, CAST(i + 1 AS INTEGER), substr(seq, i * 60 + 1, 60) FROM (SELECT read, seq, unnest(range(0, (length(seq) + 59) // 60)) AS i FROM reads)""",
+        "reads",
+    ),
+)
+def fasta_lines(spark, sf):
+    return sinks.fasta_lines(derived(spark, sf).select(F.col("read").alias("node_id"), "seq", F.lit(1.0).alias("cov")))
+
+
+@query(
+    "graph_check",
+    with_ctes(
+        f"""SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT CAST(coalesce(sum(length(node_id)), 0) AS BIGINT) FROM nodes) AS bases,
+  count(*) FILTER (WHERE ok) AS edges_ok, count(*) FILTER (WHERE NOT ok) AS edges_bad, CAST(0 AS BIGINT) AS edges_missing, CAST(0 AS BIGINT) AS edges_repeated,
+  (SELECT count(*) FROM threads) AS threads_ok, CAST(0 AS BIGINT) AS threads_bad
+FROM (SELECT right(CASE sdir WHEN 'f' THEN src ELSE translate(reverse(src), 'ACGT', 'TGCA') END, {K - 1}) = left(CASE ddir WHEN 'f' THEN dst ELSE translate(reverse(dst), 'ACGT', 'TGCA') END, {K - 1}) AS ok FROM edges)""",
+        "nodes", "edges", "threads",
+    ),
+)
+def graph_check(spark, sf):
+    return inspect.check_graph(raw(spark, sf), K)
+
+
+@query(
+    "neighborhood",
+    with_ctes(
+        """, near(node_id, distance) AS (SELECT min(node_id), 0 FROM nodes UNION SELECT e.dst, n.distance + 1 FROM near n JOIN edges e ON e.src = n.node_id WHERE n.distance < 6)
+SELECT node_id, CAST(min(distance) AS INTEGER) AS distance FROM near GROUP BY node_id""",
+        "nodes", "edges",
+    ),
+)
+def neighborhood(spark, sf):
+    graph = raw(spark, sf)
+    return inspect.neighborhood(graph, graph.nodes.agg(F.min("node_id")).first()[0], 6)
+
+
+@query("tag_repeats", "SELECT *, count(*) OVER (PARTITION BY l_partkey) AS copies FROM (SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem)")
+def tag_repeats(spark, sf):
+    return stats.tag_repeats(spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber"), "l_partkey")
+
+
+@query(
+    "dangling_stub",
+    with_ctes(
+        f""", kept AS (SELECT node_id, cov FROM nodes WHERE cov >= {P.low_cov}),
+lost AS (SELECT e.* FROM edges e SEMI JOIN kept k ON k.node_id = e.src ANTI JOIN kept d ON d.node_id = e.dst)
+SELECT node_id, node_id AS seq, cov FROM kept UNION ALL SELECT DISTINCT dst, repeat('A', {K}), 0.0 FROM lost""",
+        "nodes", "edges",
+    ),
+)
+def dangling_stub(spark, sf):
+    graph = raw(spark, sf)
+    kept = graph.nodes.where(F.col("cov") >= P.low_cov)
+    edges = graph.edges.join(kept.select(F.col("node_id").alias("src")), "src", "left_semi").select("src", "sdir", "ddir", "dst")
+    return inspect.dangling_stubs(Graph(kept, edges, graph.threads, graph.starts), K).nodes
+
+
+# ---- fixpoints: no SQL; their tests compare with sequential versions
+
+
+def _canonical(graph: Graph) -> DataFrame:
+    from .functions.sequence import canonical
+
+    return graph.nodes.select(canonical(F.col("seq")).alias("seq"), F.round("cov", 6).alias("cov"))
+
+
+def _compacted(spark, sf) -> Graph:
+    return compact.compact(raw(spark, sf, traced=True), K)
+
+
+@query("compact_chains")
+def compact_chains(spark, sf):
+    return _canonical(_compacted(spark, sf))
+
+
+@query("remove_tips_fixpoint")
+def remove_tips_fixpoint(spark, sf):
+    return _canonical(assembly.remove_tips(_compacted(spark, sf), P)[0])
+
+
+@query("pop_bubbles_fixpoint")
+def pop_bubbles_fixpoint(spark, sf):
+    return _canonical(assembly.pop_bubbles(_compacted(spark, sf), P)[0])
+
+
+@query("thread_resolve")
+def thread_resolve(spark, sf):
+    graph, marks = _marked(spark, sf)
+    chosen = Workspace(spark, "chosen").put(threads.independent(graph, threads.threadible(graph, marks, P.min_thread_weight)), "chosen")
+    return threads.split(graph, marks, chosen).nodes
+
+
+@query("unroll_tandems")
+def unroll_tandems(spark, sf):
+    return _canonical(correct.unroll_tandems(_compacted(spark, sf), P)[0])
+
+
+@query("mate_paths")
+def mate_paths(spark, sf):
+    graph = compact.compact(raw(spark, sf, paired(spark, sf), traced=True), K)
+    bundled = Workspace(spark, "bundles").put(mates.bundles(mates.linking_edges(mates.mate_ends(graph, P), P)), "bundles")
+    return mates.sure_paths(mates.search_paths(graph, bundled, P)[0])
+
+
+@query("assemble")
+def assemble(spark, sf):
+    return _canonical(assembly.assemble(derived(spark, sf), P))
