@@ -84,9 +84,10 @@ def chunk_tags(good: DataFrame, k: int) -> DataFrame:
     seen = F.row_number().over(W.partitionBy("read", "kmer").orderBy("pos")) > 1
     ranked = kmer_windows(good, k).withColumn("again", seen.cast("int"))
     order = W.partitionBy("read").orderBy("pos")
-    step = ranked.withColumn("repeat", F.greatest("again", F.lead("again").over(order)))
+    ahead = F.lead("again").over(order)  # null at the last window, which begins no step
+    step = ranked.withColumn("repeat", F.when(ahead.isNotNull(), F.greatest("again", ahead)))
     step = step.withColumn("upto", F.sum("repeat").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    step = step.where("repeat is not null")  # the last window begins no step
+    step = step.where("repeat is not null")
     tag = lambda n: F.when(n > 0, F.concat(F.col("read"), F.lit("c"), n.cast("string"))).otherwise(F.col("read"))
     return step.select("read", "pos", tag(2 * F.col("upto") - F.col("repeat")).alias("utag"), tag(2 * F.col("upto")).alias("vtag"))
 

@@ -243,10 +243,10 @@ def chunk_tags(spark, sf):
 @query(
     "simulate_reads",
     with_ctes(
-        """SELECT read || '.' || CAST(start AS VARCHAR) || '_1' AS read, substr(seq, start, 36) AS seq FROM at
-UNION ALL SELECT read || '.' || CAST(start AS VARCHAR) || '_2', translate(reverse(substr(seq, start + 64, 36)), 'ACGT', 'TGCA') FROM at""",
+        """SELECT read || '.' || CAST(start AS VARCHAR) || '_1' AS read, substr(seq, start, 36) AS seq FROM spots
+UNION ALL SELECT read || '.' || CAST(start AS VARCHAR) || '_2', translate(reverse(substr(seq, start + 64, 36)), 'ACGT', 'TGCA') FROM spots""",
         "reads",
-    ).replace(")\nSELECT", "),\nat AS (SELECT read, seq, unnest(range(1, length(seq) - 98)) AS start FROM reads WHERE length(seq) >= 100)\nSELECT", 1),
+    ).replace(")\nSELECT", "),\nspots AS (SELECT read, seq, unnest(range(1, length(seq) - 98)) AS start FROM reads WHERE length(seq) >= 100)\nSELECT", 1),
 )
 def simulate_reads(spark, sf):
     genome = derived(spark, sf).withColumnRenamed("read", "name")
