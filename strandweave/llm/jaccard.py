@@ -196,7 +196,7 @@ def _post(k: int, level: np.ndarray, boundary: int, buckets: int, num: int, den:
             order = np.argsort(bucket, kind="stable")
             token, key, n = token[order], key[order], n[order].astype(np.uint32)
             some, begin = np.unique(bucket[order], return_index=True)
-            ends = np.append(begin[1:], len(token))
+            ends = np.append(begin, len(token))[1:]
             bodies = [(token[a:b].tobytes(), key[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
             columns = list(zip(*bodies, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(list(c), pa.binary()) for c in columns)], names=["bucket", "tokens", "keys", "sizes"])
@@ -413,6 +413,7 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
     posted = rows.select("text").mapInArrow(_post(k, level, boundary, buckets, num, den), "bucket int, tokens binary, keys binary, sizes binary")
     met = posted.repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = work.put(met.mapInArrow(_scan_lists(boundary, num, den), _FOUND), "found")
+    work.tidy()
 
     pairs = found.where("token is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     maps = classes.select("key", "n", "bits")
@@ -438,6 +439,7 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
         marks[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["marks"], np.uint8)
     bodies = rows.mapInArrow(_sets_of(k, marks), "key long, body binary") if marks.any() else spark.createDataFrame([], "key long, body binary")
     bodies = work.put(bodies.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "bodies", codec="lz4")
+    work.tidy()
 
     def verified(p: DataFrame, name: str) -> DataFrame | None:
         """Pairs whose full sets reach the similarity; none if there are no pairs.
@@ -485,6 +487,9 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
     for r in range(CENTRAL_ROUNDS + 1) if open_.limit(1).count() else ():
         labelled = open_.join(group.withColumnRenamed("node", "a"), "a")
         mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+        mixed = work.put(mixed, f"mixed{r}")
+        if mixed.limit(1).count() == 0:  # every list lies in one component
+            break
         left = labelled.join(mixed, "token", "left_semi").select("token", "a", "an", "component", "bits")
         left = left.repartition(parts, "token").sortWithinPartitions("token", "an", "a")
         more = left.mapInArrow(_open_pairs(r < CENTRAL_ROUNDS, num, den), "a long, b long").distinct()
