@@ -1,6 +1,6 @@
 """Quality scores by co-training two views of a document.
 
-The text view sees hashed byte trigrams; the metadata view sees source, language and
+The text view sees hashed byte trigrams and how repetitive they are; the metadata view sees source, language and
 declared length, never the text.  Both start from the labelled sample.  In each round
 each view labels those documents of the unlabelled pool of which it is surest, in the
 proportion of the classes, and hands them to the other view's training set.  In the end
@@ -21,14 +21,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrams import features
+from .bytewords import text_bytes
 from .cluster import Workspace
 from .linear import fit_logistic, sigmoid
 
 BITS = 11
-META = 128
+EXTRA, META = 4, 128
 #: Bounds of the samples fitted on the driver: labelled documents of each class, and the unlabelled pool.
 LABELLED_EACH, POOL = 2500, 3000
 ROUNDS, PER_ROUND = 4, 200
+#: Weight of the penalty on each view's coefficients.
+RIDGE_TEXT, RIDGE_META = 1e-6, 1e-3
+
+
+def text_features(column):
+    """(first row, matrix): trigrams, then their entropy, concentration, share of distinct ones, and the text's order of magnitude."""
+    _, off = text_bytes(column)
+    for first, x in features(column, BITS):
+        p = x * x  # the trigrams' shares
+        total = np.maximum(np.diff(off[first : first + len(x) + 1]) - 2, 0)
+        entropy = -(p * np.log(np.maximum(p, 1e-12))).sum(axis=1)
+        distinct = (x > 0).sum(axis=1) / np.maximum(np.minimum(total, 1 << BITS), 1)
+        extra = np.stack([entropy / 3, 3 * np.sqrt((p * p).sum(axis=1)), distinct, np.log1p(total) / 4], axis=1)
+        yield first, np.concatenate([x, extra.astype(np.float32)], axis=1)
 
 
 def metadata_features(source: list, lang: list, n_chars: list) -> np.ndarray:
@@ -50,10 +65,6 @@ class View:
         return (x @ self.w + self.b).astype(np.float64)
 
 
-def _fit_view(x: np.ndarray, y: np.ndarray, ridge: float) -> View:
-    return View(*fit_logistic(x, y.astype(np.float32), ridge=ridge))
-
-
 @dataclass
 class Model:
     text: View
@@ -85,7 +96,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
     weight = np.where(y > 0.5, share / max(1, (y > 0.5).sum()), (1 - share) / max(1, (y <= 0.5).sum())) * len(y)
 
     def run(rows: np.ndarray) -> tuple[View, View]:
-        sets = [(text, pool_text, 1e-6), (meta, pool_meta, 1e-3)]
+        sets = [(text, pool_text, RIDGE_TEXT), (meta, pool_meta, RIDGE_META)]
         taken = [(np.zeros(0, int), np.zeros(0)), (np.zeros(0, int), np.zeros(0))]
         free = np.ones(len(pool_text), bool)
         for r in range(rounds + 1):
@@ -132,7 +143,7 @@ _SAMPLED = "doc_id long, x binary, source string, lang string, n_chars long"
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, x in features(batch.column("text"), BITS):
+        for first, x in text_features(batch.column("text")):
             body = pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
             part = batch.slice(first, len(x))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), body, part.column("source"), part.column("lang"), part.column("n_chars")], names=[f.split(" ")[0] for f in _SAMPLED.split(", ")])
@@ -185,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = LABELLED_EACH, pool: int
     ids, y = [ids[i] for i in order], y[order]
 
     def matrices(table: dict, keys: list) -> tuple[np.ndarray, np.ndarray]:
-        text = np.frombuffer(b"".join(bytes(table[i]["x"]) for i in keys), np.float16).reshape(len(keys), 1 << BITS).astype(np.float32)
+        text = np.frombuffer(b"".join(bytes(table[i]["x"]) for i in keys), np.float16).reshape(len(keys), (1 << BITS) + EXTRA).astype(np.float32)
         return text, metadata_features(*([table[i][c] for i in keys] for c in ("source", "lang", "n_chars")))
 
     text, meta = matrices(got, ids)
@@ -196,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = LABELLED_EACH, pool: int
 def _score(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, x in features(batch.column("text"), BITS):
+            for first, x in text_features(batch.column("text")):
                 part = batch.slice(first, len(x))
                 meta = metadata_features(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
                 t, m, both = model.score(x, meta)
