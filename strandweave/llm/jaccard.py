@@ -38,8 +38,8 @@ from .components import components
 
 #: Counters of the order's sketch, and slices it is shipped in.  Fixed; 4 MB broadcast.
 SKETCH, SLICES = 1 << 22, 32
-#: Bits of a parity map.
-BITS = 1024
+#: Bits of a parity map: the one every class has, and the one of classes that are verified.
+BITS, WIDE_BITS = 1024, 8192
 #: Largest set size considered for enumeration.
 SMALL = 16
 #: Lists up to this length give all their pairs at once; longer ones go through central members.
@@ -59,12 +59,12 @@ def prefix_length(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
 
-def _parity(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows of BITS/8 bytes: the parity of the number of shingles at each bit."""
+def _parity(h: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of bits/8 bytes: the parity of the number of shingles at each bit."""
     n = len(at) - 1
     owner = np.repeat(np.arange(n), np.diff(at))
-    flat = np.bincount(owner * BITS + (h >> np.uint64(20)).astype(np.int64) % BITS, minlength=n * BITS)
-    return np.packbits((flat & 1).astype(np.uint8).reshape(n, BITS), axis=1)
+    flat = np.bincount(owner * bits + (h >> np.uint64(20)).astype(np.int64) % bits, minlength=n * bits)
+    return np.packbits((flat & 1).astype(np.uint8).reshape(n, bits), axis=1)
 
 
 def _distinct(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +106,7 @@ def _survey(k: int):
                 np.add.at(counts, (h >> np.uint64(42)).astype(np.int64), 1)
                 n = np.diff(at)
                 small = [h[a:b].tobytes() if 0 < b - a <= SMALL else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                bits = [r.tobytes() for r in _parity(h, at)]
+                bits = [r.tobytes() for r in _parity(h, at, BITS)]
                 rows = len(n)
                 cells = [ids.slice(first, rows), n, _class_keys(h, at).view(np.int64), bits, small, [None] * rows, [None] * rows]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=names)
@@ -259,8 +259,8 @@ def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _maps(column) -> np.ndarray:
-    body = b"".join(column.to_pylist())
-    return np.frombuffer(body, np.uint64).reshape(-1, BITS // 64)
+    body = column.to_pylist()
+    return np.frombuffer(b"".join(body), np.uint64).reshape(len(body), -1)
 
 
 def _may_link(n, m, differ, num: int, den: int):
@@ -276,7 +276,7 @@ def _bound(num: int, den: int):
             differ = _hamming(_maps(batch.column("abits")), _maps(batch.column("bbits")))
             n, m = batch.column("an").to_numpy(), batch.column("bn").to_numpy()
             keep = pa.array(_may_link(n, m, differ, num, den))
-            yield batch.select(["a", "b"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(differ / (n + m))], names=["a", "b", "apart"]).filter(keep)
 
     return run
 
@@ -305,7 +305,8 @@ def _sets_of(k: int, wanted: np.ndarray):
             for _, h, where in _sets(batch.column("text"), k):
                 keys = _class_keys(h, where).view(np.int64)
                 bodies = [h[a:b].tobytes() for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bodies, pa.binary())], names=["key", "body"])
+                wide = [r.tobytes() for r in _parity(h, where, WIDE_BITS)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bodies, pa.binary()), pa.array(wide, pa.binary())], names=["key", "body", "wide"])
 
     return run
 
@@ -422,7 +423,7 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
         """Pairs that the parity maps don't rule out."""
         p = p.join(maps.select(F.col("key").alias("a"), F.col("n").alias("an"), F.col("bits").alias("abits")), "a")
         p = p.join(maps.select(F.col("key").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bbits")), "b")
-        return p.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(_bound(num, den), "a long, b long")
+        return p.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(_bound(num, den), "a long, b long, apart double")
 
     pairs = work.put(bounded(pairs), "pairs")
     members = found.where("token is not null").select("token", "a", "an")
@@ -437,27 +438,36 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
     marked = wanted.select(F.coalesce("rep", F.lit(0).cast("long")).alias("rep")).mapInArrow(_mark, "slice int, marks binary").repartition(min(SLICES, parts), "slice")
     for r in marked.mapInArrow(_merge_marks, "slice int, marks binary").collect():  # the bitmap's fixed size
         marks[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["marks"], np.uint8)
-    bodies = rows.mapInArrow(_sets_of(k, marks), "key long, body binary") if marks.any() else spark.createDataFrame([], "key long, body binary")
+    bodies = rows.mapInArrow(_sets_of(k, marks), "key long, body binary, wide binary") if marks.any() else spark.createDataFrame([], "key long, body binary, wide binary")
     bodies = work.put(bodies.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "bodies", codec="lz4")
     work.tidy()
 
     def verified(p: DataFrame, name: str) -> DataFrame | None:
         """Pairs whose full sets reach the similarity; none if there are no pairs.
 
-        Few pairs, by a count, are broadcast, so that only the sets they name are moved.
+        Wide parity maps go first: they leave few pairs that fail, and are a fraction of the
+        sets.  Few pairs, by a count, are broadcast, so that only what they name is moved.
         """
         p = work.put(p, name)
-        n = p.count()
-        if n == 0:
+
+        def with_both(p: DataFrame, column: str) -> DataFrame | None:
+            n = p.count()
+            if n == 0:
+                return None
+            at_a = bodies.select(F.col("key").alias("a"), F.col(column).alias("x"), (F.octet_length("body") / 8).cast("long").alias("an"))
+            at_b = bodies.select(F.col("key").alias("b"), F.col(column).alias("y"), (F.octet_length("body") / 8).cast("long").alias("bn"))
+            if n <= FEW_PAIRS:
+                return at_a.join(F.broadcast(p), "a").join(at_b.join(F.broadcast(p.select("b").distinct()), "b", "left_semi"), "b")
+            return p.join(at_a, "a").join(at_b, "b")
+
+        maps = with_both(p, "wide")
+        if maps is None:
             return None
-        at_a = bodies.select(F.col("key").alias("a"), F.col("body").alias("aset"))
-        at_b = bodies.select(F.col("key").alias("b"), F.col("body").alias("bset"))
-        if n <= FEW_PAIRS:
-            ends = p.select("b").distinct()
-            both = at_a.join(F.broadcast(p), "a").join(at_b.join(F.broadcast(ends), "b", "left_semi"), "b")
-        else:
-            both = p.join(at_a, "a").join(at_b, "b")
-        return both.select("a", "b", "aset", "bset").mapInArrow(_verify(num, den), "a long, b long")
+        close = maps.select("a", "b", "an", "bn", F.col("x").alias("abits"), F.col("y").alias("bbits")).mapInArrow(_bound(num, den), "a long, b long, apart double")
+        both = with_both(work.put(close.select("a", "b"), f"{name}-close"), "body")
+        if both is None:
+            return None
+        return both.select("a", "b", F.col("x").alias("aset"), F.col("y").alias("bset")).mapInArrow(_verify(num, den), "a long, b long")
 
     group = work.put(wanted.select(F.col("key").alias("node"), F.col("key").alias("component")), "group0")
     step = 0
@@ -467,7 +477,10 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
         nonlocal step
         if links is None:
             return group
-        moved = components(work.put(named_ends(links, group), f"ends{step}"), "ga", "gb")
+        joined = work.put(named_ends(links, group), f"ends{step}")
+        if joined.limit(1).count() == 0:
+            return group
+        moved = components(joined, "ga", "gb")
         step += 1
         to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
         after = work.put(group.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), f"group{step}")
@@ -480,10 +493,11 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
         p = p.join(group.select(F.col("node").alias("b"), F.col("component").alias("gb")), "b")
         return p.where("ga != gb").select("a", "b", "ga", "gb")
 
-    # first each class with one partner, then only pairs that still join components
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    # first each class with its likeliest partner, then only pairs that still join components
+    first = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("near")).select("near.a", "b")
     group = merged(group, verified(first, "asked0"))
     group = merged(group, verified(named_ends(pairs, group).select("a", "b"), "asked1"))
+    central = CENTRAL_ROUNDS
     for r in range(CENTRAL_ROUNDS + 1) if open_.limit(1).count() else ():
         labelled = open_.join(group.withColumnRenamed("node", "a"), "a")
         mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
@@ -492,8 +506,12 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
             break
         left = labelled.join(mixed, "token", "left_semi").select("token", "a", "an", "component", "bits")
         left = left.repartition(parts, "token").sortWithinPartitions("token", "an", "a")
-        more = left.mapInArrow(_open_pairs(r < CENTRAL_ROUNDS, num, den), "a long, b long").distinct()
+        more = left.mapInArrow(_open_pairs(central > 0, num, den), "a long, b long").distinct()
+        before = step
         group = merged(group, verified(more, f"asked{r + 2}"))
+        if central == 0:
+            break
+        central = central - 1 if step > before else 0  # nothing won: on to every pair
     work.drop("bodies", "pairs", "open")
 
     # names: a component of classes is called by its least document
