@@ -364,7 +364,7 @@ def unique_contigs(spark, sf):
     "mate_internal_dist",
     with_ctes(
         """SELECT count(d) AS n, CAST(coalesce(sum(d), 0) AS BIGINT) AS sum_d, CAST(coalesce(sum(d * d), 0) AS BIGINT) AS sum_d2, count(*) FILTER (WHERE d IS NULL) AS invalid FROM (
-  SELECT CASE WHEN arc AND NOT brc THEN aoff - boff + 1 WHEN NOT arc AND brc THEN boff - aoff END AS d FROM (SELECT *, CASE WHEN arc THEN aoff ELSE alen - aoff END AS d1 FROM pairs) WHERE actg = bctg)""",
+  SELECT CASE WHEN arc AND NOT brc THEN aoff - boff + 1 WHEN NOT arc AND brc THEN boff - aoff + 1 END AS d FROM (SELECT *, CASE WHEN arc THEN aoff ELSE alen - aoff END AS d1 FROM pairs) WHERE actg = bctg)""",
         "pairs", mates=True,
     ),
 )

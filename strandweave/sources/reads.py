@@ -35,16 +35,17 @@ def read_fasta(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
 def read_fastq(spark: SparkSession, path: str, suffix: str = "") -> tuple[DataFrame, DataFrame]:
     """Four-line records ``@name``; returns (reads, malformed records).  Qualities are dropped.
 
-    A record begins where a line feed is followed by ``@``; a quality line may begin so, too,
-    and then is joined back to the record before it by its missing third line.
+    The file is split where a line begins with ``@``, so that large files stay splittable.
+    A quality line that begins so comes as a part of its own, of one line, and its record
+    lacks only that line.
     """
-    text = spark.read.option("wholetext", True).text(path)
-    found = F.regexp_extract_all("value", F.lit(r"(?m)^(@[^\n]*\n[^\n]*\n\+[^\n]*\n[^\n]*)$"), F.lit(1))
-    each = text.select(F.explode(found).alias("r"))
-    line = F.split("r", "\n")
-    reads = each.select(F.concat(clean_name(F.element_at(line, 1)), F.lit(suffix)).alias("read"), F.upper(F.element_at(line, 2)).alias("seq"), F.element_at(line, 4).alias("q"))
-    fits = F.length("seq") == F.length("q")
-    return reads.where(fits).select("read", "seq"), reads.where(~fits).select("read", "seq")
+    part = spark.read.option("lineSep", "\n@").text(path)
+    line = F.split(F.regexp_replace(F.regexp_replace("value", "^@", ""), "\\s+$", ""), "\r?\n")
+    x = part.select(line.alias("l")).where(F.size("l") > 1)
+    at = lambda i: F.try_element_at("l", F.lit(i))
+    fits = F.coalesce(at(3).startswith("+") & ((F.size("l") == 3) | (F.size("l") == 4) & (F.length(at(2)) == F.length(at(4)))), F.lit(False))
+    reads = x.select(F.concat(clean_name(at(1)), F.lit(suffix)).alias("read"), F.upper(at(2)).alias("seq"), fits.alias("fits"))
+    return reads.where("fits").select("read", "seq"), reads.where("not fits").select("read", "seq")
 
 
 def renumbered(reads: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def read_node_messages(spark: SparkSession, path: str) -> Graph:
     for t in ("ff", "fr", "rf", "rr"):
         e = x.select(F.col("node_id").alias("src"), F.lit(t[0]).alias("sdir"), F.lit(t[1]).alias("ddir"), F.explode(t).alias("dst")).withColumn("dst", unpack_name(F.col("dst")))
         edges = e if edges is None else edges.union(e)
-    d = x.select("node_id", F.split(F.explode("d"), ":").alias("p"))
+    d = x.select("node_id", F.explode("d").alias("t")).select("node_id", F.split("t", ":").alias("p"))
     threads = d.select("node_id", F.substring(F.col("p")[0], 1, 1).alias("sdir"), F.substring(F.col("p")[0], 2, 1).alias("ddir"), unpack_name(F.col("p")[1]).alias("dst"), F.col("p")[2].alias("read"))
     r = x.select("node_id", F.explode("r5").alias("p"))
     starts = r.select("node_id", F.regexp_extract("p", "^~?(.*):[0-9]+$", 1).alias("read"), F.col("p").startswith("~").alias("rc"), F.regexp_extract("p", ":([0-9]+)$", 1).cast("int").alias("off"))
