@@ -3,7 +3,8 @@
 The collection is the test items; each is a question and an answer (its last sentence).
 A query is a passage: a window of a document's words, every window overlapping the next
 by half, wide enough that any item lies whole in one.  All items above the threshold are
-retrieved: a share of the score that the item reaches by itself.  Block-max WAND without
+retrieved: the score that the item reaches by itself, less the weightiest terms that could
+be missing from a passage with enough of its shingles.  Block-max WAND without
 a top k: a passage is dropped when the sum of its terms' largest impacts stays below the
 lowest threshold, a block of items when the sum of the terms' block maxima stays below
 the block's; only the blocks left are scored.  The bounds are added up for many passages at once.
@@ -28,12 +29,10 @@ from .bytewords import NOT_ALNUM, pieces, shingles, text_bytes, words
 from .cluster import Workspace
 
 #: Items in a block, and in one index; more items make more indexes, searched one after another.
-BLOCK, INDEX_ITEMS = 8, 1024
+BLOCK, INDEX_ITEMS = 4, 1024
 #: Text bytes of the items that one pass over the documents may carry; more items make more passes.
 PASS_BYTES = 16 << 20
 K1, B = 1.2, 0.75
-#: Part of an item's own score that a passage must reach.
-RETRIEVE = 0.4
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -56,7 +55,7 @@ class Index:
     widths: list[int]  # words a shingle of the item has
 
 
-def build(ids: list[int], texts: list[str], k: int, retrieve: float = RETRIEVE) -> Index:
+def build(ids: list[int], texts: list[str], k: int, num: int = 75, den: int = 100) -> Index:
     halves = [split_item(t) for t in texts]
     raw, off = text_bytes(pa.array([f"{q} {a}" for q, a in halves], pa.large_string()))
     h, at = words(raw, off, NOT_ALNUM)
@@ -73,7 +72,6 @@ def build(ids: list[int], texts: list[str], k: int, retrieve: float = RETRIEVE)
     df = (tf > 0).sum(axis=1)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     impact = (idf[:, None] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(length.mean(), 1e-9)) + 1e-12)).astype(np.float32)
-    theta = (retrieve * impact.sum(axis=0)).astype(np.float32)
     starts = np.arange(0, n, BLOCK)
     sets, widths = [], []
     for i in order.tolist():
@@ -83,6 +81,11 @@ def build(ids: list[int], texts: list[str], k: int, retrieve: float = RETRIEVE)
         first, where = np.unique(s, return_index=True)
         sets.append((first, where < in_question))
         widths.append(min(k, len(w)))
+    # every missing shingle can take one more word away, not more
+    missing = np.array([len(first) - -(-num * len(first) // den) for first, _ in sets])
+    falling = np.cumsum(-np.sort(-impact, axis=0), axis=0)
+    lost = np.where(missing > 0, falling[np.minimum(missing, len(vocab)) - 1, np.arange(n)], 0)
+    theta = np.maximum(impact.sum(axis=0) * (1 - 1e-4) - lost, 1e-3).astype(np.float32)
     return Index(
         [ids[i] for i in order.tolist()], vocab, impact, np.maximum.reduceat(impact, starts, axis=1), impact.max(axis=1), theta,
         np.minimum.reduceat(theta, starts), int(max(np.diff(at).max(), 1)), sets, widths,
@@ -182,7 +185,7 @@ def _share(hit: np.ndarray) -> float:
     return float(hit.mean()) if len(hit) else 1.0
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 75, den: int = 100, retrieve: float = RETRIEVE) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """One row per leaked item and row of docs(doc_id, text) that holds it, for items(item_id, text).
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z folded; a null
@@ -200,7 +203,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 75, den
         part = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).orderBy("item_id", "text").collect()  # about PASS_BYTES
         part = [r for r in part if re.search(r"[^\W_]|[^\x00-\x7f]", r["text"])]
         indexes = [
-            build([r["item_id"] for r in part[i : i + INDEX_ITEMS]], [r["text"] for r in part[i : i + INDEX_ITEMS]], k, retrieve)
+            build([r["item_id"] for r in part[i : i + INDEX_ITEMS]], [r["text"] for r in part[i : i + INDEX_ITEMS]], k, num, den)
             for i in range(0, len(part), INDEX_ITEMS)
         ]
         found = rows.mapInArrow(_match(indexes, k, num, den), FOUND)
