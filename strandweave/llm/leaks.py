@@ -1,13 +1,13 @@
-"""Benchmark decontamination: a BM25 index of test items, queried by every training passage.
+"""Benchmark decontamination: a BM25 index of test items, queried by every training document.
 
 The collection is the test items; each is a question and an answer (its last sentence).
-A query is a passage: a window of a document's words, every window overlapping the next
-by half, wide enough that any item lies whole in one.  All items above the threshold are
-retrieved: the score that the item reaches by itself, less the weightiest terms that could
-be missing from a passage with enough of its shingles.  Block-max WAND without
-a top k: a passage is dropped when the sum of its terms' largest impacts stays below the
-lowest threshold, a block of items when the sum of the terms' block maxima stays below
-the block's; only the blocks left are scored.  The bounds are added up for many passages at once.
+A query is a whole document, of which every term counts once, since the shingles of an
+item may lie anywhere in it.  All items above the threshold are retrieved: the score that
+the item reaches by itself, less the weightiest terms that could be missing from a
+document with enough of its shingles.  Block-max WAND without a top k: a document is
+dropped when the sum of its terms' largest impacts stays below the lowest threshold, a
+block of items when the sum of the terms' block maxima stays below the block's; only the
+blocks left are scored.  The bounds are added up for many documents at once.
 
 A retrieved item is verified on word shingles of the whole document: the shares of the
 question's and of the answer's shingles found there are reported, and the item counts as
@@ -32,6 +32,8 @@ from .cluster import Workspace
 BLOCK, INDEX_ITEMS = 4, 1024
 #: Text bytes of the items that one pass over the documents may carry; more items make more passes.
 PASS_BYTES = 16 << 20
+#: Impacts of blocks that are gathered at once.
+GATHERED = 1 << 22
 K1, B = 1.2, 0.75
 
 
@@ -50,7 +52,7 @@ class Index:
     term_max: np.ndarray
     theta: np.ndarray  # by item
     block_theta: np.ndarray
-    span: int  # words of the longest item
+    span: int  # words of the longest item; a document's passages do not matter to the search
     sets: list[tuple[np.ndarray, np.ndarray]]  # an item's shingles, and which of them lie in the question alone
     widths: list[int]  # words a shingle of the item has
 
@@ -81,11 +83,11 @@ def build(ids: list[int], texts: list[str], k: int, num: int = 75, den: int = 10
         first, where = np.unique(s, return_index=True)
         sets.append((first, where < in_question))
         widths.append(min(k, len(w)))
-    # every missing shingle can take one more word away, not more
+    # if any shingle is there, every missing one can take one more term away, not more
     missing = np.array([len(first) - -(-num * len(first) // den) for first, _ in sets])
     falling = np.cumsum(-np.sort(-impact, axis=0), axis=0)
     lost = np.where(missing > 0, falling[np.minimum(missing, len(vocab)) - 1, np.arange(n)], 0)
-    theta = np.maximum(impact.sum(axis=0) * (1 - 1e-4) - lost, 1e-3).astype(np.float32)
+    theta = np.maximum(impact.sum(axis=0) * (1 - 1e-4) - lost, 0).astype(np.float32)
     return Index(
         [ids[i] for i in order.tolist()], vocab, impact, np.maximum.reduceat(impact, starts, axis=1), impact.max(axis=1), theta,
         np.minimum.reduceat(theta, starts), int(max(np.diff(at).max(), 1)), sets, widths,
@@ -93,7 +95,7 @@ def build(ids: list[int], texts: list[str], k: int, num: int = 75, den: int = 10
 
 
 def search(index: Index, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """(text, item's place, score) of every passage and item above the item's threshold; an item may come from several passages."""
+    """(text, item's place, score) of every text and item above the item's threshold."""
     if len(h) == 0 or len(index.vocab) == 0:
         return
     place = np.searchsorted(index.vocab, h)
@@ -101,41 +103,28 @@ def search(index: Index, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, i
     here = np.flatnonzero(index.vocab[place] == h)
     if len(here) == 0:
         return
-    # segments of ``span`` words; a passage is a segment with the next one of its text
-    n_words = np.diff(at)
-    n_segments = -(-n_words // index.span)
-    first_segment = np.cumsum(n_segments) - n_segments
-    text_of = np.repeat(np.arange(len(n_words)), n_segments)
-    owner = np.repeat(np.arange(len(n_words)), n_words)
-    segment = first_segment[owner[here]] + (here - at[:-1][owner[here]]) // index.span
-    pair = np.unique(segment * len(index.vocab) + place[here])  # a term counts once
-    segment, term = pair // len(index.vocab), pair % len(index.vocab)
-    total = np.zeros(len(text_of) + 1)
-    total[:-1] = np.bincount(segment, index.term_max[term], minlength=len(text_of))
-    joined = np.append(text_of[1:] == text_of[:-1], False)
-    bound = total[:-1] + np.where(joined, total[1:], 0.0)
-    alive = np.flatnonzero(bound >= index.theta.min() - 1e-3)
-    if len(alive) == 0:
-        return
-    begin = np.searchsorted(segment, np.arange(len(text_of) + 1))
-    needed = np.unique(np.concatenate([alive, alive[joined[alive]] + 1]))
-    needed = needed[begin[needed + 1] > begin[needed]]
-    of = np.zeros(len(text_of) + 1, np.int64)
-    of[needed] = np.arange(1, len(needed) + 1)
-    sums = np.zeros((len(needed) + 1, index.block_max.shape[1]), np.float32)
-    for a in range(0, len(needed), 4096):  # bounds the gathered rows
-        some = needed[a : a + 4096]
-        rows = np.concatenate([np.arange(begin[s], begin[s + 1]) for s in some.tolist()])
-        cuts = np.concatenate([[0], np.cumsum(begin[some + 1] - begin[some])[:-1]])
-        sums[a + 1 : a + 1 + len(some)] = np.add.reduceat(index.block_max[term[rows]], cuts, axis=0)
-    blocks = sums[of[alive]] + np.where(joined[alive, None], sums[of[alive + 1]], 0)
-    for w, b in zip(*np.nonzero(blocks >= index.block_theta - 1e-3), strict=True):
-        s = int(alive[w])
-        terms = np.unique(term[begin[s] : begin[s + 2] if joined[s] else begin[s + 1]])
-        items = slice(b * BLOCK, (b + 1) * BLOCK)
-        scores = index.impact[terms, items].sum(axis=0)
-        for i in np.flatnonzero(scores >= index.theta[items] - 1e-4).tolist():
-            yield int(text_of[s]), b * BLOCK + i, float(scores[i])
+    n = len(at) - 1
+    pair = np.unique(np.repeat(np.arange(n), np.diff(at))[here] * len(index.vocab) + place[here])  # a term counts once
+    text, term = pair // len(index.vocab), pair % len(index.vocab)
+    begin = np.searchsorted(text, np.arange(n + 1))
+    bound = np.bincount(text, index.term_max[term], minlength=n)
+    alive = np.flatnonzero((bound >= index.theta.min()) & (bound > 0))
+    n_blocks = len(index.block_theta)
+    # bounds the gathered rows; a text of many terms stands alone
+    part = np.cumsum(begin[alive + 1] - begin[alive]) // max(1, GATHERED // n_blocks)
+    for some in np.split(alive, np.flatnonzero(np.diff(part)) + 1):
+        if len(some) == 0:
+            continue
+        terms = [term[begin[t] : begin[t + 1]] for t in some.tolist()]
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in terms])[:-1]])
+        blocks = np.add.reduceat(index.block_max[np.concatenate(terms)], cuts, axis=0, dtype=np.float64)
+        left = (blocks >= index.block_theta) & (blocks > 0)
+        for j in np.flatnonzero(left.any(axis=1)).tolist():
+            items = (np.flatnonzero(left[j])[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+            items = items[items < len(index.ids)]
+            scores = index.impact[terms[j][:, None], items].sum(axis=0, dtype=np.float64)
+            for i in np.flatnonzero((scores >= index.theta[items]) & (scores > 0)).tolist():
+                yield int(some[j]), int(items[i]), float(scores[i])
 
 
 FOUND = "doc_id long, item_id long, bm25 double, own_bm25 double, question_overlap double, answer_overlap double, shared_shingles long, item_shingles long"
@@ -149,17 +138,15 @@ def _match(indexes: list[Index], k: int, num: int, den: int):
             for first, raw, off in pieces(batch.column("text"), 1 << 20):
                 h, at = words(raw, off, NOT_ALNUM)
                 for index in indexes:
-                    best: dict[tuple[int, int], float] = {}
+                    now, own = -1, {}
                     for text, item, score in search(index, h, at):
-                        best[text, item] = max(score, best.get((text, item), 0.0))
-                    own: dict[tuple[int, int], np.ndarray] = {}
-                    for (text, item), score in best.items():
+                        if text != now:
+                            now, own = text, {}
                         width = index.widths[item]
-                        if (text, width) not in own:
-                            w = h[at[text] : at[text + 1]]
-                            own[text, width] = _runs(w, width, k)
+                        if width not in own:
+                            own[width] = _runs(h[at[text] : at[text + 1]], width, k)
                         mine, asks = index.sets[item]
-                        hit = np.isin(mine, own[text, width])
+                        hit = _among(mine, own[width])
                         shared, n = int(hit.sum()), len(mine)
                         if n and den * shared >= num * n:
                             out.append((keys[first + text], index.ids[item], score, float(index.impact[:, item].sum()), _share(hit[asks]), _share(hit[~asks]), shared, n))
@@ -180,6 +167,13 @@ def _runs(w: np.ndarray, width: int, k: int) -> np.ndarray:
     return np.unique(shingles(windows, np.arange(n + 1) * width, k)[0])
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are among the sorted ``known``."""
+    if len(known) == 0:
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def _share(hit: np.ndarray) -> float:
     """Share of a part's shingles that were found; a part without any is found."""
     return float(hit.mean()) if len(hit) else 1.0

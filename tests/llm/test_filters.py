@@ -202,3 +202,31 @@ def test_block_bounds_lose_nothing():
             scores = index.impact[terms].sum(axis=0)
             want |= {(t, int(i)) for i in np.flatnonzero(scores >= index.theta + 1e-3)}
     assert want <= got and len(want) > 10
+
+
+def test_leaks_spread_over_a_document(spark):
+    """Question and answer, or halves, hundreds of words apart, also the other way around."""
+    rng = random.Random(5)
+    said = lambda n, v="w": " ".join(v + str(rng.randrange(3000)) for _ in range(n))
+    items = [(i, f"{said(rng.randint(12, 30)).capitalize()}? {said(rng.randint(6, 20))}.") for i in range(60)]
+    docs = []
+    for i in range(120):
+        question, answer = leaks.split_item(items[i % 60][1])
+        if i >= 60:
+            both = f"{question} {answer}".split()
+            question, answer = " ".join(both[: len(both) // 2]), " ".join(both[len(both) // 2 :])
+        if i % 3 == 0:
+            question, answer = answer, question
+        docs.append((i, f"{said(100, 'x')} {question} {said(500, 'y')} {answer} {said(50, 'x')}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.shared_shingles, r.item_shingles) for r in leaks.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i, *shingle_hits(t, x)) for d, t in docs for i, x in items}
+    want = {r for r in want if r[3] and 100 * r[2] >= 75 * r[3]}
+    assert got == want and len(want) > 80
+
+
+def test_leaks_of_common_terms(spark):
+    """Items that all are alike have terms of hardly any weight."""
+    items = spark.createDataFrame([(i, "Same?") for i in range(1100)], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "it is the same"), (1, "other")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs, items).collect()} == {(0, i) for i in range(1100)}
