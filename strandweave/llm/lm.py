@@ -5,7 +5,8 @@ context is a restaurant; all of them share one parent, the restaurant of single
 whose base is uniform over the V known words and one slot for all unknown ones.  A
 context restaurant's tables are the parent's customers.  A first
 seating opens tables by their prior odds, then Gibbs sweeps take customers out at random
-and seat them again.  The
+and seat them again; in dishes of many customers they also split and merge tables, with
+the odds of all customers that move, so that a sweep's work goes with tables, not customers.  The
 predictive probability is averaged over the samples after burn-in and summed over a text.
 
 What is distributed, and how.  Texts are packed into chunks with a dictionary each.
@@ -35,7 +36,8 @@ from .tokenfile import pack_ids, unpack_ids
 
 #: Text bytes of a chunk, about.
 CHUNK = 8 << 20
-#: Customers of a dish that a sweep seats again at most, chosen at random.
+#: Customers of a dish that a sweep seats again one by one, chosen at random: all that dishes of so many have.
+#: Dishes of more have whole tables split and merged besides, so often that every customer may move.
 MOVES = 16
 BURN_IN, SAMPLES = 1, 2
 STRENGTH, TOP_STRENGTH, TOP_DISCOUNT = 1.0, 1.0, 0.8
@@ -292,12 +294,14 @@ def _fix(dest: int, rows: list[dict]) -> Iterator[list[tuple]]:
 # ---- seating
 
 
-def seat(c: np.ndarray, alpha: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def seat(c: np.ndarray, alpha: np.ndarray, d: float, rng: np.random.Generator, parent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """First seating of c customers of each dish: flat table sizes, and tables a dish.
 
     Customers come in strides of a quarter of those seated, so that a dish takes a number
-    of steps logarithmic in its customers; those who open no table join the first.
-    ``alpha`` is the weight of a new table.
+    of steps logarithmic in its customers.
+    ``alpha`` is the weight of a new table.  With the dish's probability in the parent
+    restaurant, a dish gets no more tables than one of customers without end would get:
+    one, and a negative binomial number.
     """
     tables = np.ones(len(c), np.int64)
     seated = np.ones(len(c), np.int64)
@@ -308,8 +312,18 @@ def seat(c: np.ndarray, alpha: np.ndarray, d: float, rng: np.random.Generator) -
         tables[rows] += rng.binomial(stride, np.clip(opens, 0.0, 1.0))
         seated[rows] += stride
         rows = rows[seated[rows] < c[rows]]
-    sizes = np.ones(int(tables.sum()), np.int64)
-    sizes[np.cumsum(tables) - tables] = c - (tables - 1)
+    if parent is not None:
+        shape = alpha / parent / d + 1
+        rows = np.flatnonzero(shape * parent / (1 - parent) < c)
+        tables[rows] = np.minimum(tables[rows], 1 + rng.negative_binomial(shape[rows], 1 - parent[rows]))
+    owner = np.repeat(np.arange(len(c)), tables)
+    first = np.cumsum(tables) - tables
+    # later tables have Sibuya sizes, as at customers without end, or one customer where these are too few
+    sizes = np.minimum(rng.geometric(np.maximum(rng.beta(d, 1 - d, len(owner)), 1e-9)), c[owner])
+    sizes[first] = 0
+    later = np.bincount(owner, sizes, minlength=len(c)).astype(np.int64)
+    sizes[(later >= c)[owner]] = 1
+    sizes[first] = c - np.where(later >= c, tables - 1, later)
     return sizes, tables
 
 
@@ -363,7 +377,150 @@ def gibbs(c: np.ndarray, sizes: np.ndarray, tables: np.ndarray, parent: np.ndarr
             parts.append((mine, grid[grid > 0]))
     order = np.argsort(np.concatenate([np.repeat(m, out_tables[m]) for m, _ in parts]), kind="stable") if parts else np.zeros(0, np.int64)
     flat = np.concatenate([f for _, f in parts])[order] if parts else sizes[:0]
-    return flat, out_tables
+    many = np.flatnonzero(c > MOVES)
+    if len(many) == 0:
+        return flat, out_tables
+    # dishes of all their customers in one by one moves stay; the others' tables are split and merged
+    at = np.cumsum(out_tables) - out_tables
+    times = rounds(c[many], parent[many], outside[many], strength, d)
+    order = np.argsort(-times, kind="stable")
+    many, times = many[order], times[order]
+    few = c <= MOVES
+    owners, parts = [np.repeat(np.flatnonzero(few), out_tables[few])], [flat[np.repeat(few, out_tables)]]
+    kind = np.ceil(np.log2(np.maximum(times, out_tables[many]))).astype(np.int64)
+    for k in np.unique(kind).tolist():
+        rows = np.flatnonzero(kind == k)
+        block = max(1, (1 << 20) >> k)
+        for a in range(0, len(rows), block):
+            mine, left = many[rows[a : a + block]], times[rows[a : a + block]]
+            t = out_tables[mine]
+            grid = np.zeros((len(mine), int(t.max()) + 1), np.int64)
+            owner = np.repeat(np.arange(len(mine)), t)
+            column = np.arange(len(owner)) - np.repeat(np.cumsum(t) - t, t)
+            grid[owner, column] = flat[at[mine][owner] + column]
+            grid = split_merge(grid, t, left, parent[mine], outside[mine], strength, d, rng)
+            out_tables[mine] = t
+            owners.append(np.repeat(mine, t))
+            parts.append(grid[grid > 0])
+    order = np.argsort(np.concatenate(owners), kind="stable")
+    return np.concatenate(parts)[order], out_tables
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of numbers above 0, by Stirling's series from 8 on."""
+    x = np.asarray(x, np.float64)
+    y = x + 8
+    low = np.log(np.multiply.reduce([x + i for i in range(8)]))
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
+
+
+def split_odds(m: np.ndarray, d: float) -> np.ndarray:
+    """Weight of all ways to seat m >= 2 customers at two tables over that of one table (generalized Stirling numbers)."""
+    m = np.asarray(m, np.float64)
+    rest = log_gamma(m - 2 * d) - log_gamma(m - d) + log_gamma(1 - d) - log_gamma(2 - 2 * d)
+    return (1 - (1 - 2 * d) * np.exp(rest)) / d
+
+
+def split_sizes(m: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """The smaller part of m >= 2 customers who sit down at two tables: a Sibuya number, given that the other part makes m."""
+    out = np.ones(len(m), np.int64)
+    rows = np.flatnonzero(m > 2)
+    while len(rows):
+        n = m[rows]
+        a = rng.geometric(np.maximum(rng.beta(d, 1 - d, len(rows)), 1e-15))
+        half = n - n // 2
+        fits = 2 * a <= n
+        b = np.where(fits, n - a, half)
+        keep = np.exp(log_gamma(b - d) - log_gamma(b + 1) - log_gamma(half - d) + log_gamma(half + 1))
+        done = fits & (rng.random(len(rows)) < np.where(2 * a == n, 0.5, 1.0) * keep)
+        out[rows[done]] = a[done]
+        rows = rows[~done]
+    return out
+
+
+def rounds(c: np.ndarray, parent: np.ndarray, outside: np.ndarray, strength: float, d: float) -> np.ndarray:
+    """Splits and merges that a sweep tries: twice the tables to expect, whatever the seating is, and ``MOVES`` more."""
+    tables, n = np.ones(len(c)), np.ones(len(c), np.int64)
+    rows = np.flatnonzero(n < c)
+    while len(rows):
+        stride = np.minimum(np.maximum(n[rows] // 4, 1), c[rows] - n[rows])
+        opens = (strength + d * (outside[rows] + tables[rows])) * parent[rows]
+        tables[rows] += stride * opens / (opens + n[rows] - d * tables[rows])
+        n[rows] += stride
+        rows = rows[n[rows] < c[rows]]
+    endless = 1 + ((strength + d * outside) / d + 1) * parent / (1 - parent)  # of customers without end
+    return MOVES + 2 * np.ceil(np.minimum(tables, endless)).astype(np.int64)
+
+
+def split_merge(sizes: np.ndarray, tables: np.ndarray, times: np.ndarray, parent: np.ndarray, outside: np.ndarray, strength: float, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Splits a random table, or merges two, ``times`` times a dish, by Metropolis and Hastings; returns sizes, perhaps wider.
+
+    The first ``tables`` places of a dish hold its sizes; ``times`` must not grow from dish to dish.
+    """
+    known = split_odds(np.arange(2, 4096), d)
+    for m in range(int(times.max(initial=0))):
+        k = int(np.searchsorted(-times, -m))  # dishes that have moves left
+        if int(tables[:k].max()) == sizes.shape[1]:
+            sizes = np.concatenate([sizes, np.zeros_like(sizes)], axis=1)
+        rows, t = np.arange(k), tables[:k]
+        u = rng.random((4, k))
+        i = (u[0] * t).astype(np.int64)
+        j = (i + 1 + (u[1] * (t - 1)).astype(np.int64)) % t
+        split = u[2] < 0.5
+        whole = sizes[rows, i] + np.where(split, 0, sizes[rows, j])
+        able = np.where(split, whole > 1, t > 1)
+        rows, i, j, t, split, whole = (x[able] for x in (rows, i, j, t, split, whole))
+        odds = known[np.minimum(whole, 4095) - 2]
+        big = whole > 4095
+        if big.any():
+            odds[big] = split_odds(whole[big], d)
+        fewer = np.where(split, t, t - 1)
+        odds *= (strength + d * (outside[rows] + fewer)) * parent[rows] * 2 / (fewer + 1)
+        done = u[3][able] * np.where(split, 1.0, odds) < np.where(split, odds, 1.0)
+        some = done & split
+        if some.any():
+            r = rows[some]
+            part = split_sizes(whole[some], d, rng)
+            sizes[r, i[some]] -= part
+            sizes[r, t[some]] = part
+            tables[r] += 1
+        some = done & ~split
+        if some.any():
+            r, last = rows[some], t[some] - 1
+            sizes[r, i[some]] = whole[some]
+            # the last table takes the free place, unless it is the free one or the merged one
+            sizes[r, j[some]] = sizes[r, last]
+            sizes[r, last] = 0
+            tables[r] -= 1
+    return sizes
+
+
+def resized(old: np.ndarray, c: np.ndarray, sizes: np.ndarray, tables: np.ndarray, alpha: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The seating of ``old`` customers of each dish after random ones left, or others came, so that there are c."""
+    at = np.cumsum(tables) - tables
+    out = sizes.copy()
+    more = np.maximum(c - old, 0)
+    fresh = rng.binomial(more, np.clip(alpha / (alpha + old - d * tables), 0.0, 1.0))
+    left = np.where(c < old, old - c, more - fresh)
+    rest = np.where(c < old, old.astype(np.float64), old - d * tables)
+    rows, place = np.flatnonzero(left > 0), 0
+    while len(rows):
+        n = sizes[at[rows] + place]
+        leave = c[rows] < old[rows]
+        go = np.zeros(len(rows), np.int64)
+        go[leave] = -rng.hypergeometric(n[leave], (rest[rows] - n)[leave].astype(np.int64), left[rows][leave])
+        join = ~leave
+        last = place + 1 == tables[rows]
+        go[join] = np.where(last, left[rows], rng.binomial(left[rows], np.clip((n - d) / np.maximum(rest[rows], 1e-9), 0.0, 1.0)))[join]
+        out[at[rows] + place] += go
+        left[rows] -= np.abs(go)
+        rest[rows] -= np.where(leave, n, n - d)
+        place += 1
+        rows = rows[(left[rows] > 0) & (place < tables[rows])]
+    owner = np.repeat(np.arange(len(c)), tables)[out > 0]
+    owner = np.concatenate([owner, np.repeat(np.arange(len(c)), fresh)])
+    flat = np.concatenate([out[out > 0], np.ones(int(fresh.sum()), np.int64)])
+    return flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(c)).astype(np.int64)
 
 
 class Top:
@@ -382,8 +539,11 @@ def _words(bits: int, base: float, known_tables: int, step: int, dest: int, rows
     """A slice adds up its words' tables over all contexts, seats them in the word restaurant, and answers the buckets.
 
     Parcels: 0, to every bucket, (customers, tables, tables as a context) of its words;
-    1, to itself, the same of all its words; 2, its totals.
+    1, to itself, the same of all its words; 2, its totals; 3, to itself, the seating,
+    which the next step goes on from.
     """
+    before = [r for r in rows if r["kind"] == 3]
+    rows = [r for r in rows if r["kind"] != 3]
     ids, which = np.unique(joined(rows, "a", np.uint32), return_inverse=True)
     tu, customers = (np.bincount(which, joined(rows, f, np.int64), minlength=len(ids)).astype(np.int64) for f in ("b", "c"))
     rng = np.random.default_rng([step, dest])
@@ -392,9 +552,15 @@ def _words(bits: int, base: float, known_tables: int, step: int, dest: int, rows
     if len(some):
         c = customers[some]
         parent = np.full(len(c), base)
-        sizes, t = seat(c, (TOP_STRENGTH + TOP_DISCOUNT * known_tables) * parent, TOP_DISCOUNT, rng)
-        _, t = gibbs(c, sizes, t, parent, np.maximum(known_tables - t, 0).astype(np.float64), TOP_STRENGTH, TOP_DISCOUNT, rng)
+        alpha = (TOP_STRENGTH + TOP_DISCOUNT * known_tables) * parent
+        if before:  # of the same words, since a pair never loses its last table
+            old, sizes, t = (arr(before[0][f], np.int64) for f in ("a", "b", "c"))
+            sizes, t = resized(old, c, sizes, t, alpha, TOP_DISCOUNT, rng)
+        else:
+            sizes, t = seat(c, alpha, TOP_DISCOUNT, rng, parent)
+        sizes, t = gibbs(c, sizes, t, parent, np.maximum(known_tables - t, 0).astype(np.float64), TOP_STRENGTH, TOP_DISCOUNT, rng)
         tables[some] = t
+        yield [(3, dest, -2, c, sizes, t)]
     at = 0
     for r in rows:
         n = count_of(r["a"])
@@ -431,7 +597,7 @@ def _sweep_bucket(top: Top, d: float, step: int, dest: int, rows: list[dict]) ->
     parent = top.probability(customers[iw], tables[iw])
     if state["d"] is None:
         old = np.ones(len(c), np.int64)
-        sizes, t = seat(c, (STRENGTH + d * tu[iu]) * parent, d, rng)
+        sizes, t = seat(c, (STRENGTH + d * tu[iu]) * parent, d, rng, parent)
     else:
         sizes, t = arr(state["c"], np.int64), arr(state["d"], np.int64)
         old = t
@@ -565,7 +731,12 @@ def score(docs: DataFrame, held_out: F.Column, burn_in: int = BURN_IN, samples:
     known_tables, kept_words, kept_pairs, tops = vocabulary, [], [], []
     for step in range(burn_in + samples + 1):
         sums = state.mapInArrow(trimmed(_state_sums(bits)), PARCEL)
-        moved = put(deliver(sums.select(*_NAMES).union(fixed.select(*_NAMES)), parts, partial(_words, bits, 1.0 / (vocabulary + 1), known_tables, step)), f"words{step}")
+        sums = sums.select(*_NAMES).union(fixed.select(*_NAMES))
+        if step:
+            sums = sums.union(of_kind(moved, 3).select(*_NAMES))
+        moved = put(deliver(sums, parts, partial(_words, bits, 1.0 / (vocabulary + 1), known_tables, step)), f"words{step}")
+        if step:
+            work.drop(f"words{step - 1}" if step - 1 <= burn_in else f"words{step - 1}/kind=3")
         customers, known_tables = np.sum([arr(r["a"], np.int64) for r in of_kind(moved, 2).select("a").collect()] or [[0, 0]], axis=0).tolist()  # a row a slice
         top = Top(vocabulary, customers, known_tables)
         if step > burn_in:
@@ -576,8 +747,8 @@ def score(docs: DataFrame, held_out: F.Column, burn_in: int = BURN_IN, samples:
             break
         done = f"state{step}" if step <= burn_in and step else None
         state = put(deliver(state.select(*_NAMES).union(of_kind(moved, 0, 2).select(*_NAMES)), parts, partial(_sweep_bucket, top, discount, step)), f"state{step + 1}")
-        if step <= burn_in:  # not a sample
-            work.drop(f"words{step}", *([done] if done else []))
+        if done:  # not a sample
+            work.drop(done)
         work.tidy()
 
     def with_samples(kept: list[DataFrame], questions: DataFrame) -> DataFrame:

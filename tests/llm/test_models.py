@@ -218,6 +218,48 @@ def test_gibbs_reaches_the_exact_posterior():
     assert abs((t == 1).mean() - together) < 0.02
 
 
+def table_posterior(c, parent, outside, strength, d):
+    """Probabilities of 1 to c tables, by the recursion of generalized Stirling numbers, in logarithms."""
+    s = np.full(c + 1, -np.inf)
+    s[1] = 0.0
+    t = np.arange(c + 1)
+    for n in range(1, c):
+        with np.errstate(divide="ignore"):
+            stay = s + np.log(np.maximum(n - d * t, 0))
+        s = np.logaddexp(stay, np.append(-np.inf, s[:-1]))
+    s[1:] += np.cumsum(np.log((strength + d * (outside + np.arange(c))) * parent))
+    p = np.exp(s - s.max())
+    return p / p.sum()
+
+
+@pytest.mark.parametrize(("c", "parent", "outside", "d"), [(17, 0.3, 4.0, 0.6), (60, 0.2, 10.0, 0.4), (1000, 0.05, 200.0, 0.7), (3000, 0.02, 300.0, 0.8), (3000, 0.05, 2000.0, 0.8)])
+def test_gibbs_reaches_the_posterior_of_frequent_dishes(c, parent, outside, d):
+    """After three sweeps, as the model has."""
+    rng = np.random.default_rng(7)
+    m = 2000
+    p = table_posterior(c, parent, outside, 1.0, d)
+    mean = (p * np.arange(c + 1)).sum()
+    deviation = np.sqrt((p * (np.arange(c + 1) - mean) ** 2).sum())
+    many = np.full(m, c)
+    sizes, t = lm.seat(many, np.full(m, (1.0 + d * outside) * parent), d, rng, np.full(m, parent))
+    for _ in range(3):
+        sizes, t = lm.gibbs(many, sizes, t, np.full(m, parent), np.full(m, outside), 1.0, d, rng)
+    assert (np.add.reduceat(sizes, np.cumsum(t) - t) == c).all() and (sizes > 0).all()
+    assert abs(t.mean() - mean) < 0.2 * deviation, (t.mean(), mean, deviation)
+    assert abs(t.std() - deviation) < 0.15 * deviation
+
+
+def test_seating_is_kept_when_customers_come_and_go():
+    rng = np.random.default_rng(8)
+    old = np.array([1, 5, 100, 100, 7, 50000])
+    sizes, t = lm.seat(old, np.full(6, 0.8), 0.8, rng)
+    c = np.array([4, 2, 100, 130, 1, 49000])
+    again, after = lm.resized(old, c, sizes, t, np.full(6, 0.8), 0.8, rng)
+    at, to = np.cumsum(t) - t, np.cumsum(after) - after
+    assert (np.add.reduceat(again, to) == c).all() and (again > 0).all()
+    assert (again[to[2] : to[2] + after[2]] == sizes[at[2] : at[2] + t[2]]).all()
+
+
 def test_planes_round_trip():
     for x in (np.array([], np.int64), np.array([0, 0]), np.array([1, 255, 256, 2**40]), np.array([2**64 - 1], np.uint64)):
         assert (lm.arr(lm.planes(x), x.dtype) == x).all() and lm.count_of(lm.planes(x)) == len(x)
