@@ -9,7 +9,9 @@ has stored under ``work``.
 from __future__ import annotations
 
 import argparse
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +24,21 @@ from ..sources import sinks
 from ..storage import Workspace
 
 STAGES = ["buildInitial", "removeTips", "popBubbles", "lowcov", "repeats", "scaffolding", "convertFasta"]
-#: Rounds a fixpoint may take.  Each one removes something, so this only stops a defect.
+#: Rounds that repeats and scaffolding may take in any graph; one of more nodes may take one a node.
 MOST_ROUNDS = 100
 
 
+def _rounds(graph: Graph, label: str) -> Iterator[int]:
+    """Rounds of a fixpoint, which must settle: only a defect takes more rounds than the graph has nodes."""
+    yield from range(MOST_ROUNDS)
+    yield from range(MOST_ROUNDS, graph.nodes.count())
+    raise RuntimeError(f"{label} did not settle")
+
+
 def remove_tips(graph: Graph, p: Params, label: str = "tips") -> tuple[Graph, int]:
     """Tips and compaction, until a round finds no tip to drop."""
     work, total = Workspace(graph.nodes.sparkSession, label), 0
-    for r in range(MOST_ROUNDS):
+    for r in count():  # each round removes nodes
         victims = work.put(correct.tip_victims(graph, p), f"victims{r}")
         n = victims.count()
         if n == 0:
@@ -42,7 +51,7 @@ def remove_tips(graph: Graph, p: Params, label: str = "tips") -> tuple[Graph, in
 def pop_bubbles(graph: Graph, p: Params, label: str = "bubbles") -> tuple[Graph, int]:
     """Bubbles, compaction and tips, until a round pops none."""
     work, total = Workspace(graph.nodes.sparkSession, label), 0
-    for r in range(MOST_ROUNDS):
+    for r in count():  # each round removes nodes
         popped, pops = correct.pop_bubbles(graph, p, f"{label}{r}")
         n = pops.count()
         if n == 0:
@@ -85,7 +94,7 @@ def _split_all(graph: Graph, marks: DataFrame, splitters: DataFrame, label: str)
 def resolve_repeats(graph: Graph, p: Params, label: str = "repeats") -> tuple[Graph, int]:
     """Splits nodes that reads run through, an independent set a round, until none can be split."""
     work, total, last = Workspace(graph.nodes.sparkSession, label), 0, None
-    for r in range(MOST_ROUNDS):
+    for r in _rounds(graph, label):
         marks = work.put(threads.symmetrised(graph), f"threads{r}")
         after, n = _split_all(graph, marks, threads.threadible(graph, marks, p.min_thread_weight), f"{label}{r}")
         size = graph.nodes.count()
@@ -101,7 +110,7 @@ def scaffold(graph: Graph, p: Params, label: str = "scaffold") -> tuple[Graph, i
     if p.insert_len <= 0:
         return graph, 0
     total = 0
-    for r in range(MOST_ROUNDS):
+    for r in _rounds(graph, label):
         work = Workspace(graph.nodes.sparkSession, f"{label}{r}")
         bundled = work.put(mates.bundles(mates.linking_edges(mates.mate_ends(graph, p), p)), "bundles")
         found, _ = mates.search_paths(graph, bundled, p, f"{label}-hops{r}")

@@ -312,3 +312,21 @@ def test_stages_can_be_resumed(spark, tmp_path):
 def test_empty_input(spark):
     g = assembly.assemble(reads_df(spark, [""]), Params(k=5, insert_len=50, max_unique_cov=9))
     assert g.nodes.count() == 0
+
+
+def test_fixpoints_settle_or_raise(spark, monkeypatch):
+    """Whatever the bound on rounds is."""
+    left, right, mid = random_dna(40, 11), random_dna(40, 12), random_dna(30, 13)
+    other = mid[:15] + ("A" if mid[15] != "A" else "C") + mid[16:]
+    p = Params(k=11, bubble_rate=0.1)
+    tip = left[10:30] + ("A" if left[30] != "A" else "C")
+    g = compact.compact(build.build(reads_df(spark, [left + mid + right] * 3 + [left + other + right, tip]), p), 11)
+    monkeypatch.setattr(assembly, "MOST_ROUNDS", 0)
+    g, n = assembly.remove_tips(g, p)
+    assert n == 1
+    done, n = assembly.pop_bubbles(g, p)
+    assert n == 1 and contigs(done) == [min(left + mid + right, S.rc(left + mid + right))]
+    rounds = assembly._rounds(done, "repeats")
+    assert next(rounds) == 0
+    with pytest.raises(RuntimeError, match="repeats did not settle"):
+        next(rounds)
