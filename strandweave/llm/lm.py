@@ -3,11 +3,14 @@
 The context of a word is the word before it (a text's end before its first word).  Every
 context is a restaurant; all of them share one parent, the restaurant of single words,
 whose base is uniform over the V known words and one slot for all unknown ones.  A
-context restaurant's tables are the parent's customers.  A first
-seating opens tables by their prior odds, then Gibbs sweeps take customers out at random
-and seat them again; in dishes of many customers they also split and merge tables, with
-the odds of all customers that move, so that a sweep's work goes with tables, not customers.  The
-predictive probability is averaged over the samples after burn-in and summed over a text.
+context restaurant's tables are the parent's customers.
+
+A Gibbs sweep seats all customers of every dish again.  Predictions and parents depend on
+the numbers of tables alone, so the sizes are summed out: the tables of a dish are drawn
+at once from their exact odds given all other dishes, by generalized Stirling numbers.
+Beyond ``FEW`` customers these get too many; there the sizes are kept, and whole tables are
+split and merged with the odds of all customers that move.  The predictive probability is
+averaged over the samples after burn-in and summed over a text.
 
 What is distributed, and how.  Texts are packed into chunks with a dictionary each.
 Words live in slices by hash, pairs of words in buckets by hash; rows of a hot context
@@ -36,8 +39,11 @@ from .tokenfile import pack_ids, unpack_ids
 
 #: Text bytes of a chunk, about.
 CHUNK = 8 << 20
-#: Customers of a dish that a sweep seats again one by one, chosen at random: all that dishes of so many have.
-#: Dishes of more have whole tables split and merged besides, so often that every customer may move.
+#: Words of all chunks' dictionaries that a slice has, and tokens of a bucket, about.
+SLICE, BUCKET = 250_000, 1_500_000
+#: Customers of a dish whose tables are drawn at once; in larger ones tables are split and merged.
+FEW = 1024
+#: Splits and merges that a sweep tries besides those that follow the tables to expect.
 MOVES = 16
 BURN_IN, SAMPLES = 1, 2
 STRENGTH, TOP_STRENGTH, TOP_DISCOUNT = 1.0, 1.0, 0.8
@@ -110,8 +116,13 @@ def deliver(df: DataFrame, parts: int, work) -> DataFrame:
             for out in work(dest, rows):
                 yield parcels(out)
 
-    sent = df.select(*_NAMES).repartition(parts, "dest").sortWithinPartitions("dest", "kind", "sender")
-    return sent.mapInArrow(trimmed(run), PARCEL)
+    return dealt(df, parts).mapInArrow(trimmed(run), PARCEL)
+
+
+def dealt(df: DataFrame, parts: int) -> DataFrame:
+    """Parcels sorted by (dest, kind, sender); destinations are numbers in a row, and go round the partitions."""
+    by = df.select(*_NAMES).repartitionById(parts, F.pmod(F.col("dest") + F.shiftright("dest", 32), F.lit(parts)).cast("int"))
+    return by.sortWithinPartitions("dest", "kind", "sender")
 
 
 def joined(rows: list[dict], field: str, kind) -> np.ndarray:
@@ -327,83 +338,81 @@ def seat(c: np.ndarray, alpha: np.ndarray, d: float, rng: np.random.Generator, p
     return sizes, tables
 
 
-def sweep(sizes: np.ndarray, c: np.ndarray, parent: np.ndarray, outside: np.ndarray, strength: float, d: float, moves: int, rng: np.random.Generator) -> None:
-    """Takes customers out at random and seats them again; sizes (dishes x places) changes in place.
+_STIRLING: dict[float, np.ndarray] = {}
+
+
+def log_stirling(d: float) -> np.ndarray:
+    """Logarithms of the generalized Stirling numbers: weights of n <= ``FEW`` customers (rows) at t tables (columns)."""
+    if d not in _STIRLING:
+        s = np.full((FEW + 1, FEW + 1), -np.inf)
+        s[1, 1] = 0.0
+        t = np.arange(1, FEW + 1)
+        for n in range(1, FEW):
+            s[n + 1, 1 : n + 1] = s[n, 1 : n + 1] + np.log(n - d * t[:n])
+            s[n + 1, 2 : n + 2] = np.logaddexp(s[n + 1, 2 : n + 2], s[n, 1 : n + 1])
+        if len(_STIRLING) > 3:
+            _STIRLING.clear()
+        _STIRLING[d] = s
+    return _STIRLING[d]
+
+
+def draw_tables(c: np.ndarray, parent: np.ndarray, outside: np.ndarray, strength: float, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with c <= ``FEW`` customers, from their exact odds.
 
     ``outside``: tables of the restaurant that other dishes have; ``parent``: the dish's
     probability in the parent restaurant.
     """
-    rows = np.arange(len(c))
-    for m in range(moves):
-        if m:
-            rows = rows[c[rows] > m]
-        if len(rows) == 0:
-            return
-        n = sizes[rows]
-        leave = (np.cumsum(n, axis=1) > (rng.random(len(rows)) * c[rows])[:, None]).argmax(axis=1)
-        n[np.arange(len(rows)), leave] -= 1
-        t = (n > 0).sum(axis=1)
-        free = (n == 0).argmax(axis=1)
-        opens = (strength + d * (outside[rows] + t)) * parent[rows]
-        stays = c[rows] - 1 - d * t
-        pick = rng.random(len(rows)) * (stays + opens)
-        mass = np.cumsum(np.where(n > 0, n - d, 0.0), axis=1)
-        to = (mass > pick[:, None]).argmax(axis=1)
-        to = np.where(pick < mass[:, -1], to, free)
-        n[np.arange(len(rows)), to] += 1
-        sizes[rows] = n
+    s, out = log_stirling(d), np.ones(len(c), np.int64)
+    kind = np.ceil(np.log2(c)).astype(np.int64)
+    for k in np.unique(kind[kind > 0]).tolist():
+        rows, places = np.flatnonzero(kind == k), 1 << k
+        opened = np.arange(places)
+        for a in range(0, len(rows), block := max(1, (1 << 18) // places)):
+            mine = rows[a : a + block]
+            p = np.log((strength + d * (outside[mine][:, None] + opened)) * parent[mine][:, None])
+            np.cumsum(p, axis=1, out=p)
+            p += s[c[mine], 1 : places + 1]
+            p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
+            np.cumsum(p, axis=1, out=p)
+            out[mine] = (p <= (rng.random(len(mine)) * p[:, -1])[:, None]).sum(axis=1) + 1
+    return out
+
+
+def by_owner(owners: list[np.ndarray], flats: list[np.ndarray]) -> np.ndarray:
+    """Flat sizes of several groups of dishes as one, by dish."""
+    owner, flat = np.concatenate(owners), np.concatenate(flats)
+    return flat[np.argsort(owner, kind="stable")]
 
 
 def gibbs(c: np.ndarray, sizes: np.ndarray, tables: np.ndarray, parent: np.ndarray, outside: np.ndarray, strength: float, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """One sweep over all dishes, from flat sizes and tables a dish; returns both anew."""
-    at = np.cumsum(tables) - tables
-    out_tables = np.empty(len(c), np.int64)
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    # dishes of like need share a matrix: no more places than customers, and one free at each move
-    width = np.minimum(c, tables + MOVES)
-    kind = np.ceil(np.log2(np.maximum(width, 2))).astype(np.int64)
-    for k in np.unique(kind).tolist():
-        rows = np.flatnonzero(kind == k)
-        places = 1 << k
-        block = max(1, (1 << 20) // places)
-        for a in range(0, len(rows), block):
-            mine = rows[a : a + block]
-            grid = np.zeros((len(mine), places), np.int64)
-            owner = np.repeat(np.arange(len(mine)), tables[mine])
-            column = np.arange(len(owner)) - np.repeat(np.cumsum(tables[mine]) - tables[mine], tables[mine])
-            grid[owner, column] = sizes[at[mine][owner] + column]
-            sweep(grid, c[mine], parent[mine], outside[mine], strength, d, MOVES, rng)
-            out_tables[mine] = (grid > 0).sum(axis=1)
-            parts.append((mine, grid[grid > 0]))
-    order = np.argsort(np.concatenate([np.repeat(m, out_tables[m]) for m, _ in parts]), kind="stable") if parts else np.zeros(0, np.int64)
-    flat = np.concatenate([f for _, f in parts])[order] if parts else sizes[:0]
-    many = np.flatnonzero(c > MOVES)
+    """One sweep over all dishes: returns sizes and tables anew.  ``sizes`` are flat, of the dishes of more than ``FEW`` customers."""
+    tables, few = tables.copy(), np.flatnonzero(c <= FEW)
+    tables[few] = draw_tables(c[few], parent[few], outside[few], strength, d, rng)
+    many = np.flatnonzero(c > FEW)
     if len(many) == 0:
-        return flat, out_tables
-    # dishes of all their customers in one by one moves stay; the others' tables are split and merged
-    at = np.cumsum(out_tables) - out_tables
+        return sizes, tables
+    at = np.cumsum(tables[many]) - tables[many]
     times = rounds(c[many], parent[many], outside[many], strength, d)
     order = np.argsort(-times, kind="stable")
-    many, times = many[order], times[order]
-    few = c <= MOVES
-    owners, parts = [np.repeat(np.flatnonzero(few), out_tables[few])], [flat[np.repeat(few, out_tables)]]
-    kind = np.ceil(np.log2(np.maximum(times, out_tables[many]))).astype(np.int64)
+    owners, parts = [], []
+    # dishes of like need share a matrix
+    kind = np.ceil(np.log2(np.maximum(times, tables[many]))).astype(np.int64)
     for k in np.unique(kind).tolist():
-        rows = np.flatnonzero(kind == k)
-        block = max(1, (1 << 20) >> k)
-        for a in range(0, len(rows), block):
-            mine, left = many[rows[a : a + block]], times[rows[a : a + block]]
-            t = out_tables[mine]
+        rows = order[kind[order] == k]
+        for a in range(0, len(rows), block := max(1, (1 << 20) >> k)):
+            mine = rows[a : a + block]
+            dish = many[mine]
+            t = tables[dish]
             grid = np.zeros((len(mine), int(t.max()) + 1), np.int64)
             owner = np.repeat(np.arange(len(mine)), t)
             column = np.arange(len(owner)) - np.repeat(np.cumsum(t) - t, t)
-            grid[owner, column] = flat[at[mine][owner] + column]
-            grid = split_merge(grid, t, left, parent[mine], outside[mine], strength, d, rng)
-            out_tables[mine] = t
-            owners.append(np.repeat(mine, t))
+            grid[owner, column] = sizes[at[mine][owner] + column]
+            grid = split_merge(grid, t, times[mine], parent[dish], outside[dish], strength, d, rng)
+            tables[dish] = t
+            owners.append(np.repeat(dish, t))
             parts.append(grid[grid > 0])
-    order = np.argsort(np.concatenate(owners), kind="stable")
-    return np.concatenate(parts)[order], out_tables
+    return by_owner(owners, parts), tables
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -553,11 +562,19 @@ def _words(bits: int, base: float, known_tables: int, step: int, dest: int, rows
         c = customers[some]
         parent = np.full(len(c), base)
         alpha = (TOP_STRENGTH + TOP_DISCOUNT * known_tables) * parent
+        t, many, go_on = np.ones(len(c), np.int64), c > FEW, np.zeros(len(c), bool)
+        owners, flats = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if before:  # of the same words, since a pair never loses its last table
             old, sizes, t = (arr(before[0][f], np.int64) for f in ("a", "b", "c"))
-            sizes, t = resized(old, c, sizes, t, alpha, TOP_DISCOUNT, rng)
-        else:
-            sizes, t = seat(c, alpha, TOP_DISCOUNT, rng, parent)
+            go_on = many & (old > FEW)
+            sizes = sizes[np.repeat(go_on[old > FEW], t[old > FEW])]
+            flat, t[go_on] = resized(old[go_on], c[go_on], sizes, t[go_on], alpha[go_on], TOP_DISCOUNT, rng)
+            owners.append(np.repeat(np.flatnonzero(go_on), t[go_on]))
+            flats.append(flat)
+        fresh = many & ~go_on
+        flat, t[fresh] = seat(c[fresh], alpha[fresh], TOP_DISCOUNT, rng, parent[fresh])
+        sizes = by_owner([*owners, np.repeat(np.flatnonzero(fresh), t[fresh])], [*flats, flat])
+        t = np.minimum(t, c)
         sizes, t = gibbs(c, sizes, t, parent, np.maximum(known_tables - t, 0).astype(np.float64), TOP_STRENGTH, TOP_DISCOUNT, rng)
         tables[some] = t
         yield [(3, dest, -2, c, sizes, t)]
@@ -596,8 +613,9 @@ def _sweep_bucket(top: Top, d: float, step: int, dest: int, rows: list[dict]) ->
     iu, iw = np.searchsorted(ids, u), np.searchsorted(ids, w)
     parent = top.probability(customers[iw], tables[iw])
     if state["d"] is None:
-        old = np.ones(len(c), np.int64)
-        sizes, t = seat(c, (STRENGTH + d * tu[iu]) * parent, d, rng, parent)
+        old, many = np.ones(len(c), np.int64), c > FEW
+        t = old.copy()
+        sizes, t[many] = seat(c[many], (STRENGTH + d * tu[iu[many]]) * parent[many], d, rng, parent[many])
     else:
         sizes, t = arr(state["c"], np.int64), arr(state["d"], np.int64)
         old = t
@@ -694,9 +712,9 @@ def score(docs: DataFrame, held_out: F.Column, burn_in: int = BURN_IN, samples:
     entries, tokens = chunks.agg(F.sum(F.octet_length("hashes") / 8), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     if not entries:
         return spark.createDataFrame([], _SCORES)
-    # slices and buckets grow with the corpus, so that each stays within a task's memory
-    bits = max(int(np.ceil(np.log2(max(2, parts)))), int(np.ceil(np.log2(max(1.0, entries / 2_000_000)))))
-    buckets = max(parts, int(tokens // 3_000_000))
+    # slices and buckets follow the corpus alone, so that each stays within a task's memory and parcels are no more than need be
+    bits = int(np.ceil(np.log2(max(2.0, entries / SLICE))))
+    buckets = max(2, -(-int(tokens) // BUCKET))
 
     def put(df: DataFrame, name: str) -> DataFrame:
         # a file a kind, all open at once: else each task sorts its parcels again, only for their kind
@@ -768,5 +786,4 @@ def score(docs: DataFrame, held_out: F.Column, burn_in: int = BURN_IN, samples:
     everything = texts
     for df in (levels, pair_answers, word_answers):
         everything = everything.union(df.select(*_NAMES))
-    met_again = everything.repartition(parts, "dest").sortWithinPartitions("dest", "kind", "sender")
-    return met_again.mapInArrow(trimmed(_score(buckets, vocabulary, total, tops, discount)), _SCORES)
+    return dealt(everything, parts).mapInArrow(trimmed(_score(buckets, vocabulary, total, tops, discount)), _SCORES)
