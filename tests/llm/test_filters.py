@@ -127,6 +127,56 @@ def test_quality_edges(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_quality_matches_a_fit_in_memory(spark):
+    """The rounds of tasks and passes give the model that co-training of all documents in memory gives."""
+    docs = table(spark, SF, "documents").orderBy("doc_id").toPandas()
+    labels = table(spark, SF, "labels").toPandas().dropna(subset=["quality"]).groupby("doc_id").quality.mean()
+    text = np.concatenate([x for _, x in quality.text_features(pa.array(docs.text.fillna("").tolist()))]).astype(np.float16).astype(np.float32)
+    none = lambda c: [None if v is None or v != v else v for v in docs[c].tolist()]
+    meta = quality.metadata_features(none("source"), none("lang"), none("n_chars"))
+    known = docs.doc_id.isin(labels.index).to_numpy()
+    y = (labels.loc[docs.doc_id[known]].to_numpy() >= 0.5).astype(float)
+    want = quality.co_train(text[known], meta[known], y, text[~known], meta[~known], float((labels >= 0.5).mean()))
+    model = quality.fit(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    got = quality.score(table(spark, SF, "documents"), model).orderBy("doc_id").toPandas()
+    t, m, both = want.score(text, meta)
+    for a, b in ((got.p_text, t), (got.p_metadata, m), (got.score, both)):
+        assert np.abs(a.to_numpy() - b).max() < 0.02
+    kept = quality.good(table(spark, SF, "documents"), model).toPandas()
+    assert set(kept.doc_id) == set(got.doc_id[got.keep]) and list(kept.columns) == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_language_matches_a_fit_in_memory(spark):
+    from strandweave.llm.bytegrams import features
+
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang").where("text is not null and lang is not null").toPandas()
+    x = np.concatenate([x for _, x in features(pa.array(docs.text.tolist()), langid.BITS, langid.LETTERS)]).astype(np.float16)
+    order = sorted(range(len(x)), key=lambda i: (docs.lang[i], x[i].tobytes()))
+    direct = langid.train(x[order].astype(np.float32), docs.lang.to_numpy(object)[order])
+    fitted = langid.fit(table(spark, SF, "documents"))
+    assert fitted.pairs == direct.pairs and np.allclose(fitted.weights, direct.weights, atol=1e-5)
+    lang, score = direct.predict(x.astype(np.float32))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(table(spark, SF, "documents"), fitted).collect()}
+    same = [got[d][0] == a and abs(got[d][1] - b) < 0.02 for d, a, b in zip(docs.doc_id, lang, score) if got[d][0] != "und"]
+    assert np.mean(same) > 0.995
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    """One text of a million words among short ones, and columns named like results."""
+    long = "the quick brown fox jumps over the lazy dog " * 110_000
+    rows = [(i, f"good words here {i} again" if i % 2 else f"### {i} $$$ !!", "s", "en", i, 0.1, "k", "l") for i in range(60)]
+    rows += [(100, long, "s", "en", 10**6, 0.2, "k", "l"), (None, long, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, score double, keep string, lang_pred string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    assert quality.score(docs, model).count() == 62 and quality.good(docs, model).columns == docs.columns
+    found = langid.fit(docs)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, found).collect()}
+    assert got[100] == "en" and langid.recognised(docs, found, 0.3).where("doc_id = 100").first().score == 0.2
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog the quick brown")], "item_id long, text string")
+    assert sorted(r.doc_id for r in leaks.find_leaks(docs, items).collect() if r.doc_id) == [100]
+
+
 def test_co_training_uses_the_pool():
     rng = np.random.default_rng(3)
 
@@ -193,15 +243,26 @@ def test_block_bounds_lose_nothing():
 
     raw, off = text_bytes(pa.array(docs))
     h, at = words(raw, off, NOT_ALNUM)
-    got = {(t, i) for t, i, _ in leaks.search(index, h, at)}
-    want = set()
+    got = {(t, i): x for t, i, x in leaks.search(index, h, at)}
+    want = {}
     for t in range(30):
-        w = h[at[t] : at[t + 1]]
-        for a in range(0, max(1, len(w)), index.span):
-            terms = np.unique(np.searchsorted(index.vocab, w[a : a + 2 * index.span])[np.isin(w[a : a + 2 * index.span], index.vocab)])
-            scores = index.impact[terms].sum(axis=0)
-            want |= {(t, int(i)) for i in np.flatnonzero(scores >= index.theta + 1e-3)}
-    assert want <= got and len(want) > 10
+        mine = np.isin(index.vocab, h[at[t] : at[t + 1]])
+        term = np.searchsorted(index.entry, np.searchsorted(index.posting, np.arange(len(index.item)), "right") - 1, "right") - 1
+        scores = np.bincount(index.item, index.impact * mine[term], minlength=50)
+        want |= {(t, int(i)): scores[i] for i in np.flatnonzero((scores >= index.theta) & (scores > 0))}
+    assert set(want) <= set(got) and len(want) > 10
+    assert all(abs(got[k] - x) < 1e-4 * x for k, x in want.items()) and len(got) <= len(want) + 2
+
+
+def test_passes_share_their_statistics(spark, monkeypatch):
+    rng = random.Random(4)
+    said = lambda n: " ".join("w%d" % rng.randrange(400) for _ in range(n))
+    items = spark.createDataFrame([(i, f"{said(12)}? {said(7)}.") for i in range(80)], "item_id long, text string")
+    docs = spark.createDataFrame([(r.item_id, f"{said(40)} {r.text} {said(40)}") for r in items.collect()], "doc_id long, text string")
+    once = sorted(map(tuple, leaks.find_leaks(docs, items).collect()))
+    monkeypatch.setattr(leaks, "PASS_BYTES", 900)
+    assert len(once) >= 80 and np.allclose(sorted(map(tuple, leaks.find_leaks(docs, items).collect())), once, rtol=1e-5)
+    assert leaks.without_leaks(docs, items).count() == 0 and leaks.without_leaks(docs, items.limit(0)).count() == 80
 
 
 def test_leaks_spread_over_a_document(spark):
