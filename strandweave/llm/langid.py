@@ -7,6 +7,7 @@ language's probability is its family's times the share of its pairs' votes.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -85,31 +86,33 @@ class Model:
 
 
 def train(x: np.ndarray, langs: np.ndarray) -> Model:
+    """Fits all machines on rows sorted by language; no machine copies rows."""
     by: dict[str, list[str]] = {}
+    rows: dict[str, slice] = {}
     for lang in sorted(set(langs.tolist())):
         by.setdefault(family_of(lang), []).append(lang)
+        rows[lang] = slice(int(np.searchsorted(langs, lang)), int(np.searchsorted(langs, lang, "right")))
     model = Model(by)
     if not by:
         return model
     names = sorted(by)
-    family = np.array([family_of(lang) for lang in langs])
     columns = []
 
-    def machine(mask: np.ndarray, positive: np.ndarray) -> None:
-        y = np.where(positive[mask], 1.0, -1.0).astype(np.float32)
+    def machine(some: list[str], positive: set[str]) -> None:
+        parts = [x[rows[lang]] for lang in some]
+        y = np.concatenate([np.full(len(p), 1.0 if lang in positive else -1.0, np.float32) for p, lang in zip(parts, some, strict=True)])
         weight = np.where(y > 0, 1.0 / max(1, (y > 0).sum()), 1.0 / max(1, (y < 0).sum()))
-        w, b = fit_svm(x[mask], y, weight)
-        slope, shift = fit_platt((x[mask] @ w + b).astype(np.float64), (y > 0).astype(float))
+        w, b = fit_svm(parts, y, weight)
+        slope, shift = fit_platt(np.concatenate([p @ w + b for p in parts]).astype(np.float64), (y > 0).astype(float))
         columns.append((w, slope, slope * b + shift))
 
-    everything = np.ones(len(x), bool)
     if len(names) > 1:
         for name in names:
-            machine(everything, family == name)
+            machine(list(rows), set(by[name]))
     for name in names:
         model.pairs += [(a, b) for i, a in enumerate(by[name]) for b in by[name][i + 1 :]]
     for a, b in model.pairs:
-        machine((langs == a) | (langs == b), langs == a)
+        machine([a, b], {a})
     if columns:
         model.weights = np.stack([c[0] for c in columns], axis=1).astype(np.float32)
         model.slopes = np.array([c[1] for c in columns])
@@ -124,38 +127,50 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("lang").slice(first, len(x)), pa.array(body, pa.binary())], names=["lang", "x"])
 
 
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for batch in batches for r in zip(batch.column("lang").to_pylist(), batch.column("x").to_pylist(), strict=True)]
+    rows.sort()  # the fit must not depend on the order of arrival
+    x = np.empty((len(rows), 1 << BITS), np.float32)
+    for i, (_, body) in enumerate(rows):
+        x[i] = np.frombuffer(body, np.float16)
+    model = train(x, np.array([lang for lang, _ in rows], object))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, each: int = SAMPLE_EACH) -> Model:
     """Learns from docs(doc_id, text, lang); rows with a null text or lang teach nothing.
 
-    A sample bounded by ``sample`` documents (``each`` a language), drawn by a hash of the
-    id, is fitted on the driver; its expected size is within the bounds, and is cut there.
+    A sample of at most ``sample`` documents (about ``each`` a language, at most), drawn
+    by a hash of the id and the text, is fitted in one task; only the weights come to the driver.
     """
     Workspace(docs.sparkSession, "langid")  # ships the package
     known = docs.where("text is not null and lang is not null").select(F.col("doc_id"), "text", "lang")
     counts = dict(known.groupBy("lang").count().collect())  # one row a language
     if not counts:
         return Model({})
-    quota = max(1, min(each, sample // len(counts)))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_000)) / 1e6
+    quota = 0.9 * max(1, min(each, sample // len(counts)))  # so that chance hardly ever goes beyond the bound
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), "text", F.lit(11)), F.lit(1_000_000)) / 1e6
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, quota / n))])
-    chosen = known.where(draw < share[F.col("lang")]).select("text", "lang").limit(2 * sample)
-    rows = chosen.mapInArrow(_sampled, "lang string, x binary").collect()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))  # the fit must not depend on the order of arrival
-    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
-    return train(x, np.array([r["lang"] for r in rows], object))
+    chosen = known.where(draw < share[F.col("lang")]).select("text", "lang")
+    rows = chosen.mapInArrow(_sampled, "lang string, x binary").limit(sample)
+    found = rows.mapInArrow(_train, "model binary").first()
+    return pickle.loads(found["model"]) if found else Model({})
+
+
+def _languages(model: Model, text: pa.Array, x: np.ndarray, first: int) -> tuple[list[str], np.ndarray]:
+    lang, score = model.predict(x)
+    for i, t in enumerate(text.slice(first, len(x)).to_pylist()):
+        if not model.families or t is None or not any(map(str.isalpha, t)):
+            lang[i], score[i] = UNKNOWN, 0.0
+    return lang, score
 
 
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("text")
-            for first, x in features(text, BITS, LETTERS):
-                lang, score = model.predict(x)
-                for i, t in enumerate(text.slice(first, len(x)).to_pylist()):
-                    if not model.families or t is None or not any(map(str.isalpha, t)):
-                        lang[i], score[i] = UNKNOWN, 0.0
-                keep = [batch.column(c).slice(first, len(x)) for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+            for first, x in features(batch.column("text"), BITS, LETTERS):
+                lang, score = _languages(model, batch.column("text"), x, first)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(x)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return run
 
@@ -164,7 +179,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every row's whole text; only the text is looked at.
 
     A null text, or one without any letter, is ``und`` with score 0, as is every text if
-    the model has learned nothing.  Repeated rows are predicted each; an empty table
-    gives no rows.
+    the model has learned nothing.  Very long texts are read whole.  Repeated rows are
+    predicted each; an empty table gives no rows.
     """
     return docs.select("doc_id", "text").mapInArrow(_predict(model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose language has a score of ``least`` or more; ``und`` never has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, x in features(batch.column("text"), BITS, LETTERS):
+                lang, score = _languages(model, batch.column("text"), x, first)
+                keep = (score >= least) & (np.array(lang, object) != UNKNOWN)
+                yield batch.slice(first, len(x)).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
