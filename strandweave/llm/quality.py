@@ -2,15 +2,20 @@
 
 The text view sees hashed byte trigrams and how repetitive they are; the metadata view sees source, language and
 declared length, never the text.  Both start from the labelled sample.  In each round
-each view labels those documents of the unlabelled pool of which it is surest, in the
+each view labels those of all unlabelled documents of which it is surest, in the
 proportion of the classes, and hands them to the other view's training set.  In the end
 each view is calibrated on the labelled sample by cross-fitting, and the evidence of
 both is added: logit = prior + (text - prior) + weight * (metadata - prior), the weights fitted on the
 cross-fitted logits.  All documents are scored.
+
+A round is one task that fits the views on the samples, and one pass over all documents
+that finds the surest; only weights and the picked ids come to the driver.  Three further
+models, each without a third of the labelled sample, go along in the same tasks and passes.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytegrams import features
@@ -27,9 +33,12 @@ from .linear import fit_logistic, sigmoid
 
 BITS = 11
 EXTRA, META = 4, 128
-#: Bounds of the samples fitted on the driver: labelled documents of each class, and the unlabelled pool.
-LABELLED_EACH, POOL = 2500, 3000
+#: Bound of the labelled sample: documents of each class.
+LABELLED_EACH = 2500
+#: Rounds, and documents that each view labels in a round.
 ROUNDS, PER_ROUND = 4, 200
+#: Parts of the labelled sample; model ``f`` is fitted without part ``f``, the last one on all.
+FOLDS = 3
 #: Weight of the penalty on each view's coefficients.
 RIDGE_TEXT, RIDGE_META = 1e-6, 1e-3
 
@@ -78,67 +87,121 @@ class Model:
         return sigmoid(t), sigmoid(m), sigmoid(self.prior + a * (t - self.prior) + b * (m - self.prior) + c)
 
 
-def _surest(p: np.ndarray, free: np.ndarray, positive_share: float, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pool rows still free of which the view is surest, and their pseudo-labels."""
-    rows = np.flatnonzero(free)
-    n_pos = min(int(round(n * positive_share)), int((p[rows] > 0.9).sum()))
-    n_neg = min(n - int(round(n * positive_share)), int((p[rows] < 0.1).sum()))
-    order = rows[np.argsort(p[rows], kind="stable")]
-    picked = np.concatenate([order[len(order) - n_pos :], order[:n_neg]])
-    return picked, np.concatenate([np.ones(n_pos), np.zeros(n_neg)])
+@dataclass
+class Sample:
+    """Labelled rows, sorted by fold, and rows that a view has labelled."""
+
+    views: tuple[np.ndarray, np.ndarray]
+    y: np.ndarray
+    fold: np.ndarray
+    prior: float
+    extra: tuple[np.ndarray, np.ndarray]
+
+    @property
+    def weight(self) -> np.ndarray:
+        """The sample is balanced; the weights bring its classes back to their share."""
+        good = self.y > 0.5
+        return np.where(good, self.prior / max(1, good.sum()), (1 - self.prior) / max(1, (~good).sum())) * len(self.y)
+
+    def fit(self, run: int, picked: list[tuple[np.ndarray, np.ndarray]]) -> tuple[View, View]:
+        """Both views of a model; ``picked``: for each view, the rows of ``extra`` that the other one has labelled, and how."""
+        at = np.searchsorted(self.fold, np.arange(FOLDS + 1))
+        some = [slice(at[f], at[f + 1]) for f in range(FOLDS) if f != run]
+        out = []
+        for x, extra, ridge, (rows, label) in zip(self.views, self.extra, (RIDGE_TEXT, RIDGE_META), picked, strict=True):
+            y = np.concatenate([*(self.y[s] for s in some), label]).astype(np.float32)
+            w = np.concatenate([*(self.weight[s] for s in some), np.ones(len(rows))])
+            out.append(View(*fit_logistic([*(x[s] for s in some), extra[rows]], y, w, ridge)))
+        return out[0], out[1]
+
+    def combine(self, models: list[tuple[View, View]]) -> Model:
+        """The last model, with weights of the evidence fitted on the logits of the others for the rows they have not seen."""
+        base = float(np.log(self.prior / (1 - self.prior)))
+        evidence = np.zeros((len(self.y), 2), np.float64)
+        for f, (t, m) in enumerate(models[:FOLDS]):
+            out = self.fold == f
+            if out.any() and len(set(self.y[~out].tolist())) == 2:
+                evidence[out] = np.stack([t.margin(self.views[0][out]) - base, m.margin(self.views[1][out]) - base], axis=1)
+        scale = np.maximum(np.abs(evidence).max(axis=0), 1.0)
+        weight, w = self.weight, np.zeros(3)
+        z = np.concatenate([evidence / scale, np.ones((len(self.y), 1))], axis=1)
+        for _ in range(400):  # logistic regression with the prior's logit as a fixed offset
+            p = sigmoid(base + z @ w)
+            gradient = z.T @ (weight * (p - self.y)) / len(self.y) + 1e-4 * w
+            hessian = (z * (weight * p * (1 - p))[:, None]).T @ z / len(self.y) + 1e-3 * np.eye(3)
+            step = np.linalg.solve(hessian, gradient)
+            w -= np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-6:
+                break
+        mix = (max(0.0, float(w[0] / scale[0])), max(0.0, float(w[1] / scale[1])), float(w[2]))
+        return Model(*models[-1], base, mix)
+
+
+def arranged(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows that is sorted by fold, and the folds; every fold has both classes, if they have that many rows."""
+    rank = np.where(y > 0.5, np.cumsum(y > 0.5) / max(1, (y > 0.5).sum()), np.cumsum(y <= 0.5) / max(1, (y <= 0.5).sum()))
+    order = np.argsort(rank, kind="stable")
+    fold = np.arange(len(y)) % FOLDS
+    return order[np.argsort(fold, kind="stable")], np.sort(fold)
+
+
+class Picks:
+    """What each view has labelled for the other, by model: (document, label), each document once a model."""
+
+    def __init__(self):
+        self.of: list[list[dict[int, float]]] = [[{}, {}] for _ in range(FOLDS + 1)]
+
+    def add(self, run: int, view: int, label: float, docs: list[int]) -> None:
+        known, other = self.of[run]
+        for d in docs:
+            if d not in known and d not in other:
+                self.of[run][1 - view][d] = label
+
+    def rows(self, run: int, place: dict[int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each view, rows of the documents it is taught, in order of their ids, and their labels."""
+        found = [sorted((d, label) for d, label in taught.items() if d in place) for taught in self.of[run]]
+        return [(np.array([place[d] for d, _ in f], np.int64), np.array([label for _, label in f], np.float64)) for f in found]
+
+    def docs(self, run: int) -> np.ndarray:
+        return np.array(sorted({*self.of[run][0], *self.of[run][1]}), np.int64)
+
+
+def shares(prior: float, n: int) -> tuple[int, int]:
+    """How many good and bad documents a view labels in a round."""
+    good = int(round(n * prior))
+    return n - good, good
+
+
+def surest(margin: np.ndarray, ids: np.ndarray, n: int, label: int) -> np.ndarray:
+    """Rows of the n documents of which a view is surest, beyond a probability of 0.9; ties go to the smaller id, each id counts once."""
+    sure = margin if label else -margin
+    rows = np.flatnonzero(sure > np.log(9.0))
+    rows = rows[np.lexsort((ids[rows], -sure[rows]))]
+    _, first = np.unique(ids[rows], return_index=True)
+    return rows[np.sort(first)[:n]]
 
 
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, prior: float, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model:
-    """Fits both views; y is 0 or 1 for the labelled rows, ``prior`` the share of 1 in all labelled documents."""
+    """All in memory; y is 0 or 1 for the labelled rows, ``prior`` the share of 1 in all labelled documents."""
     share = float(np.clip(prior, 0.01, 0.99))
-    base = float(np.log(share / (1 - share)))
-    # the sample is balanced; the weights bring its classes back to their share
-    weight = np.where(y > 0.5, share / max(1, (y > 0.5).sum()), (1 - share) / max(1, (y <= 0.5).sum())) * len(y)
-
-    def run(rows: np.ndarray) -> tuple[View, View]:
-        sets = [(text, pool_text, RIDGE_TEXT), (meta, pool_meta, RIDGE_META)]
-        taken = [(np.zeros(0, int), np.zeros(0)), (np.zeros(0, int), np.zeros(0))]
-        free = np.ones(len(pool_text), bool)
-        for r in range(rounds + 1):
-            views = []
-            for (x, px, ridge), (extra, label) in zip(sets, taken, strict=True):
-                all_x, all_y = np.concatenate([x[rows], px[extra]]), np.concatenate([y[rows], label])
-                w = np.concatenate([weight[rows], np.ones(len(extra))])
-                views.append(View(*fit_logistic(all_x, all_y.astype(np.float32), w, ridge)))
-            if r == rounds or not free.any():
-                break
-            for k in (0, 1):  # each view teaches the other
-                picked, label = _surest(sigmoid(views[k].margin(sets[k][1])), free, share, per_round)
-                free[picked] = False
-                taken[1 - k] = (np.concatenate([taken[1 - k][0], picked]), np.concatenate([taken[1 - k][1], label]))
-        return views[0], views[1]
-
-    # cross-fitted logits for the combination
-    fold = np.arange(len(y)) % 3
-    evidence = np.zeros((len(y), 2), np.float64)
-    for f in range(3):
-        out = fold == f
-        if out.any() and len(set(y[~out].tolist())) == 2:
-            t, m = run(np.flatnonzero(~out))
-            evidence[out] = np.stack([t.margin(text[out]) - base, m.margin(meta[out]) - base], axis=1)
-    scale = np.maximum(np.abs(evidence).max(axis=0), 1.0)
-    offset_logit = base
-    w = np.zeros(3)
-    z = np.concatenate([evidence / scale, np.ones((len(y), 1))], axis=1)
-    for _ in range(400):  # logistic regression with the prior's logit as a fixed offset
-        p = sigmoid(offset_logit + z @ w)
-        gradient = z.T @ (weight * (p - y)) / len(y) + 1e-4 * w
-        hessian = (z * (weight * p * (1 - p))[:, None]).T @ z / len(y) + 1e-3 * np.eye(3)
-        step = np.linalg.solve(hessian, gradient)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+    order, fold = arranged(y)
+    s = Sample((text[order], meta[order]), y[order], fold, share, (pool_text, pool_meta))
+    ids, picks = np.arange(len(pool_text)), Picks()
+    place = {i: i for i in range(len(ids))}
+    for r in range(rounds + 1):
+        models = [s.fit(run, picks.rows(run, place)) for run in range(FOLDS + 1)]
+        if r == rounds:
             break
-    mix = (max(0.0, float(w[0] / scale[0])), max(0.0, float(w[1] / scale[1])), float(w[2]))
-    t, m = run(np.arange(len(y)))
-    return Model(t, m, base, mix)
+        for run, views in enumerate(models):
+            free = np.flatnonzero(~np.isin(ids, picks.docs(run)))
+            for k, (view, x) in enumerate(zip(views, s.extra, strict=True)):
+                for label, n in enumerate(shares(share, per_round)):
+                    picks.add(run, k, float(label), free[surest(view.margin(x[free]), free, n, label)].tolist())
+    return s.combine(models)
 
 
 _SAMPLED = "doc_id long, x binary, source string, lang string, n_chars long"
+_CANDIDATE = "run int, view int, label int, doc_id long, sure double"
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +212,66 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), body, part.column("source"), part.column("lang"), part.column("n_chars")], names=[f.split(" ")[0] for f in _SAMPLED.split(", ")])
 
 
+def _fit(prior: float, picks: Picks, last: bool):
+    """One task: rows (doc_id, y, features) of the labelled sample, and of picked documents with a null y, make all models."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[dict[int, tuple]] = [{}, {}]
+        for batch in batches:
+            for r in batch.to_pylist():
+                got[r["y"] is None][r["doc_id"]] = (r["y"], r["x"], r["source"], r["lang"], r["n_chars"])
+        ids = [np.array(sorted(g), np.int64) for g in got]
+        y = np.array([got[0][i][0] for i in ids[0].tolist()], np.float64)
+        if len(set(y.tolist())) < 2:
+            return
+        order, fold = arranged(y)
+        ids[0] = ids[0][order]
+
+        def matrices(table: dict, keys: list) -> tuple[np.ndarray, np.ndarray]:
+            text = np.empty((len(keys), (1 << BITS) + EXTRA), np.float32)
+            for i, key in enumerate(keys):
+                text[i] = np.frombuffer(table[key][1], np.float16)
+            return text, metadata_features(*([table[i][c] for i in keys] for c in (2, 3, 4)))
+
+        s = Sample(matrices(got[0], ids[0].tolist()), y[order], fold, prior, matrices(got[1], ids[1].tolist()))
+        place = {d: i for i, d in enumerate(ids[1].tolist())}
+        models = [s.fit(m, picks.rows(m, place)) for m in range(FOLDS + 1)]
+        body = pickle.dumps((s.combine(models) if last else models, ids[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], names=["model"])
+
+    return run
+
+
+def _candidates(models: list[tuple[View, View]], sampled: np.ndarray, picks: Picks, numbers: tuple[int, int]):
+    """The documents of a task of which each view of each model is surest, but for the labelled sample and those picked before."""
+    known = [np.union1d(sampled, picks.docs(run)) for run in range(len(models))]
+    weights = [np.stack([m[k].w for m in models], axis=1) for k in (0, 1)]
+    offsets = [np.array([m[k].b for m in models]) for k in (0, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for first, x in text_features(batch.column("text")):
+                part = batch.slice(first, len(x))
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                meta = metadata_features(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+                # half precision, as the sample has it, so that a document scores alike wherever it is
+                margins = [(v @ w + b).astype(np.float64) for v, w, b in zip((x.astype(np.float16).astype(np.float32), meta), weights, offsets, strict=True)]
+                for m in range(len(models)):
+                    free = ~np.isin(ids, known[m])
+                    for view in (0, 1):
+                        for label, n in enumerate(numbers):
+                            old = best.get((m, view, label), (np.zeros(0), np.zeros(0, np.int64)))
+                            margin, docs = np.concatenate([old[0], margins[view][free, m]]), np.concatenate([old[1], ids[free]])
+                            rows = surest(margin, docs, n, label)
+                            best[m, view, label] = margin[rows], docs[rows]
+        for (m, view, label), (margin, docs) in best.items():
+            cells = [*(pa.array(np.full(len(docs), v), pa.int32()) for v in (m, view, label)), pa.array(docs, pa.int64()), pa.array(np.abs(margin), pa.float64())]
+            yield pa.RecordBatch.from_arrays(cells, names=[f.split(" ")[0] for f in _CANDIDATE.split(", ")])
+
+    return run
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
@@ -156,76 +279,99 @@ def _rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = LABELLED_EACH, pool: int = POOL) -> Model | None:
-    """Co-trains on bounded samples of docs(doc_id, text, source, lang, n_chars) and labels(doc_id, quality).
+def fit(docs: DataFrame, labels: DataFrame, each: int = LABELLED_EACH, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model | None:
+    """Co-trains on a bounded sample of labelled documents and on all others: docs(doc_id, text, source, lang, n_chars), labels(doc_id, quality).
 
-    A document with several labels counts by their mean, at least 0.5 being good; null
-    labels count for nothing.  None, if the labels do not have both classes.
+    At most ``each`` labelled documents of a class are drawn; documents outside the sample
+    count as unlabelled, and every one of them may be picked in any of ``rounds`` rounds,
+    ``per_round`` by a view.  A document with several labels counts by their mean, at
+    least 0.5 being good; null labels count for nothing; rows of one doc_id count as one,
+    those without a doc_id are neither sampled nor picked.  None, if the labels of the
+    documents do not have both classes.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "quality")
-    rows = _rows(docs)
+    rows = _rows(docs).where("doc_id is not null")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    known = work.put(known, "labels")
+    known = work.put(known.withColumn("doc_id", F.col("doc_id").cast("long")), "labels")
     counts = dict(known.groupBy("y").count().collect())  # two rows
     if len(counts) < 2:
         return None
+    prior = float(np.clip(counts[1] / (counts[0] + counts[1]), 0.01, 0.99))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(10_000_000)) / 1e7
-    share = F.when(F.col("y") == 1, min(1.0, each / counts[1])).otherwise(min(1.0, each / counts[0]))
-    chosen = known.where(draw < share).limit(3 * each)  # bounded, so it may be broadcast
-    sample = rows.join(F.broadcast(chosen), "doc_id")
-    total = rows.count()
-    spare = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(10_000_000)) / 1e7 < min(1.0, pool / max(1, total))).limit(2 * pool)
-
-    def collected(df: DataFrame) -> dict[int, tuple]:
-        got = df.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(_sampled, _SAMPLED).collect()
-        got = [r for r in got if r["doc_id"] is not None]
-        return {r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], bytes(r["x"])))}
-
-    got = collected(sample)
-    y_of = {r["doc_id"]: r["y"] for r in chosen.collect()}
-    others = collected(spare)
-    labelled_ids = {r["doc_id"] for r in known.join(F.broadcast(spark.createDataFrame([(i,) for i in others], "doc_id long")), "doc_id").select("doc_id").collect()} if others else set()
-    others = {i: r for i, r in others.items() if i not in labelled_ids}
-    ids = sorted(got)
-    y = np.array([y_of[i] for i in ids], np.float64)
-    if len(set(y.tolist())) < 2:
-        return None
-    # interleave the classes, so that folds have both
-    order = np.argsort(np.where(y > 0.5, np.cumsum(y > 0.5) / max(1, (y > 0.5).sum()), np.cumsum(y <= 0.5) / max(1, (y <= 0.5).sum())), kind="stable")
-    ids, y = [ids[i] for i in order], y[order]
+    share = {y: min(1.0, 0.95 * each / n) for y, n in counts.items()}  # so that chance hardly ever goes beyond the bound
+    chosen = known.where(draw < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).limit(2 * each)  # bounded, so it may be broadcast
+
+    def features_of(some: DataFrame, name: str) -> DataFrame:
+        """Stored features of the documents of ``some``(doc_id, y), a bounded table; repeated rows meet in a partial minimum."""
+        found = rows.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(_sampled, _SAMPLED)
+        one = found.groupBy("doc_id").agg(F.min(F.struct("x", "source", "lang", "n_chars")).alias("r"))
+        return work.put(one.join(F.broadcast(some), "doc_id").select("doc_id", "y", "r.*"), name)
+
+    have, picks = features_of(chosen, "sample"), Picks()
+    for r in range(rounds + 1):
+        # the samples are bounded: one task fits
+        fitted = have.repartition(1).mapInArrow(_fit(prior, picks, r == rounds), "model binary").first()
+        if fitted is None:
+            return None
+        models, sampled = pickle.loads(fitted["model"])
+        if r == rounds:
+            return models
+        numbers = shares(prior, per_round)
+        found = rows.mapInArrow(_candidates(models, sampled, picks, numbers), _CANDIDATE)
+        found = found.groupBy("run", "view", "label", "doc_id").agg(F.max("sure").alias("sure"))
+        order = W.partitionBy("run", "view", "label").orderBy(F.desc("sure"), "doc_id")
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("label") == 1, numbers[1]).otherwise(numbers[0]))
+        surest_of: dict[tuple, list] = {}
+        before = {d for run in range(FOLDS + 1) for d in picks.docs(run).tolist()}
+        for c in found.orderBy("run", "view", "label", "rank").collect():  # a bounded number
+            surest_of.setdefault((c["run"], c["view"], c["label"]), []).append(c["doc_id"])
+        for (run, view, label), ids in surest_of.items():
+            picks.add(run, view, float(label), ids)
+        fresh = {d for run in range(FOLDS + 1) for d in picks.docs(run).tolist()} - before
+        if fresh:
+            some = spark.createDataFrame([(d, None) for d in sorted(fresh)], "doc_id long, y int")
+            have = have.union(features_of(some, f"picked{r}"))
+
+
+def _scored(model: Model, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    for first, x in text_features(batch.column("text")):
+        part = batch.slice(first, len(x))
+        meta = metadata_features(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+        yield part, model.score(x, meta)
 
-    def matrices(table: dict, keys: list) -> tuple[np.ndarray, np.ndarray]:
-        text = np.frombuffer(b"".join(bytes(table[i]["x"]) for i in keys), np.float16).reshape(len(keys), (1 << BITS) + EXTRA).astype(np.float32)
-        return text, metadata_features(*([table[i][c] for i in keys] for c in ("source", "lang", "n_chars")))
 
-    text, meta = matrices(got, ids)
-    pool_text, pool_meta = matrices(others, sorted(others))
-    return co_train(text, meta, y, pool_text, pool_meta, counts[1] / (counts[0] + counts[1]))
+def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, p_text, p_metadata, score, keep) of every row; ``keep`` is score >= threshold.
 
+    Null or empty texts are scored by an empty text view; very long texts are read whole;
+    null metadata are values of their own.  Without a model (no labels of both classes)
+    everything scores 0.5 and is kept.  Repeated rows are scored each; other columns are
+    ignored; an empty table gives no rows.
+    """
+    Workspace(docs.sparkSession, "quality")
+    schema = "doc_id long, p_text double, p_metadata double, score double, keep boolean"
+    if model is None:
+        half = F.lit(0.5)
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), half.alias("p_text"), half.alias("p_metadata"), half.alias("score"), F.lit(True).alias("keep"))
 
-def _score(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, x in text_features(batch.column("text")):
-                part = batch.slice(first, len(x))
-                meta = metadata_features(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
-                t, m, both = model.score(x, meta)
+            for part, (t, m, both) in _scored(model, batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(t), pa.array(m), pa.array(both), pa.array(both >= threshold)], names=["doc_id", "p_text", "p_metadata", "score", "keep"])
 
-    return run
+    return _rows(docs).mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, p_text, p_metadata, score, keep) of every row; ``keep`` is score >= threshold.
-
-    Null or empty texts are scored by an empty text view; null metadata are values of
-    their own.  Without a model (no labels of both classes) everything scores 0.5 and is
-    kept.  Repeated rows are scored each; other columns are ignored.
-    """
+def good(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that ``score`` would keep; nothing is shuffled."""
     Workspace(docs.sparkSession, "quality")
-    schema = "doc_id long, p_text double, p_metadata double, score double, keep boolean"
     if model is None:
-        half = F.lit(0.5)
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), half.alias("p_text"), half.alias("p_metadata"), half.alias("score"), F.lit(True).alias("keep"))
-    return _rows(docs).mapInArrow(_score(model, threshold), schema)
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, (_, _, both) in _scored(model, batch):
+                yield part.filter(pa.array(both >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
