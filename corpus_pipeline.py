@@ -19,7 +19,6 @@ Rows with a null ``doc_id`` pass all stages as documents of their own.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandweave.llm import jaccard, langid, leaks, packing, quality
 from strandweave.llm.cluster import Workspace
@@ -35,16 +34,12 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, quality.score(docs, model, LEAST_QUALITY).where("not keep"))
+    return quality.good(docs, quality.fit(docs, table(spark, sf_dir, "labels")), LEAST_QUALITY)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
-    if not model.families:
-        return docs
-    found = langid.identify(docs, model)
-    return _without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE)))
+    return langid.recognised(docs, model, LEAST_LANGUAGE) if model.families else docs
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, leaks.find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    return leaks.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
