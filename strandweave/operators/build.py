@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sequence import canonical, flip, strand
+from ..functions.sequence import canonical, flip, rc, strand
 from ..params import Params
 from .graph import Graph, degrees
 
@@ -36,15 +36,27 @@ def cleaning_counters(reads: DataFrame, p: Params) -> DataFrame:
     return judged.agg(of("good").alias("reads_good"), of("short").alias("reads_short"), of("skipped").alias("reads_skipped"), good_bp.alias("reads_goodbp"))
 
 
+def _windows(good: DataFrame, k: int) -> DataFrame:
+    """(read, b, rb, n, pos) of every window of k bases: the read and its reverse complement as bytes, where a slice costs no scan."""
+    whole = good.select("read", F.col("seq").cast("binary").alias("b"), rc(F.col("seq")).cast("binary").alias("rb"), F.length("seq").alias("n"))
+    return whole.select("read", "b", "rb", "n", F.explode(F.sequence(F.lit(0), F.col("n") - k)).alias("pos"))
+
+
+def _at(k: int, shift: int = 0) -> tuple[Column, Column]:
+    """The K-mer at ``shift`` from a window's position, and its reverse complement."""
+    pos = F.col("pos") + shift
+    return F.substr("b", pos + 1, F.lit(k)), F.substr("rb", F.col("n") - pos - (k - 1), F.lit(k))
+
+
 def kmer_windows(good: DataFrame, k: int) -> DataFrame:
     """(read, pos, kmer) of every window of the reads."""
-    at = good.select("read", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
-    return at.select("read", "pos", F.substr("seq", F.col("pos") + 1, F.lit(k)).alias("kmer"))
+    return _windows(good, k).select("read", "pos", _at(k)[0].cast("string").alias("kmer"))
 
 
 def kmer_spectrum(good: DataFrame, k: int) -> DataFrame:
     """Occurrences of each canonical K-mer; partial counts are made before the shuffle."""
-    return kmer_windows(good, k).groupBy(canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("cnt"))
+    counted = _windows(good, k).select(F.least(*_at(k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    return counted.select(F.col("kmer").cast("string").alias("kmer"), "cnt")
 
 
 def nodes(good: DataFrame, k: int) -> DataFrame:
@@ -52,11 +64,20 @@ def nodes(good: DataFrame, k: int) -> DataFrame:
     return spectrum.select(F.col("kmer").alias("node_id"), F.col("kmer").alias("seq"), F.col("cnt").cast("double").alias("cov"))
 
 
+def _step(k: int) -> list[Column]:
+    """src, sdir, ddir and dst, the ids as bytes, of the step from a window to the next."""
+    (u, ru), (v, rv) = _at(k), _at(k, 1)
+    way = lambda x, rx: F.when(x < rx, F.lit("f")).otherwise(F.lit("r"))
+    return [F.least(u, ru).alias("src"), way(u, ru).alias("sdir"), way(v, rv).alias("ddir"), F.least(v, rv).alias("dst")]
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in ("src", "dst")})
+
+
 def steps(good: DataFrame, k: int) -> DataFrame:
-    """(read, pos, src, sdir, ddir, dst) for each two neighbouring windows, from one (k+1)-base window."""
-    wide = kmer_windows(good, k + 1).withColumn("u", F.substring("kmer", 1, k)).withColumn("v", F.substring("kmer", 2, k))
-    u, v = F.col("u"), F.col("v")
-    return wide.select("read", "pos", canonical(u).alias("src"), strand(u).alias("sdir"), strand(v).alias("ddir"), canonical(v).alias("dst"))
+    """(read, pos, src, sdir, ddir, dst) for each two neighbouring windows."""
+    return _named(_windows(good, k + 1).select("read", "pos", *_step(k)))
 
 
 def _both_ends(df: DataFrame, *more: tuple[str, str, str]) -> DataFrame:
@@ -69,9 +90,42 @@ def _both_ends(df: DataFrame, *more: tuple[str, str, str]) -> DataFrame:
 
 
 def edges(good: DataFrame, k: int) -> DataFrame:
-    # distinct steps first: half the rows reach the shuffle
-    plain = steps(good, k).select("src", "sdir", "ddir", "dst").distinct()
-    return _both_ends(plain).distinct()
+    """All edges with their mirrors, by one shuffle of the distinct ones.
+
+    Of an edge and its mirror the one from the smaller node is made distinct; a link of a
+    node to itself that is its own mirror comes once.
+    """
+    s = _windows(good, k + 1).select(*_step(k))
+    turn = (F.col("src") > F.col("dst")) | (F.col("src") == F.col("dst")) & (F.col("sdir") == "r") & (F.col("ddir") == "r")
+    pick = lambda here, there: F.when(turn, there).otherwise(here)
+    one = s.select(
+        F.least("src", "dst").alias("src"), pick(F.col("sdir"), flip(F.col("ddir"))).alias("sdir"),
+        pick(F.col("ddir"), flip(F.col("sdir"))).alias("ddir"), F.greatest("src", "dst").alias("dst"),
+    ).distinct()
+    ends = F.struct("src", "sdir", "ddir", "dst")
+    mirror = F.struct(F.col("dst").alias("src"), flip(F.col("ddir")).alias("sdir"), flip(F.col("sdir")).alias("ddir"), F.col("src").alias("dst"))
+    alone = (F.col("src") == F.col("dst")) & (F.col("sdir") != F.col("ddir"))
+    return one.select(F.explode(F.when(alone, F.array(ends)).otherwise(F.array(ends, mirror))).alias("e")).select(
+        F.col("e.src").cast("string").alias("src"), "e.sdir", "e.ddir", F.col("e.dst").cast("string").alias("dst")
+    )
+
+
+def _tagged(good: DataFrame, k: int) -> DataFrame:
+    """Steps (read, pos, src, sdir, ddir, dst, utag, vtag) with their chunk tags, in one pass over the windows."""
+    u, ru = _at(k)
+    # a window takes the next one's last base along, if there is one
+    win = _windows(good, k).select("read", "pos", "n", F.substr("b", F.col("pos") + 1, F.lit(k + 1)).alias("w"), u.alias("u"))
+    seen = F.row_number().over(W.partitionBy("read", "u").orderBy("pos")) > 1
+    ranked = win.withColumn("again", seen.cast("int"))
+    order = W.partitionBy("read").orderBy("pos")
+    ahead = F.lead("again").over(order)  # null at the last window, which begins no step
+    step = ranked.withColumn("repeat", F.when(ahead.isNotNull(), F.greatest("again", ahead)))
+    step = step.withColumn("upto", F.sum("repeat").over(order.rowsBetween(W.unboundedPreceding, 0))).where("repeat is not null")
+    tag = lambda n: F.when(n > 0, F.concat(F.col("read"), F.lit("c"), n.cast("string"))).otherwise(F.col("read"))
+    return step.select(
+        "read", F.col("pos").alias("at"), tag(2 * F.col("upto") - F.col("repeat")).alias("utag"), tag(2 * F.col("upto")).alias("vtag"),
+        F.col("w").alias("b"), rc(F.col("w").cast("string")).cast("binary").alias("rb"), F.lit(k + 1).alias("n"), F.lit(0).alias("pos"),
+    )
 
 
 def chunk_tags(good: DataFrame, k: int) -> DataFrame:
@@ -81,15 +135,7 @@ def chunk_tags(good: DataFrame, k: int) -> DataFrame:
     equal.  The chunk number rises by one before each end of such a step is named; while
     it is 0 the name has no suffix.
     """
-    seen = F.row_number().over(W.partitionBy("read", "kmer").orderBy("pos")) > 1
-    ranked = kmer_windows(good, k).withColumn("again", seen.cast("int"))
-    order = W.partitionBy("read").orderBy("pos")
-    ahead = F.lead("again").over(order)  # null at the last window, which begins no step
-    step = ranked.withColumn("repeat", F.when(ahead.isNotNull(), F.greatest("again", ahead)))
-    step = step.withColumn("upto", F.sum("repeat").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    step = step.where("repeat is not null")
-    tag = lambda n: F.when(n > 0, F.concat(F.col("read"), F.lit("c"), n.cast("string"))).otherwise(F.col("read"))
-    return step.select("read", "pos", tag(2 * F.col("upto") - F.col("repeat")).alias("utag"), tag(2 * F.col("upto")).alias("vtag"))
+    return _tagged(good, k).select("read", F.col("at").alias("pos"), "utag", "vtag")
 
 
 def read_starts(good: DataFrame, k: int, cap: int) -> DataFrame:
@@ -103,7 +149,7 @@ def read_starts(good: DataFrame, k: int, cap: int) -> DataFrame:
 
 def edge_threads(good: DataFrame, k: int, cap: int, all_nodes: bool = False, graph_edges: DataFrame | None = None) -> DataFrame:
     """(node_id, sdir, ddir, dst, read): chunk tags of the reads over each edge at its branching ends, the first ``cap`` by name."""
-    tagged = steps(good, k).join(chunk_tags(good, k), ["read", "pos"])
+    tagged = _named(_tagged(good, k).select("utag", "vtag", *_step(k)))
     ends = _both_ends(tagged, ("read", "utag", "vtag")).withColumnRenamed("src", "node_id").distinct()
     if not all_nodes:
         degree = (graph_edges if graph_edges is not None else edges(good, k)).groupBy(F.col("src").alias("node_id"), "sdir").count().where("count > 1")

@@ -6,6 +6,7 @@ Reads are derived from ``documents.text``: its letters A, C, G and T in upper ca
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,21 +25,35 @@ P = Params(k=K, low_cov=2.0, bubble_rate=0.2, min_thread_weight=2, insert_len=IN
 
 
 def derived(spark: SparkSession, sf: str) -> DataFrame:
-    return sources.from_text(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    return sources.from_text(sources.spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")), "doc_id")
 
 
 def good(spark: SparkSession, sf: str) -> DataFrame:
     return build.clean_reads(derived(spark, sf), P)
 
 
-def raw(spark: SparkSession, sf: str, reads: DataFrame | None = None, traced: bool = False) -> Graph:
-    """The uncompacted graph, stored once for the several joins of a query."""
-    work = Workspace(spark, "raw")
-    ok = good(spark, sf) if reads is None else build.clean_reads(reads, P)
-    edges = work.put(build.edges(ok, K), "edges")
-    nodes = work.put(build.nodes(ok, K), "nodes")
-    some = build.edge_threads(ok, K, P.max_threads, False, edges)
-    return Graph(nodes, edges, work.put(some, "threads") if traced else some, build.read_starts(ok, K, P.max_read_starts))
+_STORED: dict[tuple, Graph] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a file or folder was changed last, and its size."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength()
+
+
+def raw(spark: SparkSession, sf: str, mates: bool = False, traced: bool = False) -> Graph:
+    """The uncompacted graph of a folder's reads, stored once a session as long as its input stays the same."""
+    key = (spark.sparkContext.applicationId, sf, mates, *_stamp(spark, f"{sf}/documents.parquet"))
+    ok = build.clean_reads(paired(spark, sf) if mates else derived(spark, sf), P)
+    if key not in _STORED:
+        work = Workspace(spark, "raw")
+        _STORED[key] = Graph(work.put(build.nodes(ok, K), "nodes"), work.put(build.edges(ok, K), "edges"), None, build.read_starts(ok, K, P.max_read_starts))
+    graph = _STORED[key]
+    if graph.threads is None and traced:
+        some = Workspace(spark, "raw").put(build.edge_threads(ok, K, P.max_threads, False, graph.edges), "threads")
+        graph = _STORED[key] = replace(graph, threads=some)
+    return graph if graph.threads is not None else replace(graph, threads=build.edge_threads(ok, K, P.max_threads, False, graph.edges))
 
 
 def paired(spark: SparkSession, sf: str) -> DataFrame:
@@ -326,12 +341,12 @@ def low_coverage_cut(spark, sf):
 
 @query("thread_symmetrise", with_ctes("SELECT * FROM sym", "sym"))
 def thread_symmetrise(spark, sf):
-    return threads.symmetrised(raw(spark, sf))
+    return threads.symmetrised(raw(spark, sf, traced=True))
 
 
 @query("port_pair_weights", with_ctes("SELECT * FROM weights", "weights"))
 def port_pair_weights(spark, sf):
-    return threads.port_pair_weights(threads.symmetrised(raw(spark, sf)))
+    return threads.port_pair_weights(threads.symmetrised(raw(spark, sf, traced=True)))
 
 
 def _marked(spark, sf) -> tuple[Graph, DataFrame]:
@@ -369,17 +384,17 @@ def unique_contigs(spark, sf):
     ),
 )
 def mate_internal_dist(spark, sf):
-    return mates.internal_distances(mates.mate_ends(raw(spark, sf, paired(spark, sf)), P))
+    return mates.internal_distances(mates.mate_ends(raw(spark, sf, mates=True), P))
 
 
 @query("mate_linking_edges", with_ctes("SELECT * FROM links", "links", mates=True))
 def mate_linking_edges(spark, sf):
-    return mates.linking_edges(mates.mate_ends(raw(spark, sf, paired(spark, sf)), P), P)
+    return mates.linking_edges(mates.mate_ends(raw(spark, sf, mates=True), P), P)
 
 
 @query("mate_bundles", with_ctes("SELECT * FROM bundles", "bundles", mates=True))
 def mate_bundles(spark, sf):
-    return mates.bundles(mates.linking_edges(mates.mate_ends(raw(spark, sf, paired(spark, sf)), P), P))
+    return mates.bundles(mates.linking_edges(mates.mate_ends(raw(spark, sf, mates=True), P), P))
 
 
 def _hop_sql(hops: int) -> str:
@@ -395,7 +410,7 @@ def _hop_sql(hops: int) -> str:
 
 
 def _hops(spark, sf, hops: int) -> DataFrame:
-    graph = raw(spark, sf, paired(spark, sf))
+    graph = raw(spark, sf, mates=True)
     frontier = mates.seeds(mates.bundles(mates.linking_edges(mates.mate_ends(graph, P), P)), K)
     for h in range(1, hops + 1):
         frontier = mates.hop(frontier, graph, P, h == 1)
@@ -473,7 +488,7 @@ FROM (SELECT right(CASE sdir WHEN 'f' THEN src ELSE translate(reverse(src), 'ACG
     ),
 )
 def graph_check(spark, sf):
-    return inspect.check_graph(raw(spark, sf), K)
+    return inspect.check_graph(raw(spark, sf, traced=True), K)
 
 
 @query(
@@ -552,7 +567,7 @@ def unroll_tandems(spark, sf):
 
 @query("mate_paths")
 def mate_paths(spark, sf):
-    graph = compact.compact(raw(spark, sf, paired(spark, sf), traced=True), K)
+    graph = compact.compact(raw(spark, sf, mates=True, traced=True), K)
     bundled = Workspace(spark, "bundles").put(mates.bundles(mates.linking_edges(mates.mate_ends(graph, P), P)), "bundles")
     return mates.sure_paths(mates.search_paths(graph, bundled, P)[0])
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequence import rc
+from ..storage import Workspace
 
 READS = "read string, seq string"
 
@@ -50,14 +52,19 @@ def read_fastq(spark: SparkSession, path: str, suffix: str = "") -> tuple[DataFr
 
 def renumbered(reads: DataFrame) -> DataFrame:
     """Names replaced by hexadecimal numbers in the order of names; only counts of partitions are gathered."""
-    ordered = reads.repartitionByRange("read").sortWithinPartitions("read", "seq").withColumn("part", F.spark_partition_id())
-    from pyspark.sql import Window as W
-
+    # stored, so that the two uses below see the same partitions
+    ordered = Workspace(reads.sparkSession, "names").put(reads.repartitionByRange("read").withColumn("part", F.spark_partition_id()), "ordered")
     ordered = ordered.withColumn("n", F.row_number().over(W.partitionBy("part").orderBy("read", "seq")))
     before = ordered.groupBy("part").count().withColumn("base", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
     return ordered.join(F.broadcast(before), "part").select(F.hex(F.col("n") + F.col("base")).alias("read"), "seq")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of few files dealt over all cores, as its reads become many windows; a scan of enough partitions stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def from_text(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Reads derived from any text column: its letters A, C, G and T in upper case."""
     return df.select(F.col(key).cast("string").alias("read"), F.regexp_replace(F.upper(F.coalesce(F.col(text).cast("string"), F.lit(""))), "[^ACGT]", "").alias("seq"))
