@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .cluster import Workspace, shuffle_partitions
+from .cluster import Workspace, shuffle_partitions, trimmed
 
 #: Vectors the lists are fitted on, at most, but two a list; all vectors are indexed.
 SAMPLE = 32_768
@@ -378,7 +378,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: floa
 
     def ready(df: DataFrame, name: str) -> DataFrame:
         rows = df.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(f"array<{kind}>").alias("v"))
-        return work.put(rows.mapInArrow(_usable(code), "id long, body binary, dims int, norm double, band int"), name)
+        return work.put(rows.mapInArrow(trimmed(_usable(code)), "id long, body binary, dims int, norm double, band int"), name)
 
     rows, asked = ready(vectors, "vectors"), ready(queries, "queries")
     shapes = rows.groupBy("dims", "band").agg(F.count("*").alias("n"), F.max("norm").alias("radius")).collect()  # a row a band
@@ -402,7 +402,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: floa
     tried = x[np.linspace(0, len(x) - 1, min(256, len(x))).astype(int)] if len(x) else x
     probes = choose_probes(lists, x, band, tried, k, recall)
 
-    dealt = work.put(rows.select("id", "body", "band").mapInArrow(_deal(lists), "list int, id long, body binary"), "dealt")
+    dealt = work.put(rows.select("id", "body", "band").mapInArrow(trimmed(_deal(lists)), "list int, id long, body binary"), "dealt")
     size = np.zeros(len(lists.centres), np.int64)
     for r in dealt.groupBy("list").count().collect():  # one row a list
         size[r["list"]] = r["count"]
@@ -411,13 +411,13 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: floa
     salts = F.array(*[F.lit(int(max(1, m))) for m in pieces.tolist()])
     salt = F.pmod(F.xxhash64("id"), F.element_at(salts, F.col("list") + 1).cast("long")).cast("int")
     salted = dealt.withColumn("salt", salt).repartition(parts, "list", "salt").sortWithinPartitions("list", "salt", "id", "body")
-    chunks = work.put(salted.mapInArrow(_chunks(lists, first), "chunk long, list int, ids binary, original binary, columns binary"), "chunks")
+    chunks = work.put(salted.mapInArrow(trimmed(_chunks(lists, first)), "chunk long, list int, ids binary, original binary, columns binary"), "chunks")
     work.drop("dealt", "vectors")
 
     total = int(first[-1])
     pairs = asked.count() * n * min(1.0, probes / len(size))
     shelf = min(SHELF, -(-total // max(1, min(parts, int(pairs // PAIRS)))))
-    aimed = work.put(asked.select("id", "body").mapInArrow(_aim(lists, size, first, shelf, probes, k + 1), "shelf long, id long, body binary, bits binary"), "aimed")
+    aimed = work.put(asked.select("id", "body").mapInArrow(trimmed(_aim(lists, size, first, shelf, probes, k + 1)), "shelf long, id long, body binary, bits binary"), "aimed")
     busy = {r["shelf"]: r["count"] for r in aimed.groupBy("shelf").count().collect()}  # one row a shelf
     if not busy:
         return empty
@@ -435,6 +435,6 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: floa
         F.lit(None).cast("binary").alias("body"), F.lit(None).cast("binary").alias("bits"), "list", (F.col("chunk") % shelf).cast("int").alias("bit"), "ids", "original", "columns",
     )
     met = come.union(stand).repartitionById(places, F.col("place").cast("int")).sortWithinPartitions("place", F.asc_nulls_first("chunk"), "id", "body")
-    near = met.mapInArrow(_search(lists, k), "query_id long, vec_id long, score double")
+    near = met.mapInArrow(trimmed(_search(lists, k)), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

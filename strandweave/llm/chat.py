@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import text_bytes
-from .cluster import Workspace, shuffle_partitions
+from .cluster import Workspace, shuffle_partitions, trimmed
 
 OPEN, FEED, CLOSE = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 FORMATTED = "conv_id long, fragment long, n_turns long, formatted string, loss_starts array<long>, loss_ends array<long>"
@@ -123,7 +123,7 @@ def format_conversations(turns: DataFrame, learn: str = "assistant") -> DataFram
     )
     keys = ["conv_id", "turn", "role", "text"]
     dealt = rows.repartitionByRange(shuffle_partitions(turns.sparkSession), "conv_id", "turn").sortWithinPartitions(*keys)
-    return dealt.select("conv_id", "role", "text").mapInArrow(_format(learn), FORMATTED)
+    return dealt.select("conv_id", "role", "text").mapInArrow(trimmed(_format(learn)), FORMATTED)
 
 
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
@@ -180,4 +180,4 @@ def digest(formatted: DataFrame) -> DataFrame:
     task; they are streamed, only one is held.
     """
     met = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "fragment")
-    return met.mapInArrow(_digest, DIGEST)
+    return met.mapInArrow(trimmed(_digest), DIGEST)

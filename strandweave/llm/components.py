@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import Workspace
+from .cluster import Workspace, trimmed
 
 #: Links up to this number, by a count, meet in one task: 16 bytes each.
 FEW_LINKS = 200_000
@@ -57,7 +57,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     plain = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = work.put(plain.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "e0")  # u > v
     if now.schema["u"].dataType.simpleString() == "bigint" and now.count() <= FEW_LINKS:
-        return now.coalesce(1).mapInArrow(_union_find, "node long, component long")
+        return now.coalesce(1).mapInArrow(trimmed(_union_find), "node long, component long")
     for k in range(1, max_rounds + 1):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix, pieces, shingles, words
-from .cluster import Workspace, shuffle_partitions
+from .cluster import Workspace, shuffle_partitions, trimmed
 from .components import components
 
 #: Counters of the order's sketch, and slices it is shipped in.  Fixed; 4 MB broadcast.
@@ -396,24 +396,24 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = shuffle_partitions(spark)
 
-    surveyed = work.put(rows.mapInArrow(_survey(k), _SURVEYED), "surveyed")
+    surveyed = work.put(rows.mapInArrow(trimmed(_survey(k)), _SURVEYED), "surveyed")
     described = surveyed.where("slice is null")
     sliced = surveyed.where("slice is not null").select("slice", "counts").repartition(min(SLICES, parts), "slice")
     level = np.zeros(SKETCH, np.uint8)
     width = SKETCH // SLICES
-    for r in sliced.mapInArrow(_add_slices, "slice int, level binary").collect():  # the sketch's fixed size
+    for r in sliced.mapInArrow(trimmed(_add_slices), "slice int, level binary").collect():  # the sketch's fixed size
         level[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["level"], np.uint8)
     classes = described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     classes = work.put(classes, "classes")
-    costs = described.where("small is not null").select("small").mapInArrow(_costs(level, num, den), "n long, sets long, scanned double")
+    costs = described.where("small is not null").select("small").mapInArrow(trimmed(_costs(level, num, den)), "n long, sets long, scanned double")
     by_size = costs.groupBy("n").agg(F.sum("sets").alias("sets"), F.sum("scanned").alias("scanned")).collect()  # SMALL + 1 rows at most
     boundary = choose_boundary({r["n"]: r["sets"] for r in by_size}, {r["n"]: r["scanned"] for r in by_size}, num, den)
 
     total = described.agg(F.sum("n")).first()[0] or 0
     buckets = max(2 * parts, total // 4_000_000)
-    posted = rows.select("text").mapInArrow(_post(k, level, boundary, buckets, num, den), "bucket int, tokens binary, keys binary, sizes binary")
+    posted = rows.select("text").mapInArrow(trimmed(_post(k, level, boundary, buckets, num, den)), "bucket int, tokens binary, keys binary, sizes binary")
     met = posted.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = work.put(met.mapInArrow(_scan_lists(boundary, num, den), _FOUND), "found")
+    found = work.put(met.mapInArrow(trimmed(_scan_lists(boundary, num, den)), _FOUND), "found")
     work.tidy()
 
     pairs = found.where("token is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -423,7 +423,7 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
         """Pairs that the parity maps don't rule out."""
         p = p.join(maps.select(F.col("key").alias("a"), F.col("n").alias("an"), F.col("bits").alias("abits")), "a")
         p = p.join(maps.select(F.col("key").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bbits")), "b")
-        return p.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(_bound(num, den), "a long, b long, apart double")
+        return p.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(trimmed(_bound(num, den)), "a long, b long, apart double")
 
     pairs = work.put(bounded(pairs), "pairs")
     members = found.where("token is not null").select("token", "a", "an")
@@ -435,10 +435,10 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
     wanted = work.put(asked.join(classes.select("key", "rep"), "key"), "wanted")
     marks = np.zeros(WANTED // 8, np.uint8)
     width = len(marks) // SLICES
-    marked = wanted.select(F.coalesce("rep", F.lit(0).cast("long")).alias("rep")).mapInArrow(_mark, "slice int, marks binary").repartition(min(SLICES, parts), "slice")
-    for r in marked.mapInArrow(_merge_marks, "slice int, marks binary").collect():  # the bitmap's fixed size
+    marked = wanted.select(F.coalesce("rep", F.lit(0).cast("long")).alias("rep")).mapInArrow(trimmed(_mark), "slice int, marks binary").repartition(min(SLICES, parts), "slice")
+    for r in marked.mapInArrow(trimmed(_merge_marks), "slice int, marks binary").collect():  # the bitmap's fixed size
         marks[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["marks"], np.uint8)
-    bodies = rows.mapInArrow(_sets_of(k, marks), "key long, body binary, wide binary") if marks.any() else spark.createDataFrame([], "key long, body binary, wide binary")
+    bodies = rows.mapInArrow(trimmed(_sets_of(k, marks)), "key long, body binary, wide binary") if marks.any() else spark.createDataFrame([], "key long, body binary, wide binary")
     bodies = work.put(bodies.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "bodies", codec="lz4")
     work.tidy()
 
@@ -463,11 +463,11 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
         maps = with_both(p, "wide")
         if maps is None:
             return None
-        close = maps.select("a", "b", "an", "bn", F.col("x").alias("abits"), F.col("y").alias("bbits")).mapInArrow(_bound(num, den), "a long, b long, apart double")
+        close = maps.select("a", "b", "an", "bn", F.col("x").alias("abits"), F.col("y").alias("bbits")).mapInArrow(trimmed(_bound(num, den)), "a long, b long, apart double")
         both = with_both(work.put(close.select("a", "b"), f"{name}-close"), "body")
         if both is None:
             return None
-        return both.select("a", "b", F.col("x").alias("aset"), F.col("y").alias("bset")).mapInArrow(_verify(num, den), "a long, b long")
+        return both.select("a", "b", F.col("x").alias("aset"), F.col("y").alias("bset")).mapInArrow(trimmed(_verify(num, den)), "a long, b long")
 
     group = work.put(wanted.select(F.col("key").alias("node"), F.col("key").alias("component")), "group0")
     step = 0
@@ -506,7 +506,7 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
             break
         left = labelled.join(mixed, "token", "left_semi").select("token", "a", "an", "component", "bits")
         left = left.repartition(parts, "token").sortWithinPartitions("token", "an", "a")
-        more = left.mapInArrow(_open_pairs(central > 0, num, den), "a long, b long").distinct()
+        more = left.mapInArrow(trimmed(_open_pairs(central > 0, num, den)), "a long, b long").distinct()
         before = step
         group = merged(group, verified(more, f"asked{r + 2}"))
         if central == 0:

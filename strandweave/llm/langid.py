@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrams import LETTERS, features
-from .cluster import Workspace
+from .cluster import Workspace, trimmed
 from .linear import fit_platt, fit_svm, sigmoid
 
 BITS = 12
@@ -152,8 +152,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, each: int = SAMPLE_EACH) -> Model
     draw = F.pmod(F.xxhash64(F.col("doc_id"), "text", F.lit(11)), F.lit(1_000_000)) / 1e6
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, quota / n))])
     chosen = known.where(draw < share[F.col("lang")]).select("text", "lang")
-    rows = chosen.mapInArrow(_sampled, "lang string, x binary").limit(sample)
-    found = rows.mapInArrow(_train, "model binary").first()
+    rows = chosen.mapInArrow(trimmed(_sampled), "lang string, x binary").limit(sample)
+    found = rows.mapInArrow(trimmed(_train), "model binary").first()
     return pickle.loads(found["model"]) if found else Model({})
 
 
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     the model has learned nothing.  Very long texts are read whole.  Repeated rows are
     predicted each; an empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(_predict(model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(_predict(model)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
@@ -195,4 +195,4 @@ def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
                 keep = (score >= least) & (np.array(lang, object) != UNKNOWN)
                 yield batch.slice(first, len(x)).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import NOT_ALNUM, pieces, shingles, text_bytes, words
-from .cluster import Workspace
+from .cluster import Workspace, trimmed
 
 #: Items of a block.
 BLOCK = 8
@@ -277,7 +277,7 @@ def _indexes(items: DataFrame, k: int, num: int, den: int) -> Iterator[Index]:
     passes = -(-size // PASS_BYTES)
     tests = tests.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, passes))))
     if passes > 1:
-        terms = work.put(tests.select("part", "text").mapInArrow(_item_terms, "part long, term long, length long"), "terms")
+        terms = work.put(tests.select("part", "text").mapInArrow(trimmed(_item_terms), "part long, term long, length long"), "terms")
         n, length = terms.where("term is null").agg(F.count("*"), F.sum("length")).first()
         frequency = work.put(terms.where("term is not null").groupBy("term").agg(F.count("*").alias("df")), "frequency")
     for p in range(passes):
@@ -306,7 +306,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 75, den
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     out = None
     for index in _indexes(items, k, num, den):
-        found = rows.mapInArrow(_match(index, k, num, den), FOUND)
+        found = rows.mapInArrow(trimmed(_match(index, k, num, den)), FOUND)
         out = found if out is None else out.union(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], FOUND)
 
@@ -326,5 +326,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 75,
         return run
 
     for index in _indexes(items, k, num, den):
-        docs = docs.mapInArrow(clean(index), docs.schema)
+        docs = docs.mapInArrow(trimmed(clean(index)), docs.schema)
     return docs

@@ -23,8 +23,7 @@ that grows with the corpus is broadcast or collected; slices and buckets get mor
 
 from __future__ import annotations
 
-import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix, pieces, words
-from .cluster import Workspace, shuffle_partitions
+from .cluster import Workspace, shuffle_partitions, trimmed
 from .tokenfile import pack_ids, unpack_ids
 
 #: Text bytes of a chunk, about.
@@ -71,19 +70,6 @@ def arr(body: bytes | None, kind) -> np.ndarray:
     return out.view(np.uint64).reshape(-1).astype(kind)
 
 
-def trimmed(work: Callable) -> Callable:
-    """The same work, after which the worker gives free memory back: it idles next to the executor's JVM, or does other work."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
-
-    return run
-
-
 def count_of(body: bytes) -> int:
     return int.from_bytes(body[1:9], "little")
 

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import encode_column
-from .cluster import Workspace
+from .cluster import Workspace, trimmed
 
 PIECES = "part int, nth long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     work = Workspace(docs.sparkSession, "packing")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     schema = PIECES if with_ids else PIECES.removesuffix(", ids binary")
-    cut = rows.mapInArrow(_cut(tokenizer, end_id, capacity, with_ids), PIECES)
+    cut = rows.mapInArrow(trimmed(_cut(tokenizer, end_id, capacity, with_ids)), PIECES)
     cut = work.put(cut if with_ids else cut.drop("ids"), "pieces")
     by_task = work.put(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     counts = np.zeros(capacity + 1, np.int64)
@@ -177,4 +177,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     numbered = cut.join(base, ["part", "length"]).withColumn("nth", F.col("nth") + F.col("base")).drop("base")
     out = schema.removeprefix("part int, nth long, ") + ", sequence_id long, offset long"
     order = [c.split(" ")[0] for c in schema.split(", ")]
-    return numbered.select(*order).mapInArrow(_place(plan), out)
+    return numbered.select(*order).mapInArrow(trimmed(_place(plan)), out)

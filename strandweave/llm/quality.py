@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytegrams import features
 from .bytewords import text_bytes
-from .cluster import Workspace
+from .cluster import Workspace, trimmed
 from .linear import fit_logistic, sigmoid
 
 BITS = 11
@@ -304,21 +304,21 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = LABELLED_EACH, rounds: i
 
     def features_of(some: DataFrame, name: str) -> DataFrame:
         """Stored features of the documents of ``some``(doc_id, y), a bounded table; repeated rows meet in a partial minimum."""
-        found = rows.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(_sampled, _SAMPLED)
+        found = rows.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(trimmed(_sampled), _SAMPLED)
         one = found.groupBy("doc_id").agg(F.min(F.struct("x", "source", "lang", "n_chars")).alias("r"))
         return work.put(one.join(F.broadcast(some), "doc_id").select("doc_id", "y", "r.*"), name)
 
     have, picks = features_of(chosen, "sample"), Picks()
     for r in range(rounds + 1):
         # the samples are bounded: one task fits
-        fitted = have.repartition(1).mapInArrow(_fit(prior, picks, r == rounds), "model binary").first()
+        fitted = have.repartition(1).mapInArrow(trimmed(_fit(prior, picks, r == rounds)), "model binary").first()
         if fitted is None:
             return None
         models, sampled = pickle.loads(fitted["model"])
         if r == rounds:
             return models
         numbers = shares(prior, per_round)
-        found = rows.mapInArrow(_candidates(models, sampled, picks, numbers), _CANDIDATE)
+        found = rows.mapInArrow(trimmed(_candidates(models, sampled, picks, numbers)), _CANDIDATE)
         found = found.groupBy("run", "view", "label", "doc_id").agg(F.max("sure").alias("sure"))
         order = W.partitionBy("run", "view", "label").orderBy(F.desc("sure"), "doc_id")
         found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("label") == 1, numbers[1]).otherwise(numbers[0]))
@@ -360,7 +360,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
             for part, (t, m, both) in _scored(model, batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(t), pa.array(m), pa.array(both), pa.array(both >= threshold)], names=["doc_id", "p_text", "p_metadata", "score", "keep"])
 
-    return _rows(docs).mapInArrow(run, schema)
+    return _rows(docs).mapInArrow(trimmed(run), schema)
 
 
 def good(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
@@ -374,4 +374,4 @@ def good(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFr
             for part, (_, _, both) in _scored(model, batch):
                 yield part.filter(pa.array(both >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_column, encoder
-from .cluster import Workspace, shuffle_partitions
+from .cluster import Workspace, shuffle_partitions, trimmed
 
 #: Ids in a block, about; one document is never split.
 BLOCK_IDS = 1 << 17
@@ -143,10 +143,10 @@ def write_token_file(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0,
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text"))
-    coded = work.put(ordered.mapInArrow(_encode(tokenizer, end_id), _CODED), "coded")
+    coded = work.put(ordered.mapInArrow(trimmed(_encode(tokenizer, end_id)), _CODED), "coded")
     counted = coded.select("ids", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     # at most one row for each id of the vocabulary
-    found = counted.mapInArrow(_count(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    found = counted.mapInArrow(trimmed(_count(size)), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(size, np.int64)
     for r in found:
         total[r["id"]] = r["n"]
@@ -154,7 +154,7 @@ def write_token_file(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0,
     rank_of = np.empty(size, np.uint32)
     rank_of[by_rank] = np.arange(size, dtype=np.uint32)
     spark.createDataFrame([(by_rank.tolist(),)], "ids array<int>").coalesce(1).write.mode("overwrite").parquet(f"{out}/ranks")
-    coded.mapInArrow(_write_blocks(rank_of), _BLOCKS).write.mode("overwrite").parquet(f"{out}/blocks")
+    coded.mapInArrow(trimmed(_write_blocks(rank_of)), _BLOCKS).write.mode("overwrite").parquet(f"{out}/blocks")
     work.drop()
 
 
@@ -192,7 +192,7 @@ def read_token_file(spark: SparkSession, path: str, per_document=None, schema: s
             columns = [row["doc_ids"], (start + ends - counts).tolist(), *zip(*made, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c)) if k != 0 else pa.array(c, pa.int64()) for k, c in enumerate(columns)], names=names)
 
-    return blocks.mapInArrow(run, schema)
+    return blocks.mapInArrow(trimmed(run), schema)
 
 
 def digest(ids: np.ndarray) -> tuple[int, int]:
