@@ -15,6 +15,9 @@ from ..functions.sequence import flip, oriented
 from ..storage import Workspace
 from .graph import Graph, compressible_links
 
+#: Nodes of a chain that are gathered in one row.
+BLOCK = 4096
+
 
 def _double(ptr: DataFrame, ahead: DataFrame) -> DataFrame:
     """One doubling: every unfinished pointer jumps over the pointer it leads to."""
@@ -38,17 +41,19 @@ def _pointers(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def _rank(members: DataFrame, links: DataFrame, work: Workspace, name: str) -> tuple[DataFrame, int]:
     """Pointers to heads, and how many oriented nodes have none (those of rings)."""
-    ptr = work.put(_pointers(members, links), f"{name}0")
-    left, k = ptr.where("not done").count(), 0
+    first = work.put(_pointers(members, links), f"{name}0")
+    done, open_ = first.where("done"), first.where("not done")
+    left, k = open_.count(), 0
     while left:
         k += 1
-        ptr = work.put(_double(ptr, ptr), f"{name}{k}")
-        work.drop(f"{name}{k - 1}")
-        now = ptr.where("not done").count()
+        # a pointer is stored again only as long as it is open, and once when it is done
+        ptr = work.put(_double(open_, done.union(open_)), f"{name}{k}")
+        done, open_ = done.union(ptr.where("done")), ptr.where("not done")
+        now = open_.count()
         if now == left:  # a chain always has some node whose reach just covers the way to its head
             break
         left = now
-    return ptr, left
+    return done.union(open_), left
 
 
 def ring_lows(ptr: DataFrame, work: Workspace) -> DataFrame:
@@ -101,10 +106,11 @@ def compact(graph: Graph, k: int, label: str = "compact") -> Graph:
     n = F.length("seq") - (k - 1)
     parts = graph.nodes.join(where, "node_id").select("chain", "rank", "node_id", "dir", oriented(F.col("seq"), F.col("dir")).alias("seq"), "cov")
     piece = F.when(F.col("rank") == 0, F.col("seq")).otherwise(F.substring("seq", k, 2**31 - 1))
-    whole = parts.groupBy("chain").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", piece.alias("piece")))), lambda x: x["piece"]), "").alias("seq"),
-        (F.sum(F.col("cov") * n) / F.sum(n)).alias("cov"),
-    )
+    # blocks of ranks first, then the blocks: no row gathers more than BLOCK pieces, or a chain's blocks
+    line = lambda by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "piece"))), lambda x: x["piece"]), "").alias("piece")
+    parts = parts.withColumn("block", F.floor(F.col("rank") / BLOCK))
+    blocks = parts.withColumn("piece", piece).groupBy("chain", "block").agg(line("rank"), F.sum(F.col("cov") * n).alias("cov"), F.sum(n).alias("n"))
+    whole = blocks.groupBy("chain").agg(line("block"), (F.sum("cov") / F.sum("n")).alias("cov")).withColumnRenamed("piece", "seq")
     nodes = whole.select(F.col("chain").alias("node_id"), "seq", "cov")
     # a node in its kept orientation is the chain read forward
     here = where.select("node_id", "dir", "chain")
@@ -117,8 +123,11 @@ def compact(graph: Graph, k: int, label: str = "compact") -> Graph:
     kept = graph.threads.join(inner, ["node_id", "sdir", "ddir", "dst"], "left_anti")
     kept = kept.join(at("node_id", "sdir", "a"), "node_id").join(at("dst", "ddir", "b"), "dst")
     threads = kept.select(F.col("a").alias("node_id"), side("sdir").alias("sdir"), side("ddir").alias("ddir"), F.col("b").alias("dst"), "read").distinct()
-    before = W.partitionBy("chain").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
-    base = parts.select("chain", "node_id", "dir", F.length("seq").alias("len"), F.coalesce(F.sum(n).over(before), F.lit(0)).alias("base"))
+    sums = parts.groupBy("chain", "block").agg(F.sum(n).alias("n"))
+    ahead = lambda by, at: F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("chain", "block", ahead(["chain"], "block").alias("ahead"))
+    base = parts.select("chain", "block", "rank", "node_id", "dir", F.length("seq").alias("len"), n.alias("n")).withColumn("within", ahead(["chain", "block"], "rank"))
+    base = base.join(sums, ["chain", "block"]).select("chain", "node_id", "dir", "len", (F.col("ahead") + F.col("within")).alias("base"))
     moved = graph.starts.join(base, "node_id")
     forward = F.col("dir") == "f"
     starts = moved.select(

@@ -28,7 +28,10 @@ def check_graph(graph: Graph, k: int) -> DataFrame:
 
 
 def check_starts(graph: Graph, reads: DataFrame) -> DataFrame:
-    """One row: read starts that match their read's beginning where the node covers it, and those that don't."""
+    """One row: read starts that match their read's beginning where the node covers it, and those that don't.
+
+    Starts of reads that are not given, or of nodes that are not there, count for nothing, as do nulls.
+    """
     x = graph.starts.join(graph.nodes, "node_id").join(reads.select(F.regexp_replace("read", "c[0-9]+$", "").alias("read"), F.col("seq").alias("rseq")), "read")
     forward = F.substr("seq", F.col("off") + 1, F.length("rseq"))
     back = F.substr(rc(F.col("seq")), F.length("seq") - F.col("off"), F.length("rseq"))
@@ -37,19 +40,35 @@ def check_starts(graph: Graph, reads: DataFrame) -> DataFrame:
     return x.agg(F.count_if(ok).alias("starts_ok"), F.count_if(~ok).alias("starts_bad"))
 
 
-def neighborhood(graph: Graph, seed: str, hops: int, label: str = "near") -> DataFrame:
-    """(node_id, distance) of nodes within so many edges of the seed."""
+def _reached(graph: Graph, seed: str, hops: int, label: str) -> DataFrame:
+    """(node_id, distance, via): nodes within so many edges of the seed, and the smallest neighbour one step nearer."""
     spark = graph.edges.sparkSession
     work = Workspace(spark, label)
-    seen = graph.nodes.where(F.col("node_id") == seed).select("node_id", F.lit(0).alias("distance"))
+    seen = graph.nodes.where(F.col("node_id") == seed).select("node_id", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("via"))
     front = seen
     for h in range(1, hops + 1):
-        step = graph.edges.join(front.select(F.col("node_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("node_id")).distinct()
-        front = work.put(step.join(seen, "node_id", "left_anti").withColumn("distance", F.lit(h)), f"hop{h}")
+        step = graph.edges.join(front.select(F.col("node_id").alias("src")), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("src").alias("via"))
+        front = work.put(step.join(seen, "node_id", "left_anti").select("node_id", F.lit(h).alias("distance"), "via"), f"hop{h}")
         seen = seen.union(front)
     return seen
 
 
+def neighborhood(graph: Graph, seed: str, hops: int, label: str = "near") -> DataFrame:
+    """(node_id, distance) of nodes within so many edges of the seed."""
+    return _reached(graph, seed, hops, label).select("node_id", "distance")
+
+
+def route(graph: Graph, seed: str, dest: str, hops: int, label: str = "route") -> DataFrame:
+    """(step, node_id) of a shortest path from the seed to a destination within so many edges; no rows if there is none."""
+    reached = Workspace(graph.edges.sparkSession, label).put(_reached(graph, seed, hops, label), "reached")
+    at = reached.where(F.col("node_id") == dest)
+    path = at.select(F.col("distance").alias("step"), "node_id")
+    for _ in range(hops):  # one row a step
+        at = at.select(F.col("via").alias("node_id")).join(reached, "node_id")
+        path = path.union(at.select(F.col("distance").alias("step"), "node_id"))
+    return path
+
+
 def dangling_stubs(graph: Graph, k: int) -> Graph:
     """The missing ends of edges as nodes of k times A without coverage, and edges back from them."""
     lost = graph.edges.join(graph.nodes.select(F.col("node_id").alias("dst")), "dst", "left_anti")
@@ -58,25 +77,38 @@ def dangling_stubs(graph: Graph, k: int) -> Graph:
     return Graph(graph.nodes.union(stubs), graph.edges.union(back).distinct(), graph.threads, graph.starts)
 
 
-def details(graph: Graph, types: list[str] | None = None, node_ids: list[str] | None = None) -> DataFrame:
-    """(node_id, type, len, cov, edges, pairs) of chosen nodes.
+FIELDS = ("edges", "pairs", "seq", "starts", "threads")
+
 
-    ``edges`` has (sdir, ddir, dst, reads) of each edge with its number of threads, ``pairs``
-    (fd, fn, rd, rn, weight) of ports that reads join; both are as long as a node's degree allows.
+def details(graph: Graph, types: list[str] | None = None, node_ids: list[str] | None = None, fields: tuple[str, ...] = ("edges", "pairs")) -> DataFrame:
+    """(node_id, type, len, cov) and the chosen fields of chosen nodes; a field without entries is null.
+
+    ``edges``: (sdir, ddir, dst, reads) of each edge with its number of threads; ``pairs``:
+    (fd, fn, rd, rn, weight, reads) of ports that reads join, with the reads' names;
+    ``starts``: (read, rc, off); ``threads``: (sdir, ddir, dst, read); ``seq``.  They are
+    as long as a node's degree and the caps on its reads allow.
     """
-    from .threads import port_pair_weights
+    from .threads import PORT, spanning_reads
 
+    if unknown := set(fields) - set(FIELDS):
+        raise ValueError(f"unknown fields: {', '.join(sorted(unknown))}")
     d = with_degrees(graph.nodes, graph.edges).withColumn("type", branch_type(F.col("deg_f"), F.col("deg_r"), F.col("tandem"), F.col("seq")))
     if types:
         d = d.where(F.col("type").isin(types))
     if node_ids:
         d = d.where(F.col("node_id").isin(node_ids))
-    n = graph.threads.groupBy(F.col("node_id").alias("src"), "sdir", "ddir", "dst").agg(F.count("*").alias("reads"))
-    e = graph.edges.join(n, ["src", "sdir", "ddir", "dst"], "left").groupBy(F.col("src").alias("node_id")).agg(
-        F.array_sort(F.collect_list(F.struct("sdir", "ddir", "dst", F.coalesce("reads", F.lit(0)).alias("reads")))).alias("edges")
-    )
-    w = port_pair_weights(graph.threads).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("fd", "fn", "rd", "rn", "weight"))).alias("pairs"))
-    out = d.select("node_id", "type", F.length("seq").alias("len"), "cov").join(e, "node_id", "left").join(w, "node_id", "left")
+    out = d.select("node_id", "type", F.length("seq").alias("len"), "cov", *(["seq"] if "seq" in fields else []))
+    lists = lambda df, name, *cols: df.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    for name in fields:
+        if name == "edges":
+            n = graph.threads.groupBy(F.col("node_id").alias("src"), "sdir", "ddir", "dst").agg(F.count("*").alias("reads"))
+            e = graph.edges.join(n, ["src", "sdir", "ddir", "dst"], "left").withColumnRenamed("src", "node_id")
+            out = out.join(lists(e, name, "sdir", "ddir", "dst", F.coalesce("reads", F.lit(0)).alias("reads")), "node_id", "left")
+        elif name == "pairs":
+            w = spanning_reads(graph.threads).groupBy("node_id", *PORT).agg(F.count("*").alias("weight"), F.array_sort(F.collect_list("read")).alias("reads"))
+            out = out.join(lists(w, name, *PORT, "weight", "reads"), "node_id", "left")
+        elif name == "starts":
+            out = out.join(lists(graph.starts, name, "read", "rc", "off"), "node_id", "left")
+        elif name == "threads":
+            out = out.join(lists(graph.threads, name, "sdir", "ddir", "dst", "read"), "node_id", "left")
     return out
-
-

@@ -11,6 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import sequence as Q
 from .operators import build, compact, correct, inspect, mates, stats, threads
 from .operators.graph import Graph, compressible_links
 from .params import Params
@@ -525,20 +526,189 @@ def dangling_stub(spark, sf):
     return inspect.dangling_stubs(Graph(kept, edges, graph.threads, graph.starts), K).nodes
 
 
-# ---- fixpoints: no SQL; their tests compare with sequential versions
+# ---- text formats, read back from what is written
 
 
-def _canonical(graph: Graph) -> DataFrame:
-    from .functions.sequence import canonical
+def _written(spark, lines: DataFrame, name: str) -> str:
+    path = Workspace(spark, name).path("text")
+    lines.write.text(path)
+    return path
+
+
+@query("scan_sfa", with_ctes("SELECT * FROM reads", "reads"))
+def scan_sfa(spark, sf):
+    return sources.read_sfa(spark, _written(spark, derived(spark, sf).select(F.concat_ws("\t", "read", "seq").alias("value")), "sfa"))[0]
+
+
+@query("scan_fasta", with_ctes("SELECT * FROM reads WHERE seq <> ''", "reads"))
+def scan_fasta(spark, sf):
+    some = derived(spark, sf).where("seq != ''")
+    wrapped = F.rtrim(F.regexp_replace("seq", "(.{60})", "$1\n"), F.lit("\n"))
+    return sources.read_fasta(spark, _written(spark, some.select(F.concat(F.lit(">"), "read", F.lit(" of a text\n"), wrapped).alias("value")), "fasta"))
+
+
+@query("scan_fastq", with_ctes("SELECT * FROM reads WHERE seq <> ''", "reads"))
+def scan_fastq(spark, sf):
+    some = derived(spark, sf).where("seq != ''")
+    record = F.concat(F.lit("@"), "read", F.lit("\n"), "seq", F.lit("\n+\n"), F.regexp_replace("seq", ".", "I"))
+    return sources.read_fastq(spark, _written(spark, some.select(record.alias("value")), "fastq"))[0]
+
+
+@query("renumbered_reads", with_ctes("SELECT printf('%X', row_number() OVER (ORDER BY read, seq)) AS read, seq FROM reads", "reads"))
+def renumbered_reads(spark, sf):
+    return sources.renumbered(derived(spark, sf))
 
-    return graph.nodes.select(canonical(F.col("seq")).alias("seq"), F.round("cov", 6).alias("cov"))
+
+@query(
+    "node_message_round_trip",
+    with_ctes(
+        """SELECT 'node' AS kind, node_id, node_id AS what, CAST(cov AS BIGINT) AS n, '' AS read FROM nodes
+UNION ALL SELECT 'edge', src, sdir || ddir || dst, 0, '' FROM edges
+UNION ALL SELECT 'thread', node_id, sdir || ddir || dst, 0, read FROM threads
+UNION ALL SELECT 'start', node_id, CASE WHEN rc THEN 'r' ELSE 'f' END, off, read FROM starts""",
+        "nodes", "edges", "threads", "starts",
+    ),
+)
+def node_message_round_trip(spark, sf):
+    g = sinks.read_node_messages(spark, _written(spark, sinks.node_messages(raw(spark, sf, traced=True)), "messages"))
+    port = F.concat("sdir", "ddir", "dst").alias("what")
+    none, zero = F.lit("").alias("read"), F.lit(0).cast("long").alias("n")
+    out = g.nodes.select(F.lit("node").alias("kind"), "node_id", F.col("seq").alias("what"), F.col("cov").cast("long").alias("n"), none)
+    out = out.union(g.edges.select(F.lit("edge"), "src", port, zero, none)).union(g.threads.select(F.lit("thread"), "node_id", port, zero, "read"))
+    return out.union(g.starts.select(F.lit("start"), "node_id", F.when(F.col("rc"), "r").otherwise("f"), F.col("off").cast("long"), "read"))
+
+
+@query(
+    "dot_lines",
+    with_ctes(
+        f"""SELECT '"' || node_id || '" [label="' || left(node_id, 8) || '...\\n{K} bp, ' || printf('%.2f', cov) || ' x"' || CASE WHEN cov < 2 THEN ' color="grey"' ELSE '' END || ']' AS line FROM nodes
+UNION ALL SELECT '"' || src || '" -> "' || dst || '" [label="' || sdir || ddir || '"]' FROM edges WHERE sdir = 'f' AND ddir = 'f' OR sdir <> ddir AND src <= dst""",
+        "nodes", "edges",
+    ),
+)
+def dot_lines(spark, sf):
+    return sinks.dot_lines(raw(spark, sf), max_label=8, low_cov=2.0)
+
+
+@query(
+    "check_starts",
+    with_ctes(
+        f"""SELECT count(*) FILTER (WHERE CASE WHEN rc THEN translate(reverse(node_id), 'ACGT', 'TGCA') ELSE node_id END = left(seq, {K})) AS starts_ok,
+  count(*) FILTER (WHERE CASE WHEN rc THEN translate(reverse(node_id), 'ACGT', 'TGCA') ELSE node_id END <> left(seq, {K})) AS starts_bad
+FROM starts JOIN good USING (read)""",
+        "starts", "good",
+    ),
+)
+def check_starts(spark, sf):
+    return inspect.check_starts(raw(spark, sf), good(spark, sf))
+
+
+_FULL = "full AS (SELECT node_id, cov FROM deg WHERE deg_f > 1 AND deg_r > 1 AND NOT tandem)"
+
+
+@query(
+    "node_details",
+    with_ctes(
+        f""", {_FULL}, n AS (SELECT node_id, sdir, ddir, dst, count(*) AS reads FROM threads GROUP BY ALL)
+SELECT f.node_id, 'full' AS type, CAST({K} AS INTEGER) AS len, cov, e.sdir, e.ddir, e.dst, coalesce(reads, 0) AS reads
+FROM full f JOIN edges e ON e.src = f.node_id LEFT JOIN n ON n.node_id = e.src AND n.sdir = e.sdir AND n.ddir = e.ddir AND n.dst = e.dst""",
+        "deg", "edges", "threads",
+    ).replace("full AS", '"full" AS').replace("FROM full f", 'FROM "full" f'),
+)
+def node_details(spark, sf):
+    d = inspect.details(raw(spark, sf, traced=True), types=["full"], fields=("edges",))
+    return d.select("node_id", "type", "len", "cov", F.explode("edges").alias("e")).select("node_id", "type", "len", "cov", "e.sdir", "e.ddir", "e.dst", "e.reads")
+
+
+@query(
+    "port_pair_reads",
+    with_ctes(
+        """SELECT node_id, fd, fn, rd, rn, count(*) AS weight, string_agg(read, ' ' ORDER BY read) AS reads FROM (
+    SELECT node_id, read, max(ddir) FILTER (WHERE sdir = 'f') AS fd, max(dst) FILTER (WHERE sdir = 'f') AS fn, max(ddir) FILTER (WHERE sdir = 'r') AS rd, max(dst) FILTER (WHERE sdir = 'r') AS rn
+    FROM threads GROUP BY node_id, read HAVING count(*) = 2 AND count(*) FILTER (WHERE sdir = 'f') = 1) GROUP BY ALL""",
+        "threads",
+    ),
+)
+def port_pair_reads(spark, sf):
+    d = inspect.details(raw(spark, sf, traced=True), fields=("pairs",)).select("node_id", F.explode("pairs").alias("p"))
+    return d.select("node_id", "p.fd", "p.fn", "p.rd", "p.rn", "p.weight", F.array_join("p.reads", " ").alias("reads"))
+
+
+@query(
+    "sequence_functions",
+    with_ctes(
+        """, x AS (SELECT read, seq, left(seq, 40) AS a, right(seq, 40) AS b FROM reads)
+SELECT read, translate(reverse(seq), 'ACGT', 'TGCA') AS rc, least(a, translate(reverse(a), 'ACGT', 'TGCA')) AS canonical,
+  CASE WHEN a < translate(reverse(a), 'ACGT', 'TGCA') THEN 'f' ELSE 'r' END AS strand, CAST(levenshtein(a, b) AS INTEGER) AS edits, seq AS unpacked,
+  array_to_string(list_transform(range(1, length(seq) + 1, 2), lambda i: chr(CAST(CASE WHEN i < length(seq)
+    THEN 66 + 5 * (instr('ACGT', substr(seq, i, 1)) - 1) + instr('ACGT', substr(seq, i + 1, 1)) - 1 ELSE 65 + 5 * (instr('ACGT', substr(seq, i, 1)) - 1) END AS INTEGER))), '') AS packed FROM x""",
+        "reads",
+    ),
+)
+def sequence_functions(spark, sf):
+    a = F.left("seq", F.lit(40))
+    packed = derived(spark, sf).withColumn("packed", Q.pack(F.col("seq")))
+    return packed.select(
+        "read", Q.rc(F.col("seq")).alias("rc"), Q.canonical(a).alias("canonical"), Q.strand(a).alias("strand"),
+        F.levenshtein(a, F.right("seq", F.lit(40))).alias("edits"), Q.unpack(F.col("packed")).alias("unpacked"), "packed",
+    )
+
+
+@query(
+    "graph_stats",
+    with_ctes(
+        f"""SELECT CAST(1 AS BIGINT) AS cutoff, count(*) AS cnt, CAST(sum({K}) AS BIGINT) AS total, CAST({K} AS DOUBLE) AS mean_len, round(avg(deg_f + deg_r), 6) AS mean_deg, round(avg(cov), 6) AS mean_cov,
+  CAST(0 AS BIGINT) AS n50, CAST(0 AS BIGINT) AS n50_count FROM deg""",
+        "deg",
+    ),
+)
+def graph_stats(spark, sf):
+    return rounded(stats.cutoff_stats(stats.measured(raw(spark, sf))), "mean_len", "mean_deg", "mean_cov")
+
+
+# ---- compaction: pointer doubling in SQL, too; rings, which have no head, are walked
+
+_DOUBLINGS = 15
+
+
+def _chain_sql() -> str:
+    flipped = "translate({}, 'fr', 'rf')"
+    rc_of = "translate(reverse({}), 'ACGT', 'TGCA')"
+    ctes = [
+        f"comp AS MATERIALIZED (SELECT a.* FROM sole a SEMI JOIN sole b ON b.src = a.dst AND b.sdir = {flipped.format('a.ddir')} AND b.ddir = {flipped.format('a.sdir')} AND b.dst = a.src WHERE a.src <> a.dst)",
+        """p0 AS MATERIALIZED (SELECT o.node_id, o.dir, coalesce(c.src, o.node_id) AS t, coalesce(c.sdir, o.dir) AS td, CASE WHEN c.src IS NULL THEN 0 ELSE 1 END AS rank, c.src IS NULL AS done
+    FROM (SELECT node_id, unnest(['f', 'r']) AS dir FROM nodes) o LEFT JOIN comp c ON c.dst = o.node_id AND c.ddir = o.dir)""",
+    ]
+    for i in range(1, _DOUBLINGS + 1):
+        ctes.append(
+            f"""p{i} AS MATERIALIZED (SELECT * FROM p{i - 1} WHERE done UNION ALL
+    SELECT a.node_id, a.dir, b.t, b.td, a.rank + b.rank, b.done FROM p{i - 1} a JOIN p{i - 1} b ON b.node_id = a.t AND b.dir = a.td WHERE NOT a.done)"""
+        )
+    last = f"p{_DOUBLINGS}"
+    ctes += [
+        f"""kept AS MATERIALIZED (SELECT a.node_id, a.dir, a.t AS head, a.td AS head_dir, a.rank FROM {last} a JOIN {last} m ON m.node_id = a.node_id AND m.dir <> a.dir
+    WHERE a.done AND (a.t < m.t OR a.t = m.t AND a.td = 'f'))""",
+        f"""ring(start, node_id, dir, rank) AS (SELECT node_id, node_id, 'f', 0 FROM {last} WHERE NOT done AND dir = 'f' UNION ALL
+    SELECT r.start, c.dst, c.ddir, r.rank + 1 FROM ring r JOIN comp c ON c.src = r.node_id AND c.sdir = r.dir WHERE c.dst <> r.start)""",
+        "ring_kept AS (SELECT node_id, dir, start AS head, 'f' AS head_dir, rank FROM ring WHERE start IN (SELECT start FROM ring GROUP BY start HAVING min(node_id) = start))",
+        f"""spelled AS (SELECT head, head_dir, string_agg(CASE WHEN rank = 0 THEN s ELSE right(s, 1) END, '' ORDER BY rank) AS seq, avg(cov) AS cov
+    FROM (SELECT k.*, CASE dir WHEN 'f' THEN node_id ELSE {rc_of.format('node_id')} END AS s, cov FROM (SELECT * FROM kept UNION ALL SELECT * FROM ring_kept) k JOIN nodes USING (node_id)) GROUP BY ALL)""",
+    ]
+    return with_ctes(", " + ",\n".join(ctes) + f"\nSELECT least(seq, {rc_of.format('seq')}) AS seq, round(cov, 6) AS cov FROM spelled", "nodes", "sole")
+
+
+# ---- fixpoints: no SQL but for compaction; their tests compare with sequential versions
+
+
+def _canonical(graph: Graph) -> DataFrame:
+    return graph.nodes.select(Q.canonical(F.col("seq")).alias("seq"), F.round("cov", 6).alias("cov"))
 
 
 def _compacted(spark, sf) -> Graph:
     return compact.compact(raw(spark, sf, traced=True), K)
 
 
-@query("compact_chains")
+@query("compact_chains", _chain_sql())
 def compact_chains(spark, sf):
     return _canonical(_compacted(spark, sf))
 

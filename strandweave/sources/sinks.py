@@ -9,11 +9,17 @@ from ..functions.sequence import pack, unpack
 from ..operators.graph import Graph
 
 
-def fasta_lines(nodes: DataFrame, width: int = 60, cov_in_name: bool = False) -> DataFrame:
-    """(node_id, line_no, line): a header and the sequence in lines of ``width`` bases."""
+def fasta_lines(nodes: DataFrame, width: int = 60, cov_in_name: bool = False, fields: Graph | None = None) -> DataFrame:
+    """(node_id, line_no, line): a header and the sequence in lines of ``width`` bases.
+
+    With a graph in ``fields`` a header also has all its fields, as node messages name them.
+    """
     n = F.length("seq")
     cov = F.format_string("%.2f", F.col("cov"))
     head = F.concat(F.lit(">"), "node_id", F.lit("_cov"), cov) if cov_in_name else F.concat(F.lit(">"), "node_id", F.lit("  len="), n.cast("string"), F.lit("\tcov="), cov)
+    if fields is not None:
+        nodes, more = _with_fields(nodes, fields)
+        head = F.concat(head, F.regexp_replace(F.concat(F.lit(""), *[F.coalesce(F.concat(F.lit(" "), f), F.lit("")) for f in more]), "\t", " "))
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(width))).otherwise(F.array().cast("array<int>"))
     body = F.transform(starts, lambda i: F.substr("seq", i + 1, F.lit(width)))
     return nodes.select("node_id", F.posexplode(F.concat(F.array(head), body)).alias("line_no", "line"))
@@ -27,37 +33,78 @@ def write_fasta(nodes: DataFrame, path: str, width: int = 60) -> None:
     nodes.select(F.concat(head, wrapped).alias("value")).write.mode("overwrite").text(path)
 
 
-def dot_lines(graph: Graph, max_label: int = 20) -> DataFrame:
-    """(line) of a Graphviz digraph: a line a node, and one an undirected edge."""
+#: Colours that thread lines take in turn.
+PALETTE = ("red", "green", "orange", "blue", "yellow", "indigo", "violet")
+
+
+def dot_lines(
+    graph: Graph, max_label: int = 20, tiny: bool = False, tags: list[str] | None = None, low_cov: float = 0.0, threads: bool = False, bundles: DataFrame | None = None,
+    library_colours: dict[str, str] | None = None,
+) -> DataFrame:
+    """(line) of a Graphviz digraph: a line a node, and one an undirected edge.
+
+    ``tiny`` leaves labels out; ``tags`` are nodes to fill; nodes below ``low_cov`` are
+    grey.  ``threads`` adds a coloured line for each two ports that reads join, ``bundles``
+    (src, sdir, ddir, dst, weight, dist) a dashed one.  With ``library_colours`` a node has
+    the colour of the library (a read's name before its first ``_``) of its threads, black
+    if there are several.
+    """
     label = F.when(F.length("seq") <= max_label, F.col("seq")).otherwise(F.concat(F.left("seq", F.lit(max_label)), F.lit("...")))
-    node = graph.nodes.select(F.format_string('"%s" [label="%s\\n%d bp, %.2f x"]', F.col("node_id"), label, F.length("seq"), F.col("cov")).alias("line"))
+    text = F.lit(".") if tiny else F.format_string("%s\\n%d bp, %.2f x", label, F.length("seq"), F.col("cov"))
+    n, colour = graph.nodes, F.lit("")
+    if library_colours:
+        of = graph.threads.groupBy("node_id").agg(F.count_distinct(F.substring_index("read", "_", 1)).alias("libraries"), F.min(F.substring_index("read", "_", 1)).alias("library"))
+        n = n.join(of, "node_id", "left")
+        known = F.create_map(*[F.lit(x) for pair in sorted(library_colours.items()) for x in pair])
+        named = F.when(F.col("libraries") == 1, F.coalesce(F.try_element_at(known, F.col("library")), F.lit("black"))).otherwise("black")
+        colour = F.format_string(' color="%s"', named)
+    if tags:
+        colour = F.when(F.col("node_id").isin(tags), ' color="goldenrod3" style="filled"').otherwise(colour)
+    if low_cov > 0:
+        colour = F.when(F.col("cov") < low_cov, F.concat(F.lit(' color="grey"'), F.when(F.col("node_id").isin(tags or []), ' style="filled"').otherwise(""))).otherwise(colour)
+    out = n.select(F.format_string('"%s" [label="%s"%s]', F.col("node_id"), text, colour).alias("line"))
     # rr is the mirror of ff; of the two ends of a mixed edge the smaller prints it
     once = graph.edges.where("sdir = 'f' and ddir = 'f' or sdir != ddir and src <= dst")
-    edge = once.select(F.format_string('"%s" -> "%s" [label="%s%s"]', "src", "dst", "sdir", "ddir").alias("line"))
-    return node.union(edge)
-
-
-def write_dot(graph: Graph, path: str) -> None:
-    lines = graph.nodes.sparkSession.createDataFrame([("digraph g {",)], "line string").union(dot_lines(graph))
+    out = out.union(once.select(F.format_string('"%s" -> "%s" [label="%s%s"]', "src", "dst", "sdir", "ddir").alias("line")))
+    if threads:
+        from ..operators.threads import PORT, port_pair_weights
+
+        joined = port_pair_weights(graph.threads).withColumn("turn", F.pmod(F.xxhash64("node_id", *PORT), F.lit(len(PALETTE))).cast("int") + 1)
+        shade = F.element_at(F.array(*[F.lit(c) for c in PALETTE]), F.col("turn"))
+        out = out.union(joined.select(F.format_string('"%s" -> "%s" [color="%s" label="%d"]', "rn", "fn", shade, "weight").alias("line")))
+    if bundles is not None:
+        half = bundles.where("src <= dst")
+        out = out.union(half.select(F.format_string('"%s" -> "%s" [label="dist=%d weight=%d type=%s%s" style="dashed"]', "src", "dst", "dist", "weight", "sdir", "ddir").alias("line")))
+    return out
+
+
+def write_dot(graph: Graph, path: str, **options) -> None:
+    """Options are those of ``dot_lines``."""
+    lines = graph.nodes.sparkSession.createDataFrame([("digraph g {",)], "line string").union(dot_lines(graph, **options))
     end = graph.nodes.sparkSession.createDataFrame([("}",)], "line string")
     lines.union(end).withColumnRenamed("line", "value").write.mode("overwrite").text(path)
 
 
-def node_messages(graph: Graph) -> DataFrame:
-    """(value): one tab-separated line a node: packed id, N, and marked fields *s *v *ff *fr *rf *rr *5 *d."""
+def _with_fields(nodes: DataFrame, graph: Graph) -> tuple[DataFrame, list[Column]]:
+    """Nodes joined with their edges, read starts and threads, and the marked fields of these, null where there are none."""
     by_type = graph.edges.groupBy(F.col("src").alias("node_id")).agg(
         *[F.array_sort(F.collect_list(F.when(F.concat("sdir", "ddir") == t, pack_name(F.col("dst"))))).alias(t) for t in ("ff", "fr", "rf", "rr")]
     )
     starts = graph.starts.groupBy("node_id").agg(F.array_sort(F.collect_list(F.concat(F.when(F.col("rc"), "~").otherwise(""), "read", F.lit(":"), F.col("off").cast("string")))).alias("r5"))
     threads = graph.threads.groupBy("node_id").agg(F.array_sort(F.collect_list(F.concat("sdir", "ddir", F.lit(":"), pack_name(F.col("dst")), F.lit(":"), "read"))).alias("d"))
-    x = graph.nodes.join(by_type, "node_id", "left").join(starts, "node_id", "left").join(threads, "node_id", "left")
 
     def field(mark: str, values: Column) -> Column:
         return F.when(F.coalesce(F.size(values), F.lit(0)) > 0, F.concat_ws("\t", F.lit(mark), F.array_join(values, "\t")))
 
+    x = nodes.join(by_type, "node_id", "left").join(starts, "node_id", "left").join(threads, "node_id", "left")
+    return x, [*(field(f"*{t}", F.col(t)) for t in ("ff", "fr", "rf", "rr")), field("*5", F.col("r5")), field("*d", F.col("d"))]
+
+
+def node_messages(graph: Graph) -> DataFrame:
+    """(value): one tab-separated line a node: packed id, N, and marked fields *s *v *ff *fr *rf *rr *5 *d."""
+    x, fields = _with_fields(graph.nodes, graph)
     cov = F.format_string("%.2f", F.col("cov"))
-    fields = [field(f"*{t}", F.col(t)) for t in ("ff", "fr", "rf", "rr")]
-    return x.select(F.concat_ws("\t", pack_name(F.col("node_id")), F.lit("N"), F.lit("*s"), pack(F.col("seq")), F.lit("*v"), cov, *fields, field("*5", F.col("r5")), field("*d", F.col("d"))).alias("value"))
+    return x.select(F.concat_ws("\t", pack_name(F.col("node_id")), F.lit("N"), F.lit("*s"), pack(F.col("seq")), F.lit("*v"), cov, *fields).alias("value"))
 
 
 def pack_name(node_id: Column) -> Column:

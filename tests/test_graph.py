@@ -330,3 +330,37 @@ def test_fixpoints_settle_or_raise(spark, monkeypatch):
     assert next(rounds) == 0
     with pytest.raises(RuntimeError, match="repeats did not settle"):
         next(rounds)
+
+
+def test_dot_options_and_fields(spark):
+    g = crossing(spark)
+    lines = {r.line for r in sinks.dot_lines(g, tiny=True, tags=["x"], low_cov=3.0, threads=True).collect()}
+    assert '"x" [label="." color="goldenrod3" style="filled"]' in lines and '"p" [label="." color="grey"]' in lines
+    assert sum("color=" in x and "->" in x for x in lines) == 2
+    bundles = spark.createDataFrame([("p", "f", "f", "s", 4, 17), ("s", "r", "r", "p", 4, 17)], "src string, sdir string, ddir string, dst string, weight long, dist long")
+    assert sum("dashed" in r.line for r in sinks.dot_lines(g, bundles=bundles).collect()) == 1
+    named = Graph(g.nodes, g.edges, spark.createDataFrame([("x", "f", "f", "s", "mom_1"), ("p", "f", "f", "x", "dad_3"), ("p", "f", "f", "x", "mom_1")], THREADS), g.starts)
+    coloured = {r.line.split('"')[1]: r.line for r in sinks.dot_lines(named, library_colours={"mom": "red"}).collect() if "->" not in r.line}
+    assert 'color="red"' in coloured["x"] and 'color="black"' in coloured["p"] and 'color="black"' in coloured["s"]
+    heads = {r.node_id: r.line for r in sinks.fasta_lines(g.nodes, fields=g).where("line_no = 0").collect()}
+    assert " *ff s t" in heads["x"] and " *d " in heads["x"] and heads["s"].endswith("*rr x")
+    d = inspect.details(g, node_ids=["x"], fields=("seq", "starts", "threads", "pairs")).first()
+    assert d.seq == "A" * 9 and d.starts is None and len(d.threads) == 8 and [list(p.reads) for p in d.pairs] == [["a0", "a1"], ["b0", "b1"]]
+    with pytest.raises(ValueError, match="unknown fields"):
+        inspect.details(g, fields=("nothing",))
+    assert [r.node_id for r in inspect.route(g, "p", "t", 3).orderBy("step").collect()] == ["p", "x", "t"]
+    assert inspect.route(g, "p", "t", 1).count() == 0
+
+
+def test_spread(spark):
+    few = spark.createDataFrame([("a",), ("b",)], "s string").coalesce(1)
+    assert sources.spread(few).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.s for r in sources.spread(few).collect()) == ["a", "b"]
+
+
+def test_a_long_chain_is_joined_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(compact, "BLOCK", 7)
+    seq = random_dna(400, 51)
+    g = build.build(reads_df(spark, tiled(seq, 30)), Params(k=15))
+    c = compact.compact(g, 15)
+    assert contigs(c) == [min(seq, S.rc(seq))] and inspect.check_starts(c, reads_df(spark, tiled(seq, 30))).first().starts_bad == 0
