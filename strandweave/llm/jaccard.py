@@ -19,6 +19,11 @@ sets.  Short lists give all their pairs.  A long list first links its members wi
 central one; only members that are then still in different components are compared
 further, and the last pass takes every such pair, so that no link between components is
 lost.  Links are reported as a spanning set: they connect just what all links connect.
+
+Hot groups are split.  A task posts a class once, however many copies it reads.  Entries
+of a shingle that the sketch shows to be frequent are spread over buckets by class, and
+their list counts as long wherever they meet.  Long lists are worked on in blocks of
+members, dealt anew in every central round; the last pass takes every pair of blocks.
 """
 
 from __future__ import annotations
@@ -48,6 +53,12 @@ LIST = 24
 FEW_PAIRS = 200_000
 #: Rounds with central members before the exhaustive one.
 CENTRAL_ROUNDS = 3
+#: Members of a long list that meet in one group.
+BLOCK = 8192
+#: Level of the sketch (65,536 documents) from which a shingle's entries are spread.
+HOT = 128
+#: Class keys a task remembers to have sent; beyond that it forgets, and receivers drop what comes twice.
+REMEMBERED = 1 << 20
 
 
 def least_overlap(n, m, num: int, den: int):
@@ -174,25 +185,44 @@ def choose_boundary(sets: dict[int, int], scanned: dict[int, float], num: int, d
     return min(range(SMALL + 1), key=lambda x: (cost(x), x))
 
 
-def _post(k: int, level: np.ndarray, boundary: int, buckets: int, num: int, den: int):
-    """Packed list entries (token, class, size) by bucket; subset tokens have the lowest bit set, shingle tokens not."""
+def _unsent(key: np.ndarray, sent: set[int]) -> np.ndarray:
+    """Which rows are the first of their class in this task."""
+    new = np.zeros(len(key), bool)
+    for i, x in enumerate(key.tolist()):
+        if x not in sent:
+            new[i] = True
+            sent.add(x)
+    if len(sent) > REMEMBERED:
+        sent.clear()
+    return new
+
+
+def _post(k: int, level: np.ndarray, boundary: int, buckets: int, num: int, den: int, hot: int):
+    """Packed list entries (token, class, size) by bucket.
+
+    The lowest bit is set in subset tokens, the next one in hot shingles' tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
-            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
             for _, h, at in _sets(batch.column("text"), k):
                 n, key = np.diff(at), _class_keys(h, at)
-                scans = (n > boundary) | (den * n >= num * (boundary + 1)) & (n > 0)
+                new = _unsent(key, sent) & (n > 0)
+                scans = new & ((n > boundary) | (den * n >= num * (boundary + 1)))
                 token, owner = _in_order(h, at, level, np.where(scans, prefix_length(n, num, den), 0))
-                held.append((mix(token) & ~np.uint64(1), key[owner], n[owner]))
-                for i in np.flatnonzero((n > 0) & (n <= boundary)).tolist():
+                often = level[(token >> np.uint64(42)).astype(np.int64)].astype(np.int64)
+                spread = np.where(often >= hot, np.exp2(np.maximum(often - hot, 0) / 8.0 + 1).astype(np.uint64), np.uint64(1))
+                held.append((mix(token) & ~np.uint64(3) | (often >= hot).astype(np.uint64) << np.uint64(1), key[owner], n[owner], key[owner] % spread))
+                for i in np.flatnonzero(new & (n <= boundary)).tolist():
                     own = h[at[i] : at[i + 1]]
                     for c in overlaps(len(own), boundary, num, den):
                         some = np.array(list(combinations(own.tolist(), c)), np.uint64)
-                        token = mix(mix(some).sum(axis=1, dtype=np.uint64) + np.uint64(c)) | np.uint64(1)
-                        held.append((token, np.full(len(token), key[i]), np.full(len(token), len(own))))
-            token, key, n = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64),) * 3
-            bucket = (token >> np.uint64(33)).astype(np.int64) % buckets
+                        token = mix(mix(some).sum(axis=1, dtype=np.uint64) + np.uint64(c)) & ~np.uint64(3) | np.uint64(1)
+                        held.append((token, np.full(len(token), key[i]), np.full(len(token), len(own)), np.zeros(len(token), np.uint64)))
+            token, key, n, salt = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64),) * 4
+            bucket = ((token >> np.uint64(33)) + salt).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             token, key, n = token[order], key[order], n[order].astype(np.uint32)
             some, begin = np.unique(bucket[order], return_index=True)
@@ -218,17 +248,19 @@ def _scan_lists(boundary: int, num: int, den: int):
         token, key, n = token[same], key[same], n[same]  # copies of a class
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(np.append(begin, len(token)))
+        # other entries of a hot token lie elsewhere
+        is_long = (length > LIST) | (token[begin] & np.uint64(2)).astype(bool)
         out: list[np.ndarray] = []
         small_ok = (token & np.uint64(1)).astype(bool)
         for d in range(1, LIST):  # each short list's pairs at distance d
-            left = np.flatnonzero(np.repeat((length <= LIST) & (length > d), length))
+            left = np.flatnonzero(np.repeat(~is_long & (length > d), length))
             left = left[left + d < len(token)]
             left = left[token[left] == token[left + d]]
             left = left[num * n[left + d] <= den * n[left]]  # sizes ascend
             left = left[small_ok[left] | (n[left + d] > boundary)]
             out.append(np.stack([key[left], n[left], key[left + d], n[left + d]]))
         pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((4, 0), np.uint64)
-        long = np.repeat(length > LIST, length)
+        long = np.repeat(is_long, length)
         t = np.concatenate([np.zeros(pairs.shape[1], bool), np.ones(int(long.sum()), bool)])
         columns = [np.concatenate([p, x]) for p, x in zip(pairs, (key[long], n[long], key[long], n[long]), strict=True)]
         tokens = pa.array(np.concatenate([np.zeros(pairs.shape[1], np.uint64), token[long]]).view(np.int64), mask=~t)
@@ -298,15 +330,17 @@ def _sets_of(k: int, wanted: np.ndarray):
     """Sets of the documents whose id may be wanted, by a bitmap of hashed ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(wanted) * 8
+        size, sent = len(wanted) * 8, set()
         for batch in batches:
             at = (mix(batch.column("doc_id").fill_null(0).to_numpy().astype(np.uint64)) % np.uint64(size)).astype(np.int64)
             batch = batch.filter(pa.array((wanted[at >> 3] >> (at & 7) & 1).astype(bool)))
             for _, h, where in _sets(batch.column("text"), k):
-                keys = _class_keys(h, where).view(np.int64)
+                keys = _class_keys(h, where)
+                new = pa.array(_unsent(keys, sent))
+                keys = keys.view(np.int64)
                 bodies = [h[a:b].tobytes() for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
                 wide = [r.tobytes() for r in _parity(h, where, WIDE_BITS)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bodies, pa.binary()), pa.array(wide, pa.binary())], names=["key", "body", "wide"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bodies, pa.binary()), pa.array(wide, pa.binary())], names=["key", "body", "wide"]).filter(new)
 
     return run
 
@@ -336,14 +370,15 @@ def _merge_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_pairs(central: bool, num: int, den: int):
-    """Of each long list: pairs of members in different components that the parity maps don't rule out.
+    """Of each block of a long list: pairs of members in different components that the parity maps don't rule out.
 
     With ``central``, only those of the member nearest to a spread of the others, and of
-    the most central one outside its component.  Otherwise those of every member.
+    the most central one outside its component.  Otherwise those of every member; where
+    two blocks meet, of every member of the one with every member of the other.
     """
 
     def one(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, n, group = (rows.column(c).to_numpy() for c in ("a", "an", "component"))
+        key, n, group, other = (rows.column(c).to_numpy() for c in ("a", "an", "component", "other"))
         maps = _maps(rows.column("bits"))
         if central:
             spread = np.linspace(0, len(n) - 1, min(64, len(n))).astype(int)
@@ -355,9 +390,10 @@ def _open_pairs(central: bool, num: int, den: int):
             if len(rest):
                 tries.append(int(rest[near[rest].argmin()]))
         else:
-            tries = range(len(n))
+            tries = np.flatnonzero(~other).tolist()
+        across = np.flatnonzero(other)
         for i in tries:
-            others = np.arange(len(n)) if central else np.arange(i + 1, len(n))
+            others = np.arange(len(n)) if central else across if len(across) else np.arange(i + 1, len(n))
             others = others[group[others] != group[i]]
             others = others[(num * np.maximum(n[others], n[i]) <= den * np.minimum(n[others], n[i]))]
             others = others[_may_link(n[others], n[i], _hamming(maps[others], maps[i]), num, den)]
@@ -368,13 +404,13 @@ def _open_pairs(central: bool, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            token = batch.column("token").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else []
-            for a, b in zip(cuts, [*cuts[1:], len(token)], strict=True):
-                if now is not None and token[a] != now:
+            at = np.stack([batch.column(c).to_numpy() for c in ("token", "lo", "hi")], axis=1)
+            cuts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)])) if len(at) else []
+            for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                if now is not None and (at[a] != now).any():
                     yield from one(pa.Table.from_batches(held))
                     held = []
-                now = token[a]
+                now = at[a]
                 held.append(batch.slice(a, b - a))
         if held:
             yield from one(pa.Table.from_batches(held))
@@ -382,6 +418,20 @@ def _open_pairs(central: bool, num: int, den: int):
     return run
 
 
+def _in_blocks(members: DataFrame, central: bool, deal: int) -> DataFrame:
+    """Members(token, a, an, component, bits, members) with the blocks (lo, hi) they meet in; ``other`` marks those of hi.
+
+    In central rounds a member is in its own block only, dealt anew by ``deal``; else each
+    block meets itself and every other one.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("a", F.lit(deal)), blocks))
+    met = F.col("block") if central else F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    dealt = dealt.withColumn("met", met)
+    lo, hi = F.least("block", "met"), F.greatest("block", "met")
+    return dealt.select("token", lo.alias("lo"), hi.alias("hi"), "a", "an", "component", "bits", (F.col("block") > F.col("met")).alias("other"))
+
+
 def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, set_key.
 
@@ -411,7 +461,7 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
 
     total = described.agg(F.sum("n")).first()[0] or 0
     buckets = max(2 * parts, total // 4_000_000)
-    posted = rows.select("text").mapInArrow(trimmed(_post(k, level, boundary, buckets, num, den)), "bucket int, tokens binary, keys binary, sizes binary")
+    posted = rows.select("text").mapInArrow(trimmed(_post(k, level, boundary, buckets, num, den, HOT)), "bucket int, tokens binary, keys binary, sizes binary")
     met = posted.repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = work.put(met.mapInArrow(trimmed(_scan_lists(boundary, num, den)), _FOUND), "found")
     work.tidy()
@@ -500,12 +550,12 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
     central = CENTRAL_ROUNDS
     for r in range(CENTRAL_ROUNDS + 1) if open_.limit(1).count() else ():
         labelled = open_.join(group.withColumnRenamed("node", "a"), "a")
-        mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+        mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo != hi").select("token", "members")
         mixed = work.put(mixed, f"mixed{r}")
         if mixed.limit(1).count() == 0:  # every list lies in one component
             break
-        left = labelled.join(mixed, "token", "left_semi").select("token", "a", "an", "component", "bits")
-        left = left.repartition(parts, "token").sortWithinPartitions("token", "an", "a")
+        left = _in_blocks(labelled.join(mixed, "token"), central > 0, r)
+        left = left.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "an", "a")
         more = left.mapInArrow(trimmed(_open_pairs(central > 0, num, den)), "a long, b long").distinct()
         before = step
         group = merged(group, verified(more, f"asked{r + 2}"))

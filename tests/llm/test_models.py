@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,23 @@ def test_any_boundary_gives_the_same(spark, monkeypatch, boundary):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(df).collect()} == brute_jaccard(rows)
 
 
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_hot_lists_in_blocks_lose_nothing(spark, monkeypatch, rounds):
+    monkeypatch.setattr(jaccard, "HOT", 0)  # every shingle's entries are spread, and all its lists long
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    monkeypatch.setattr(jaccard, "CENTRAL_ROUNDS", rounds)
+    rows = documents(1) + [(10_000 + i, f"same words in every one of these copies {i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(df).collect()} == brute_jaccard(rows)
+
+
+def test_copies_are_posted_once_a_task():
+    batch = pa.RecordBatch.from_pydict({"text": ["a b c d e f g h"] * 50 + ["x y z u v w"] * 50})
+    post = jaccard._post(5, np.zeros(jaccard.SKETCH, np.uint8), 0, 4, 75, 100, jaccard.HOT)
+    sent = np.concatenate([np.frombuffer(b, np.uint64) for out in post(iter([batch, batch])) for b in out.column("keys").to_pylist()])
+    assert len(sent) == jaccard.prefix_length(4, 75, 100) + jaccard.prefix_length(2, 75, 100)
+
+
 def test_boundary_follows_cost():
     cheap = jaccard.choose_boundary({5: 10, 12: 10}, {5: 1.0, 12: 1.0}, 75, 100)
     dear = jaccard.choose_boundary({5: 10, 12: 10}, {5: 1e9, 12: 1e9}, 75, 100)
