@@ -339,7 +339,11 @@ def _search(lists: Lists, k: int):
                         yield answers(asked["ids"], best)
                     place, waiting, asked = row["place"], [], None
                 if row["chunk"] is None:
-                    if not waiting or waiting[-1] != (row["id"], row["body"], row["bits"]):  # a repeated query asks once
+                    # a repeated query asks once, in all lists that a copy probes: rounding may choose a list more for one of them
+                    if waiting and waiting[-1][:2] == (row["id"], row["body"]):
+                        bits = np.frombuffer(waiting.pop()[2], np.uint8) | np.frombuffer(row["bits"], np.uint8)
+                        waiting.append((row["id"], row["body"], bits.tobytes()))
+                    else:
                         waiting.append((row["id"], row["body"], row["bits"]))
                     continue
                 if not asked and waiting:

@@ -190,6 +190,23 @@ def test_neighbours_of_unlike_norms(spark, monkeypatch, limits):
         assert list(zip(-part.score, part.vec_id)) == sorted(zip(-part.score, part.vec_id)) and q not in set(part.vec_id)
 
 
+def test_copies_of_a_query_ask_once_whatever_lists_they_probe():
+    x = np.random.default_rng(3).standard_normal((60, 8))
+    radius = float(np.linalg.norm(x, axis=1).max())
+    lists = ann.fit(x, np.zeros(60, int), {0: 60}, {0: radius}, 8, "f8", 1)
+    rows = pa.RecordBatch.from_pydict({"list": [0] * 60, "salt": [i // 30 for i in range(60)], "id": list(range(60)), "body": [v.tobytes() for v in x]})
+    held = [c for out in ann._chunks(lists, np.array([0, 2]))(iter([rows])) for c in out.to_pylist()]
+    empty = {c: None for c in ("chunk", "id", "body", "bits", "list", "bit", "ids", "original", "columns")}
+    asked = [{**empty, "place": 0, "id": 7, "body": x[7].tobytes(), "bits": bytes([b])} for b in (0b10000000, 0b11000000)]
+    stand = [{**empty, **c, "place": 0, "bit": c["chunk"]} for c in held]
+    types = [("place", pa.int64()), ("chunk", pa.int64()), ("id", pa.int64()), ("body", pa.binary()), ("bits", pa.binary()), ("list", pa.int32()), ("bit", pa.int32())]
+    schema = pa.schema([*types, *((c, pa.binary()) for c in ("ids", "original", "columns"))])
+    batch = pa.RecordBatch.from_pylist(asked + stand, schema=schema)
+    got = [r for out in ann._search(lists, 20)(iter([batch])) for r in out.to_pylist()]
+    score = x @ x[7]
+    assert sorted(r["vec_id"] for r in got) == sorted(sorted((i for i in range(60) if i != 7), key=lambda i: -score[i])[:20])
+
+
 def test_scan_drops_only_the_far():
     rng = np.random.default_rng(7)
     x, q = rng.standard_normal((64, 500)).astype(np.float32), rng.standard_normal((3, 64)).astype(np.float32)
