@@ -12,10 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +210,59 @@ def op9_adaptive_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import alignment
+
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model")).documents
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import variants
+
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE steps(i, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS key, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents WHERE text IS NOT NULL),
+lowered AS (
+  SELECT key, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times FROM runs GROUP BY ALL),
+bytes AS (
+  SELECT key, run, times, list_transform(range(1, CAST(octet_length(encode(key || ':' || run)) AS BIGINT) + 1),
+    lambda i: CAST('0x' || substr(hex(encode(key || ':' || run)), 2 * i - 1, 2) AS BIGINT)) AS b
+  FROM lowered),
+hashed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295, b), lambda h, x: xor(h >> 8, t[xor(h & 255, x) + 1])), 4294967295) AS h FROM bytes, crc),
+cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+shorter AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS short FROM places),
+wild AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS key FROM places),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM wild a JOIN wild b ON a.key = b.key AND a.word <> b.word
+  UNION ALL SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON w.word = s.short
+  UNION ALL SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON w.word = s.short),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 10 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 10 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+walk(word, here, depth) AS (
+  SELECT word, word, 0 FROM formed UNION ALL SELECT k.word, f.form, k.depth + 1 FROM walk k JOIN formed f ON f.word = k.here WHERE f.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(here, depth) FROM walk k WHERE k.word = formed.word) AS root, n, n_near, form_n FROM formed
+"""
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import extraction
+
+    return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_language_families": op2_language_families,
@@ -221,6 +274,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bm25_leaks": op8_bm25_leaks,
     "op9_adaptive_dimensions": op9_adaptive_dimensions,
     "op10_size_aware_jaccard": op10_size_aware_jaccard,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_main_text": op13_main_text,
 }
 
 SQL: dict[str, str] = {
@@ -228,4 +284,5 @@ SQL: dict[str, str] = {
     "op6_chat_bytes": OP6_SQL,
     "op8_bm25_leaks": OP8_SQL,
     "op10_size_aware_jaccard": OP10_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }

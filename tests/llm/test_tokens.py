@@ -7,13 +7,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from strandweave.llm import bpe, bytewords, chat, packing, tokenfile
 from strandweave.llm.cluster import Workspace
 from strandweave.llm.registry import tokenizer_path
 
 TRICKY = [
-    "", None, " ", "a", "  a b", "  x  y\u3000 z", "é è  ê ç", "don't  'S 's\n\n x \t y ", "<|endoftext|> hi", "ab   c", "x\u00a0 \u00a0 foo", "ü  ö", "日本 語 テキ スト", "a" * 5000 + " b",
+    "", None, " ", "a", "  a b", "  x  y\u3000 z", "é è  ê ç", "don't  'S 's\n\n x \t y ", "<|endoftext|> hi", "hello <|endoftext|>", "a<|endoftext|><|endoftext|>\n<|endoftext|", "ab   c", "x\u00a0 \u00a0 foo", "ü  ö", "日本 語 テキ スト", "a" * 5000 + " b",
     "A.\nB\n\nC! \n D", "x\r\ny", "#1's 'll", "end.\n",
 ]
 
@@ -26,7 +27,7 @@ def brute_words(text):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    return bpe.encoder(tokenizer_path()).tokenizer
+    return Tokenizer.from_file(tokenizer_path())  # as the library has it, untouched by ours
 
 
 def noise(n, seed, alphabet="ab A.!\n,'s\t 12é\u00a0\u3000ß日\u0085 #"):
@@ -41,6 +42,29 @@ def test_chunked_encoding_equals_the_library(tokenizer):
             assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode(texts[first + i] or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("control", [True, False])
+def test_other_files_and_plain_control_strings(name, control):
+    """A file with another pre-tokenizer is encoded whole; control strings are text if so asked."""
+    own = Tokenizer.from_file(tokenizer_path(name))
+    own.encode_special_tokens = not control
+    texts = [t for t in TRICKY if t is not None] + noise(300, 4) + ["A Word <|startoftext|>here<|endoftext|>"]
+    for first, ids, at in bpe.encode_column(pa.array(texts), tokenizer_path(name), limit=1 << 12, control=control):
+        for i in range(len(at) - 1):
+            assert ids[at[i] : at[i + 1]].tolist() == own.encode(texts[first + i], add_special_tokens=False).ids
+
+
+def test_a_hash_that_meets_another_chunk_does_no_harm(tokenizer, monkeypatch):
+    """Ids are compared with the text they stand for: even a hash of three bits gives the library's ids."""
+    real = bpe.hash_spans
+    monkeypatch.setattr(bpe, "hash_spans", lambda *a: real(*a) & np.uint64(7))
+    coder = bpe.ByteEncoder(tokenizer_path(), True)
+    texts = noise(200, 6)
+    raw, off = bytewords.text_bytes(pa.array(texts))
+    ids, at = coder.encode(raw, off)
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_words_and_shingles():
     texts = TRICKY + noise(500, 2)
     raw, off = bytewords.text_bytes(pa.array(texts))
