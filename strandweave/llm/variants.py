@@ -6,20 +6,34 @@ size and its two most frequent words: a member has size - 1 neighbours there, th
 them being the first word, or the second for the first itself.  An insertion or deletion is
 a deletion seen from one side: the distinct deletions of all words are grouped, each with
 its number of sources and the best one, and meet the vocabulary once.  Everything is then
-summed by word.  DataFrame functions only.
+summed by word.
+
+Groups and deletions of ordinary words are strings, made by DataFrame functions.  A word
+of ``LONG`` code points or more would write out its square that way; it has the same
+groups and deletions as fingerprints of a fixed size, made from running sums in numpy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import Workspace
+from .cluster import Workspace, trimmed
 from .urlblock import lower_ascii
 
 RUN = r"[A-Za-zÀ-ÿ]"
 #: Joins that follow a form to the last: each doubles the steps, and a form is ``ratio`` times as frequent as the word before.
 DOUBLINGS = 6
+#: Words up to this length have their groups and deletions as strings.
+LONG = 64
+#: (modulus, base) of fingerprints: 93 bits in all.
+_PRIMES = ((2147483647, 1103515245), (2147483629, 715225739), (2147483587, 1597334677))
+#: Places of a long word in one batch of rows.
+PLACES = 1 << 17
 
 
 def _left(word: Column, i: Column) -> Column:
@@ -73,6 +87,68 @@ def _indels(words: DataFrame) -> DataFrame:
     return longer.union(met.select("word", F.lit(1).cast("long"), _best(F.col("short_n"), F.col("short"))))
 
 
+def _powers(n: int, base: int, prime: int) -> np.ndarray:
+    out = np.ones(1, np.int64)
+    while len(out) < n:
+        out = np.concatenate([out, out * pow(base, len(out), prime) % prime])
+    return out[:n]
+
+
+def _joined(parts: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array(parts[0] << 31 | parts[1]), pa.array(parts[2])]
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each long word: itself, itself without each place, itself with each place open and the letter that stood there."""
+    for batch in batches:
+        for wid, word, n in zip(*(batch.column(c).to_pylist() for c in ("id", "word", "n")), strict=True):
+            code = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.int64)
+            size = len(code)
+            first = np.flatnonzero(np.diff(code, prepend=-1))  # of equal neighbours one deletion
+            own, cut, held = [], [], []
+            for prime, base in _PRIMES:
+                term = code * _powers(size, base, prime) % prime
+                before = np.concatenate([[0], np.cumsum(term)])  # 2**31 terms are far from 64 bits
+                total = int(before[-1])
+                own.append(np.array([total % prime]))
+                held.append((total - term) % prime)
+                cut.append((before[first] + (total - before[first + 1]) % prime * pow(base, -1, prime)) % prime)
+            kinds = [("own", own, np.array([size]), np.zeros(1, np.int64)), ("cut", cut, np.full(len(first), size - 1), np.zeros(len(first), np.int64)), ("held", held, np.full(size, size), code)]
+            for kind, parts, length, letter in kinds:
+                if kind != "own" and size <= LONG:
+                    continue  # an ordinary word; longer ones may lose a letter to become it
+                place = np.arange(len(length)) if kind == "held" else np.zeros(len(length), np.int64)
+                for a in range(0, len(length), PLACES):
+                    b = min(a + PLACES, len(length))
+                    same = [pa.array([kind] * (b - a)), *_joined([x[a:b] for x in parts])]
+                    numbers = [pa.array(x[a:b].astype(np.int64)) for x in (length, place, letter)]
+                    yield pa.RecordBatch.from_arrays([*same, *numbers, pa.array(np.full(b - a, wid)), pa.array(np.full(b - a, n))], names=["kind", "h", "g", "length", "place", "letter", "id", "n"])
+
+
+def _long(words: DataFrame, work: Workspace) -> DataFrame:
+    """(word, near, best) of words around and beyond ``LONG`` code points: one row each that has neighbours."""
+    named = work.put(words.where(F.length("word") >= LONG).withColumn("id", F.monotonically_increasing_id()), "long")
+    prints = work.put(named.select("id", "word", "n").mapInArrow(trimmed(_fingerprints), "kind string, h long, g long, length long, place long, letter long, id long, n long"), "prints")
+    key = ["h", "g", "length"]
+    # the words of one open place differ in the letter there, so their order is the letters'
+    w = F.struct((-F.col("n")).alias("less"), "letter", "id").alias("w")
+    group = prints.where("kind = 'held'").select(*key, "place", w).groupBy(*key, "place").agg(F.sort_array(F.collect_list("w")).alias("ws")).where(F.size("ws") > 1)
+    member = group.select((F.size("ws") - 1).cast("long").alias("near"), F.col("ws")[0].alias("first"), F.col("ws")[1].alias("second"), F.explode("ws").alias("w"))
+    other = F.when(F.col("w") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    near = member.select("w.id", "near", other["id"].alias("other"), other["less"].alias("less"))
+    short = prints.where("kind = 'own'").select(*key, F.col("id").alias("short"), F.col("n").alias("short_n"))
+    met = prints.where("kind = 'cut'").select(*key, "id", "n").join(short, key)
+    one = F.lit(1).cast("long").alias("near")
+    near = near.union(met.select("id", one, "short", -F.col("short_n"))).union(met.select("short", one, "id", -F.col("n")))
+    # only the most frequent neighbours' words are looked up, to settle ties
+    near = work.put(near, "long_near")
+    best = near.groupBy("id").agg(F.sum("near").alias("near"), F.min("less").alias("less"))
+    tied = near.select("id", "other", "less").distinct().join(best, ["id", "less"])
+    spelled = tied.join(named.select(F.col("id").alias("other"), F.col("word").alias("best_word")), "other")
+    settled = spelled.groupBy("id").agg(F.max("near").alias("near"), F.min(F.struct("less", F.col("best_word").alias("word"))).alias("best"))
+    return settled.join(named.select("id", "word"), "id").select("word", "near", "best")
+
+
 def _roots(forms: DataFrame, work: Workspace) -> DataFrame:
     """(word, root) of words with a form: pointers are doubled until none moves."""
     now = work.put(forms.select("word", F.col("form").alias("root")), "roots0")
@@ -102,7 +178,8 @@ def spelling_variants(docs: DataFrame, at_least: int = 7, least_n: int = 2, rati
     words = work.put(occurrences(docs, at_least, every).where(F.col("n") >= least_n), "words")
     none = F.lit(None).cast("struct<less: bigint, word: string>")
     parts = words.select("word", "n", F.lit(0).cast("long").alias("near"), none.alias("best"))
-    for part in (_replaced(words), _indels(words)):
+    plain = words.where(F.length("word") <= LONG)
+    for part in (_replaced(plain), _indels(plain), _long(words, work)):
         parts = parts.union(part.select("word", F.lit(None).cast("long"), "near", "best"))
     by_word = parts.groupBy("word").agg(F.max("n").alias("n"), F.sum("near").alias("n_near"), F.min("best").alias("best"))
     enough = -F.col("best.less") >= ratio * F.col("n")

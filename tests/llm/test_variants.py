@@ -55,12 +55,20 @@ def run(spark, rows, **kw):
 def test_chains_ties_and_edges(spark):
     many = {"abcdefg": 300, "abcdefh": 25, "abcdeeh": 2, "abcdefgh": 300, "bcdefghi": 3, "ÀÉÎõöüß": 2, "ÀÉÎõöü": 30, "mississippi": 40, "misissippi": 3, "missisippi": 4, "aaaaaaaa": 50, "aaaaaaa": 4}
     rows = [(i, " ".join([w] * k)) for i, (w, k) in enumerate(many.items())]
+    long = "".join(chr(97 + i * i % 23) for i in range(300))
+    for k, word in ((40, long), (3, long[:50] + long[51:]), (4, long[:50] + "z" + long[51:]), (4, long[:50] + "y" + long[51:]), (2, long + long[-1]), (30, long[:63]), (3, long[:64]), (2, long[:65]), (3, long[1:65])):
+        rows.append((len(rows) + 70, " ".join([word] * k)))
     rows += [(None, "Abcdefg ABCDEFG"), (50, None), (51, ""), (52, "123 ... \n"), (3, rows[3][1]), (60, "x" * 100_000 + " " + "ab×÷cdeé " * 20_000)]
     got = run(spark, rows)
     assert got == brute(rows)
     roots = {r[0]: r[2] for r in got}
     assert roots["abcdeeh"] == roots["abcdefh"] != "abcdefh"  # two steps
-    assert run(spark, rows, at_least=3, least_n=1, ratio=2, every=3) == brute(rows, 3, 1, 2, 3)
+    assert run(spark, rows[:-1], at_least=3, least_n=1, ratio=2, every=3) == brute(rows[:-1], 3, 1, 2, 3)
+    huge = rows + [(61, "x" * 100_000 + " " + "x" * 99_999)]
+    got = run(spark, huge)
+    assert sorted((len(r[0]), r[3:]) for r in got if len(r[0]) > 9999) == [(100_000, (2, 0, None))]
+    got = run(spark, huge, least_n=1, ratio=2, every=10**9)
+    assert sorted((len(r[0]), *r[3:]) for r in got if len(r[0]) > 9999) == [(99_999, 1, 1, 2), (100_000, 2, 1, None)]
     assert run(spark, []) == set()
 
 
