@@ -8,17 +8,20 @@ written as Parquet and read again, so a lost executor costs one stage at most.
 2. ``language``: documents without a recognisable language go: no letters at all, or a
    probability below 0.3.
 3. ``near_duplicates``: of each group linked by a Jaccard similarity of 0.75 or more on
-   five-word shingles, the document with the smallest id stays (rows of one id and one
-   text are one document; documents without words are no duplicates of each other).
+   five-word shingles, the document with the smallest id stays, whatever other texts have
+   that id (rows of one id and one text are one document; of several texts of that id in
+   the group one stays; documents without words are no duplicates of each other).
 4. ``decontamination``: documents that hold a benchmark item go.
 5. ``packing``: the rest as token sequences of at most 1024, each piece with its sequence.
 
-Rows with a null ``doc_id`` pass all stages as documents of their own.
+Decisions are made on rows, never by ``doc_id`` alone: rows that share an id, or have
+none, stand or fall by their own texts.  Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandweave.llm import jaccard, langid, leaks, packing, quality
 from strandweave.llm.cluster import Workspace
@@ -28,11 +31,6 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_QUALITY, LEAST_LANGUAGE = 0.5, 0.3
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents but those whose doc_id is in ``gone``; only ids are shuffled on that side."""
-    return docs.join(gone.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.good(docs, quality.fit(docs, table(spark, sf_dir, "labels")), LEAST_QUALITY)
 
@@ -43,11 +41,16 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    group = jaccard.similar_documents(docs, k=5, num=75, den=100)
-    kept = _without(docs, group.where("component_id != doc_id"))
-    # an id with several rows; only then rows of one id and text are made one
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    group = jaccard.similar_documents(docs, k=5, num=75, den=100).select("doc_id", "text_key", "n_shingles", "first")
+    gone = group.where("not first").select(F.col("doc_id").alias("gone_id"), "text_key").distinct()
+    keyed = docs.withColumn("text_key", jaccard.text_key(F.col("text")))
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (keyed["text_key"] == gone["text_key"]), "left_anti").select(*docs.columns)
+    # only if a document has several rows are they made one
+    repeated = group.where("first and n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
+    if not repeated:
+        return kept
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.where(worded).dropDuplicates(["doc_id", "text"]).union(kept.where(~worded))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix, pieces, shingles, words
@@ -70,6 +70,11 @@ def prefix_length(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
 
+def text_key(text: Column) -> Column:
+    """A text's hash; with its doc_id, a document's name."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _parity(h: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
     """Rows of bits/8 bytes: the parity of the number of shingles at each bit."""
     n = len(at) - 1
@@ -101,7 +106,7 @@ def _class_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(sums[at[1:]] - sums[at[:-1]] + (np.diff(at)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_SURVEYED = "doc_id long, n long, key long, bits binary, small binary, slice int, counts binary"
+_SURVEYED = "doc_id long, text_key long, n long, key long, bits binary, small binary, slice int, counts binary"
 
 
 def _survey(k: int):
@@ -109,22 +114,22 @@ def _survey(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint32)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
         names = [f.split(" ")[0] for f in _SURVEYED.split(", ")]
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, texts = batch.column("doc_id"), batch.column("text_key")
             for first, h, at in _sets(batch.column("text"), k):
                 np.add.at(counts, (h >> np.uint64(42)).astype(np.int64), 1)
                 n = np.diff(at)
                 small = [h[a:b].tobytes() if 0 < b - a <= SMALL else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 bits = [r.tobytes() for r in _parity(h, at, BITS)]
                 rows = len(n)
-                cells = [ids.slice(first, rows), n, _class_keys(h, at).view(np.int64), bits, small, [None] * rows, [None] * rows]
+                cells = [ids.slice(first, rows), texts.slice(first, rows), n, _class_keys(h, at).view(np.int64), bits, small, [None] * rows, [None] * rows]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=names)
         width = SKETCH // SLICES
         if counts.any():
             parts = [counts[i * width : (i + 1) * width].tobytes() for i in range(SLICES)]
-            cells = [[None] * SLICES] * 5 + [list(range(SLICES)), parts]
+            cells = [[None] * SLICES] * 6 + [list(range(SLICES)), parts]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=names)
 
     return run
@@ -433,27 +438,31 @@ def _in_blocks(members: DataFrame, central: bool, deal: int) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, set_key.
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, set_key, text_key, first.
 
-    ``component_id`` is the smallest doc_id reachable by links, itself included.  A null,
+    ``component_id`` is the smallest doc_id reachable by links, itself included; ``first``
+    marks one document of each component, the one of the smallest doc_id, then text_key
+    (``text_key``), and every row with an empty set.  A null,
     empty or wordless text has an empty set and links with nothing; fewer than k words
     are one shingle, the whole sequence.  Repeated doc_ids and a null one are rows of
     their own sets; a null is never a component's name unless all its members are null.
-    Other columns are ignored.  An empty table gives no rows.
+    Rows of one doc_id and one text are one document, so they are first together.  Texts
+    of any length are read whole.  Other columns are ignored.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = shuffle_partitions(spark)
 
-    surveyed = work.put(rows.mapInArrow(trimmed(_survey(k)), _SURVEYED), "surveyed")
+    surveyed = work.put(rows.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(trimmed(_survey(k)), _SURVEYED), "surveyed")
     described = surveyed.where("slice is null")
     sliced = surveyed.where("slice is not null").select("slice", "counts").repartition(min(SLICES, parts), "slice")
     level = np.zeros(SKETCH, np.uint8)
     width = SKETCH // SLICES
     for r in sliced.mapInArrow(trimmed(_add_slices), "slice int, level binary").collect():  # the sketch's fixed size
         level[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["level"], np.uint8)
-    classes = described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    document = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    classes = described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(document).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     classes = work.put(classes, "classes")
     costs = described.where("small is not null").select("small").mapInArrow(trimmed(_costs(level, num, den)), "n long, sets long, scanned double")
     by_size = costs.groupBy("n").agg(F.sum("sets").alias("sets"), F.sum("scanned").alias("scanned")).collect()  # SMALL + 1 rows at most
@@ -565,9 +574,10 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
     work.drop("bodies", "pairs", "open")
 
     # names: a component of classes is called by its least document
-    named = classes.select("key", "rep").join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(least, "component").select("key", "component_id")
-    ids = described.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("set_key"))
+    named = classes.select("key", "rep", "first").join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min(F.struct("first", "key")).alias("least"))
+    of_class = named.join(least, "component").select("key", "component_id", F.when(F.col("least.key") == F.col("key"), F.col("first")).alias("first"))
+    ids = described.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("set_key"), document.alias("document"))
     out = ids.join(of_class.withColumnRenamed("key", "set_key"), "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_key")
+    first = (F.col("n_shingles") == 0) | F.col("document").eqNullSafe(F.col("first"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_key", "text_key", first.alias("first"))

@@ -395,6 +395,41 @@ def test_pipeline(spark):
     assert np.mean([(i in gone) == (labels[i] == 0) for i in known]) > 0.93
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_row_falls_for_its_id(spark, seed):
+    """Repeated and null ids: each group of linked texts keeps one row, and no other row goes."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(seed)
+    base = [[f"w{rng.randint(0, 9**9)}" for _ in range(rng.choice([3, 12, 60]))] for _ in range(12)]
+    rows = []
+    for _ in range(150):
+        t = list(rng.choice(base))
+        if rng.random() < 0.4:
+            t[rng.randrange(len(t))] = f"x{rng.randint(0, 5)}"
+        rows.append((rng.choice([None, *range(8)]), rng.choice([None, "", " \n"]) if rng.random() < 0.1 else rng.choice([" ", "  ", "\n"]).join(t)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, docs, "").collect())
+    texts = {t for _, t in rows}
+    comp = brute_jaccard(list(enumerate(sorted(t for t in texts if t and t.strip()))))
+    name = {t: comp[i][1] for i, t in enumerate(sorted(t for t in texts if t and t.strip()))}
+    want = {}
+    for i, t in rows:
+        if t in name:
+            want.setdefault(name[t], set()).add((i is None, i or 0))
+    assert sorted((name[t], i is None, i or 0) for i, t in kept.elements() if t in name) == sorted((c, *min(ids)) for c, ids in want.items())
+    assert Counter({x: n for x, n in kept.items() if x[1] not in name}) == Counter(r for r in rows if r[1] not in name)
+
+
+def test_unlike_texts_of_one_id(spark):
+    import corpus_pipeline as cp
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(1, a), (2, a), (2, b), (7, c), (7, c[:-3] + "zz")]], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted((r.doc_id, r.text[:1]) for r in cp.drop_near_duplicates(spark, docs, "").collect())
+    assert left == [(1, "a"), (2, "b"), (7, "c")]
+
+
 def test_pipeline_edges(spark, tmp_path):
     import corpus_pipeline as cp
 
