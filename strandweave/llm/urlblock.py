@@ -125,4 +125,7 @@ def judge(pages: DataFrame, rules: list[Rule], links: DataFrame | None = None, d
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), address(F.col("url")).alias("address"))
     own = own.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("free"), "allow").when(~F.col("free"), "block"), F.lit(default))
-    return own.join(aliases, "address", "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
+    # pages without an address, or decided by a rule of their own, have no part in the join
+    apart = F.col("address").isNull() | F.col("fit.verdict").isNotNull()
+    met = own.where(~apart).join(aliases, "address", "left").unionByName(own.where(apart).withColumn("free", F.lit(None).cast("boolean")))
+    return met.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
