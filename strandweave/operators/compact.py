@@ -1,8 +1,9 @@
-"""Compaction: every unbranched chain becomes one node, by list ranking with pointer doubling.
+"""Compaction: every unbranched chain becomes one node, by list ranking.
 
-Oriented nodes (id, direction) point to the one before them over compressible links; each
-round doubles the reach, so a chain of L nodes needs about log2 L rounds.  What then has
-no head is a ring; it is cut before its smallest node read forward, and ranked again.
+Oriented nodes point to the one before them over compressible links (ranking.py); what has
+no head is a ring, which is cut before its smallest node read forward, and ranked again.
+Only nodes in chains change; where a graph was compact before, only links at nodes touched
+since can have become compressible.
 """
 
 from __future__ import annotations
@@ -13,96 +14,49 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import flip, oriented
 from ..storage import Workspace
-from .graph import Graph, compressible_links
+from . import ranking
+from .graph import Graph, compressible_links, mirrored, sole_links
+from .live import Live, touching
 
 #: Nodes of a chain that are gathered in one row.
 BLOCK = 4096
 
 
-def _double(ptr: DataFrame, ahead: DataFrame) -> DataFrame:
-    """One doubling: every unfinished pointer jumps over the pointer it leads to."""
-    open_ = ptr.where("not done")
-    to = ahead.select(F.col("node_id").alias("to_id"), F.col("dir").alias("to_dir"), F.col("to_id").alias("next_id"), F.col("to_dir").alias("next_dir"), F.col("rank").alias("more"), F.col("done").alias("there"), F.col("low").alias("next_low"))
-    jumped = open_.join(to, ["to_id", "to_dir"]).select(
-        "node_id", "dir", F.col("next_id").alias("to_id"), F.col("next_dir").alias("to_dir"), (F.col("rank") + F.col("more")).alias("rank"), F.col("there").alias("done"), F.least("low", "next_low").alias("low")
-    )
-    return ptr.where("done").union(jumped.select(*ptr.columns))
+def links_near(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Compressible links at nodes(node_id), as seen from both ends."""
+    at = lambda n: n.select(F.col("node_id").alias("src"))
+    sole = sole_links(edges.join(at(nodes), "src", "left_semi")).where("src != dst")
+    far = sole.select(F.col("dst").alias("node_id")).distinct()
+    back = mirrored(sole_links(edges.join(at(far), "src", "left_semi")))
+    near = sole.join(back, ["src", "sdir", "ddir", "dst"], "left_semi").select("src", "sdir", "ddir", "dst")
+    return near.union(mirrored(near)).distinct()
 
 
-def _pointers(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Each oriented node with its predecessor, or itself and done if it is a head."""
-    before = links.select(F.col("dst").alias("node_id"), F.col("ddir").alias("dir"), F.col("src").alias("to_id"), F.col("sdir").alias("to_dir"))
-    p = members.join(before, ["node_id", "dir"], "left")
-    return p.select(
-        "node_id", "dir", F.coalesce("to_id", "node_id").alias("to_id"), F.coalesce("to_dir", "dir").alias("to_dir"),
-        F.when(F.col("to_id").isNull(), 0).otherwise(1).cast("long").alias("rank"), F.col("to_id").isNull().alias("done"), F.col("node_id").alias("low"),
-    )
-
+def chains(links: DataFrame, k: int, work: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
+    """(node_id, dir, chain, rank) of every node of the links in the orientation that is kept, and the links inside chains.
 
-def _rank(members: DataFrame, links: DataFrame, work: Workspace, name: str) -> tuple[DataFrame, int]:
-    """Pointers to heads, and how many oriented nodes have none (those of rings)."""
-    first = work.put(_pointers(members, links), f"{name}0")
-    done, open_ = first.where("done"), first.where("not done")
-    left, k = open_.count(), 0
-    while left:
-        k += 1
-        # a pointer is stored again only as long as it is open, and once when it is done
-        ptr = work.put(_double(open_, done.union(open_)), f"{name}{k}")
-        done, open_ = done.union(ptr.where("done")), ptr.where("not done")
-        now = open_.count()
-        if now == left:  # a chain always has some node whose reach just covers the way to its head
-            break
-        left = now
-    return done.union(open_), left
-
-
-def ring_lows(ptr: DataFrame, work: Workspace) -> DataFrame:
-    """(low) of each ring among the unfinished pointers: its smallest node."""
-    ring, k = work.put(ptr.where("not done"), "ring0"), 0
-    total = None
-    while True:
-        s = ring.agg(F.sum(F.xxhash64("node_id", "dir", "low").cast("decimal(38,0)"))).first()[0]
-        if s == total:
-            return ring.select(F.col("low")).distinct()
-        total, k = s, k + 1
-        ring = work.put(_double(ring, ring), f"ring{k}")
-        work.drop(f"ring{k - 1}")
-
-
-def chains(graph: Graph, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(node_id, dir, chain, rank) of every node in the orientation that is kept, and the links inside chains.
-
-    A chain and its mirror are the same; the one with the smaller head is kept, a single
-    node read forward.  ``chain`` is the head's id.
+    A chain and its mirror are the same; the one with the smaller head is kept.  ``chain``
+    is the head's id.
     """
-    links = work.put(compressible_links(graph.edges), "links")
-    ends = links.select(F.col("src").alias("node_id"), F.col("sdir").alias("dir")).union(links.select("dst", "ddir")).distinct()
-    members = work.put(ends.union(ends.select("node_id", flip(F.col("dir")))).distinct(), "members")
-    ptr, rings = _rank(members, links, work, "ptr")
-    if rings:
-        low = ring_lows(ptr, work).select(F.col("low").alias("dst"), F.lit("f").alias("ddir"))
+    ptr, lows = ranking.rank(ranking.pointers(links), k, work, f"{name}-ptr")
+    if lows is not None:
+        low = work.put(lows.select(F.col("low").alias("dst"), F.lit("f").alias("ddir")), f"{name}-lows")
         cut = links.join(low, ["dst", "ddir"]).select("src", "sdir", "ddir", "dst")
         cut = cut.union(cut.select("dst", flip(F.col("ddir")), flip(F.col("sdir")), "src"))
         # only the ring's own link: nothing else leads to that end, the link being sole
-        links = work.put(links.join(cut, ["src", "sdir", "ddir", "dst"], "left_anti"), "links-cut")
-        ptr, rings = _rank(members, links, work, "cut-ptr")
-        if rings:
+        links = work.put(links.join(cut, ["src", "sdir", "ddir", "dst"], "left_anti"), f"{name}-cut")
+        ptr, lows = ranking.rank(ranking.pointers(links), k, work, f"{name}-cut-ptr")
+        if lows is not None:
             raise RuntimeError("rings left after cutting")
     heads = ptr.select("node_id", "dir", F.col("to_id").alias("head"), F.col("to_dir").alias("head_dir"), "rank")
     # the tail of a chain is the head of its mirror
     mirror = heads.select("node_id", flip(F.col("dir")).alias("dir"), F.col("head").alias("tail"))
     kept = heads.join(mirror, ["node_id", "dir"]).where("head < tail or (head = tail and head_dir = 'f')")
-    in_chain = kept.select("node_id", "dir", F.col("head").alias("chain"), "rank")
-    alone = graph.nodes.select("node_id").join(in_chain, "node_id", "left_anti")
-    zero = F.lit(0).cast("long")
-    return in_chain.union(alone.select("node_id", F.lit("f"), "node_id", zero)), links
+    return kept.select("node_id", "dir", F.col("head").alias("chain"), "rank"), links
 
 
-def compact(graph: Graph, k: int, label: str = "compact") -> Graph:
-    """The graph with every chain merged; coverage is the mean over the chain's K-mers."""
-    work = Workspace(graph.nodes.sparkSession, label)
-    where, links = chains(graph, work)
-    where = work.put(where, "where")
+def merged(graph: Graph, where: DataFrame, links: DataFrame, k: int) -> Graph:
+    """The rows that take the place of all rows naming nodes of ``where``; coverage is the mean over a chain's K-mers."""
     n = F.length("seq") - (k - 1)
     parts = graph.nodes.join(where, "node_id").select("chain", "rank", "node_id", "dir", oriented(F.col("seq"), F.col("dir")).alias("seq"), "cov")
     piece = F.when(F.col("rank") == 0, F.col("seq")).otherwise(F.substring("seq", k, 2**31 - 1))
@@ -112,26 +66,51 @@ def compact(graph: Graph, k: int, label: str = "compact") -> Graph:
     blocks = parts.withColumn("piece", piece).groupBy("chain", "block").agg(line("rank"), F.sum(F.col("cov") * n).alias("cov"), F.sum(n).alias("n"))
     whole = blocks.groupBy("chain").agg(line("block"), (F.sum("cov") / F.sum("n")).alias("cov")).withColumnRenamed("piece", "seq")
     nodes = whole.select(F.col("chain").alias("node_id"), "seq", "cov")
-    # a node in its kept orientation is the chain read forward
-    here = where.select("node_id", "dir", "chain")
-    at = lambda node, d, to: here.select(F.col("node_id").alias(node), F.col("dir").alias(f"{d}_kept"), F.col("chain").alias(to))
-    side = lambda d: F.when(F.col(d) == F.col(f"{d}_kept"), "f").otherwise("r")
-    outer = graph.edges.join(links, ["src", "sdir", "ddir", "dst"], "left_anti")
-    moved = outer.join(at("src", "sdir", "a"), "src").join(at("dst", "ddir", "b"), "dst")
-    edges = moved.select(F.col("a").alias("src"), side("sdir").alias("sdir"), side("ddir").alias("ddir"), F.col("b").alias("dst")).distinct()
+    # a node in its kept orientation is the chain read forward; nodes outside stay as they are
+    at = lambda node, d, to: where.select(F.col("node_id").alias(node), F.col("dir").alias(f"{d}_kept"), F.col("chain").alias(to))
+    side = lambda d: F.when(F.col(f"{d}_kept").isNull(), F.col(d)).when(F.col(d) == F.col(f"{d}_kept"), "f").otherwise("r")
+
+    def moved(df: DataFrame, src: str) -> DataFrame:
+        df = df.join(at(src, "sdir", "a"), src, "left").join(at("dst", "ddir", "b"), "dst", "left")
+        return df.withColumns({src: F.coalesce("a", src), "dst": F.coalesce("b", "dst"), "sdir": side("sdir"), "ddir": side("ddir")})
+
+    outer = touching(graph.edges, where, "edges").join(links, ["src", "sdir", "ddir", "dst"], "left_anti")
+    edges = moved(outer, "src").select("src", "sdir", "ddir", "dst").distinct()
     inner = links.withColumnRenamed("src", "node_id")
-    kept = graph.threads.join(inner, ["node_id", "sdir", "ddir", "dst"], "left_anti")
-    kept = kept.join(at("node_id", "sdir", "a"), "node_id").join(at("dst", "ddir", "b"), "dst")
-    threads = kept.select(F.col("a").alias("node_id"), side("sdir").alias("sdir"), side("ddir").alias("ddir"), F.col("b").alias("dst"), "read").distinct()
+    kept = touching(graph.threads, where, "threads").join(inner, ["node_id", "sdir", "ddir", "dst"], "left_anti")
+    threads = moved(kept, "node_id").select("node_id", "sdir", "ddir", "dst", "read").distinct()
     sums = parts.groupBy("chain", "block").agg(F.sum(n).alias("n"))
     ahead = lambda by, at: F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("chain", "block", ahead(["chain"], "block").alias("ahead"))
     base = parts.select("chain", "block", "rank", "node_id", "dir", F.length("seq").alias("len"), n.alias("n")).withColumn("within", ahead(["chain", "block"], "rank"))
     base = base.join(sums, ["chain", "block"]).select("chain", "node_id", "dir", "len", (F.col("ahead") + F.col("within")).alias("base"))
-    moved = graph.starts.join(base, "node_id")
+    shifted = graph.starts.join(base, "node_id")
     forward = F.col("dir") == "f"
-    starts = moved.select(
+    starts = shifted.select(
         F.col("chain").alias("node_id"), "read", F.when(forward, F.col("rc")).otherwise(~F.col("rc")).alias("rc"),
         (F.col("base") + F.when(forward, F.col("off")).otherwise(F.col("len") - 1 - F.col("off"))).cast("int").alias("off"),
     )
-    return Graph(nodes, edges, threads, starts).saved(work, "out")
+    return Graph(nodes, edges, threads, starts)
+
+
+def settle(live: Live, k: int) -> int:
+    """Merges all chains of a graph under change; how many nodes went into chains."""
+    near, graph, work = live.look("compact"), live.view(), live.work
+    name = live.name("links")
+    links = work.put(compressible_links(graph.edges) if near is None else links_near(graph.edges, near), name)
+    if links.limit(1).count() == 0:
+        return 0
+    where, inner = chains(links, k, work, name)
+    where = work.put(where, f"{name}-where")
+    new = merged(graph, where, inner, k)
+    new = Graph(*(work.put(t, f"{name}-new-{i}") for i, t in enumerate((new.nodes, new.edges, new.threads, new.starts))))
+    touched = work.put(new.nodes.select("node_id").union(new.edges.select("src")).distinct(), f"{name}-touched")
+    live.replace(where.select("node_id"), new, touched, "chains")
+    return where.count()
+
+
+def compact(graph: Graph, k: int, label: str = "compact") -> Graph:
+    """The graph, stored, with every chain merged."""
+    live = Live.of(graph, label)
+    settle(live, k)
+    return live.view().saved(live.work, "out") if live.dead is not None else live.base

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,23 +12,31 @@ from ..storage import Workspace
 from .graph import Graph, live_threads, with_degrees
 
 
-def tip_candidates(graph: Graph, p: Params) -> DataFrame:
-    """(node_id, len, deg) of short nodes with at most one edge."""
-    some = graph.nodes.where(F.length("seq") <= p.tip_len)
-    d = with_degrees(some.select("node_id", F.length("seq").alias("len")), graph.edges)
+def _of(df: DataFrame, nodes: DataFrame | None, end: str) -> DataFrame:
+    """Rows whose ``end`` is one of nodes(node_id); all, if there is none."""
+    return df if nodes is None else df.join(nodes.select(F.col("node_id").alias(end)), end, "left_semi").select(*df.columns)
+
+
+def tip_candidates(graph: Graph, p: Params, among: DataFrame | None = None) -> DataFrame:
+    """(node_id, len, deg) of short nodes with at most one edge, of all or ``among``(node_id)."""
+    some = _of(graph.nodes, among, "node_id").where(F.length("seq") <= p.tip_len)
+    d = with_degrees(some.select("node_id", F.length("seq").alias("len")), _of(graph.edges, among, "src"))
     return d.where("deg_f + deg_r <= 1").select("node_id", "len", (F.col("deg_f") + F.col("deg_r")).alias("deg"))
 
 
-def tip_victims(graph: Graph, p: Params) -> DataFrame:
+def tip_victims(graph: Graph, p: Params, among: DataFrame | None = None) -> DataFrame:
     """(node_id) of the tips to drop.
 
     Islands go, and tips on themselves.  Where all edges of a node's side are tips, the
-    longest stays: ties to the edge entering forward, then to the smaller id.
+    longest stays: ties to the edge entering forward, then to the smaller id.  With
+    ``among``, only tips among these nodes are known; a tip spared before is merged with
+    what it hangs on, so that no other is left once its round is over.
     """
-    tips = tip_candidates(graph, p)
-    hung = tips.where("deg = 1").join(graph.edges, F.col("node_id") == F.col("src"))
+    tips = tip_candidates(graph, p, among)
+    hung = tips.where("deg = 1").join(_of(graph.edges, among, "src"), F.col("node_id") == F.col("src"))
     at = hung.where("node_id != dst").select("node_id", "len", F.col("dst").alias("nbr"), flip(F.col("ddir")).alias("side"), flip(F.col("sdir")).alias("enters"))
-    degree = graph.edges.groupBy(F.col("src").alias("nbr"), F.col("sdir").alias("side")).agg(F.count("*").alias("degree"))
+    hubs = None if among is None else at.select(F.col("nbr").alias("node_id")).distinct()
+    degree = _of(graph.edges, hubs, "src").groupBy(F.col("src").alias("nbr"), F.col("sdir").alias("side")).agg(F.count("*").alias("degree"))
     # partial sums and maxima by side: the best is found without gathering a hub's tips
     best = at.groupBy("nbr", "side").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("len")).alias("l"), "enters", "node_id")).alias("best"))
     spared = best.join(degree, ["nbr", "side"]).where("n = degree").select("nbr", "side", F.col("best.node_id").alias("node_id"))
@@ -42,14 +48,14 @@ def remove_tips(graph: Graph, p: Params) -> tuple[Graph, DataFrame]:
     return graph.without(victims), victims
 
 
-def bubble_candidates(graph: Graph, p: Params) -> DataFrame:
+def bubble_candidates(graph: Graph, p: Params, among: DataFrame | None = None) -> DataFrame:
     """Short nodes with one edge on each side, read from the smaller neighbour to the larger.
 
     Columns: node_id, minor, minor_dir (direction in which minor is left), major,
     major_dir (in which major is entered), dir (in which the node is read), seq, cov.
     """
-    short = with_degrees(graph.nodes.where(F.length("seq") < p.bubble_len), graph.edges).where("deg_f = 1 and deg_r = 1 and not tandem")
-    e = graph.edges
+    e = _of(graph.edges, among, "src")
+    short = with_degrees(_of(graph.nodes, among, "node_id").where(F.length("seq") < p.bubble_len), e).where("deg_f = 1 and deg_r = 1 and not tandem")
     fwd = e.where("sdir = 'f'").select(F.col("src").alias("node_id"), F.col("ddir").alias("fd"), F.col("dst").alias("fn"))
     rev = e.where("sdir = 'r'").select(F.col("src").alias("node_id"), F.col("ddir").alias("rd"), F.col("dst").alias("rn"))
     x = short.join(fwd, "node_id").join(rev, "node_id")
@@ -62,13 +68,18 @@ def bubble_candidates(graph: Graph, p: Params) -> DataFrame:
     )
 
 
-def bubble_pairs(graph: Graph, p: Params) -> DataFrame:
-    """(keep, pop): parallel candidates within the edit rate, the one with more coverage (then the smaller id) first.
+def bubble_pairs(graph: Graph, p: Params, among: DataFrame | None = None) -> DataFrame:
+    """(keep, pop, ucov, vcov): parallel candidates within the edit rate, the one with more coverage (then the smaller id) first.
 
     Candidates share both ports, so a group has no more members than paths between two
-    nodes; lengths are compared before the edit distance is computed.
+    nodes; lengths are compared before the edit distance is computed.  With ``among``, only
+    groups with one of these nodes are looked at.
     """
-    c = bubble_candidates(graph, p)
+    c = bubble_candidates(graph, p, among)
+    if among is not None:
+        port = c.select(F.col("minor").alias("src"), F.col("minor_dir").alias("sdir")).distinct()
+        beside = graph.edges.join(port, ["src", "sdir"], "left_semi").select(F.col("dst").alias("node_id"))
+        c = bubble_candidates(graph, p, beside.union(among.select("node_id")).distinct())
     ports = ["minor", "minor_dir", "major", "major_dir"]
     u = c.select(*ports, F.col("node_id").alias("keep"), F.col("seq").alias("useq"), F.col("cov").alias("ucov"))
     v = c.select(*ports, F.col("node_id").alias("pop"), F.col("seq").alias("vseq"), F.col("cov").alias("vcov"))
@@ -103,15 +114,17 @@ def greedy_pops(pairs: DataFrame, work: Workspace) -> DataFrame:
     return first.select(F.col("m.keep").alias("keep"), "pop")
 
 
-def pop_bubbles(graph: Graph, p: Params, label: str = "bubbles") -> tuple[Graph, DataFrame]:
-    """Drops popped nodes; their coverage goes to the ones that popped them."""
+def pop_bubbles(graph: Graph, p: Params, label: str = "bubbles", among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node_id) that is popped, and the nodes(node_id, seq, cov) that popped any, with the coverage that went to them.
+
+    A node that pops another stays, so the coverage goes no further.
+    """
     work = Workspace(graph.nodes.sparkSession, label)
-    pops = work.put(greedy_pops(bubble_pairs(graph, p), work), "pops")
+    pops = work.put(greedy_pops(bubble_pairs(graph, p, among), work), "pops")
     n = F.length("seq") - (p.k - 1)
     extra = pops.join(graph.nodes.select(F.col("node_id").alias("pop"), (F.col("cov") * n).alias("extra")), "pop").groupBy(F.col("keep").alias("node_id")).agg(F.sum("extra").alias("extra"))
-    after = graph.without(pops.select(F.col("pop").alias("node_id")))
-    nodes = after.nodes.join(extra, "node_id", "left").select("node_id", "seq", ((F.col("cov") * n + F.coalesce("extra", F.lit(0.0))) / n).alias("cov"))
-    return replace(after, nodes=nodes), pops
+    kept = graph.nodes.join(extra, "node_id").select("node_id", "seq", ((F.col("cov") * n + F.col("extra")) / n).alias("cov"))
+    return pops.select(F.col("pop").alias("node_id")), work.put(kept, "kept")
 
 
 def low_coverage_victims(graph: Graph, p: Params) -> DataFrame:

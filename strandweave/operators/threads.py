@@ -8,16 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import flip
 from ..storage import Workspace
-from .graph import Graph, live_threads, mirrored, with_degrees
-
-PORT = ["fd", "fn", "rd", "rn"]
+from .graph import Graph, live_threads, mirrored, symmetrised, with_degrees
+from .live import TABLES, without
 
+__all__ = ["independent", "port_pair_weights", "spanning_reads", "split", "split_pairs", "split_rows", "symmetrised", "threadible"]
 
-def symmetrised(graph: Graph) -> DataFrame:
-    """Threads known at either end of an edge, at both; only for edges that exist."""
-    t = graph.threads
-    there = t.select(F.col("dst").alias("node_id"), flip(F.col("ddir")).alias("sdir"), flip(F.col("sdir")).alias("ddir"), F.col("node_id").alias("dst"), "read")
-    return live_threads(t.union(there).distinct(), graph.edges)
+PORT = ["fd", "fn", "rd", "rn"]
 
 
 def spanning_reads(threads: DataFrame) -> DataFrame:
@@ -33,22 +29,33 @@ def port_pair_weights(threads: DataFrame) -> DataFrame:
     return spanning_reads(threads).groupBy("node_id", *PORT).agg(F.count("*").alias("weight"))
 
 
-def threadible(graph: Graph, threads: DataFrame, min_weight: int) -> DataFrame:
-    """(node_id) of nodes to split: branching, edges on both sides, no self-edge, every port joined by enough reads."""
-    enough = port_pair_weights(threads).where(F.col("weight") >= min_weight)
+def _at(df: DataFrame, nodes: DataFrame | None, end: str) -> DataFrame:
+    return df if nodes is None else df.join(nodes.select(F.col("node_id").alias(end)), end, "left_semi").select(*df.columns)
+
+
+def threadible(graph: Graph, threads: DataFrame, min_weight: int, among: DataFrame | None = None) -> DataFrame:
+    """(node_id) of nodes to split, of all or ``among``(node_id): branching, edges on both sides, no self-edge, every port joined by enough reads."""
+    edges = _at(graph.edges, among, "src")
+    enough = port_pair_weights(_at(threads, among, "node_id")).where(F.col("weight") >= min_weight)
     covered = enough.select(F.col("node_id").alias("src"), F.lit("f").alias("sdir"), F.col("fd").alias("ddir"), F.col("fn").alias("dst"))
     covered = covered.union(enough.select("node_id", F.lit("r"), "rd", "rn")).distinct()
-    bare = graph.edges.join(covered, ["src", "sdir", "ddir", "dst"], "left_anti").select(F.col("src").alias("node_id")).distinct()
-    d = with_degrees(graph.nodes.select("node_id"), graph.edges)
+    bare = edges.join(covered, ["src", "sdir", "ddir", "dst"], "left_anti").select(F.col("src").alias("node_id")).distinct()
+    d = with_degrees(_at(graph.nodes, among, "node_id").select("node_id"), edges)
     return d.where("deg_f > 0 and deg_r > 0 and deg_f + deg_r > 2 and not tandem").select("node_id").join(bare, "node_id", "left_anti")
 
 
-def independent(graph: Graph, splitters: DataFrame) -> DataFrame:
-    """Splitters without a splitting neighbour of smaller id; only these split in a round."""
+def independent(graph: Graph, splitters: DataFrame, seed: int | None = None) -> DataFrame:
+    """Splitters that come before all their splitting neighbours; only these split in a round.
+
+    The order is that of ids, or with a seed a random one that is the same on every
+    machine: a line of neighbours whose ids ascend takes a round each by ids, but with a
+    new seed each round about the logarithm of its length.
+    """
+    order = (lambda c: F.struct(F.lit(0), c)) if seed is None else (lambda c: F.struct(F.xxhash64(c, F.lit(seed)), c))
     s = splitters.select("node_id")
     near = graph.edges.where("src != dst").join(s.withColumnRenamed("node_id", "src"), "src", "left_semi").join(s.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
-    least = near.groupBy(F.col("src").alias("node_id")).agg(F.min("dst").alias("least"))
-    return s.join(least, "node_id", "left").where("least is null or node_id < least").select("node_id")
+    least = near.groupBy(F.col("src").alias("node_id")).agg(F.min(order(F.col("dst"))).alias("least"))
+    return s.join(least, "node_id", "left").where(F.col("least").isNull() | (order(F.col("node_id")) < F.col("least"))).select("node_id")
 
 
 def split_pairs(graph: Graph, threads: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -56,8 +63,8 @@ def split_pairs(graph: Graph, threads: DataFrame, chosen: DataFrame) -> DataFram
 
     Every pair of ports that any read joins; where one side has one port only, every pair with it.
     """
-    seen = port_pair_weights(threads).join(chosen, "node_id", "left_semi").select("node_id", *PORT)
-    e = graph.edges
+    seen = port_pair_weights(_at(threads, chosen, "node_id")).select("node_id", *PORT)
+    e = _at(graph.edges, chosen, "src")
     f = e.where("sdir = 'f'").select(F.col("src").alias("node_id"), F.col("ddir").alias("fd"), F.col("dst").alias("fn"))
     r = e.where("sdir = 'r'").select(F.col("src").alias("node_id"), F.col("ddir").alias("rd"), F.col("dst").alias("rn"))
     half = with_degrees(chosen, e).where("deg_f = 1 or deg_r = 1").select("node_id")
@@ -65,33 +72,38 @@ def split_pairs(graph: Graph, threads: DataFrame, chosen: DataFrame) -> DataFram
     return pairs.withColumn("copy", F.row_number().over(W.partitionBy("node_id").orderBy(*PORT)))
 
 
-def split(graph: Graph, threads: DataFrame, chosen: DataFrame, label: str = "split") -> Graph:
-    """Replaces each chosen node by its copies; coverage is shared, read starts are dropped.
+def split_rows(graph: Graph, threads: DataFrame, chosen: DataFrame, work: Workspace, name: str = "split") -> Graph:
+    """The rows that take the place of all rows naming a chosen node; coverage is shared, read starts are dropped.
 
-    A neighbour's threads over the old link follow the copy if there is only one for it.
+    A neighbour's threads over the old link follow the copy if there is only one for it;
+    a copy's own threads are there as seen from both ends.
     """
-    work = Workspace(graph.nodes.sparkSession, label)
-    chosen = work.put(chosen, "chosen")
-    pairs = work.put(split_pairs(graph, threads, chosen), "pairs")
-    name = F.concat("node_id", F.lit("_"), F.col("copy").cast("string"))
+    pairs = work.put(split_pairs(graph, threads, chosen), f"{name}-pairs")
+    named = F.concat("node_id", F.lit("_"), F.col("copy").cast("string"))
     count = pairs.groupBy("node_id").agg(F.count("*").alias("n"))
-    copies = pairs.join(count, "node_id").join(graph.nodes, "node_id").select(name.alias("new"), "node_id", *PORT, "seq", (F.col("cov") / F.col("n")).alias("cov"))
-    copies = work.put(copies, "copies")
-    nodes = graph.nodes.join(chosen, "node_id", "left_anti").union(copies.select(F.col("new").alias("node_id"), "seq", "cov"))
+    copies = pairs.join(count, "node_id").join(graph.nodes, "node_id").select(named.alias("new"), "node_id", *PORT, "seq", (F.col("cov") / F.col("n")).alias("cov"))
+    copies = work.put(copies, f"{name}-copies")
     ports = copies.select("new", "node_id", F.lit("f").alias("sdir"), F.col("fd").alias("ddir"), F.col("fn").alias("dst"))
     ports = ports.union(copies.select("new", "node_id", F.lit("r"), "rd", "rn"))
     own = ports.select(F.col("new").alias("src"), "sdir", "ddir", "dst")
-    old = graph.edges
-    for end in ("src", "dst"):
-        old = old.join(chosen.select(F.col("node_id").alias(end)), end, "left_anti")
-    edges = old.select("src", "sdir", "ddir", "dst").union(own).union(mirrored(own)).distinct()
+    edges = own.union(mirrored(own)).distinct()
     # threads: inside copies by their own reads, at neighbours where the copy is certain
-    spans = spanning_reads(threads).join(copies.select("node_id", "new", *PORT), ["node_id", *PORT])
+    spans = spanning_reads(_at(threads, chosen, "node_id")).join(copies.select("node_id", "new", *PORT), ["node_id", *PORT])
     inside = spans.select(F.col("new").alias("node_id"), F.lit("f").alias("sdir"), F.col("fd").alias("ddir"), F.col("fn").alias("dst"), "read")
     inside = inside.union(spans.select("new", F.lit("r"), "rd", "rn", "read"))
     sure = ports.groupBy("node_id", "sdir", "ddir", "dst").agg(F.count("*").alias("n"), F.min("new").alias("new")).where("n = 1")
     to = sure.select(F.col("node_id").alias("dst"), flip(F.col("sdir")).alias("ddir"), flip(F.col("ddir")).alias("sdir"), F.col("dst").alias("node_id"), "new")
-    kept = threads.join(chosen, "node_id", "left_anti").join(to, ["node_id", "sdir", "ddir", "dst"], "left")
-    kept = kept.select("node_id", "sdir", "ddir", F.coalesce("new", "dst").alias("dst"), "read")
-    out = Graph(nodes, edges, live_threads(kept.union(inside).distinct(), edges), graph.starts.join(chosen, "node_id", "left_anti"))
-    return out.saved(work, "out")
+    beside = threads.join(chosen.select(F.col("node_id").alias("dst")), "dst", "left_semi").join(to, ["node_id", "sdir", "ddir", "dst"])
+    beside = beside.select("node_id", "sdir", "ddir", F.col("new").alias("dst"), "read")
+    nodes = copies.select(F.col("new").alias("node_id"), "seq", "cov")
+    return Graph(nodes, edges, inside.union(beside).distinct(), graph.starts.limit(0))
+
+
+def split(graph: Graph, threads: DataFrame, chosen: DataFrame, label: str = "split") -> Graph:
+    """Replaces each chosen node by its copies."""
+    work = Workspace(graph.nodes.sparkSession, label)
+    chosen = work.put(chosen, "chosen")
+    new = split_rows(graph, threads, chosen, work)
+    old = Graph(graph.nodes, graph.edges, threads, graph.starts)
+    rows = {t: without(getattr(old, t), chosen, t).union(getattr(new, t).select(*getattr(old, t).columns)) for t in TABLES}
+    return Graph(rows["nodes"], rows["edges"], live_threads(rows["threads"].distinct(), rows["edges"]), rows["starts"]).saved(work, "out")

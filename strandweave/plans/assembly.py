@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import build, compact, correct, inspect, mates, stats, threads
 from ..operators.graph import EDGES, NODES, STARTS, THREADS, Graph
+from ..operators.live import TABLES, Live, touching, without
 from ..params import Params
 from ..sources import reads as sources
 from ..sources import sinks
@@ -35,74 +36,94 @@ def _rounds(graph: Graph, label: str) -> Iterator[int]:
     raise RuntimeError(f"{label} did not settle")
 
 
-def remove_tips(graph: Graph, p: Params, label: str = "tips") -> tuple[Graph, int]:
-    """Tips and compaction, until a round finds no tip to drop."""
-    work, total = Workspace(graph.nodes.sparkSession, label), 0
-    for r in count():  # each round removes nodes
-        victims = work.put(correct.tip_victims(graph, p), f"victims{r}")
+def _finished(live: Live) -> Graph:
+    return live.base if live.dead is None else live.view().saved(live.work, live.name("out"))
+
+
+def settle_tips(live: Live, p: Params) -> int:
+    """Tips and compaction, until a round finds no tip to drop; each round looks at what the one before touched."""
+    total = 0
+    for _ in count():  # each round removes nodes
+        among = live.look("tips")
+        victims = live.work.put(correct.tip_victims(live.view(), p, among), live.name("tips"))
         n = victims.count()
         if n == 0:
-            break
+            return total
         total += n
-        graph = compact.compact(graph.without(victims).saved(work, f"cut{r}"), p.k, f"{label}-compact{r}")
-    return graph, total
+        live.drop(victims, "tips")
+        compact.settle(live, p.k)
 
 
-def pop_bubbles(graph: Graph, p: Params, label: str = "bubbles") -> tuple[Graph, int]:
+def settle_bubbles(live: Live, p: Params) -> int:
     """Bubbles, compaction and tips, until a round pops none."""
-    work, total = Workspace(graph.nodes.sparkSession, label), 0
-    for r in count():  # each round removes nodes
-        popped, pops = correct.pop_bubbles(graph, p, f"{label}{r}")
-        n = pops.count()
+    total = 0
+    for _ in count():  # each round removes nodes
+        graph, among = live.view(), live.look("bubbles")
+        victims, kept = correct.pop_bubbles(graph, p, live.name("bubbles"), among)
+        n = victims.count()
         if n == 0:
-            break
+            return total
         total += n
-        graph = compact.compact(popped.saved(work, f"popped{r}"), p.k, f"{label}-compact{r}")
-        graph, _ = remove_tips(graph, p, f"{label}-tips{r}")
-    return graph, total
+        victims = live.work.put(victims, live.name("popped"))
+        # who popped keeps its links, with more coverage
+        same = kept.select("node_id")
+        changed = live.work.put(victims.union(same), live.name("changed"))
+        rows = {t: without(touching(getattr(graph, t), same, t), victims, t) for t in ("edges", "threads", "starts")}
+        beside = touching(graph.edges, changed, "edges").select(F.col("src").alias("node_id")).union(same).distinct()
+        beside = live.work.put(beside.join(victims, "node_id", "left_anti"), live.name("beside"))
+        live.replace(changed, Graph(kept, rows["edges"], rows["threads"], rows["starts"]), beside, "bubbles")
+        compact.settle(live, p.k)
+        settle_tips(live, p)
 
 
-def low_coverage(graph: Graph, p: Params, label: str = "lowcov") -> tuple[Graph, int]:
-    work = Workspace(graph.nodes.sparkSession, label)
-    victims = work.put(correct.low_coverage_victims(graph, p), "victims")
-    n = victims.count()
-    if n:
-        graph = compact.compact(graph.without(victims).saved(work, "cut"), p.k, f"{label}-compact")
-        graph, _ = remove_tips(graph, p, f"{label}-tips")
-        graph, _ = pop_bubbles(graph, p, f"{label}-bubbles")
-    return graph, n
+def settle_all(live: Live, p: Params) -> None:
+    compact.settle(live, p.k)
+    settle_tips(live, p)
+    settle_bubbles(live, p)
+
 
+def remove_tips(graph: Graph, p: Params, label: str = "tips") -> tuple[Graph, int]:
+    live = Live.of(graph, label)
+    n = settle_tips(live, p)
+    return _finished(live), n
 
-def _settle(graph: Graph, p: Params, label: str) -> Graph:
-    graph = compact.compact(graph, p.k, f"{label}-compact")
-    graph, _ = remove_tips(graph, p, f"{label}-tips")
-    graph, _ = pop_bubbles(graph, p, f"{label}-bubbles")
-    return graph
 
+def pop_bubbles(graph: Graph, p: Params, label: str = "bubbles") -> tuple[Graph, int]:
+    live = Live.of(graph, label)
+    n = settle_bubbles(live, p)
+    return _finished(live), n
 
-def _split_all(graph: Graph, marks: DataFrame, splitters: DataFrame, label: str) -> tuple[Graph, int]:
-    """One independent set of the splitters, split."""
-    work = Workspace(graph.nodes.sparkSession, label)
-    splitters = work.put(splitters, "splitters")
-    n = splitters.count()
-    if n == 0:
-        return graph, 0
-    chosen = work.put(threads.independent(graph, splitters), "chosen")
-    return threads.split(graph, marks, chosen, f"{label}-split"), n
+
+def low_coverage(graph: Graph, p: Params, label: str = "lowcov") -> tuple[Graph, int]:
+    live = Live.of(graph, label)
+    victims = live.work.put(correct.low_coverage_victims(graph, p), "victims")
+    n = victims.count()
+    if n:
+        live.drop(victims, "low coverage")
+        settle_all(live, p)
+    return _finished(live), n
 
 
 def resolve_repeats(graph: Graph, p: Params, label: str = "repeats") -> tuple[Graph, int]:
     """Splits nodes that reads run through, an independent set a round, until none can be split."""
-    work, total, last = Workspace(graph.nodes.sparkSession, label), 0, None
+    live, total, last = Live.of(graph, label), 0, None
+    live.symmetrise()
     for r in _rounds(graph, label):
-        marks = work.put(threads.symmetrised(graph), f"threads{r}")
-        after, n = _split_all(graph, marks, threads.threadible(graph, marks, p.min_thread_weight), f"{label}{r}")
-        size = graph.nodes.count()
-        if n == 0 or (n, size) == last:  # the same nodes again: nothing can be won
+        graph, among = live.view(), live.look("repeats")
+        splitters = live.work.put(threads.threadible(graph, graph.threads, p.min_thread_weight, among), live.name("splitters"))
+        n, names = splitters.agg(F.count("*"), F.sum(F.xxhash64("node_id").cast("decimal(38,0)"))).first()
+        if n == 0 or (n, names) == last:  # the same nodes again: nothing can be won
             break
-        total, last = total + n, (n, size)
-        graph = _settle(after, p, f"{label}{r}")
-    return graph, total
+        total, last = total + n, (n, names)
+        chosen = live.work.put(threads.independent(graph, splitters, seed=r), live.name("chosen"))
+        tag = live.name("split")
+        new = threads.split_rows(graph, graph.threads, chosen, live.work, tag)
+        new = Graph(*(live.work.put(getattr(new, t), f"{tag}-{t}") for t in TABLES))
+        touched = live.work.put(new.edges.select(F.col("src").alias("node_id")).union(new.nodes.select("node_id")).distinct(), f"{tag}-touched")
+        live.replace(chosen, new, touched, "split")
+        live.look_again("repeats", splitters.join(chosen, "node_id", "left_anti"))
+        settle_all(live, p)
+    return _finished(live), total
 
 
 def scaffold(graph: Graph, p: Params, label: str = "scaffold") -> tuple[Graph, int]:
@@ -113,6 +134,8 @@ def scaffold(graph: Graph, p: Params, label: str = "scaffold") -> tuple[Graph, i
     for r in _rounds(graph, label):
         work = Workspace(graph.nodes.sparkSession, f"{label}{r}")
         bundled = work.put(mates.bundles(mates.linking_edges(mates.mate_ends(graph, p), p)), "bundles")
+        if bundled.limit(1).count() == 0:
+            break
         found, _ = mates.search_paths(graph, bundled, p, f"{label}-hops{r}")
         paths = work.put(mates.sure_paths(found), "paths")
         dead = work.put(mates.dead_links(graph, paths), "dead")
@@ -120,11 +143,15 @@ def scaffold(graph: Graph, p: Params, label: str = "scaffold") -> tuple[Graph, i
         cleaned = mates.clean_links(graph, dead).saved(work, "cleaned")
         plan = work.put(mates.planned_threads(cleaned, paths).join(cleaned.edges.withColumnRenamed("src", "node_id"), ["node_id", "sdir", "ddir", "dst"], "left_semi"), "plan")
         marks = Graph(cleaned.nodes, cleaned.edges, plan, cleaned.starts)
-        after, n = _split_all(marks, plan, threads.threadible(marks, plan, 1), f"{label}{r}-round")
+        splitters = work.put(threads.threadible(marks, plan, 1), "splitters")
+        n = splitters.count()
         if n + n_dead == 0:
             break
         total += n + n_dead
-        graph = _settle(after, p, f"{label}{r}")
+        chosen = threads.independent(marks, splitters, seed=r)
+        live = Live.of(threads.split(marks, plan, chosen, f"{label}-split{r}") if n else cleaned, f"{label}-settle{r}")
+        settle_all(live, p)
+        graph = _finished(live)
     return graph, total
 
 
