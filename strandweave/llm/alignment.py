@@ -30,7 +30,7 @@ from .cluster import Workspace, shuffle_partitions, trimmed
 STRIPE_BITS = 8
 ROW_BITS = 32 - STRIPE_BITS
 #: Text of a chunk; a longer document is a chunk of its own.
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 #: Partitions of text, or slots before them, that one slot sums.
 FAN = 256
 

@@ -28,6 +28,8 @@ _SAME = np.arange(256, dtype=np.uint8)
 KEEP = 1_000_000
 #: Chunks in one call's text.
 JOIN = 1000
+#: Ids whose bytes are compared with the text at once.
+COMPARED = 1 << 16
 #: Text that a piece model leaves as it is only if it does not normalise.
 _PROBE = "ﬁ ① Å Ａ é x  y"
 
@@ -102,11 +104,15 @@ class Encoder:
 
     def spells(self, ids: np.ndarray, at: np.ndarray, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Whether the bytes of each text's ids are the text."""
-        got = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])[at]
-        if len(raw) == got[-1] and np.array_equal(got, off) and np.array_equal(self.bytes_of(ids), raw):
-            return np.ones(len(off) - 1, bool)
-        size, data, mine = np.diff(got) == np.diff(off), raw.tobytes(), self.bytes_of(ids).tobytes()
-        return np.array([bool(s) and mine[got[i] : got[i + 1]] == data[off[i] : off[i + 1]] for i, s in enumerate(size)], bool)
+        ends = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
+        good = np.diff(ends[at]) == np.diff(off)
+        if good.all() and ends[-1] == len(raw):
+            parts = range(0, len(ids), COMPARED)
+            if all(np.array_equal(self.bytes_of(ids[a : a + COMPARED]), raw[ends[a] : ends[min(a + COMPARED, len(ids))]]) for a in parts):
+                return good
+        for i in np.flatnonzero(good).tolist():
+            good[i] = np.array_equal(self.bytes_of(ids[at[i] : at[i + 1]]), raw[off[i] : off[i + 1]])
+        return good
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's ids begin."""
@@ -270,7 +276,7 @@ def slices(raw: np.ndarray, off: np.ndarray, limit: int):
         first = last
 
 
-def encode_column(column, path: str, limit: int = 8 << 20, control: bool = True):
+def encode_column(column, path: str, limit: int = 4 << 20, control: bool = True):
     """(first row, ids, where each text's ids begin) by slices of a string column; control strings as the library has them."""
     coder = encoder(path, control)
     raw, off = text_bytes(column)
