@@ -16,7 +16,7 @@ from ..functions.sequence import flip, oriented
 from ..storage import Workspace
 from . import ranking
 from .graph import Graph, compressible_links, mirrored, sole_links
-from .live import Live, touching
+from .live import TABLES, Live, next_version, touching, without
 
 #: Nodes of a chain that are gathered in one row.
 BLOCK = 4096
@@ -32,20 +32,20 @@ def links_near(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return near.union(mirrored(near)).distinct()
 
 
-def chains(links: DataFrame, k: int, work: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
-    """(node_id, dir, chain, rank) of every node of the links in the orientation that is kept, and the links inside chains.
+def chains(links: DataFrame, n: int, k: int, work: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
+    """(node_id, dir, chain, rank) of every node of the n links in the orientation that is kept, and the links inside chains.
 
     A chain and its mirror are the same; the one with the smaller head is kept.  ``chain``
     is the head's id.
     """
-    ptr, lows = ranking.rank(ranking.pointers(links), k, work, f"{name}-ptr")
+    ptr, lows = ranking.rank(ranking.pointers(links), n, k, work, f"{name}-ptr")
     if lows is not None:
         low = work.put(lows.select(F.col("low").alias("dst"), F.lit("f").alias("ddir")), f"{name}-lows")
         cut = links.join(low, ["dst", "ddir"]).select("src", "sdir", "ddir", "dst")
         cut = cut.union(cut.select("dst", flip(F.col("ddir")), flip(F.col("sdir")), "src"))
         # only the ring's own link: nothing else leads to that end, the link being sole
         links = work.put(links.join(cut, ["src", "sdir", "ddir", "dst"], "left_anti"), f"{name}-cut")
-        ptr, lows = ranking.rank(ranking.pointers(links), k, work, f"{name}-cut-ptr")
+        ptr, lows = ranking.rank(ranking.pointers(links), n, k, work, f"{name}-cut-ptr")
         if lows is not None:
             raise RuntimeError("rings left after cutting")
     heads = ptr.select("node_id", "dir", F.col("to_id").alias("head"), F.col("to_dir").alias("head_dir"), "rank")
@@ -98,19 +98,24 @@ def settle(live: Live, k: int) -> int:
     near, graph, work = live.look("compact"), live.view(), live.work
     name = live.name("links")
     links = work.put(compressible_links(graph.edges) if near is None else links_near(graph.edges, near), name)
-    if links.limit(1).count() == 0:
+    n = links.count()
+    if n == 0:
         return 0
-    where, inner = chains(links, k, work, name)
-    where = work.put(where, f"{name}-where")
-    new = merged(graph, where, inner, k)
-    new = Graph(*(work.put(t, f"{name}-new-{i}") for i, t in enumerate((new.nodes, new.edges, new.threads, new.starts))))
-    touched = work.put(new.nodes.select("node_id").union(new.edges.select("src")).distinct(), f"{name}-touched")
-    live.replace(where.select("node_id"), new, touched, "chains")
-    return where.count()
+    where, inner = chains(links, n, k, work, name)
+    where = work.put(where.withColumn("chain", next_version(F.col("chain"))), f"{name}-where")
+    n = where.count()
+    live.replace(f"{name}-where", n, merged(graph, where, inner, k), "chains")
+    return n
 
 
 def compact(graph: Graph, k: int, label: str = "compact") -> Graph:
     """The graph, stored, with every chain merged."""
-    live = Live.of(graph, label)
-    settle(live, k)
-    return live.view().saved(live.work, "out") if live.dead is not None else live.base
+    work = Workspace(graph.nodes.sparkSession, label)
+    links = work.put(compressible_links(graph.edges), "links")
+    n = links.count()
+    if n == 0:
+        return graph.saved(work, "out")
+    where, inner = chains(links, n, k, work, "links")
+    where = work.put(where, "where")
+    new = merged(graph, where, inner, k)
+    return Graph(*(without(getattr(graph, t), where, t).union(getattr(new, t).select(*getattr(graph, t).columns)) for t in TABLES)).saved(work, "out")

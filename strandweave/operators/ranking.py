@@ -108,9 +108,13 @@ def _ring_lows(ring: DataFrame, work: Workspace, name: str) -> DataFrame:
         work.drop(f"{name}-ring{k - 1}")
 
 
-def rank(pointers: DataFrame, k: int, work: Workspace, name: str, few: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """All pointers led to their heads, and (low) of each ring, if there are any: its smallest node."""
-    few = FEW if few is None else few
+def rank(pointers: DataFrame, links: int, k: int, work: Workspace, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """All pointers of so many links led to their heads, and (low) of each ring, if there are any: its smallest node."""
+    few = FEW
+    if 4 * links <= few:  # each link is there both ways, and an end has a pointer even where it is a head
+        all_ = work.put(pointers.coalesce(1).mapInArrow(_contract(few + HELD), POINTERS), f"{name}0")
+        lows = all_.where("not done").select("low").distinct()
+        return all_, lows if lows.limit(1).count() else None
     dealt = pointers.repartition(shuffle_partitions(pointers.sparkSession), _meeting(pointers, k))
     first = work.put(dealt.mapInArrow(_contract(HELD), POINTERS), f"{name}0")
     ends = first.where("not done").select(F.col("to_id").alias("node_id"), F.col("to_dir").alias("dir")).distinct()

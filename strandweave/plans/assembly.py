@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import build, compact, correct, inspect, mates, stats, threads
 from ..operators.graph import EDGES, NODES, STARTS, THREADS, Graph
-from ..operators.live import TABLES, Live, touching, without
+from ..operators.live import ENDS, TABLES, Live, next_version, touching, without
 from ..params import Params
 from ..sources import reads as sources
 from ..sources import sinks
@@ -36,21 +36,28 @@ def _rounds(graph: Graph, label: str) -> Iterator[int]:
     raise RuntimeError(f"{label} did not settle")
 
 
-def _finished(live: Live) -> Graph:
-    return live.base if live.dead is None else live.view().saved(live.work, live.name("out"))
+def renamed(graph: Graph, victims: DataFrame, kept: DataFrame) -> Graph:
+    """The rows of kept(node_id, seq, cov) under their next names."""
+    out = [kept.select(next_version(F.col("node_id")).alias("node_id"), "seq", "cov")]
+    new = kept.select("node_id", next_version(F.col("node_id")).alias("new"))
+    for t in TABLES[1:]:
+        rows = without(touching(getattr(graph, t), kept.select("node_id"), t), victims, t)
+        for end in ENDS[t]:
+            rows = rows.join(new.withColumnRenamed("node_id", end), end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
+        out.append(rows)
+    return Graph(*out)
 
 
 def settle_tips(live: Live, p: Params) -> int:
     """Tips and compaction, until a round finds no tip to drop; each round looks at what the one before touched."""
     total = 0
     for _ in count():  # each round removes nodes
-        among = live.look("tips")
-        victims = live.work.put(correct.tip_victims(live.view(), p, among), live.name("tips"))
-        n = victims.count()
+        among, name = live.look("tips"), live.name("tips")
+        n = live.work.put(correct.tip_victims(live.view(), p, among), name).count()
         if n == 0:
             return total
         total += n
-        live.drop(victims, "tips")
+        live.replace(name, n, None, "tips")
         compact.settle(live, p.k)
 
 
@@ -58,20 +65,15 @@ def settle_bubbles(live: Live, p: Params) -> int:
     """Bubbles, compaction and tips, until a round pops none."""
     total = 0
     for _ in count():  # each round removes nodes
-        graph, among = live.view(), live.look("bubbles")
-        victims, kept = correct.pop_bubbles(graph, p, live.name("bubbles"), among)
+        graph, among, name = live.view(), live.look("bubbles"), live.name("bubbles")
+        victims, kept = correct.pop_bubbles(graph, p, name, among)
         n = victims.count()
         if n == 0:
             return total
         total += n
-        victims = live.work.put(victims, live.name("popped"))
-        # who popped keeps its links, with more coverage
-        same = kept.select("node_id")
-        changed = live.work.put(victims.union(same), live.name("changed"))
-        rows = {t: without(touching(getattr(graph, t), same, t), victims, t) for t in ("edges", "threads", "starts")}
-        beside = touching(graph.edges, changed, "edges").select(F.col("src").alias("node_id")).union(same).distinct()
-        beside = live.work.put(beside.join(victims, "node_id", "left_anti"), live.name("beside"))
-        live.replace(changed, Graph(kept, rows["edges"], rows["threads"], rows["starts"]), beside, "bubbles")
+        # who popped keeps its links, under its next name
+        live.work.put(victims.union(kept.select("node_id")), f"{name}-changed")
+        live.replace(f"{name}-changed", n, renamed(graph, victims, kept), "bubbles")
         compact.settle(live, p.k)
         settle_tips(live, p)
 
@@ -85,23 +87,22 @@ def settle_all(live: Live, p: Params) -> None:
 def remove_tips(graph: Graph, p: Params, label: str = "tips") -> tuple[Graph, int]:
     live = Live.of(graph, label)
     n = settle_tips(live, p)
-    return _finished(live), n
+    return live.finished(), n
 
 
 def pop_bubbles(graph: Graph, p: Params, label: str = "bubbles") -> tuple[Graph, int]:
     live = Live.of(graph, label)
     n = settle_bubbles(live, p)
-    return _finished(live), n
+    return live.finished(), n
 
 
 def low_coverage(graph: Graph, p: Params, label: str = "lowcov") -> tuple[Graph, int]:
     live = Live.of(graph, label)
-    victims = live.work.put(correct.low_coverage_victims(graph, p), "victims")
-    n = victims.count()
+    n = live.work.put(correct.low_coverage_victims(graph, p), "victims").count()
     if n:
-        live.drop(victims, "low coverage")
+        live.replace("victims", n, None, "low coverage")
         settle_all(live, p)
-    return _finished(live), n
+    return live.finished(), n
 
 
 def resolve_repeats(graph: Graph, p: Params, label: str = "repeats") -> tuple[Graph, int]:
@@ -115,15 +116,12 @@ def resolve_repeats(graph: Graph, p: Params, label: str = "repeats") -> tuple[Gr
         if n == 0 or (n, names) == last:  # the same nodes again: nothing can be won
             break
         total, last = total + n, (n, names)
-        chosen = live.work.put(threads.independent(graph, splitters, seed=r), live.name("chosen"))
-        tag = live.name("split")
-        new = threads.split_rows(graph, graph.threads, chosen, live.work, tag)
-        new = Graph(*(live.work.put(getattr(new, t), f"{tag}-{t}") for t in TABLES))
-        touched = live.work.put(new.edges.select(F.col("src").alias("node_id")).union(new.nodes.select("node_id")).distinct(), f"{tag}-touched")
-        live.replace(chosen, new, touched, "split")
-        live.look_again("repeats", splitters.join(chosen, "node_id", "left_anti"))
+        name = live.name("chosen")
+        chosen = live.work.put(threads.independent(graph, splitters, seed=r), name)
+        live.replace(name, chosen.count(), threads.split_rows(graph, graph.threads, chosen, live.work, live.name("split")), "split")
+        live.look_again("repeats", splitters)  # those not chosen; the others are gone
         settle_all(live, p)
-    return _finished(live), total
+    return live.finished(), total
 
 
 def scaffold(graph: Graph, p: Params, label: str = "scaffold") -> tuple[Graph, int]:
@@ -151,7 +149,7 @@ def scaffold(graph: Graph, p: Params, label: str = "scaffold") -> tuple[Graph, i
         chosen = threads.independent(marks, splitters, seed=r)
         live = Live.of(threads.split(marks, plan, chosen, f"{label}-split{r}") if n else cleaned, f"{label}-settle{r}")
         settle_all(live, p)
-        graph = _finished(live)
+        graph = live.finished()
     return graph, total
 
 
