@@ -64,6 +64,18 @@ def seeds(bundled: DataFrame, k: int) -> DataFrame:
     )
 
 
+def counted(frontier: DataFrame) -> DataFrame:
+    """Ends of equal state as one row: how many paths lead there (``paths``, 2 standing for more) and the smallest of them.
+
+    What becomes of an end depends on where it is and how far it came, not on its path, and
+    two paths are as ambiguous as a thousand.  So a frontier has no more rows than states,
+    where its paths double at every bubble they pass.
+    """
+    state = [c for c in frontier.columns if c not in ("path", "paths")]
+    one = F.col("paths") if "paths" in frontier.columns else F.lit(1)
+    return frontier.groupBy(*state).agg(F.least(F.sum(one), F.lit(2)).cast("long").alias("paths"), F.min("path").alias("path"))
+
+
 def hop(frontier: DataFrame, graph: Graph, p: Params, first: bool) -> DataFrame:
     """One step of the search, with the state of each reached end: found, short, long, invalid, toolong or active.
 
@@ -82,22 +94,23 @@ def hop(frontier: DataFrame, graph: Graph, p: Params, first: bool) -> DataFrame:
         .when(late, "toolong").otherwise("active")
     )
     x = x.withColumn("state", state).withColumn("walked", F.when(F.col("state") == "active", F.col("cur_dist") + F.col("len") - (p.k - 1)).otherwise(F.col("cur_dist")))
-    return x.select("start", "dest", "start_dir", "exp_dir", "exp_dist", F.col("next").alias("cur"), F.col("in_dir").alias("cur_dir"), F.col("walked").alias("cur_dist"), "path", "state")
+    carried = ["path", "paths"] if "paths" in frontier.columns else ["path"]
+    return x.select("start", "dest", "start_dir", "exp_dir", "exp_dist", F.col("next").alias("cur"), F.col("in_dir").alias("cur_dir"), F.col("walked").alias("cur_dist"), *carried, "state")
 
 
 def search_paths(graph: Graph, bundled: DataFrame, p: Params, label: str = "hops") -> tuple[DataFrame, list[dict[str, int]]]:
-    """(start, dest, start_dir, exp_dir, path) of every path found, and the counts of states by hop.
+    """(start, dest, start_dir, exp_dir, path, paths, dist) of the paths found, counted by hop and end, and the counts of states by hop.
 
     A pair of contigs with two paths already is ambiguous, and is not followed any further.
     """
     work = Workspace(graph.nodes.sparkSession, label)
-    frontier, found, metrics = work.put(seeds(bundled, p.k), "seeds"), None, []
+    frontier, found, metrics = work.put(counted(seeds(bundled, p.k)), "seeds"), None, []
     for h in range(1, p.max_frontier + 1):
-        reached = work.put(hop(frontier, graph, p, h == 1), f"hop{h}")
+        reached = work.put(counted(hop(frontier, graph, p, h == 1)), f"hop{h}")
         metrics.append({r["state"]: r["count"] for r in reached.groupBy("state").count().collect()})  # six states
-        new = reached.where("state = 'found'").select("start", "dest", "start_dir", "exp_dir", "path", F.col("cur_dist").alias("dist"))
+        new = reached.where("state = 'found'").select("start", "dest", "start_dir", "exp_dir", "path", "paths", F.col("cur_dist").alias("dist"))
         found = new if found is None else found.union(new)
-        settled = found.groupBy("start", "dest").count().where("count > 1").select("start", "dest")
+        settled = found.groupBy("start", "dest").agg(F.sum("paths").alias("n")).where("n > 1").select("start", "dest")
         frontier = work.put(reached.where("state = 'active'").drop("state").join(settled, ["start", "dest"], "left_anti"), f"frontier{h}")
         if not metrics[-1].get("active"):
             break
@@ -106,7 +119,7 @@ def search_paths(graph: Graph, bundled: DataFrame, p: Params, label: str = "hops
 
 def sure_paths(found: DataFrame) -> DataFrame:
     """Paths of pairs with just one, the one of fewest hops at each end that is reached (ties to fewer bases, then to the start)."""
-    one = found.groupBy("start", "dest").agg(F.count("*").alias("n"), F.first(F.struct("start_dir", "exp_dir", "path", "dist")).alias("f")).where("n = 1")
+    one = found.groupBy("start", "dest").agg(F.sum("paths").alias("n"), F.first(F.struct("start_dir", "exp_dir", "path", "dist")).alias("f")).where("n = 1")
     one = one.select("start", "dest", "f.*")
     best = one.groupBy("dest", "exp_dir").agg(F.min(F.struct(F.size("path").alias("hops"), "dist", "start", "start_dir", "path")).alias("b"))
     return best.select("b.start", "dest", "b.start_dir", "exp_dir", "b.path")

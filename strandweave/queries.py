@@ -424,6 +424,33 @@ for _n in (1, 2, 3):
     query(f"frontier_hop_{_n}", _hop_sql(_n))(lambda spark, sf, n=_n: _hops(spark, sf, n))
 
 
+def _states_sql(hops: int) -> str:
+    """The search by states: after each hop, ends of one state together, with their paths counted up to two."""
+    same = "start, dest, start_dir, exp_dir, exp_dist, cur, cur_dir, cur_dist"
+    ctes = [
+        f"""h0 AS MATERIALIZED (SELECT src AS start, dst AS dest, sdir AS start_dir, ddir AS exp_dir, dist AS exp_dist, src AS cur, sdir AS cur_dir, CAST({1 - K} AS BIGINT) AS cur_dist, 'active' AS state,
+    CAST(1 AS BIGINT) AS paths FROM bundles)"""
+    ]
+    for h in range(1, hops + 1):
+        again = "" if h == 1 else "AND e.dst <> f.start"
+        ctes.append(f"""h{h} AS MATERIALIZED (SELECT {same}, state, CAST(least(sum(paths), 2) AS BIGINT) AS paths FROM (
+  SELECT start, dest, start_dir, exp_dir, exp_dist, next AS cur, in_dir AS cur_dir, CASE WHEN state = 'active' THEN cur_dist + 1 ELSE cur_dist END AS cur_dist, state, paths FROM (
+  SELECT f.*  EXCLUDE (cur, cur_dir, state), e.dst AS next, e.ddir AS in_dir, CASE
+    WHEN e.dst = f.dest AND f.cur_dist < f.exp_dist - {P.wiggle} THEN 'short' WHEN e.dst = f.dest AND f.cur_dist > f.exp_dist + {2 * P.wiggle} THEN 'long'
+    WHEN e.dst = f.dest AND e.ddir <> f.exp_dir THEN 'invalid' WHEN e.dst = f.dest THEN 'found' WHEN f.cur_dist > f.exp_dist + {2 * P.wiggle} THEN 'toolong' ELSE 'active' END AS state
+  FROM h{h - 1} f JOIN edges e ON e.src = f.cur AND e.sdir = f.cur_dir {again} WHERE f.state = 'active')) GROUP BY {same}, state)""")
+    return with_ctes(", " + ",\n".join(ctes) + f"\nSELECT * FROM h{hops}", "bundles", "edges", mates=True)
+
+
+@query("path_states", _states_sql(8))
+def path_states(spark, sf):
+    graph, work = raw(spark, sf, mates=True), Workspace(spark, "states")
+    frontier = work.put(mates.counted(mates.seeds(mates.bundles(mates.linking_edges(mates.mate_ends(graph, P), P)), K)), "seeds")
+    for h in range(1, 9):
+        frontier = work.put(mates.counted(mates.hop(frontier if h == 1 else frontier.where("state = 'active'").drop("state"), graph, P, h == 1)), f"hop{h}")
+    return frontier.drop("path")
+
+
 # ---- statistics, sinks, inspection
 
 _LENGTHS = """, lens AS (SELECT CAST(length(seq) AS BIGINT) AS len, CAST(length(seq) % 7 AS BIGINT) AS deg, CAST(length(seq) % 11 AS DOUBLE) AS cov FROM reads WHERE length(seq) > 0),
