@@ -41,12 +41,17 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    group = jaccard.similar_documents(docs, k=5, num=75, den=100).select("doc_id", "text_key", "n_shingles", "first")
-    gone = group.where("not first").select(F.col("doc_id").alias("gone_id"), "text_key").distinct()
+    group = jaccard.similar_documents(docs, k=5, num=75, den=100).select("doc_id", "text_key", "set_key", "first")
+    group = Workspace(spark, "near-duplicates").put(group, "group")
+    # of texts that differ in case or white space only, under one id, one stays
+    several = group.where("first and set_key is not null").groupBy("doc_id", "set_key").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most")).where("least != most")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("set_key") == F.col("set"))
+    later = group.join(several.select(F.col("doc_id").alias("id"), F.col("set_key").alias("set"), "least"), same).where("text_key != least")
+    gone = group.where("not first").select("doc_id", "text_key").union(later.select("doc_id", "text_key")).withColumnRenamed("doc_id", "gone_id").distinct()
     keyed = docs.withColumn("text_key", jaccard.text_key(F.col("text")))
     kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (keyed["text_key"] == gone["text_key"]), "left_anti").select(*docs.columns)
     # only if a document has several rows are they made one
-    repeated = group.where("first and n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
+    repeated = group.where("first and set_key is not null").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
     if not repeated:
         return kept
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")

@@ -441,13 +441,13 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, set_key, text_key, first.
 
     ``component_id`` is the smallest doc_id reachable by links, itself included; ``first``
-    marks one document of each component, the one of the smallest doc_id, then text_key
-    (``text_key``), and every row with an empty set.  A null,
+    marks one set of each component under its smallest doc_id, and every row with an empty
+    set; texts of that set and id that differ in case or white space only, by ``text_key``,
+    are first together.  A null,
     empty or wordless text has an empty set and links with nothing; fewer than k words
     are one shingle, the whole sequence.  Repeated doc_ids and a null one are rows of
     their own sets; a null is never a component's name unless all its members are null.
-    Rows of one doc_id and one text are one document, so they are first together.  Texts
-    of any length are read whole.  Other columns are ignored.  An empty table gives no rows.
+    Texts of any length are read whole.  Other columns are ignored.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
@@ -461,8 +461,7 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
     width = SKETCH // SLICES
     for r in sliced.mapInArrow(trimmed(_add_slices), "slice int, level binary").collect():  # the sketch's fixed size
         level[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["level"], np.uint8)
-    document = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    classes = described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(document).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     classes = work.put(classes, "classes")
     costs = described.where("small is not null").select("small").mapInArrow(trimmed(_costs(level, num, den)), "n long, sets long, scanned double")
     by_size = costs.groupBy("n").agg(F.sum("sets").alias("sets"), F.sum("scanned").alias("scanned")).collect()  # SMALL + 1 rows at most
@@ -574,10 +573,13 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100
     work.drop("bodies", "pairs", "open")
 
     # names: a component of classes is called by its least document
-    named = classes.select("key", "rep", "first").join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min(F.struct("first", "key")).alias("least"))
-    of_class = named.join(least, "component").select("key", "component_id", F.when(F.col("least.key") == F.col("key"), F.col("first")).alias("first"))
-    ids = described.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("set_key"), document.alias("document"))
+    named = classes.select("key", "rep").join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = named.join(least, "component")
+    # several classes of a component may have its least document's id
+    one = of_class.where(F.col("rep").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("key").alias("first_key"))
+    of_class = of_class.join(one, "component").select("key", "component_id", (F.col("key") == F.col("first_key")).alias("wins"))
+    ids = described.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("set_key"))
     out = ids.join(of_class.withColumnRenamed("key", "set_key"), "set_key", "left")
-    first = (F.col("n_shingles") == 0) | F.col("document").eqNullSafe(F.col("first"))
+    first = (F.col("n_shingles") == 0) | (F.col("wins") & F.col("doc_id").eqNullSafe(F.col("component_id")))
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_key", "text_key", first.alias("first"))
