@@ -11,7 +11,7 @@ from ..storage import Workspace
 from .graph import Graph, live_threads, mirrored, symmetrised, with_degrees
 from .live import TABLES, without
 
-__all__ = ["independent", "port_pair_weights", "spanning_reads", "split", "split_pairs", "split_rows", "symmetrised", "threadible"]
+__all__ = ["independent", "node_classes", "port_pair_weights", "spanning_reads", "split", "split_pairs", "split_rows", "symmetrised", "threadible"]
 
 PORT = ["fd", "fn", "rd", "rn"]
 
@@ -33,15 +33,33 @@ def _at(df: DataFrame, nodes: DataFrame | None, end: str) -> DataFrame:
     return df if nodes is None else df.join(nodes.select(F.col("node_id").alias(end)), end, "left_semi").select(*df.columns)
 
 
-def threadible(graph: Graph, threads: DataFrame, min_weight: int, among: DataFrame | None = None) -> DataFrame:
-    """(node_id) of nodes to split, of all or ``among``(node_id): branching, edges on both sides, no self-edge, every port joined by enough reads."""
+def node_classes(graph: Graph, threads: DataFrame, min_weight: int, among: DataFrame | None = None) -> DataFrame:
+    """(node_id, kind, half, ports, covered): what the reads decide about each node, of all or ``among``(node_id).
+
+    ``covered`` counts the ports that enough reads join with one of the other side.  A node
+    with at most one edge on each side is ``straight``; else one with a self-edge is a
+    ``tandem``, one without edges on a side a ``deadend``, one whose ports are all covered
+    an ``xcut``, to be split, and any other ``open``.  ``half`` marks the last two kinds
+    where one side has a single edge.
+    """
     edges = _at(graph.edges, among, "src")
     enough = port_pair_weights(_at(threads, among, "node_id")).where(F.col("weight") >= min_weight)
-    covered = enough.select(F.col("node_id").alias("src"), F.lit("f").alias("sdir"), F.col("fd").alias("ddir"), F.col("fn").alias("dst"))
-    covered = covered.union(enough.select("node_id", F.lit("r"), "rd", "rn")).distinct()
-    bare = edges.join(covered, ["src", "sdir", "ddir", "dst"], "left_anti").select(F.col("src").alias("node_id")).distinct()
-    d = with_degrees(_at(graph.nodes, among, "node_id").select("node_id"), edges)
-    return d.where("deg_f > 0 and deg_r > 0 and deg_f + deg_r > 2 and not tandem").select("node_id").join(bare, "node_id", "left_anti")
+    ports = enough.select(F.col("node_id").alias("src"), F.lit("f").alias("sdir"), F.col("fd").alias("ddir"), F.col("fn").alias("dst"))
+    ports = ports.union(enough.select("node_id", F.lit("r"), "rd", "rn")).distinct()
+    covered = edges.join(ports, ["src", "sdir", "ddir", "dst"], "left_semi").groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("covered"))
+    d = with_degrees(_at(graph.nodes, among, "node_id").select("node_id"), edges).join(covered, "node_id", "left")
+    n, seen = F.col("deg_f") + F.col("deg_r"), F.coalesce("covered", F.lit(0).cast("long"))
+    kind = (
+        F.when((F.col("deg_f") <= 1) & (F.col("deg_r") <= 1), "straight").when(F.col("tandem"), "tandem").when((F.col("deg_f") == 0) | (F.col("deg_r") == 0), "deadend")
+        .when(seen == n, "xcut").otherwise("open")
+    )
+    half = kind.isin("xcut", "open") & (F.least("deg_f", "deg_r") == 1)
+    return d.select("node_id", kind.alias("kind"), half.alias("half"), n.alias("ports"), seen.alias("covered"))
+
+
+def threadible(graph: Graph, threads: DataFrame, min_weight: int, among: DataFrame | None = None) -> DataFrame:
+    """(node_id) of nodes to split, of all or ``among``(node_id): branching, edges on both sides, no self-edge, every port joined by enough reads."""
+    return node_classes(graph, threads, min_weight, among).where("kind = 'xcut'").select("node_id")
 
 
 def independent(graph: Graph, splitters: DataFrame, seed: int | None = None) -> DataFrame:

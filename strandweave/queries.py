@@ -361,6 +361,23 @@ def xcut_nodes(spark, sf):
     return threads.threadible(graph, marks, P.min_thread_weight)
 
 
+@query(
+    "thread_classes",
+    with_ctes(
+        f""", heavy AS (SELECT * FROM weights WHERE weight >= {P.min_thread_weight}),
+ports AS (SELECT node_id, 'f' AS sdir, fd AS ddir, fn AS dst FROM heavy UNION SELECT node_id, 'r', rd, rn FROM heavy),
+covered AS (SELECT src AS node_id, count(*) AS covered FROM edges WHERE (src, sdir, ddir, dst) IN (SELECT node_id, sdir, ddir, dst FROM ports) GROUP BY src),
+kinds AS (SELECT d.*, coalesce(covered, 0) AS covered, CASE WHEN deg_f <= 1 AND deg_r <= 1 THEN 'straight' WHEN tandem THEN 'tandem' WHEN deg_f = 0 OR deg_r = 0 THEN 'deadend'
+    WHEN coalesce(covered, 0) = deg_f + deg_r THEN 'xcut' ELSE 'open' END AS kind FROM deg d LEFT JOIN covered USING (node_id))
+SELECT node_id, kind, kind IN ('xcut', 'open') AND least(deg_f, deg_r) = 1 AS half, deg_f + deg_r AS ports, covered FROM kinds""",
+        "deg", "edges", "weights",
+    ),
+)
+def thread_classes(spark, sf):
+    graph, marks = _marked(spark, sf)
+    return threads.node_classes(graph, marks, P.min_thread_weight)
+
+
 @query("independent_set", with_ctes("SELECT node_id FROM xcut x WHERE NOT EXISTS (SELECT 1 FROM edges e JOIN xcut y ON y.node_id = e.dst WHERE e.src = x.node_id AND e.dst < e.src)", "xcut", "edges"))
 def independent_set(spark, sf):
     graph, marks = _marked(spark, sf)

@@ -189,6 +189,9 @@ def test_crossing_is_split(spark):
     assert marks.where("node_id = 'p'").count() == 2
     assert {tuple(r) for r in threads.port_pair_weights(marks).where("node_id = 'x'").select("fn", "rn", "weight").collect()} == {("s", "p", 2), ("t", "q", 2)}
     assert threads.threadible(g, marks, 3).count() == 0
+    classes = {r.node_id: tuple(r)[1:] for r in threads.node_classes(g, marks, 2).collect()}
+    assert classes["x"] == ("xcut", False, 4, 4) and classes["p"][0] == "straight"
+    assert {r.kind for r in threads.node_classes(g, marks, 3).where("node_id = 'x'").collect()} == {"open"}
     chosen = threads.threadible(g, marks, 2)
     assert [r.node_id for r in chosen.collect()] == ["x"]
     out = threads.split(g, marks, threads.independent(g, chosen))
