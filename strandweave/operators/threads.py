@@ -76,33 +76,46 @@ def independent(graph: Graph, splitters: DataFrame, seed: int | None = None) ->
     return s.join(least, "node_id", "left").where(F.col("least").isNull() | (order(F.col("node_id")) < F.col("least"))).select("node_id")
 
 
-def split_pairs(graph: Graph, threads: DataFrame, chosen: DataFrame) -> DataFrame:
+def split_pairs(graph: Graph, threads: DataFrame, chosen: DataFrame, spare: bool = False) -> DataFrame:
     """(node_id, fd, fn, rd, rn, copy): the copies each chosen node becomes, numbered from 1.
 
-    Every pair of ports that any read joins; where one side has one port only, every pair with it.
+    Every pair of ports that any read joins; where one side has one port only, every pair
+    with it.  With ``spare``, only the pairs that are joined, and then a copy with nothing on
+    its other side for each port without a pair.
     """
     seen = port_pair_weights(_at(threads, chosen, "node_id")).select("node_id", *PORT)
     e = _at(graph.edges, chosen, "src")
+    order = W.partitionBy("node_id").orderBy(F.col("fd").isNull() | F.col("rd").isNull(), *PORT)
+    if spare:
+        used = seen.select(F.col("node_id").alias("src"), F.lit("f").alias("sdir"), F.col("fd").alias("ddir"), F.col("fn").alias("dst")).union(seen.select("node_id", F.lit("r"), "rd", "rn"))
+        left = e.where("src != dst").join(used.distinct(), ["src", "sdir", "ddir", "dst"], "left_anti")
+        at = lambda side, c: F.when(F.col("sdir") == side, F.col(c))
+        left = left.select(F.col("src").alias("node_id"), at("f", "ddir").alias("fd"), at("f", "dst").alias("fn"), at("r", "ddir").alias("rd"), at("r", "dst").alias("rn"))
+        return seen.union(left).withColumn("copy", F.row_number().over(order))
     f = e.where("sdir = 'f'").select(F.col("src").alias("node_id"), F.col("ddir").alias("fd"), F.col("dst").alias("fn"))
     r = e.where("sdir = 'r'").select(F.col("src").alias("node_id"), F.col("ddir").alias("rd"), F.col("dst").alias("rn"))
     half = with_degrees(chosen, e).where("deg_f = 1 or deg_r = 1").select("node_id")
     pairs = seen.union(half.join(f, "node_id").join(r, "node_id").select("node_id", *PORT)).distinct()
-    return pairs.withColumn("copy", F.row_number().over(W.partitionBy("node_id").orderBy(*PORT)))
+    return pairs.withColumn("copy", F.row_number().over(order))
 
 
-def split_rows(graph: Graph, threads: DataFrame, chosen: DataFrame, work: Workspace, name: str = "split") -> Graph:
-    """The rows that take the place of all rows naming a chosen node; coverage is shared, read starts are dropped.
+def split_rows(graph: Graph, threads: DataFrame, chosen: DataFrame, work: Workspace, name: str = "split", spare: bool = False) -> Graph:
+    """The rows that take the place of all rows naming a chosen node; read starts are dropped.
+
+    Coverage is shared by the copies of pairs; a ``spare`` port's copy has 1.
 
     A neighbour's threads over the old link follow the copy if there is only one for it;
     a copy's own threads are there as seen from both ends.
     """
-    pairs = work.put(split_pairs(graph, threads, chosen), f"{name}-pairs")
+    pairs = work.put(split_pairs(graph, threads, chosen, spare), f"{name}-pairs")
     named = F.concat("node_id", F.lit("_"), F.col("copy").cast("string"))
-    count = pairs.groupBy("node_id").agg(F.count("*").alias("n"))
-    copies = pairs.join(count, "node_id").join(graph.nodes, "node_id").select(named.alias("new"), "node_id", *PORT, "seq", (F.col("cov") / F.col("n")).alias("cov"))
+    whole = F.col("fn").isNotNull() & F.col("rn").isNotNull()
+    count = pairs.groupBy("node_id").agg(F.count_if(whole).alias("n"))
+    shared = F.when(whole, F.col("cov") / F.col("n")).otherwise(1.0)
+    copies = pairs.join(count, "node_id").join(graph.nodes, "node_id").select(named.alias("new"), "node_id", *PORT, "seq", shared.alias("cov"))
     copies = work.put(copies, f"{name}-copies")
     ports = copies.select("new", "node_id", F.lit("f").alias("sdir"), F.col("fd").alias("ddir"), F.col("fn").alias("dst"))
-    ports = ports.union(copies.select("new", "node_id", F.lit("r"), "rd", "rn"))
+    ports = ports.union(copies.select("new", "node_id", F.lit("r"), "rd", "rn")).where("dst is not null")
     own = ports.select(F.col("new").alias("src"), "sdir", "ddir", "dst")
     edges = own.union(mirrored(own)).distinct()
     # threads: inside copies by their own reads, at neighbours where the copy is certain
@@ -117,11 +130,11 @@ def split_rows(graph: Graph, threads: DataFrame, chosen: DataFrame, work: Worksp
     return Graph(nodes, edges, inside.union(beside).distinct(), graph.starts.limit(0))
 
 
-def split(graph: Graph, threads: DataFrame, chosen: DataFrame, label: str = "split") -> Graph:
+def split(graph: Graph, threads: DataFrame, chosen: DataFrame, label: str = "split", spare: bool = False) -> Graph:
     """Replaces each chosen node by its copies."""
     work = Workspace(graph.nodes.sparkSession, label)
     chosen = work.put(chosen, "chosen")
-    new = split_rows(graph, threads, chosen, work)
+    new = split_rows(graph, threads, chosen, work, spare=spare)
     old = Graph(graph.nodes, graph.edges, threads, graph.starts)
     rows = {t: without(getattr(old, t), chosen, t).union(getattr(new, t).select(*getattr(old, t).columns)) for t in TABLES}
     return Graph(rows["nodes"], rows["edges"], live_threads(rows["threads"].distinct(), rows["edges"]), rows["starts"]).saved(work, "out")

@@ -141,13 +141,15 @@ def scaffold(graph: Graph, p: Params, label: str = "scaffold") -> tuple[Graph, i
         cleaned = mates.clean_links(graph, dead).saved(work, "cleaned")
         plan = work.put(mates.planned_threads(cleaned, paths).join(cleaned.edges.withColumnRenamed("src", "node_id"), ["node_id", "sdir", "ddir", "dst"], "left_semi"), "plan")
         marks = Graph(cleaned.nodes, cleaned.edges, plan, cleaned.starts)
-        splitters = work.put(threads.threadible(marks, plan, 1), "splitters")
+        # a path need not use all ports of the nodes it passes: the others get copies of their own
+        classes = threads.node_classes(marks, plan, 1, plan.select("node_id").distinct())
+        splitters = work.put(classes.where("kind in ('xcut', 'open') and covered > 0").select("node_id"), "splitters")
         n = splitters.count()
         if n + n_dead == 0:
             break
         total += n + n_dead
         chosen = threads.independent(marks, splitters, seed=r)
-        live = Live.of(threads.split(marks, plan, chosen, f"{label}-split{r}") if n else cleaned, f"{label}-settle{r}")
+        live = Live.of(threads.split(marks, plan, chosen, f"{label}-split{r}", spare=True) if n else cleaned, f"{label}-settle{r}")
         settle_all(live, p)
         graph = live.finished()
     return graph, total
