@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import sequence as Q
 from .operators import build, compact, correct, inspect, mates, stats, threads
-from .operators.graph import Graph, compressible_links
+from .operators.graph import THREADS, Graph, compressible_links
 from .params import Params
 from .plans import assembly
 from .sources import reads as sources
@@ -786,6 +786,26 @@ def mate_paths(spark, sf):
     return mates.sure_paths(mates.search_paths(graph, bundled, P)[0])
 
 
+def _linked(spark, sf) -> DataFrame:
+    """Whole reads, and mates from both ends of the first ``INSERT`` bases of each that is as long."""
+    whole = derived(spark, sf)
+    ends = whole.where(F.length("seq") >= INSERT).withColumn("seq", F.left("seq", F.lit(INSERT)))
+    return whole.union(sources.mates_of(ends, MATE).select(*whole.columns))
+
+
+@query("scaffold_paths")
+def scaffold_paths(spark, sf):
+    """Paths between unique contigs that mates link, over the graph of whole reads."""
+    work = Workspace(spark, "linked")
+    ok = build.clean_reads(_linked(spark, sf), P)
+    graph = Graph(work.put(build.nodes(ok, K), "nodes"), work.put(build.edges(ok, K), "edges"), spark.createDataFrame([], THREADS), work.put(build.read_starts(ok, K, P.max_read_starts), "starts"))
+    graph = compact.compact(graph, K)
+    unique = replace(P, min_unique_cov=1.0, max_unique_cov=2.5)
+    bundled = work.put(mates.bundles(mates.linking_edges(mates.mate_ends(graph, unique), unique)), "bundles")
+    paths = mates.sure_paths(mates.search_paths(graph, bundled, unique)[0])
+    return paths.select("start", "dest", "start_dir", "exp_dir", F.size("path").alias("hops"), F.array_join(F.transform("path", lambda x: F.concat(x["sdir"], x["ddir"], x["node"])), " ").alias("path"))
+
+
 @query("assemble")
 def assemble(spark, sf):
     return _canonical(assembly.assemble(derived(spark, sf), P))

@@ -169,3 +169,45 @@ def test_versions_of_names(spark):
     df = spark.createDataFrame([("ACGT",), ("ACGT~1",), ("a_2~19",)], "n string")
     rows = df.select(live.next_version(F.col("n")).alias("next"), live.plain_name(F.col("n")).alias("plain")).collect()
     assert [tuple(r) for r in rows] == [("ACGT~1", "ACGT"), ("ACGT~2", "ACGT"), ("a_2~20", "a_2")]
+
+
+def walked(nodes, edges, start, dest, start_dir, exp_dir, exp_dist, p):
+    """Every path the search may find, by walking them one by one."""
+    length, out = {n: len(s) for n, s, _ in nodes}, []
+    both = set(edges) | {(v, S.flip(b), S.flip(a), u) for u, a, b, v in edges}
+    line = [(start, start_dir, 1 - p.k, [])]
+    for h in range(p.max_frontier):
+        after = []
+        for cur, way, dist, path in line:
+            for u, a, b, v in sorted(both):
+                if (u, a) != (cur, way) or (h and v == start):
+                    continue
+                step = [*path, (a, b, v)]
+                late = dist > exp_dist + 2 * p.wiggle
+                if v == dest:
+                    if not late and dist >= exp_dist - p.wiggle and b == exp_dir:
+                        out.append(step)
+                elif not late:
+                    after.append((v, b, dist + length[v] - (p.k - 1), step))
+        if len(out) > 1:
+            break
+        line = after
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_search_against_walking(spark, seed):
+    rng = random.Random(seed)
+    names = "stabcdef"
+    nodes = [(n, "A" * rng.randint(11, 20), 2.0) for n in names]
+    edges = {(u, rng.choice("fr"), rng.choice("fr"), v) for u, v in ((rng.choice(names), rng.choice(names)) for _ in range(13)) if u != v}
+    g = graph_of(spark, nodes, sorted(edges))
+    p = Params(k=11, insert_len=300, wiggle=8, min_unique_cov=1.0, max_unique_cov=3.0, max_frontier=5)
+    asked = [("s", a, b, "t", 1, 6) for a in "fr" for b in "fr"]
+    for row in asked:  # one bundle at a time: several of a pair are ambiguous together
+        bundled = spark.createDataFrame([row], "src string, sdir string, ddir string, dst string, weight long, dist long")
+        found, _ = mates.search_paths(g, bundled, p)
+        want = walked(nodes, sorted(edges), "s", "t", row[1], row[2], row[5], p)
+        got = found.collect()
+        assert min(sum(r.paths for r in got), 2) == min(len(want), 2)
+        assert {tuple((x.sdir, x.ddir, x.node) for x in r.path) for r in got} <= {tuple(w) for w in want}
