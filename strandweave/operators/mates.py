@@ -145,16 +145,3 @@ def dead_links(graph: Graph, paths: DataFrame) -> DataFrame:
 def clean_links(graph: Graph, dead: DataFrame) -> Graph:
     edges = graph.edges.join(dead, ["src", "sdir", "ddir", "dst"], "left_anti").select("src", "sdir", "ddir", "dst")
     return Graph(graph.nodes, edges, graph.threads.limit(0), graph.starts)
-
-
-def planned_threads(graph: Graph, paths: DataFrame) -> DataFrame:
-    """Paths as threads: each inner node's entered and left ports, named by the path, so that the split of threads carries them out.
-
-    A node that a path passes more than once is left alone, as are nodes that do not branch.
-    """
-    used = path_links(paths).withColumn("read", F.concat("start", F.lit(">"), "dest"))
-    leave = used.where("hop > 0").select(F.col("src").alias("node_id"), "sdir", "ddir", "dst", "read")
-    enter = used.select(F.col("dst").alias("node_id"), flip(F.col("ddir")).alias("sdir"), flip(F.col("sdir")).alias("ddir"), F.col("src").alias("dst"), "read", F.col("dest").alias("last")).where("node_id != last").drop("last")
-    t = leave.union(enter)
-    once = t.groupBy("node_id", "read").count().where("count = 2").select("node_id", "read")
-    return t.join(once, ["node_id", "read"], "left_semi").select("node_id", "sdir", "ddir", "dst", "read")

@@ -16,7 +16,7 @@ from itertools import count
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import build, compact, correct, inspect, mates, stats, threads
+from ..operators import build, compact, correct, inspect, mates, passes, stats, threads
 from ..operators.graph import EDGES, NODES, STARTS, THREADS, Graph
 from ..operators.live import ENDS, TABLES, Live, next_version, touching, without
 from ..params import Params
@@ -139,17 +139,16 @@ def scaffold(graph: Graph, p: Params, label: str = "scaffold") -> tuple[Graph, i
         dead = work.put(mates.dead_links(graph, paths), "dead")
         n_dead = dead.count()
         cleaned = mates.clean_links(graph, dead).saved(work, "cleaned")
-        plan = work.put(mates.planned_threads(cleaned, paths).join(cleaned.edges.withColumnRenamed("src", "node_id"), ["node_id", "sdir", "ddir", "dst"], "left_semi"), "plan")
-        marks = Graph(cleaned.nodes, cleaned.edges, plan, cleaned.starts)
-        # a path need not use all ports of the nodes it passes: the others get copies of their own
-        classes = threads.node_classes(marks, plan, 1, plan.select("node_id").distinct())
-        splitters = work.put(classes.where("kind in ('xcut', 'open') and covered > 0").select("node_id"), "splitters")
+        ways = work.put(passes.passes(cleaned, paths), "ways")
+        splitters = work.put(passes.splitters(cleaned, ways), "splitters")
         n = splitters.count()
         if n + n_dead == 0:
             break
         total += n + n_dead
-        chosen = threads.independent(marks, splitters, seed=r)
-        live = Live.of(threads.split(marks, plan, chosen, f"{label}-split{r}", spare=True) if n else cleaned, f"{label}-settle{r}")
+        if n:
+            chosen = work.put(threads.independent(cleaned, splitters, seed=r), "chosen")
+            cleaned = passes.split(cleaned, ways, chosen).saved(work, "split")
+        live = Live.of(cleaned, f"{label}-settle{r}")
         settle_all(live, p)
         graph = live.finished()
     return graph, total

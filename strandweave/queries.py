@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sequence as Q
-from .operators import build, compact, correct, inspect, mates, stats, threads
+from .operators import build, compact, correct, inspect, mates, passes, stats, threads
 from .operators.graph import THREADS, Graph, compressible_links
 from .params import Params
 from .plans import assembly
@@ -793,19 +793,32 @@ def _linked(spark, sf) -> DataFrame:
     return whole.union(sources.mates_of(ends, MATE).select(*whole.columns))
 
 
-@query("scaffold_paths")
-def scaffold_paths(spark, sf):
-    """Paths between unique contigs that mates link, over the graph of whole reads."""
+def _sure(spark, sf) -> tuple[Graph, DataFrame]:
+    """The graph of whole reads, and the paths between unique contigs that mates link."""
     work = Workspace(spark, "linked")
     ok = build.clean_reads(_linked(spark, sf), P)
     graph = Graph(work.put(build.nodes(ok, K), "nodes"), work.put(build.edges(ok, K), "edges"), spark.createDataFrame([], THREADS), work.put(build.read_starts(ok, K, P.max_read_starts), "starts"))
     graph = compact.compact(graph, K)
     unique = replace(P, min_unique_cov=1.0, max_unique_cov=2.5)
     bundled = work.put(mates.bundles(mates.linking_edges(mates.mate_ends(graph, unique), unique)), "bundles")
-    paths = mates.sure_paths(mates.search_paths(graph, bundled, unique)[0])
+    return graph, work.put(mates.sure_paths(mates.search_paths(graph, bundled, unique)[0]), "paths")
+
+
+@query("scaffold_paths")
+def scaffold_paths(spark, sf):
+    """Paths between unique contigs that mates link, over the graph of whole reads."""
+    paths = _sure(spark, sf)[1]
     return paths.select("start", "dest", "start_dir", "exp_dir", F.size("path").alias("hops"), F.array_join(F.transform("path", lambda x: F.concat(x["sdir"], x["ddir"], x["node"])), " ").alias("path"))
 
 
+@query("scaffold_passes")
+def scaffold_passes(spark, sf):
+    """How these paths run through inner nodes, over self-edges, too, and how many copies each pass asks for."""
+    port = lambda c: F.concat(F.col(f"{c}.sdir"), F.col(f"{c}.ddir"), F.col(f"{c}.dst"))
+    ways = passes.passes(*_sure(spark, sf))
+    return ways.select("node_id", port("a").alias("a"), F.array_join(F.transform("steps", lambda s: F.concat(s["sdir"], s["ddir"])), " ").alias("steps"), port("b").alias("b"), (F.size("steps") + 1).alias("copies"))
+
+
 @query("assemble")
 def assemble(spark, sf):
     return _canonical(assembly.assemble(derived(spark, sf), P))

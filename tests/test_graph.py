@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandweave.functions import sequence as Q
-from strandweave.operators import build, compact, correct, inspect, mates, stats, threads
+from strandweave.operators import build, compact, correct, inspect, mates, passes, stats, threads
 from strandweave.operators.graph import EDGES, NODES, STARTS, THREADS, Graph
 from strandweave.params import Params
 from strandweave.plans import assembly
@@ -231,7 +231,8 @@ def test_mates(spark):
     dead = mates.dead_links(g, paths)
     assert {tuple(x) for x in dead.collect()} == {("a", "f", "f", "n"), ("n", "r", "r", "a")}
     assert mates.clean_links(g, dead).edges.count() == 4
-    assert {r.dst for r in mates.planned_threads(g, paths).where("node_id = 'm'").collect()} == {"a", "b"}
+    (way,) = passes.passes(g, paths).collect()
+    assert (way.node_id, way.a.dst, way.steps, way.b.dst) == ("m", "b", [], "a")
 
 
 def test_unroll(spark):
@@ -256,24 +257,6 @@ def test_stats(spark):
     assert stats.cutoff_stats(m.limit(0)).count() == 0
 
 
-def test_spare_ports_get_copies_of_their_own(spark):
-    """A mate path p > x > s over a node with three edges on one side and two on the other."""
-    nodes = [("x", "A" * 9, 6.0), *((n, "A" * 20, 2.0) for n in "pqstu")]
-    edges = [("p", "f", "f", "x"), ("q", "f", "r", "x"), *(("x", "f", d, n) for d, n in zip("ffr", "stu", strict=True)), ("p", "f", "f", "x")]
-    edges[1] = ("q", "f", "f", "x")
-    plan = [("x", "r", "r", "p", "p>s"), ("x", "f", "f", "s", "p>s")]
-    g = graph_of(spark, nodes, edges, plan)
-    chosen = threads.node_classes(g, g.threads, 1).where("kind = 'open' and covered > 0").select("node_id")
-    out = threads.split(g, g.threads, chosen, spare=True)
-    copies = {r.node_id: (r.seq, r.cov) for r in out.nodes.collect() if r.node_id.startswith("x")}
-    assert copies["x_1"] == ("A" * 9, 6.0) and {copies[f"x_{i}"] for i in (2, 3, 4)} == {("A" * 9, 1.0)} and len(copies) == 4
-    links = {(r.src, r.sdir, r.ddir, r.dst) for r in out.edges.collect()}
-    assert {(a, d, e, b) for a, d, e, b in links if a == "x_1"} == {("x_1", "r", "r", "p"), ("x_1", "f", "f", "s")}
-    assert sorted((d, e, b) for a, d, e, b in links if a in ("x_2", "x_3", "x_4")) == [("f", "f", "t"), ("f", "r", "u"), ("r", "r", "q")]
-    assert all((b, S.flip(e), S.flip(d), a) in links for a, d, e, b in links) and inspect.check_graph(out, 9).first().edges_missing == 0
-    assert [r.node_id for r in out.edges.where("src = 'p'").select(F.col("dst").alias("node_id")).collect()] == ["x_1"]
-
-
 def test_branch_types_and_details(spark):
     g = crossing(spark)
     kinds = {r.type: r.cnt for r in stats.branch_types(g).collect()}
