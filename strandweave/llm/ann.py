@@ -31,6 +31,8 @@ from .cluster import Workspace, shuffle_partitions, trimmed
 SAMPLE = 32_768
 #: Vectors of a chunk, chunks of a shelf at most, queries held at a shelf at once, queries of a block, columns of a block.
 CHUNK, SHELF, HELD, QUERIES, COLUMNS = 1024, 64, 16_384, 256, 16
+#: Lists that are put in order, and chunks that are pointed at, at once.
+RANKED = 1 << 22
 #: Pairs of query and candidate that are worth a shelf of their own, while there are idle partitions.
 PAIRS = 4_000_000
 #: Standard deviations the test allows for; larger is surer and slower.
@@ -220,30 +222,38 @@ def _chunks(lists: Lists, first: np.ndarray):
 
 
 def _aim(lists: Lists, size: np.ndarray, first: np.ndarray, shelf: int, probes: int, enough: int):
-    """A query's row for each shelf that holds lists it probes, with a bit for each of the shelf's chunks."""
-    total = int(first[-1])
-    shelves = -(-total // shelf)
+    """A query's row for each shelf that holds lists it probes, with a bit for each of the shelf's chunks.
+
+    Only the probed lists' ranges of chunks are written out, so that the work goes with
+    what is probed and not with all chunks of the index.
+    """
+    pieces, shelves = np.diff(first), -(-int(first[-1]) // shelf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, ids = lists.matrix(batch.column("body")), batch.column("id")
-            for a in range(0, len(x), step := max(1, (1 << 23) // max(1, total))):
+            for a in range(0, len(x), step := max(1, RANKED // len(size))):
                 part = x[a : a + step]
                 order = lists.order(lists.turned(part)[0])
                 held = np.cumsum(size[order], axis=1)
                 n = np.maximum(probes, (held < enough).sum(axis=1) + 1)
-                probed = np.zeros(order.shape, bool)
-                np.put_along_axis(probed, order, np.arange(order.shape[1]) < n[:, None], axis=1)
-                bits = np.zeros((len(part), shelves * shelf), bool)
-                bits[:, :total] = np.repeat(probed, np.diff(first), axis=1)
-                bits = np.packbits(bits.reshape(len(part), shelves, shelf), axis=2)
-                owner, place = np.nonzero(bits.any(axis=2))
+                owner, rank = np.nonzero(np.arange(order.shape[1]) < n[:, None])
+                probed = order[owner, rank]
+                asked = np.bincount(owner, pieces[probed], minlength=len(part)).astype(np.int64)
                 body = [r.tobytes() for r in part]
-                cells = [
-                    pa.array(place.astype(np.int64)), ids.take(pa.array(owner + a)),
-                    pa.array([body[i] for i in owner.tolist()], pa.binary()), pa.array([r.tobytes() for r in bits[owner, place]], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(cells, names=["shelf", "id", "body", "bits"])
+                for some in np.split(np.arange(len(part)), np.flatnonzero(np.diff(np.cumsum(asked) // RANKED)) + 1):
+                    mine = slice(*np.searchsorted(owner, [some[0], some[-1] + 1]))
+                    count = pieces[probed[mine]]
+                    chunk = np.repeat(first[:-1][probed[mine]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    key, row = np.unique(np.repeat(owner[mine], count) * shelves + chunk // shelf, return_inverse=True)
+                    query, place = key // shelves, key % shelves
+                    bits = np.zeros((len(key), shelf), bool)
+                    bits[row, chunk % shelf] = True
+                    cells = [
+                        pa.array(place), ids.take(pa.array(query + a)),
+                        pa.array([body[i] for i in query.tolist()], pa.binary()), pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(cells, names=["shelf", "id", "body", "bits"])
 
     return run
 
@@ -407,14 +417,12 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: floa
     probes = choose_probes(lists, x, band, tried, k, recall)
 
     dealt = work.put(rows.select("id", "body", "band").mapInArrow(trimmed(_deal(lists)), "list int, id long, body binary"), "dealt")
-    size = np.zeros(len(lists.centres), np.int64)
-    for r in dealt.groupBy("list").count().collect():  # one row a list
-        size[r["list"]] = r["count"]
-    pieces = -(-size // CHUNK)
-    first = np.concatenate([[0], np.cumsum(pieces)])
-    salts = F.array(*[F.lit(int(max(1, m))) for m in pieces.tolist()])
-    salt = F.pmod(F.xxhash64("id"), F.element_at(salts, F.col("list") + 1).cast("long")).cast("int")
-    salted = dealt.withColumn("salt", salt).repartition(parts, "list", "salt").sortWithinPartitions("list", "salt", "id", "body")
+    listed = work.put(dealt.groupBy("list").agg(F.count("*").alias("n")), "listed")  # one row a list
+    size, held = np.zeros(len(lists.centres), np.int64), listed.toArrow()
+    size[held["list"].to_numpy()] = held["n"].to_numpy()
+    first = np.concatenate([[0], np.cumsum(-(-size // CHUNK))])
+    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK).cast("long")).cast("int")
+    salted = dealt.join(F.broadcast(listed), "list").select("list", "id", "body", salt.alias("salt")).repartition(parts, "list", "salt").sortWithinPartitions("list", "salt", "id", "body")
     chunks = work.put(salted.mapInArrow(trimmed(_chunks(lists, first)), "chunk long, list int, ids binary, original binary, columns binary"), "chunks")
     work.drop("dealt", "vectors")
 

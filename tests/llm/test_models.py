@@ -168,7 +168,30 @@ def test_neighbours_of_the_table(spark):
     assert recall_of(ann.neighbours(df, df.where("vec_id % 20 = 0")).toPandas(), x, 20) >= 0.9
 
 
-@pytest.mark.parametrize("limits", [{}, {"CHUNK": 40, "SHELF": 3, "HELD": 7, "QUERIES": 5, "PAIRS": 100, "SAMPLE": 300}])
+@pytest.mark.parametrize("ranked", [3, 1 << 22])
+def test_queries_aim_at_all_chunks_of_their_lists_alone(monkeypatch, ranked):
+    monkeypatch.setattr(ann, "RANKED", ranked)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 8))
+    radius = {0: float(np.linalg.norm(x, axis=1).max())}
+    lists = ann.fit(x, np.zeros(400, int), {0: 400}, radius, 8, "f8", 20)
+    home = lists.home(x, np.zeros(400, int))
+    size = np.bincount(home, minlength=len(lists.centres)).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(-(-size // 7))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([v.tobytes() for v in x[:50]], pa.binary())], names=["id", "body"])
+    got = {}
+    for out in ann._aim(lists, size, first, 5, 3, 21)(iter([batch])):
+        for r in out.to_pylist():
+            assert r["body"] == x[r["id"]].tobytes() and (r["id"], r["shelf"]) not in got
+            got[r["id"], r["shelf"]] = {r["shelf"] * 5 + int(b) for b in np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8)))}
+    order = lists.order(lists.turned(x[:50])[0])
+    for q in range(50):
+        n = max(3, int((np.cumsum(size[order[q]]) < 21).sum()) + 1)
+        want = {c for e in order[q][:n].tolist() for c in range(first[e], first[e + 1])}
+        assert set().union(*(v for k, v in got.items() if k[0] == q)) == want and all(v for k, v in got.items() if k[0] == q)
+
+
+@pytest.mark.parametrize("limits", [{}, {"CHUNK": 40, "SHELF": 3, "HELD": 7, "QUERIES": 5, "PAIRS": 100, "SAMPLE": 300, "RANKED": 50}])
 def test_neighbours_of_unlike_norms(spark, monkeypatch, limits):
     """Doubles, outliers, repeated rows, clashing columns; small limits give the same kind of answer."""
     for name, value in limits.items():
