@@ -29,11 +29,15 @@ def clean_reads(reads: DataFrame, p: Params) -> DataFrame:
     return judged_reads(reads, p).where("fate = 'good'").select("read", "seq")
 
 
-def cleaning_counters(reads: DataFrame, p: Params) -> DataFrame:
-    judged = judged_reads(reads, p)
+def cleaning_columns() -> list[Column]:
+    """Aggregates over judged reads: how many are good, short and skipped, and the good ones' bases."""
     of = lambda fate: F.count_if(F.col("fate") == fate)
     good_bp = F.coalesce(F.sum(F.when(F.col("fate") == "good", F.length("seq"))), F.lit(0))
-    return judged.agg(of("good").alias("reads_good"), of("short").alias("reads_short"), of("skipped").alias("reads_skipped"), good_bp.alias("reads_goodbp"))
+    return [of("good").alias("reads_good"), of("short").alias("reads_short"), of("skipped").alias("reads_skipped"), good_bp.alias("reads_goodbp")]
+
+
+def cleaning_counters(reads: DataFrame, p: Params) -> DataFrame:
+    return judged_reads(reads, p).agg(*cleaning_columns())
 
 
 def _windows(good: DataFrame, k: int) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,8 @@ from ..params import Params
 from ..sources import reads as sources
 from ..sources import sinks
 from ..storage import Workspace
+from .counters import SCHEMA as COUNTERS
+from .counters import Counters
 
 STAGES = ["buildInitial", "removeTips", "popBubbles", "lowcov", "repeats", "scaffolding", "convertFasta"]
 #: Rounds that repeats and scaffolding may take in any graph; one of more nodes may take one a node.
@@ -84,28 +86,34 @@ def settle_all(live: Live, p: Params) -> None:
     settle_bubbles(live, p)
 
 
-def remove_tips(graph: Graph, p: Params, label: str = "tips") -> tuple[Graph, int]:
+def _finished(live: Live, tally: Counters | None) -> Graph:
+    if tally is not None:
+        tally.changes(live)
+    return live.finished()
+
+
+def remove_tips(graph: Graph, p: Params, label: str = "tips", tally: Counters | None = None) -> tuple[Graph, int]:
     live = Live.of(graph, label)
     n = settle_tips(live, p)
-    return live.finished(), n
+    return _finished(live, tally), n
 
 
-def pop_bubbles(graph: Graph, p: Params, label: str = "bubbles") -> tuple[Graph, int]:
+def pop_bubbles(graph: Graph, p: Params, label: str = "bubbles", tally: Counters | None = None) -> tuple[Graph, int]:
     live = Live.of(graph, label)
     n = settle_bubbles(live, p)
-    return live.finished(), n
+    return _finished(live, tally), n
 
 
-def low_coverage(graph: Graph, p: Params, label: str = "lowcov") -> tuple[Graph, int]:
+def low_coverage(graph: Graph, p: Params, label: str = "lowcov", tally: Counters | None = None) -> tuple[Graph, int]:
     live = Live.of(graph, label)
     n = live.work.put(correct.low_coverage_victims(graph, p), "victims").count()
     if n:
         live.replace("victims", n, None, "low coverage")
         settle_all(live, p)
-    return live.finished(), n
+    return _finished(live, tally), n
 
 
-def resolve_repeats(graph: Graph, p: Params, label: str = "repeats") -> tuple[Graph, int]:
+def resolve_repeats(graph: Graph, p: Params, label: str = "repeats", tally: Counters | None = None) -> tuple[Graph, int]:
     """Splits nodes that reads run through, an independent set a round, until none can be split."""
     live, total, last = Live.of(graph, label), 0, None
     live.symmetrise()
@@ -121,10 +129,10 @@ def resolve_repeats(graph: Graph, p: Params, label: str = "repeats") -> tuple[Gr
         live.replace(name, chosen.count(), threads.split_rows(graph, graph.threads, chosen, live.work, live.name("split")), "split")
         live.look_again("repeats", splitters)  # those not chosen; the others are gone
         settle_all(live, p)
-    return live.finished(), total
+    return _finished(live, tally), total
 
 
-def scaffold(graph: Graph, p: Params, label: str = "scaffold") -> tuple[Graph, int]:
+def scaffold(graph: Graph, p: Params, label: str = "scaffold", tally: Counters | None = None) -> tuple[Graph, int]:
     """Follows mate pairs between unique contigs, until neither a link nor a node changes."""
     if p.insert_len <= 0:
         return graph, 0
@@ -134,7 +142,7 @@ def scaffold(graph: Graph, p: Params, label: str = "scaffold") -> tuple[Graph, i
         bundled = work.put(mates.bundles(mates.linking_edges(mates.mate_ends(graph, p), p)), "bundles")
         if bundled.limit(1).count() == 0:
             break
-        found, _ = mates.search_paths(graph, bundled, p, f"{label}-hops{r}")
+        found, metrics = mates.search_paths(graph, bundled, p, f"{label}-hops{r}")
         paths = work.put(mates.sure_paths(found), "paths")
         dead = work.put(mates.dead_links(graph, paths), "dead")
         n_dead = dead.count()
@@ -145,12 +153,17 @@ def scaffold(graph: Graph, p: Params, label: str = "scaffold") -> tuple[Graph, i
         if n + n_dead == 0:
             break
         total += n + n_dead
+        if tally is not None:
+            tally.search(metrics)
+            tally.add("removed_edges", n_dead)
         if n:
             chosen = work.put(threads.independent(cleaned, splitters, seed=r), "chosen")
+            if tally is not None:
+                tally.add("resolved", chosen.count())
             cleaned = passes.split(cleaned, ways, chosen).saved(work, "split")
         live = Live.of(cleaned, f"{label}-settle{r}")
         settle_all(live, p)
-        graph = live.finished()
+        graph = _finished(live, tally)
     return graph, total
 
 
@@ -162,11 +175,19 @@ class Assembly:
     params: Params
     path: str
 
-    def save(self, graph: Graph, stage: str) -> Graph:
+    def save(self, graph: Graph, stage: str, tally: Counters | None = None) -> Graph:
+        """Stores a stage, and beside it what ``tally`` counted, with the sizes of the tables just written."""
+        tally = tally or Counters()
+        graph = tally.watch_graph(graph)
         for name, df in (("nodes", graph.nodes), ("edges", graph.edges), ("threads", graph.threads), ("starts", graph.starts)):
             df.write.mode("overwrite").parquet(f"{self.path}/{stage}/{name}")
+        tally.table(self.spark, stage).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{stage}/counters")
         return self.load(stage)
 
+    def counters(self, *stages: str) -> DataFrame:
+        """(stage, counter, value) of stored stages."""
+        return self.spark.read.schema(COUNTERS).parquet(*(f"{self.path}/{stage}/counters" for stage in stages))
+
     def load(self, stage: str) -> Graph:
         read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{self.path}/{stage}/{name}")
         return Graph(read("nodes", NODES), read("edges", EDGES), read("threads", THREADS), read("starts", STARTS))
@@ -175,16 +196,19 @@ class Assembly:
         first, last = STAGES.index(start), STAGES.index(stop)
         graph = self.load(STAGES[first - 1]) if first else None
         for stage in STAGES[first : last + 1]:
+            tally = Counters()
             if stage == "buildInitial":
                 work = Workspace(self.spark, "build")
-                graph = compact.compact(build.build(reads, self.params).saved(work, "kmers"), self.params.k)
+                watched = tally.watch_reads(build.judged_reads(reads, self.params)).where("fate = 'good'")
+                kmers = replace(build.build(reads, self.params), nodes=build.nodes(watched, self.params.k))
+                graph = compact.compact(kmers.saved(work, "kmers"), self.params.k)
             elif stage == "convertFasta":
                 sinks.write_fasta(graph.nodes, f"{self.path}/contigs.fa")
                 break
             else:
                 step = {"removeTips": remove_tips, "popBubbles": pop_bubbles, "lowcov": low_coverage, "repeats": resolve_repeats, "scaffolding": scaffold}[stage]
-                graph, _ = step(graph, self.params, stage)
-            graph = self.save(graph, stage)
+                graph, _ = step(graph, self.params, stage, tally)
+            graph = self.save(graph, stage, tally)
         return graph
 
 
@@ -200,7 +224,7 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--work", required=True)
     a.add_argument("--start", default=STAGES[0], choices=STAGES)
     a.add_argument("--stop", default=STAGES[-1], choices=STAGES)
-    a.add_argument("--run-stats", metavar="DIR", help="only print the statistics of a stored stage")
+    a.add_argument("--run-stats", metavar="DIR", help="only print the statistics and counters of a stored stage")
     a.add_argument("--convert-fa", metavar="DIR", help="only write a stored stage as FASTA")
     for f in fields(Params):
         kind = {"int": int, "float": float, "int | None": int, "bool": None}[f.type]
@@ -214,6 +238,7 @@ def main(argv: list[str] | None = None) -> None:
         m = stats.measured(job.load(given["run_stats"]))
         stats.cutoff_stats(m).orderBy(F.desc("cutoff")).show(100, False)
         stats.top_contigs(m).orderBy("rank").show(100, False)
+        job.counters(given["run_stats"]).orderBy("counter").show(100, False)
         return
     if given["convert_fa"]:
         sinks.write_fasta(job.load(given["convert_fa"]).nodes, f"{given['work']}/{given['convert_fa']}.fa")

@@ -10,7 +10,7 @@ from strandweave.functions import sequence as Q
 from strandweave.operators import build, compact, correct, inspect, mates, passes, stats, threads
 from strandweave.operators.graph import EDGES, NODES, STARTS, THREADS, Graph
 from strandweave.params import Params
-from strandweave.plans import assembly
+from strandweave.plans import assembly, counters
 from strandweave.sources import reads as sources
 from strandweave.sources import sinks
 
@@ -307,10 +307,17 @@ def test_assembly_of_two_templates(spark):
 def test_stages_can_be_resumed(spark, tmp_path):
     a = random_dna(120, 41)
     job = assembly.Assembly(spark, Params(k=15), str(tmp_path))
-    job.run(reads_df(spark, tiled(a, 30)), stop="popBubbles")
+    tip = a[40:69] + ("A" if a[69] != "A" else "C")
+    job.run(reads_df(spark, [*tiled(a, 30), tip, a[:15], "ACGTNACGT" * 4]), stop="popBubbles")
     job.run(start="lowcov")
     got = sources.read_fasta(spark, str(tmp_path / "contigs.fa")).collect()
     assert [min(r.seq, S.rc(r.seq)) for r in got] == [min(a, S.rc(a))]
+    counted = {(r.stage, r.counter): r.value for r in job.counters(*assembly.STAGES[:-1]).collect()}
+    of = lambda stage: {c: v for (s, c), v in counted.items() if s == stage}
+    sizes = {"nodes": 1, "edges": 0, "threads": 0, "bases": len(a)}
+    assert of("buildInitial").items() >= {"reads_good": 92, "reads_short": 1, "reads_skipped": 1, "reads_goodbp": 92 * 30}.items()
+    assert of("buildInitial")["nodes"] > 1 and of("removeTips").items() >= {**sizes, "tips_clipped": 1}.items()
+    assert all(of(stage).items() >= sizes.items() for stage in assembly.STAGES[1:-1])
 
 
 def test_empty_input(spark):
@@ -318,6 +325,14 @@ def test_empty_input(spark):
     assert g.nodes.count() == 0
 
 
+def test_counters_of_reads_that_are_all_left_out(spark):
+    p, tally = Params(k=5), counters.Counters()
+    judged = build.judged_reads(reads_df(spark, ["ACNGT", "AC", "GGNGGT"]), p)
+    assert build.nodes(tally.watch_reads(judged).where("fate = 'good'"), 5).count() == 0
+    got = {r.counter: r.value for r in tally.table(spark, "s").collect()}
+    assert got == {"reads_good": 0, "reads_short": 1, "reads_skipped": 2, "reads_goodbp": 0}
+
+
 def test_fixpoints_settle_or_raise(spark, monkeypatch):
     """Whatever the bound on rounds is."""
     left, right, mid = random_dna(40, 11), random_dna(40, 12), random_dna(30, 13)
