@@ -687,7 +687,12 @@ def score(docs: DataFrame, held_out: F.Column, burn_in: int = BURN_IN, samples:
     seen in training), train_tokens, base_score (smoothed single words, log10), score
     (the model's log10 probability).  Perplexity is 10 ** (-score / n_tokens).  Repeated
     rows are scored, and learned, each.  With no training text every probability is 1;
-    an empty table gives no rows.
+    an empty table gives no rows.  Very long texts are scored whole;
+    other columns are ignored.
+
+    Buckets, and slices of words, are drawn beside one another, each against the sums of
+    the step before, so that this is parallel Gibbs sampling: the seating within a bucket
+    follows its odds exactly, what other buckets do comes to it one step late.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lm")

@@ -321,7 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = LABELLED_EACH, rounds: i
         found = rows.mapInArrow(trimmed(_candidates(models, sampled, picks, numbers)), _CANDIDATE)
         found = found.groupBy("run", "view", "label", "doc_id").agg(F.max("sure").alias("sure"))
         order = W.partitionBy("run", "view", "label").orderBy(F.desc("sure"), "doc_id")
-        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("label") == 1, numbers[1]).otherwise(numbers[0]))
+        # the plain limit is kept by every task before the groups meet
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(numbers)).where(F.col("rank") <= F.when(F.col("label") == 1, numbers[1]).otherwise(numbers[0]))
         surest_of: dict[tuple, list] = {}
         before = {d for run in range(FOLDS + 1) for d in picks.docs(run).tolist()}
         for c in found.orderBy("run", "view", "label", "rank").collect():  # a bounded number
