@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,17 @@ def test_a_change_stores_what_it_changed(spark):
     assert contigs(now.finished()) == sorted(min(x, S.rc(x)) for x in parts)
 
 
+def test_rings_within_a_task():
+    """A ring's pointers know its smallest node, also where jumps of 2, 4, 8 ... lead back to where they began."""
+    rows = []
+    for n in range(2, 20):
+        ids = [f"{n:02}-{i:02}" for i in random.Random(n).sample(range(n), n)]
+        rows += [(v, "f", ids[i - 1], "f", 1, False, v) for i, v in enumerate(ids)]
+    names = [f.split(" ")[0] for f in ranking.POINTERS.split(", ")]
+    out = ranking._jumped(pa.table(dict(zip(names, map(pa.array, zip(*rows, strict=True)), strict=True)))).to_pylist()
+    assert len(out) == len(rows) and all(not r["done"] and r["low"] == r["node_id"][:3] + "00" for r in out)
+
+
 @pytest.mark.parametrize("few", [0, 50, 10**6])
 def test_ranking(spark, monkeypatch, few):
     """Chains and rings of many lengths, contracted in small parts, doubled on joins, or finished in one task."""
