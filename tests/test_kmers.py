@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.operators import build, kmers
+from strandweave.operators import build, kmers, threads
 
 from . import sequential as S
-from .test_graph import reads_df
+from .test_graph import graph_of, reads_df
 
 
 def some_reads(seed, k):
@@ -49,3 +49,16 @@ def test_rows_left_out_are_those_no_end_can_need(spark):
     assert sorted(map(tuple, build.edge_threads(good, 5, 4, True).collect())) == sorted(
         (r.node_id, r.sdir, r.ddir, r.dst, n) for r in build.edges(good, 5).withColumnRenamed("src", "node_id").collect() for n in ("r0", "r1", "r10", "r100")
     )
+
+
+def test_threads_are_dealt_by_node_once(spark):
+    """Both ends' threads and the ports of their nodes meet by node; weights need no other exchange."""
+    g = graph_of(spark, [("x", "ACG", 1.0)], [("x", "f", "f", "y"), ("x", "r", "f", "z")], [("x", "f", "f", "y", "a"), ("z", "r", "f", "x", "a"), ("x", "f", "r", "y", "b")])
+    w = threads.port_pair_weights(threads.symmetrised(g))
+    assert [tuple(r) for r in w.collect()] == [("x", "f", "y", "f", "z", 1)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = threads.port_pair_weights(threads.symmetrised(g))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
