@@ -102,6 +102,18 @@ def test_rings_within_a_task():
     assert len(out) == len(rows) and all(not r["done"] and r["low"] == r["node_id"][:3] + "00" for r in out)
 
 
+def test_only_rings_are_ranked_again(spark, monkeypatch):
+    """Beside a long chain, a ring of four is cut and ranked by its own links."""
+    one = [(f"c{i:03}", f"c{i + 1:03}") for i in range(300)] + [("ra", "rb"), ("rb", "rc"), ("rc", "rd"), ("rd", "ra")]
+    links = [(u, "f", "f", v) for u, v in one] + [(v, "r", "r", u) for u, v in one]
+    seen, rank = [], ranking.rank
+    monkeypatch.setattr(ranking, "rank", lambda p, n, *rest: seen.append(n) or rank(p, n, *rest))
+    where, inner = compact.chains(spark.createDataFrame(links, "src string, sdir string, ddir string, dst string"), len(links), 5, Workspace(spark, "rings"), "x")
+    assert seen == [608, 6] and inner.count() == 606
+    assert sorted((r["chain"], r["count"]) for r in where.groupBy("chain").count().collect()) == [("c000", 301), ("ra", 4)]
+    assert sorted(r["rank"] for r in where.where("chain = 'ra'").collect()) == [0, 1, 2, 3]
+
+
 @pytest.mark.parametrize("few", [0, 50, 10**6])
 def test_ranking(spark, monkeypatch, few):
     """Chains and rings of many lengths, contracted in small parts, doubled on joins, or finished in one task."""
