@@ -4,7 +4,7 @@ from dataclasses import replace
 
 import pytest
 
-from strandweave.operators import build, correct, kmers, mates
+from strandweave.operators import build, correct, inspect, kmers, mates
 from strandweave.operators.graph import compressible_links, sided
 from strandweave.params import Params
 from strandweave.storage import Workspace
@@ -61,3 +61,25 @@ def test_a_node_is_read_off_its_row(both):
     graph, _, p, _ = both
     for df in (graph.nodes, graph.edges, correct.tip_candidates(graph, p), correct.bubble_candidates(graph, p)):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_same_check_and_details(both, spark):
+    """A faulty edge, a missing node, a repeated edge and a thread without an edge are found; a chosen node's edges alone are dealt."""
+    graph, plain, p, good = both
+    threads = build.edge_threads(good, p.k, 9).localCheckpoint()
+    graph, plain = replace(graph, threads=threads), replace(plain, threads=threads)
+    one = inspect.check_graph(graph, p.k).collect()
+    assert one == inspect.check_graph(plain, p.k).collect()
+    first = plain.edges.limit(1)
+    bad = spark.createDataFrame([("AAA~1", "f", "f", "CCC"), ("A" * p.k, "f", "f", "none")], plain.edges.schema)
+    nodes = plain.nodes.union(spark.createDataFrame([("AAA~1", "A" * p.k, 1.0), ("CCC", "C" * p.k, 1.0), ("AAAAAAAAAAA", "A" * p.k, 1.0)], plain.nodes.schema)).distinct()
+    lost = spark.createDataFrame([("AAA", "f", "r", "none", "x")], threads.schema)
+    if p.k > 3:
+        nodes = nodes.union(spark.createDataFrame([("A" * p.k, "A" * p.k, 1.0)], nodes.schema)).dropDuplicates(["node_id"])
+        faulty = inspect.check_graph(replace(plain, nodes=nodes, edges=plain.edges.union(first).union(bad), threads=threads.union(lost)), p.k).first()
+        was = one[0]
+        assert (faulty["edges_bad"] - was["edges_bad"], faulty["edges_missing"], faulty["edges_repeated"], faulty["threads_bad"], faulty["threads_ok"]) == (1, 1, 1, 1, was["threads_ok"])
+    full = lambda g: inspect.details(g, types=["full", "half"], fields=("edges",))
+    assert _rows(full(graph)) == _rows(full(plain))
+    dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert dealt(full(graph)) < dealt(full(plain))
