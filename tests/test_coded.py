@@ -3,10 +3,13 @@
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
+from strandweave.functions.sequence import pack
 from strandweave.operators import build, correct, inspect, kmers, mates
 from strandweave.operators.graph import compressible_links, sided
 from strandweave.params import Params
+from strandweave.sources import sinks
 from strandweave.storage import Workspace
 
 READS = [("a", "ACGTTGCAACGTAGGA"), ("b", "ACGTTGCATTTTTTTTTGGGCCC"), ("c", "TTGACCATGGTCAATTGACC"), ("d", "CCCCCCCCCC"), ("e", "ACGTAGCTACGTAGGATCC"), ("f", "GGATCCTACGTA")]
@@ -83,3 +86,35 @@ def test_same_check_and_details(both, spark):
     assert _rows(full(graph)) == _rows(full(plain))
     dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert dealt(full(graph)) < dealt(full(plain))
+
+
+def test_same_messages(both, tmp_path):
+    graph, plain, p, good = both
+    plain = replace(plain, threads=build.edge_threads(good, p.k, 9))
+    lines = sinks.coded_messages(graph.coded, build.port_threads(good, graph.coded.rows, p.k, 9), graph.starts)
+    assert _rows(lines) == _rows(sinks.node_messages(plain))
+    lines.write.text(str(tmp_path / "lines"), compression="gzip")
+    back = sinks.read_node_messages(good.sparkSession, str(tmp_path / "lines"), p.k)
+    for table in ("nodes", "edges", "threads", "starts"):
+        assert _rows(getattr(back, table)) == _rows(getattr(plain, table))
+
+
+def test_messages_keep_what_they_part(spark, tmp_path):
+    """A read's name may hold colons; a node that is no K-mer is an error where only K-mers are expected."""
+    good = spark.createDataFrame([("run:1:7", "ACGTTGCAACGTAGGA"), ("run:1:8", "ACGTTGCATTTTTTT")], "read string, seq string")
+    g = build.build(good, Params(k=5))
+    sinks.node_messages(g).write.text(str(tmp_path / "lines"))
+    back = sinks.read_node_messages(spark, str(tmp_path / "lines"))
+    assert _rows(back.threads) == _rows(g.threads) and g.threads.count()
+    assert _rows(back.starts) == _rows(g.starts)
+    with pytest.raises(Exception, match="not 7 packed bases"):
+        sinks.read_node_messages(spark, str(tmp_path / "lines"), 7).nodes.collect()
+
+
+@pytest.mark.parametrize("w", [3, 4, 15, 30, 31])
+def test_packed_codes(spark, w):
+    seqs = ["A" * w, "T" * w, ("ACGT" * 8)[:w], ("GATTACA" * 5)[:w]]
+    x = spark.createDataFrame([(s,) for s in seqs], "seq string").withColumn("code", kmers.code_of(F.col("seq")))
+    x = x.withColumn("name", kmers.packed(F.col("code"), w))
+    assert x.where(F.col("name") != pack(F.col("seq"))).count() == 0
+    assert x.where(kmers.packed_code(F.col("name"), w) != F.col("code")).count() == 0
