@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandweave.functions.sequence import pack
-from strandweave.operators import build, correct, inspect, kmers, mates
+from strandweave.operators import build, compact, correct, inspect, kmers, mates, ranking
 from strandweave.operators.graph import compressible_links, sided
 from strandweave.params import Params
 from strandweave.sources import sinks
@@ -118,3 +118,17 @@ def test_packed_codes(spark, w):
     x = x.withColumn("name", kmers.packed(F.col("code"), w))
     assert x.where(F.col("name") != pack(F.col("seq"))).count() == 0
     assert x.where(kmers.packed_code(F.col("name"), w) != F.col("code")).count() == 0
+
+
+@pytest.mark.parametrize("few", [500_000, 4])
+def test_same_chains(both, monkeypatch, few):
+    """Chains and rings found by codes are those found by names, with all that hangs on them."""
+    graph, plain, p, good = both
+    monkeypatch.setattr(ranking, "FEW", few)
+    threads = build.edge_threads(good, p.k, 9)
+    seen = []
+    monkeypatch.setattr(compact, "compact_coded", lambda *a, f=compact.compact_coded: seen.append(1) or f(*a))
+    a, b = compact.compact(replace(graph, threads=threads), p.k), compact.compact(replace(plain, threads=threads), p.k)
+    assert seen
+    for table in ("nodes", "edges", "threads", "starts"):
+        assert _rows(getattr(a, table)) == _rows(getattr(b, table).select(*getattr(a, table).columns)), table
