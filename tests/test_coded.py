@@ -9,6 +9,7 @@ from strandweave.functions.sequence import pack
 from strandweave.operators import build, compact, correct, inspect, kmers, mates, ranking
 from strandweave.operators.graph import compressible_links, sided
 from strandweave.params import Params
+from strandweave.plans import assembly
 from strandweave.sources import sinks
 from strandweave.storage import Workspace
 
@@ -132,3 +133,18 @@ def test_same_chains(both, monkeypatch, few):
     assert seen
     for table in ("nodes", "edges", "threads", "starts"):
         assert _rows(getattr(a, table)) == _rows(getattr(b, table).select(*getattr(a, table).columns)), table
+
+
+@pytest.mark.parametrize("all_threads", [False, True])
+def test_assembly_begins_with_codes(spark, tmp_path, monkeypatch, all_threads):
+    """The first stage of an assembly stores the compact graph of its reads, found by codes."""
+    reads = spark.createDataFrame([*READS, ("short", "ACG"), ("bad", "ACGTNACGTACGT")], "read string, seq string")
+    p = Params(k=7, max_threads=9, record_all_threads=all_threads)
+    seen = []
+    monkeypatch.setattr(compact, "compact_coded", lambda *a, f=compact.compact_coded: seen.append(1) or f(*a))
+    job = assembly.Assembly(spark, p, str(tmp_path))
+    a, b = job.run(reads, stop="buildInitial"), compact.compact(build.build(reads, p), 7)
+    assert len(seen) == 1
+    for table in ("nodes", "edges", "threads", "starts"):
+        assert _rows(getattr(a, table)) == _rows(getattr(b, table).select(*getattr(a, table).columns)), table
+    assert {r.counter: r.value for r in job.counters("buildInitial").collect()} | {"reads_good": 6, "reads_short": 1, "reads_skipped": 1} == {r.counter: r.value for r in job.counters("buildInitial").collect()}
