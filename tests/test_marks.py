@@ -63,6 +63,23 @@ def test_same_decisions(both):
         assert copies.where("copy < 1 or copy > of").count() == 0 and copies.select("code", "copy").distinct().count() == copies.count()
 
 
+def test_same_check_and_details(both, spark):
+    """Counts, lists of edges with their threads, and edges that lead to nodes that are not there, or not back."""
+    graph, plain, k, good = both
+    assert inspect.check_graph(graph, k).collect() == inspect.check_graph(plain, k).collect()
+    details = lambda g: inspect.details(g, types=["full", "half", "tip"], fields=("edges",))
+    assert _rows(details(graph)) == _rows(details(plain).select(details(graph).columns))
+    # a node goes, another one forgets its edges
+    codes = [r.code for r in graph.coded.rows.where("ports != 0").orderBy("code").limit(9).collect()]
+    rows = graph.coded.rows.where(F.col("code") != codes[1]).withColumn("ports", F.when(F.col("code") == codes[-1], 0).otherwise(F.col("ports")))
+    rows = Workspace(spark, "faulty").put(rows, "rows")
+    t = marks.Threads(good, k, graph.numbered.cap, rows)
+    faulty = build.coded(rows, k, None, graph.starts, t)
+    a = inspect.check_graph(faulty, k).first()
+    b = inspect.check_graph(Graph(faulty.nodes, faulty.edges, t.spelled().localCheckpoint(), graph.starts), k).first()
+    assert a == b and a.edges_missing > 0
+
+
 def test_a_step_is_two_numbers(spark):
     """Where names are numbers only codes and tags are dealt, once for what concerns edges, and once more for nodes."""
     k = 5
