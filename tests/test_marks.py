@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandweave.operators import build, inspect, kmers, marks, threads
 from strandweave.operators.graph import Graph, symmetrised
 from strandweave.params import Params
+from strandweave.sources import sinks
 from strandweave.storage import Workspace
 
 from .test_kmers import some_reads
@@ -101,3 +102,15 @@ def test_missing_names_are_one(spark):
     assert len(found) == len(set(found)) and any(r.read is None for r in found) and any(r.read == "1" for r in found)
     pairs = marks.port_pair_reads(t.marks(), 5).collect()
     assert all(0 <= r.weight - len(r.reads) <= 1 for r in pairs)
+
+
+def test_messages_are_read_once(both, tmp_path):
+    """Lines name what plain ones do; one pass over them, without a shuffle, gives the rows of all four tables."""
+    graph, plain, k, good = both
+    lines = sinks.coded_messages(graph.coded, graph.numbered.ports(), graph.starts).localCheckpoint()
+    assert _rows(lines) == _rows(sinks.node_messages(plain))
+    lines.write.text(str(tmp_path / "lines"))
+    rows = sinks.coded_message_rows(good.sparkSession, str(tmp_path / "lines"), k)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    assert {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()} == {t[:-1]: getattr(plain, t).count() for t in ("nodes", "edges", "threads", "starts")}
