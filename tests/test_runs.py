@@ -73,3 +73,17 @@ def test_search_stores_a_hop_once(spark, monkeypatch):
     found, metrics = mates.search_paths(mates.Graph(nodes, edges, none, none), bundled, p)
     assert [(r.start, r.dest, [x.node for x in r.path]) for r in found.collect()] == [("a", "c", ["b", "c"])]
     assert stored == ["ways", "seeds", "hop1", "hop2"] and metrics == [{"active": 1}, {"found": 1}]
+
+
+def test_search_carries_paths_as_texts(spark):
+    """Of paths to one end the smallest is kept, as by its steps, though a name goes on where another one ends."""
+    p = Params(k=3, insert_len=9, max_unique_cov=9.0)
+    nodes = spark.createDataFrame([(n, "ACGTA", 1.0) for n in ("a", "b", "b_1", "c")], "node_id string, seq string, cov double")
+    edges = spark.createDataFrame([("a", "f", "f", "b_1"), ("a", "f", "f", "b"), ("b", "f", "f", "c"), ("b_1", "f", "f", "c")], "src string, sdir string, ddir string, dst string")
+    none = spark.createDataFrame([], "node_id string")
+    bundled = spark.createDataFrame([("a", "f", "f", "c", 1, 5)], "src string, sdir string, ddir string, dst string, weight long, dist long")
+    graph = mates.Graph(nodes, edges, none, none)
+    assert dict(mates.hop(mates.seeds(bundled, 3), graph, p, True).dtypes)["path"] == "string"
+    found, _ = mates.search_paths(graph, bundled, p)
+    assert dict(found.dtypes)["path"] == mates.PATH
+    assert [(r.paths, [tuple(x) for x in r.path]) for r in found.collect()] == [(2, [("f", "f", "b"), ("f", "f", "c")])]
